@@ -110,3 +110,27 @@ def weighted_percentile_long(df: DataFrame, groups: list[str], v: str, w: str,
     cols = [_pname(p) for p in ps]
     return wide.unpivot(groups, cols, "percentil", name) if groups else \
         wide.unpivot([], cols, "percentil", name)
+
+
+def exact_percentiles(df: DataFrame, groups: list[str], v: str, ps: list[float]) -> DataFrame:
+    """Exact unweighted percentiles with linear interpolation (numpy 'linear' /
+    SQL percentile_cont), computed from running counts of distinct values — no
+    per-group value buffer, so a huge group never sits in one task's memory."""
+    vt = (df.filter(F.col(v).isNotNull()).groupBy(*groups, v)
+            .agg(F.count(F.lit(1)).cast("double").alias("sw")))
+    rt = running_weights(vt, groups, v)
+    n = F.max("total")
+    aggs = [n.alias("_n")]
+    for p in ps:
+        h = (F.col("total") - 1) * F.lit(float(p))
+        lo = F.floor(h)
+        aggs += [F.min(F.when(F.col("cum") > lo, F.col(v))).alias(f"_lo{_pname(p)}"),
+                 F.min(F.when(F.col("cum") > lo + 1, F.col(v))).alias(f"_hi{_pname(p)}"),
+                 F.max(h - lo).alias(f"_fr{_pname(p)}")]
+    out = rt.groupBy(*groups).agg(*aggs)
+    for p in ps:
+        nm = _pname(p)
+        lo_v, hi_v, fr = F.col(f"_lo{nm}"), F.col(f"_hi{nm}"), F.col(f"_fr{nm}")
+        out = out.withColumn(nm, F.when(hi_v.isNull(), lo_v).otherwise(lo_v + fr * (hi_v - lo_v)))
+        out = out.drop(f"_lo{nm}", f"_hi{nm}", f"_fr{nm}")
+    return out.drop("_n")

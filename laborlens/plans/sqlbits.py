@@ -35,11 +35,11 @@ def r(expr: str, places: int = 4) -> str:
 
 
 def pct(a: str, b: str) -> str:
-    return f"(CASE WHEN {b} > 0 THEN 100.0 * {a} / {b} ELSE 0.0 END)"
+    return f"(CASE WHEN ({b}) > 0 THEN 100.0 * ({a}) / ({b}) ELSE 0.0 END)"
 
 
 def ratio(a: str, b: str) -> str:
-    return f"(CASE WHEN {b} > 0 THEN {a} / {b} END)"
+    return f"(CASE WHEN ({b}) > 0 THEN ({a}) / ({b}) END)"
 
 
 def running_table(src: str, groups: list[str], v: str, w: str = "peso_populacional") -> str:

@@ -12,15 +12,22 @@ from laborlens.operators import aggregates as A
 from laborlens.operators import filters as FL
 from laborlens.operators import quantiles as Q
 from laborlens.operators import windows as W
-from laborlens.operators.joins import lookup, dimension
+from laborlens.operators.joins import dimension, int_range
 from laborlens.plans import sqlbits as S
 from laborlens.plans.registry import register
 from laborlens.plans.views import micro
 
 WGT = "peso_populacional"
 INC = "rendimento_trabalho_principal"
-IT = F.col("eh_ti")
-NIT = ~F.col("eh_ti")
+
+
+def _it():
+    return F.col("eh_ti")
+
+
+def _nit():
+    return ~F.col("eh_ti")
+
 r4 = X.r
 
 
@@ -51,9 +58,9 @@ FROM occ GROUP BY ano"""))
 def it_share_by_year(spark, d):
     return occ(spark, d).groupBy("ano").agg(
         F.count(F.lit(1)).alias("n_obs"),
-        A.count_if(IT).alias("n_ti"),
+        A.count_if(_it()).alias("n_ti"),
         _r(A.wsum(WGT)).alias("peso_total"),
-        _r(A.wsum(WGT, IT)).alias("peso_ti"),
+        _r(A.wsum(WGT, _it())).alias("peso_ti"),
         _r(100.0 * A.wshare("eh_ti", WGT)).alias("pct_ti_ponderado"),
         _r(100.0 * A.share("eh_ti")).alias("pct_ti_simples"),
     )
@@ -67,9 +74,9 @@ FROM occ WHERE idade IS NOT NULL AND peso_populacional IS NOT NULL GROUP BY ano"
 def it_mean_age_by_year(spark, d):
     df = FL.required(occ(spark, d), "idade", WGT)
     return df.groupBy("ano").agg(
-        _r(A.wmean("idade", WGT, IT)).alias("idade_media_ti"),
-        _r(A.wmean("idade", WGT, NIT)).alias("idade_media_nao_ti"),
-        A.count_if(IT).alias("n_ti"),
+        _r(A.wmean("idade", WGT, _it())).alias("idade_media_ti"),
+        _r(A.wmean("idade", WGT, _nit())).alias("idade_media_nao_ti"),
+        A.count_if(_it()).alias("n_ti"),
     )
 
 
@@ -86,7 +93,7 @@ def it_quarter_series(spark, d):
     return (df.groupBy("ano", "trimestre").agg(
         F.count(F.lit(1)).alias("linhas"),
         A.count_if(o).alias("ocupados_total"),
-        A.count_if(o & IT).alias("ocupados_ti"),
+        A.count_if(o & _it()).alias("ocupados_ti"),
         _r(A.share("eh_ti", o), 6).alias("prop_ti_ocup_simples"),
         _r(A.wshare("eh_ti", WGT, o), 6).alias("prop_ti_ocup_ponderada"),
     ).orderBy("ano", "trimestre"))
@@ -109,7 +116,7 @@ def employed_summary(spark, d):
 # ---------------------------------------------------------------------------
 
 def _segment_label() -> "F.Column":
-    return F.when(IT, "ti").otherwise("nao_ti")
+    return F.when(_it(), "ti").otherwise("nao_ti")
 
 
 _GEN_SQL_STATS = {
@@ -166,7 +173,7 @@ def general_comparative(spark, d):
              "media_anos_estudo", "media_rendimento"]
     by_seg = (df.rollup("eh_ti").agg(*_gen_stats(df), F.grouping("eh_ti").alias("_g"))
                 .withColumn("seg", F.when(F.col("_g") == 1, "total")
-                            .when(IT, "ti").otherwise("nao_ti"))
+                            .when(_it(), "ti").otherwise("nao_ti"))
                 .select("seg", *[F.col(s).cast("double").alias(s) for s in stats]))
     long = by_seg.unpivot(["seg"], stats, "estatistica", "valor")
     med_seg = (Q.weighted_percentiles(df, ["eh_ti"], INC, WGT, [0.5])
@@ -196,11 +203,11 @@ FROM occ GROUP BY ano"""))
 def yearly_comparative(spark, d):
     df = occ(spark, d)
     t = df.groupBy("ano").agg(
-        A.wsum(WGT, IT).alias("total_ti"), A.wsum(WGT, NIT).alias("total_nao_ti"),
-        A.wmean("idade", WGT, IT).alias("idade_ti"), A.wmean("idade", WGT, NIT).alias("idade_nao_ti"),
-        A.wmean("anos_estudo", WGT, IT).alias("estudo_ti"),
-        A.wmean("anos_estudo", WGT, NIT).alias("estudo_nao_ti"),
-        A.wmean(INC, WGT, IT).alias("renda_ti"), A.wmean(INC, WGT, NIT).alias("renda_nao_ti"))
+        A.wsum(WGT, _it()).alias("total_ti"), A.wsum(WGT, _nit()).alias("total_nao_ti"),
+        A.wmean("idade", WGT, _it()).alias("idade_ti"), A.wmean("idade", WGT, _nit()).alias("idade_nao_ti"),
+        A.wmean("anos_estudo", WGT, _it()).alias("estudo_ti"),
+        A.wmean("anos_estudo", WGT, _nit()).alias("estudo_nao_ti"),
+        A.wmean(INC, WGT, _it()).alias("renda_ti"), A.wmean(INC, WGT, _nit()).alias("renda_nao_ti"))
     return t.select(
         "ano", _r(F.col("total_ti")).alias("total_ti"), _r(F.col("total_nao_ti")).alias("total_nao_ti"),
         _r(A.pct("total_ti", F.col("total_ti") + F.col("total_nao_ti"))).alias("pct_ti"),
@@ -330,7 +337,307 @@ GROUP BY variavel, estatistica""", extra=_desc_sql_inner()))
 def weighted_describe_table(spark, d):
     t = weighted_describe_df(occ(spark, d)).withColumn("n", F.col("n").cast("double"))
     long = t.unpivot(["variavel", "eh_ti"], ["n"] + _DESC_COLS, "estatistica", "valor")
-    ti = F.max(F.when(IT, F.col("valor")))
-    nti = F.max(F.when(NIT, F.col("valor")))
+    ti = F.max(F.when(_it(), F.col("valor")))
+    nti = F.max(F.when(_nit(), F.col("valor")))
     return long.groupBy("variavel", "estatistica").agg(
         _r(ti).alias("ti"), _r(nti).alias("nao_ti"), _r(ti - nti).alias("diferenca"))
+
+
+# ---------------------------------------------------------------------------
+# states (latest year, state x year)
+# ---------------------------------------------------------------------------
+
+_UF_VALUES = ", ".join(f"({k}, '{v}')" for k, v in P.UF_CODE_TO_SIGLA.items())
+
+
+@register("uf_latest_year", "F8 A9 L1 L9 T2", S.survey_sql(f"""
+SELECT dim.uf, dim.sigla, {S.r('COALESCE(a.total_ti, 0.0)')} AS total_ti,
+       {S.r('COALESCE(a.total_nao_ti, 0.0)')} AS total_nao_ti,
+       {S.r(S.pct('COALESCE(a.total_ti, 0.0)', 'COALESCE(a.total_ti, 0.0) + COALESCE(a.total_nao_ti, 0.0)'))} AS pct_ti,
+       {S.r('a.renda_ti')} AS renda_ti, {S.r('a.renda_nao_ti')} AS renda_nao_ti
+FROM (VALUES {_UF_VALUES}) dim(uf, sigla)
+LEFT JOIN (SELECT uf, {S.wsum(cond='eh_ti')} AS total_ti, {S.wsum(cond='NOT eh_ti')} AS total_nao_ti,
+                  {S.wmean(INC, cond='eh_ti')} AS renda_ti, {S.wmean(INC, cond='NOT eh_ti')} AS renda_nao_ti
+           FROM occ WHERE ano = (SELECT MAX(ano) FROM occ) GROUP BY uf) a ON dim.uf = a.uf
+ORDER BY pct_ti DESC, dim.uf"""))
+def uf_latest_year(spark, d):
+    latest = FL.latest_year(occ(spark, d))
+    agg = latest.groupBy("uf").agg(
+        A.wsum(WGT, _it()).alias("total_ti"), A.wsum(WGT, _nit()).alias("total_nao_ti"),
+        A.wmean(INC, WGT, _it()).alias("renda_ti"), A.wmean(INC, WGT, _nit()).alias("renda_nao_ti"))
+    states = dimension(spark, P.UF_CODE_TO_SIGLA, "uf", "sigla")
+    j = F.broadcast(states).join(agg, "uf", "left").fillna(0.0, ["total_ti", "total_nao_ti"])
+    return j.select(
+        "uf", "sigla", _r(F.col("total_ti")).alias("total_ti"),
+        _r(F.col("total_nao_ti")).alias("total_nao_ti"),
+        _r(A.pct("total_ti", F.col("total_ti") + F.col("total_nao_ti"))).alias("pct_ti"),
+        _r(F.col("renda_ti")).alias("renda_ti"), _r(F.col("renda_nao_ti")).alias("renda_nao_ti"),
+    ).orderBy(F.desc("pct_ti"), "uf")
+
+
+@register("uf_year_share", "A16 L1", S.survey_sql(f"""
+SELECT ano, uf, s.sigla, {S.r('ti_total')} AS ti_total, {S.r('ocupados_total')} AS ocupados_total,
+       {S.r(S.pct('ti_total', 'ocupados_total'))} AS pct_ti
+FROM (SELECT ano, uf, {S.wsum(cond='eh_ti')} AS ti_total,
+             {S.wsum(cond='ocupado = 1 OR rendimento_trabalho_principal > 0')} AS ocupados_total
+      FROM survey GROUP BY ano, uf) t
+LEFT JOIN (VALUES {_UF_VALUES}) s(uf_code, sigla) ON t.uf = s.uf_code"""))
+def uf_year_share(spark, d):
+    df = survey(spark, d)
+    employed = (F.col("ocupado") == 1) | F.coalesce(F.col(INC) > 0, F.lit(False))
+    g = df.groupBy("ano", "uf").agg(A.wsum(WGT, _it()).alias("ti_total"),
+                                    A.wsum(WGT, employed).alias("ocupados_total"))
+    g = g.withColumn("sigla", X.map_literal(P.UF_CODE_TO_SIGLA)[F.col("uf")])
+    return g.select("ano", "uf", "sigla", _r(F.col("ti_total")).alias("ti_total"),
+                    _r(F.col("ocupados_total")).alias("ocupados_total"),
+                    _r(A.pct("ti_total", "ocupados_total")).alias("pct_ti"))
+
+
+# ---------------------------------------------------------------------------
+# age and education distributions (latest year)
+# ---------------------------------------------------------------------------
+
+_EDGES, _LABELS = P.AGE_CUTS_DISTRIBUTION
+_CUT_SQL = "CASE " + " ".join(
+    f"WHEN idade > {lo} AND idade <= {hi} THEN '{lb}'"
+    for lo, hi, lb in zip(_EDGES[:-1], _EDGES[1:], _LABELS)) + " END"
+_LABEL_VALUES = ", ".join(f"('{lb}', {i})" for i, lb in enumerate(_LABELS))
+
+
+def _dist_measures():
+    return [A.wsum(WGT, _it()).alias("pop_ti"), A.wsum(WGT, _nit()).alias("pop_nao_ti"),
+            A.wmean(INC, WGT, _it()).alias("renda_ti"), A.wmean(INC, WGT, _nit()).alias("renda_nao_ti")]
+
+
+def _dist_select(g: DataFrame, keys: list[str]) -> DataFrame:
+    every = Window.partitionBy(F.lit(0))  # bounded: one row per category
+    return g.select(
+        *keys, _r(F.col("pop_ti")).alias("pop_ti"), _r(F.col("pop_nao_ti")).alias("pop_nao_ti"),
+        _r(A.pct("pop_ti", F.sum("pop_ti").over(every))).alias("perc_ti"),
+        _r(A.pct("pop_nao_ti", F.sum("pop_nao_ti").over(every))).alias("perc_nao_ti"),
+        _r(F.col("renda_ti")).alias("renda_ti"), _r(F.col("renda_nao_ti")).alias("renda_nao_ti"),
+        _r(A.ratio("renda_ti", "renda_nao_ti"), 6).alias("razao_renda"))
+
+
+_DIST_SQL_SELECT = f"""
+       {S.r('pop_ti')} AS pop_ti, {S.r('pop_nao_ti')} AS pop_nao_ti,
+       {S.r(S.pct('pop_ti', 'SUM(pop_ti) OVER ()'))} AS perc_ti,
+       {S.r(S.pct('pop_nao_ti', 'SUM(pop_nao_ti) OVER ()'))} AS perc_nao_ti,
+       {S.r('renda_ti')} AS renda_ti, {S.r('renda_nao_ti')} AS renda_nao_ti,
+       {S.r(S.ratio('renda_ti', 'renda_nao_ti'), 6)} AS razao_renda"""
+_DIST_SQL_MEASURES = (f"{S.wsum(cond='eh_ti')} AS pop_ti, {S.wsum(cond='NOT eh_ti')} AS pop_nao_ti, "
+                      f"{S.wmean(INC, cond='eh_ti')} AS renda_ti, "
+                      f"{S.wmean(INC, cond='NOT eh_ti')} AS renda_nao_ti")
+
+
+@register("age_band_distribution", "F8 X19 A10 L8 W2", S.survey_sql(f"""
+SELECT faixa_idade, ordem, {_DIST_SQL_SELECT}
+FROM (SELECT b.faixa_idade, b.ordem, COALESCE(a.pop_ti, 0.0) AS pop_ti,
+             COALESCE(a.pop_nao_ti, 0.0) AS pop_nao_ti, a.renda_ti, a.renda_nao_ti
+      FROM (VALUES {_LABEL_VALUES}) b(faixa_idade, ordem)
+      LEFT JOIN (SELECT {_CUT_SQL} AS faixa_idade, {_DIST_SQL_MEASURES}
+                 FROM occ WHERE ano = (SELECT MAX(ano) FROM occ) GROUP BY 1) a
+        ON a.faixa_idade = b.faixa_idade)"""))
+def age_band_distribution(spark, d):
+    latest = FL.latest_year(occ(spark, d))
+    banded = latest.withColumn("faixa_idade", X.age_cut("idade", _EDGES, _LABELS))
+    g = banded.filter(F.col("faixa_idade").isNotNull()).groupBy("faixa_idade").agg(*_dist_measures())
+    bands = spark.createDataFrame([(lb, i) for i, lb in enumerate(_LABELS)], "faixa_idade string, ordem int")
+    full = F.broadcast(bands).join(g, "faixa_idade", "left").fillna(0.0, ["pop_ti", "pop_nao_ti"])
+    return _dist_select(full, ["faixa_idade", "ordem"])
+
+
+def _education_dim(spark):
+    rows = [("ate2015", k, v) for k, v in P.EDUCATION_UP_TO_2015.items()] + \
+           [("pos2015", k, v) for k, v in P.EDUCATION_AFTER_2015.items()]
+    return spark.createDataFrame(rows, "era string, codigo int, nivel string")
+
+
+def _edu_values_sql():
+    rows = [f"('ate2015', {k}, '{v}')" for k, v in P.EDUCATION_UP_TO_2015.items()] + \
+           [f"('pos2015', {k}, '{v}')" for k, v in P.EDUCATION_AFTER_2015.items()]
+    return ", ".join(rows)
+
+
+@register("education_distribution", "F8 L1 L8 A11 W2", S.survey_sql(f"""
+SELECT era, codigo, nivel,
+       {S.r('pop_ti')} AS pop_ti, {S.r('pop_nao_ti')} AS pop_nao_ti,
+       {S.r(S.pct('pop_ti', 'tot_ti'))} AS perc_ti, {S.r(S.pct('pop_nao_ti', 'tot_nao_ti'))} AS perc_nao_ti,
+       {S.r('renda_ti')} AS renda_ti, {S.r('renda_nao_ti')} AS renda_nao_ti,
+       {S.r(S.ratio('renda_ti', 'renda_nao_ti'), 6)} AS razao_renda
+FROM (SELECT d.era, d.codigo, d.nivel, COALESCE(a.pop_ti, 0.0) AS pop_ti,
+             COALESCE(a.pop_nao_ti, 0.0) AS pop_nao_ti, a.renda_ti, a.renda_nao_ti,
+             t.tot_ti, t.tot_nao_ti
+      FROM (VALUES {_edu_values_sql()}) d(era, codigo, nivel)
+      JOIN (SELECT CASE WHEN MAX(ano) <= 2015 THEN 'ate2015' ELSE 'pos2015' END AS era,
+                   {S.wsum(cond='eh_ti')} AS tot_ti, {S.wsum(cond='NOT eh_ti')} AS tot_nao_ti
+            FROM lat) t ON d.era = t.era
+      LEFT JOIN (SELECT CASE WHEN ano <= 2015 THEN curso_mais_elevado_antes_2015 ELSE curso_mais_elevado END
+                          AS codigo, {_DIST_SQL_MEASURES} FROM lat GROUP BY 1) a ON a.codigo = d.codigo)""",
+    extra="lat AS (SELECT * FROM occ WHERE ano = (SELECT MAX(ano) FROM occ))"))
+def education_distribution(spark, d):
+    latest = FL.latest_year(occ(spark, d))
+    era = F.when(F.col("ano") <= P.EDUCATION_ERA_SPLIT_YEAR, "ate2015").otherwise("pos2015")
+    code = F.when(F.col("ano") <= P.EDUCATION_ERA_SPLIT_YEAR,
+                  F.col("curso_mais_elevado_antes_2015")).otherwise(F.col("curso_mais_elevado"))
+    lat = latest.withColumn("era", era).withColumn("codigo", code)
+    totals = lat.groupBy("era").agg(A.wsum(WGT, _it()).alias("tot_ti"), A.wsum(WGT, _nit()).alias("tot_nao_ti"))
+    g = lat.groupBy("codigo").agg(*_dist_measures())
+    grid = F.broadcast(_education_dim(spark)).join(totals, "era")   # codes of the latest era
+    full = grid.join(g, "codigo", "left").fillna(0.0, ["pop_ti", "pop_nao_ti"])
+    return full.select(
+        "era", "codigo", "nivel", _r(F.col("pop_ti")).alias("pop_ti"),
+        _r(F.col("pop_nao_ti")).alias("pop_nao_ti"),
+        _r(A.pct("pop_ti", "tot_ti")).alias("perc_ti"),
+        _r(A.pct("pop_nao_ti", "tot_nao_ti")).alias("perc_nao_ti"),
+        _r(F.col("renda_ti")).alias("renda_ti"), _r(F.col("renda_nao_ti")).alias("renda_nao_ti"),
+        _r(A.ratio("renda_ti", "renda_nao_ti"), 6).alias("razao_renda"))
+
+
+# ---------------------------------------------------------------------------
+# income by schooling / age (per year and segment), smoothing, long form
+# ---------------------------------------------------------------------------
+
+@register("income_by_schooling", "F7 A14", S.survey_sql(f"""
+SELECT ano, eh_ti, anos_estudo, {S.r(S.wsum())} AS populacao, {S.r(S.wmean(INC))} AS renda_media
+FROM occ WHERE anos_estudo >= 1 GROUP BY ano, eh_ti, anos_estudo"""))
+def income_by_schooling(spark, d):
+    df = FL.min_schooling(occ(spark, d))
+    return df.groupBy("ano", "eh_ti", "anos_estudo").agg(
+        _r(A.wsum(WGT)).alias("populacao"), _r(A.wmean(INC, WGT)).alias("renda_media"))
+
+
+_BANDS_SQL = ", ".join(f"('{lb}')" for lb in _LABELS)
+
+
+@register("income_by_age", "X19 A15 L8", S.survey_sql(f"""
+SELECT k.ano, k.eh_ti, b.faixa_idade, {S.r('COALESCE(a.populacao, 0.0)')} AS populacao,
+       {S.r('a.renda_media')} AS renda_media
+FROM (SELECT DISTINCT ano, eh_ti FROM occ) k
+CROSS JOIN (VALUES {_BANDS_SQL}) b(faixa_idade)
+LEFT JOIN (SELECT ano, eh_ti, {_CUT_SQL} AS faixa_idade, {S.wsum()} AS populacao,
+                  {S.wmean(INC)} AS renda_media FROM occ GROUP BY 1, 2, 3) a
+  ON a.ano = k.ano AND a.eh_ti = k.eh_ti AND a.faixa_idade = b.faixa_idade"""))
+def income_by_age(spark, d):
+    df = occ(spark, d).withColumn("faixa_idade", X.age_cut("idade", _EDGES, _LABELS))
+    g = df.groupBy("ano", "eh_ti", "faixa_idade").agg(A.wsum(WGT).alias("populacao"),
+                                                      A.wmean(INC, WGT).alias("renda_media"))
+    keys = g.select("ano", "eh_ti").distinct()
+    grid = keys.select("ano", "eh_ti", F.explode(F.array(*[F.lit(x) for x in _LABELS]))
+                       .alias("faixa_idade"))      # every band for every (year, segment)
+    full = grid.join(g, ["ano", "eh_ti", "faixa_idade"], "left").fillna(0.0, ["populacao"])
+    return full.select("ano", "eh_ti", "faixa_idade", _r(F.col("populacao")).alias("populacao"),
+                       _r(F.col("renda_media")).alias("renda_media"))
+
+
+def _smoothed(df: DataFrame) -> DataFrame:
+    g = FL.min_schooling(df).groupBy("ano", "anos_estudo").agg(
+        A.wmean(INC, WGT, _it()).alias("renda_ti"), A.wmean(INC, WGT, _nit()).alias("renda_nao_ti"))
+    dense = int_range(g, ["ano"], "anos_estudo").join(g, ["ano", "anos_estudo"], "left")
+    for c in ("renda_ti", "renda_nao_ti"):
+        dense = W.interpolate_linear(dense, ["ano"], "anos_estudo", c, f"{c}_interp")
+        dense = dense.withColumn(f"{c}_suave", W.centred_mean(f"{c}_interp", ["ano"], "anos_estudo"))
+    mx = Window.partitionBy("ano")
+    top = F.greatest(F.max("renda_ti_suave").over(mx), F.max("renda_nao_ti_suave").over(mx))
+    scale = F.when(top > 0, top).otherwise(F.lit(1.0))
+    return dense.select(
+        "ano", "anos_estudo",
+        *[_r(F.col(c)).alias(c) for c in ("renda_ti", "renda_nao_ti", "renda_ti_interp",
+                                         "renda_nao_ti_interp", "renda_ti_suave", "renda_nao_ti_suave")],
+        _r(F.col("renda_ti_suave") / scale, 6).alias("escala_ti"),
+        _r(F.col("renda_nao_ti_suave") / scale, 6).alias("escala_nao_ti"))
+
+
+def _interp_sql(c: str) -> str:
+    o = "PARTITION BY ano ORDER BY anos_estudo"
+    return f"""
+   CASE WHEN {c} IS NOT NULL THEN {c}
+        WHEN last_value({c} IGNORE NULLS) OVER ({o} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) IS NULL
+          THEN first_value({c} IGNORE NULLS) OVER ({o} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+        WHEN first_value({c} IGNORE NULLS) OVER ({o} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) IS NULL
+          THEN last_value({c} IGNORE NULLS) OVER ({o} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+        ELSE last_value({c} IGNORE NULLS) OVER ({o} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+           + (first_value({c} IGNORE NULLS) OVER ({o} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+              - last_value({c} IGNORE NULLS) OVER ({o} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+           * (pos - last_value(CASE WHEN {c} IS NOT NULL THEN pos END IGNORE NULLS)
+                      OVER ({o} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+           / (first_value(CASE WHEN {c} IS NOT NULL THEN pos END IGNORE NULLS)
+                      OVER ({o} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+              - last_value(CASE WHEN {c} IS NOT NULL THEN pos END IGNORE NULLS)
+                      OVER ({o} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) END AS {c}_interp"""
+
+
+@register("income_by_schooling_smoothed", "L7 L8 W3 W4 W5", S.survey_sql(f"""
+SELECT ano, anos_estudo, ROUND(renda_ti, 4) AS renda_ti, ROUND(renda_nao_ti, 4) AS renda_nao_ti,
+       ROUND(renda_ti_interp, 4) AS renda_ti_interp, ROUND(renda_nao_ti_interp, 4) AS renda_nao_ti_interp,
+       ROUND(renda_ti_suave, 4) AS renda_ti_suave, ROUND(renda_nao_ti_suave, 4) AS renda_nao_ti_suave,
+       ROUND(renda_ti_suave / CASE WHEN top > 0 THEN top ELSE 1.0 END, 6) AS escala_ti,
+       ROUND(renda_nao_ti_suave / CASE WHEN top > 0 THEN top ELSE 1.0 END, 6) AS escala_nao_ti
+FROM (SELECT *, greatest(MAX(renda_ti_suave) OVER (PARTITION BY ano),
+                         MAX(renda_nao_ti_suave) OVER (PARTITION BY ano)) AS top
+      FROM (SELECT *, AVG(renda_ti_interp) OVER (PARTITION BY ano ORDER BY anos_estudo
+                        ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS renda_ti_suave,
+                      AVG(renda_nao_ti_interp) OVER (PARTITION BY ano ORDER BY anos_estudo
+                        ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS renda_nao_ti_suave
+            FROM (SELECT *, {_interp_sql('renda_ti')}, {_interp_sql('renda_nao_ti')}
+                  FROM (SELECT k.ano, k.anos_estudo, g.renda_ti, g.renda_nao_ti,
+                               ROW_NUMBER() OVER (PARTITION BY k.ano ORDER BY k.anos_estudo) AS pos
+                        FROM (SELECT ano, CAST(UNNEST(range(MIN(anos_estudo), MAX(anos_estudo) + 1)) AS INT) AS anos_estudo
+                              FROM g GROUP BY ano) k
+                        LEFT JOIN g ON g.ano = k.ano AND g.anos_estudo = k.anos_estudo) dn) itp) sm) sc""",
+    extra=f"""g AS (SELECT ano, anos_estudo, {S.wmean(INC, cond='eh_ti')} AS renda_ti,
+                   {S.wmean(INC, cond='NOT eh_ti')} AS renda_nao_ti
+            FROM occ WHERE anos_estudo >= 1 GROUP BY ano, anos_estudo)"""))
+def income_by_schooling_smoothed(spark, d):
+    return _smoothed(occ(spark, d))
+
+
+@register("income_long", "A8 P12", S.survey_sql(f"""
+SELECT ano, categoria, ROUND(valor, 4) AS valor FROM (
+  SELECT ano, {S.wmean(INC, cond='eh_ti')} AS renda_ti, {S.wmean(INC, cond='NOT eh_ti')} AS renda_nao_ti,
+         {S.pct(S.wsum(cond='eh_ti'), S.wsum())} AS pct_ti
+  FROM occ GROUP BY ano) UNPIVOT (valor FOR categoria IN (renda_ti, renda_nao_ti, pct_ti))"""))
+def income_long(spark, d):
+    t = occ(spark, d).groupBy("ano").agg(
+        A.wmean(INC, WGT, _it()).alias("renda_ti"), A.wmean(INC, WGT, _nit()).alias("renda_nao_ti"),
+        A.wsum(WGT, _it()).alias("_ti"), A.wsum(WGT).alias("_all"))
+    t = t.withColumn("pct_ti", A.pct("_ti", "_all")).drop("_ti", "_all")
+    long = t.unpivot(["ano"], ["renda_ti", "renda_nao_ti", "pct_ti"], "categoria", "valor")
+    return long.filter(F.col("valor").isNotNull()).select("ano", "categoria", _r(F.col("valor")).alias("valor"))
+
+
+# ---------------------------------------------------------------------------
+# education x sex
+# ---------------------------------------------------------------------------
+
+_NIVEIS = list(range(1, 8))
+_NIVEIS_SQL = ", ".join(f"({n})" for n in _NIVEIS)
+
+
+@register("education_by_sex", "A20 L8 X10", S.survey_sql(f"""
+SELECT k.ano, k.eh_ti, n.nivel_instrucao, {S.r('COALESCE(a.homens, 0.0)')} AS homens,
+       {S.r('COALESCE(a.mulheres, 0.0)')} AS mulheres
+FROM (SELECT DISTINCT ano, eh_ti FROM occ) k CROSS JOIN (VALUES {_NIVEIS_SQL}) n(nivel_instrucao)
+LEFT JOIN (SELECT ano, eh_ti, nivel_instrucao, {S.wsum(cond='sexo = 1')} AS homens,
+                  {S.wsum(cond='sexo = 2')} AS mulheres FROM occ GROUP BY 1, 2, 3) a
+  ON a.ano = k.ano AND a.eh_ti = k.eh_ti AND a.nivel_instrucao = n.nivel_instrucao"""))
+def education_by_sex(spark, d):
+    df = occ(spark, d).withColumn("sexo_label", X.sex_label("sexo"))
+    g = (df.groupBy("ano", "eh_ti", "nivel_instrucao")
+           .pivot("sexo_label", list(P.SEX_LABELS.values())).agg(F.sum(WGT)))
+    g = g.withColumnsRenamed({"Homens": "homens", "Mulheres": "mulheres"})
+    keys = g.select("ano", "eh_ti").distinct()
+    grid = keys.select("ano", "eh_ti", F.explode(F.array(*[F.lit(n) for n in _NIVEIS]))
+                       .alias("nivel_instrucao"))
+    full = grid.join(g, ["ano", "eh_ti", "nivel_instrucao"], "left").fillna(0.0, ["homens", "mulheres"])
+    return full.select("ano", "eh_ti", "nivel_instrucao", _r(F.col("homens")).alias("homens"),
+                       _r(F.col("mulheres")).alias("mulheres"))
+
+
+@register("education_by_sex_int", "A20", S.survey_sql("""
+SELECT ano, nivel_instrucao, sexo, CAST(SUM(CAST(trunc(peso_populacional) AS BIGINT)) AS BIGINT) AS populacao
+FROM occ WHERE eh_ti AND peso_populacional IS NOT NULL GROUP BY ano, nivel_instrucao, sexo"""))
+def education_by_sex_int(spark, d):
+    df = FL.segment(occ(spark, d), True).filter(F.col(WGT).isNotNull())
+    return df.groupBy("ano", "nivel_instrucao", "sexo").agg(
+        F.sum(F.col(WGT).cast("long")).alias("populacao"))
