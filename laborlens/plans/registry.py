@@ -38,5 +38,5 @@ def all_queries() -> dict[str, Query]:
 
 def _load() -> None:
     # importing the plan modules fills the registry
-    from laborlens.plans import (survey, registry_plans, feed, files, quality,  # noqa: F401
-                                 sampling_plans, models)
+    from laborlens.plans import (survey, ageism, registry_plans, feed, files,  # noqa: F401
+                                 quality, sampling_plans, models)
