@@ -144,14 +144,14 @@ def registry_rollup(spark, d):
 
 @register("registry_rollup_exact", "A28", _sql("""
 SELECT ano, uf, eh_ti, COUNT(*) AS n, ROUND(AVG(ativo_3112), 6) AS taxa_ativo,
-       ROUND(AVG(salario), 6) AS salario_medio
+       ROUND(AVG(salario), 5) AS salario_medio
 FROM registry GROUP BY GROUPING SETS ((ano, uf, eh_ti), (uf, eh_ti), (ano, eh_ti))"""))
 def registry_rollup_exact(spark, d):
     """Row-level grouping-sets variant (one scan, one shuffle for all three levels)."""
     r = registry(spark, d)
     g = r.groupingSets([["ano", "uf", "eh_ti"], ["uf", "eh_ti"], ["ano", "eh_ti"]], *KEYS)
     return g.agg(F.count(F.lit(1)).alias("n"), _r(F.avg("ativo_3112"), 6).alias("taxa_ativo"),
-                 _r(F.avg("salario"), 6).alias("salario_medio"))
+                 _r(F.avg("salario"), 5).alias("salario_medio"))
 
 
 # ---------------------------------------------------------------------------
