@@ -41,20 +41,35 @@ def value_weights(df: DataFrame, groups: list[str], v: str, w: str) -> DataFrame
               .agg(F.sum(w).alias("sw"), F.min(w).alias("mw")))
 
 
+def running_sums(vt: DataFrame, groups: list[str], v: str, cols: list[str],
+                 descending: bool = False) -> DataFrame:
+    """Running sums of `cols` ordered by `v` within `groups` (one row per
+    distinct v expected): adds `cum_<c>` (inclusive) and `total_<c>`.
+    Two-level: bounded bucket-total window + exact within-bucket window."""
+    key = F.col(v) if not descending else -F.col(v)
+    vt = vt.withColumn("_b", value_bucket(key))
+    bt = vt.groupBy(*groups, "_b").agg(*[F.sum(c).alias(f"_bs_{c}") for c in cols])
+    wb = Window.partitionBy(*groups).orderBy("_b")
+    wall = Window.partitionBy(*groups)
+    for c in cols:
+        bt = (bt.withColumn(f"_bo_{c}", F.coalesce(F.sum(f"_bs_{c}").over(wb.rowsBetween(_UNB, -1)),
+                                                   F.lit(0).cast(bt.schema[f"_bs_{c}"].dataType)))
+                .withColumn(f"total_{c}", F.sum(f"_bs_{c}").over(wall)))
+    bt = bt.drop(*[f"_bs_{c}" for c in cols])
+    j = join_null_safe(vt, bt, list(groups) + ["_b"])
+    order = F.col(v).desc() if descending else F.col(v).asc()
+    wv = Window.partitionBy(*groups, "_b").orderBy(order).rowsBetween(_UNB, 0)
+    for c in cols:
+        j = j.withColumn(f"cum_{c}", F.col(f"_bo_{c}") + F.sum(c).over(wv))
+    return j.drop("_b", *[f"_bo_{c}" for c in cols])
+
+
 def running_weights(vt: DataFrame, groups: list[str], v: str) -> DataFrame:
     """Add `cum` (Σw up to and including v), `before` (= cum - sw) and
     `total` per group to a distinct-value table with column `sw`."""
-    vt = vt.withColumn("_b", value_bucket(v))
-    bt = vt.groupBy(*groups, "_b").agg(F.sum("sw").alias("_bsum"))
-    wb = Window.partitionBy(*groups).orderBy("_b")
-    bt = (bt.withColumn("_boff", F.coalesce(F.sum("_bsum").over(wb.rowsBetween(_UNB, -1)),
-                                            F.lit(0.0)))
-            .withColumn("total", F.sum("_bsum").over(Window.partitionBy(*groups)))
-            .drop("_bsum"))
-    j = join_null_safe(vt, bt, list(groups) + ["_b"])
-    wv = Window.partitionBy(*groups, "_b").orderBy(v).rowsBetween(_UNB, 0)
-    j = j.withColumn("cum", F.col("_boff") + F.sum("sw").over(wv))
-    return j.withColumn("before", F.col("cum") - F.col("sw")).drop("_b", "_boff")
+    j = running_sums(vt, groups, v, ["sw"])
+    j = j.withColumnsRenamed({"cum_sw": "cum", "total_sw": "total"})
+    return j.withColumn("before", F.col("cum") - F.col("sw"))
 
 
 def _pname(p: float) -> str:
@@ -134,3 +149,12 @@ def exact_percentiles(df: DataFrame, groups: list[str], v: str, ps: list[float])
         out = out.withColumn(nm, F.when(hi_v.isNull(), lo_v).otherwise(lo_v + fr * (hi_v - lo_v)))
         out = out.drop(f"_lo{nm}", f"_hi{nm}", f"_fr{nm}")
     return out.drop("_n")
+
+
+def first_k_per_group(df: DataFrame, groups: list[str], order_col: str, k_col: str) -> DataFrame:
+    """Rows whose rank by `order_col` (unique within a group) is <= the group's
+    `k_col`.  Exact and distributed: running counts over bucketed order values,
+    so a group holding a third of the rows is still spread over many tasks."""
+    t = df.withColumn("_one", F.lit(1).cast("long"))
+    rt = running_sums(t, groups, order_col, ["_one"])
+    return rt.filter(F.col("cum__one") <= F.col(k_col)).drop("_one", "cum__one", "total__one")

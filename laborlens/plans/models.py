@@ -1 +1,343 @@
-"""models plans."""
+"""Model evaluation (metrics over the deterministic pseudo-score, SQL-checked),
+statistical tests and trends, and Spark ML model operators (rows-only)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from laborlens import params as P
+from laborlens.functions import scalars as X
+from laborlens.operators import metrics as MT
+from laborlens.operators import ml as ML
+from laborlens.operators import sampling as M
+from laborlens.operators import stats as ST
+from laborlens.plans import ageism as AG
+from laborlens.plans import survey as SV
+from laborlens.plans.registry import register
+from laborlens.plans.sqlbits import survey_sql
+from laborlens.session import scratch_path
+
+WGT = "peso_populacional"
+_W_SQL = "COALESCE(peso_populacional, CAST(0 AS DOUBLE))"
+
+
+def scored(spark, d) -> DataFrame:
+    return SV.survey(spark, d)
+
+
+def _conf_sql(w: str | None, t: str = "0.5") -> str:
+    ww = "CAST(1 AS DOUBLE)" if w is None else w
+    return (f"SUM(CASE WHEN y_true = 1 AND y_proba >= {t} THEN {ww} ELSE CAST(0 AS DOUBLE) END) AS tp, "
+            f"SUM(CASE WHEN y_true <> 1 AND y_proba >= {t} THEN {ww} ELSE CAST(0 AS DOUBLE) END) AS fp, "
+            f"SUM(CASE WHEN y_true <> 1 AND y_proba < {t} THEN {ww} ELSE CAST(0 AS DOUBLE) END) AS tn, "
+            f"SUM(CASE WHEN y_true = 1 AND y_proba < {t} THEN {ww} ELSE CAST(0 AS DOUBLE) END) AS fn")
+
+
+def _derive_sql(sfx: str = "") -> str:
+    tp, fp, tn, fn = (f"tp{sfx}", f"fp{sfx}", f"tn{sfx}", f"fn{sfx}")
+    prec = f"(CASE WHEN {tp} + {fp} > 0 THEN {tp} / ({tp} + {fp}) ELSE 0.0 END)"
+    rec = f"(CASE WHEN {tp} + {fn} > 0 THEN {tp} / ({tp} + {fn}) ELSE 0.0 END)"
+    spec = f"(CASE WHEN {tn} + {fp} > 0 THEN {tn} / ({tn} + {fp}) ELSE 0.0 END)"
+    f1 = f"(CASE WHEN {prec} + {rec} > 0 THEN 2 * {prec} * {rec} / ({prec} + {rec}) ELSE 0.0 END)"
+    acc = f"(CASE WHEN {tp} + {fp} + {tn} + {fn} > 0 THEN ({tp} + {tn}) / ({tp} + {fp} + {tn} + {fn}) END)"
+    return (f"ROUND({acc}, 6) AS accuracy{sfx}, ROUND(({rec} + {spec}) / 2, 6) AS balanced_accuracy{sfx}, "
+            f"ROUND({prec}, 6) AS precision{sfx}, ROUND({rec}, 6) AS recall{sfx}, ROUND({f1}, 6) AS f1{sfx}")
+
+
+@register("clf_metrics", "R8 X21", survey_sql(f"""
+SELECT variante, n, tp, fp, tn, fn, {_derive_sql()} FROM (
+  SELECT 'nao_ponderado' AS variante, COUNT(*) AS n, {_conf_sql(None)} FROM survey
+  UNION ALL SELECT 'ponderado', COUNT(*), {_conf_sql(_W_SQL)} FROM survey)"""))
+def clf_metrics(spark, d):
+    df = scored(spark, d)
+    a = MT.classification_report(df, "y_true", "y_proba", 0.5).withColumn("variante", F.lit("nao_ponderado"))
+    b = MT.classification_report(df, "y_true", "y_proba", 0.5, WGT).withColumn("variante", F.lit("ponderado"))
+    return a.unionByName(b)
+
+
+def _auc_sql(w: str, name: str) -> str:
+    return f"""
+SELECT '{name}' AS variante,
+       ROUND(SUM(wp * (cwn - wn + wn / 2.0)) / (SUM(wp) * MAX(twn)), 6) AS auc,
+       ROUND(SUM(CASE WHEN twp > 0 THEN wp / twp * dcwp / (dcwp + dcwn) END), 6) AS ap
+FROM (SELECT *, SUM(wn) OVER (ORDER BY y_proba ROWS UNBOUNDED PRECEDING) AS cwn,
+             SUM(wn) OVER () AS twn, SUM(wp) OVER () AS twp,
+             SUM(wp) OVER (ORDER BY y_proba DESC ROWS UNBOUNDED PRECEDING) AS dcwp,
+             SUM(wn) OVER (ORDER BY y_proba DESC ROWS UNBOUNDED PRECEDING) AS dcwn
+      FROM (SELECT y_proba, SUM(CASE WHEN y_true = 1 THEN {w} ELSE CAST(0 AS DOUBLE) END) AS wp,
+                   SUM(CASE WHEN y_true = 1 THEN 0.0 ELSE {w} END) AS wn
+            FROM survey WHERE y_proba IS NOT NULL GROUP BY y_proba))"""
+
+
+@register("auc_exact", "R9 W1", survey_sql(_auc_sql("1.0", "nao_ponderado") + " UNION ALL "
+                                           + _auc_sql(_W_SQL, "ponderado")))
+def auc_exact(spark, d):
+    df = scored(spark, d)
+    out = None
+    for name, w in (("nao_ponderado", None), ("ponderado", WGT)):
+        a = MT.auc_exact(df, "y_true", "y_proba", w)
+        p = MT.average_precision(df, "y_true", "y_proba", w)
+        t = a.join(p, how="inner").select(F.lit(name).alias("variante"), F.round("auc", 6).alias("auc"),
+                                          F.round("ap", 6).alias("ap"))
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+_TH_SQL = ", ".join(f"({t})" for t in P.THRESHOLDS)
+
+
+def _sweep_sql() -> str:
+    conf = lambda w, s: (
+        f"SUM(CASE WHEN y_true = 1 AND y_proba >= limiar THEN {w} ELSE CAST(0 AS DOUBLE) END) AS tp{s}, "
+        f"SUM(CASE WHEN y_true <> 1 AND y_proba >= limiar THEN {w} ELSE CAST(0 AS DOUBLE) END) AS fp{s}, "
+        f"SUM(CASE WHEN y_true <> 1 AND y_proba < limiar THEN {w} ELSE CAST(0 AS DOUBLE) END) AS tn{s}, "
+        f"SUM(CASE WHEN y_true = 1 AND y_proba < limiar THEN {w} ELSE CAST(0 AS DOUBLE) END) AS fn{s}")
+    return f"""
+sweep AS (SELECT limiar, tp, fp, tn, fn, tp_w, fp_w, tn_w, fn_w, {_derive_sql()}, {_derive_sql('_w')} FROM (
+  SELECT CAST(limiar AS DOUBLE) AS limiar, {conf('CAST(1 AS DOUBLE)', '')}, {conf(_W_SQL, '_w')}
+  FROM survey, (VALUES {_TH_SQL}) th(limiar) GROUP BY limiar))"""
+
+
+@register("threshold_sweep", "R10", survey_sql("SELECT * FROM sweep", extra=_sweep_sql()))
+def threshold_sweep(spark, d):
+    return MT.threshold_sweep(scored(spark, d), "y_true", "y_proba", WGT)
+
+
+@register("best_threshold", "R10 T3", survey_sql("""
+SELECT arg_min(limiar, (-f1, limiar)) AS limiar, MAX(f1) AS f1 FROM sweep""", extra=_sweep_sql()))
+def best_threshold(spark, d):
+    return MT.best_threshold(MT.threshold_sweep(scored(spark, d), "y_true", "y_proba"), "f1")
+
+
+@register("calibration", "R11", survey_sql("""
+SELECT LEAST(CAST(floor(y_proba * 20) AS INT), 19) AS bin, COUNT(*) AS n, ROUND(AVG(y_proba), 6) AS prob_media,
+       ROUND(AVG(CAST(y_true AS DOUBLE)), 6) AS taxa_observada FROM survey GROUP BY 1"""))
+def calibration(spark, d):
+    return MT.calibration(scored(spark, d), "y_true", "y_proba")
+
+
+_HE, _HL = P.AGE_CUTS_HEATMAP
+_HCUT_SQL = "CASE " + " ".join(f"WHEN idade > {lo} AND idade <= {hi} THEN '{lb}'"
+                               for lo, hi, lb in zip(_HE[:-1], _HE[1:], _HL)) + " END"
+
+
+@register("subgroup_metrics", "R12 X19", survey_sql(f"""
+SELECT grupo, valor, n, tp, fp, tn, fn, {_derive_sql()} FROM (
+  SELECT grupo, valor, COUNT(*) AS n, SUM(y_true) AS pos, {_conf_sql(None)} FROM (
+    SELECT 'faixa_idade' AS grupo, {_HCUT_SQL} AS valor, y_true, y_proba FROM survey
+    UNION ALL SELECT 'sexo', CAST(sexo AS STRING), y_true, y_proba FROM survey
+    UNION ALL SELECT 'nivel_instrucao', CAST(nivel_instrucao AS STRING), y_true, y_proba FROM survey)
+  GROUP BY grupo, valor) WHERE n >= 10 AND pos > 0 AND pos < n"""))
+def subgroup_metrics(spark, d):
+    df = scored(spark, d).withColumn("faixa_idade", X.age_cut("idade", _HE, _HL))
+    return MT.subgroup_metrics(df, "y_true", "y_proba", ["faixa_idade", "sexo", "nivel_instrucao"])
+
+
+@register("proba_matrix", "A31 X19", survey_sql(f"""
+SELECT eh_ti, {_HCUT_SQL} AS faixa_idade, anos_estudo, COUNT(*) AS n, ROUND(AVG(y_proba), 6) AS prob_media
+FROM survey GROUP BY 1, 2, 3"""))
+def proba_matrix(spark, d):
+    df = scored(spark, d).withColumn("faixa_idade", X.age_cut("idade", _HE, _HL))
+    return df.groupBy("eh_ti", "faixa_idade", "anos_estudo").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("y_proba"), 6).alias("prob_media"))
+
+
+@register("labelled_scores", "X24 X21", survey_sql("""
+SELECT record_id, l_partkey, ROUND(y_proba * 100, 2) AS prob_pct,
+       CASE WHEN y_proba >= 0.5 THEN 'Sim' ELSE 'Nao' END AS previsao, y_true
+FROM survey WHERE ano = 2000 AND trimestre = 1"""))
+def labelled_scores(spark, d):
+    df = scored(spark, d).filter((F.col("ano") == 2000) & (F.col("trimestre") == 1))
+    return df.select("record_id", "l_partkey", X.percent2("y_proba").alias("prob_pct"),
+                     X.class_label((F.col("y_proba") >= 0.5).cast("int")).alias("previsao"), "y_true")
+
+
+# ---------------------------------------------------------------------------
+# statistics
+# ---------------------------------------------------------------------------
+
+@register("ttest_by_period", "R1 X20", AG._sql("""
+SELECT decada, n1, n2, gl, ROUND(m1, 4) AS m1, ROUND(m2, 4) AS m2,
+       ROUND(CASE WHEN n1 >= 2 AND n2 >= 2 AND sp2 > 0 THEN (m1 - m2) / sqrt(sp2 * (1.0 / n1 + 1.0 / n2))
+                  ELSE 0.0 END, 6) AS t
+FROM (SELECT *, CAST(n1 + n2 - 2 AS BIGINT) AS gl,
+             ((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) AS sp2 FROM (
+  SELECT CAST(floor(ano / 10) * 10 AS INT) AS decada,
+         COUNT(CASE WHEN eh_ti THEN 1 END) AS n1, COUNT(CASE WHEN NOT eh_ti THEN 1 END) AS n2,
+         AVG(CASE WHEN eh_ti THEN idade END) AS m1, AVG(CASE WHEN NOT eh_ti THEN idade END) AS m2,
+         VAR_SAMP(CASE WHEN eh_ti THEN idade END) AS v1, VAR_SAMP(CASE WHEN NOT eh_ti THEN idade END) AS v2
+  FROM base GROUP BY 1))"""))
+def ttest_by_period(spark, d):
+    df = AG.base(spark, d).withColumn("decada", X.decade("ano"))
+    t = ST.two_sample_t(df, ["decada"], "idade", "eh_ti")
+    return t.select("decada", "n1", "n2", "gl", F.round("m1", 4).alias("m1"), F.round("m2", 4).alias("m2"),
+                    F.round("t", 6).alias("t"))
+
+
+@register("ttest_pvalues", "R1")
+def ttest_pvalues(spark, d):
+    """t and its two-sided p-value per year (p from the t distribution; rows-only)."""
+    t = ST.two_sample_t(AG.base(spark, d), ["ano"], "idade", "eh_ti")
+    return t.select("ano", "t", "gl", ST.t_pvalue(F.col("t"), F.col("gl").cast("double")).alias("p"))
+
+
+_YEARLY_AGE_SQL = "ya AS (SELECT eh_ti, ano, AVG(idade) AS idade_media FROM base GROUP BY eh_ti, ano)"
+
+
+@register("age_trend", "R2", AG._sql("""
+SELECT eh_ti, ROUND(regr_slope(idade_media, ano), 6) AS inclinacao,
+       ROUND(regr_intercept(idade_media, ano), 4) AS intercepto, ROUND(regr_r2(idade_media, ano), 6) AS r2,
+       COUNT(*) AS n, CASE WHEN regr_slope(idade_media, ano) > 0 THEN 'crescente'
+                           WHEN regr_slope(idade_media, ano) < 0 THEN 'decrescente' ELSE 'estavel' END AS direcao
+FROM ya GROUP BY eh_ti""", extra=_YEARLY_AGE_SQL))
+def age_trend(spark, d):
+    ya = AG.base(spark, d).groupBy("eh_ti", "ano").agg(F.avg("idade").alias("idade_media"))
+    t = ST.linear_trend(ya, ["eh_ti"], "idade_media", "ano")
+    return t.select("eh_ti", F.round("inclinacao", 6).alias("inclinacao"),
+                    F.round("intercepto", 4).alias("intercepto"), F.round("r2", 6).alias("r2"), "n", "direcao")
+
+
+@register("trend_projection", "R4", AG._sql("""
+SELECT eh_ti, CAST(x AS INT) AS ano, ROUND(intercepto + inclinacao * x, 4) AS previsto FROM (
+  SELECT eh_ti, regr_slope(n, ano) AS inclinacao, regr_intercept(n, ano) AS intercepto, MAX(ano) AS xm
+  FROM (SELECT eh_ti, ano, CAST(COUNT(*) AS DOUBLE) AS n FROM base GROUP BY 1, 2) GROUP BY eh_ti),
+  LATERAL (SELECT UNNEST(range(xm + 1, xm + 4)) AS x)"""))
+def trend_projection(spark, d):
+    yc = AG.base(spark, d).groupBy("eh_ti", "ano").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    t = ST.linear_trend(yc, ["eh_ti"], "n", "ano")
+    p = ST.project(t, ["eh_ti"], 3)
+    return p.select("eh_ti", F.col("x").cast("int").alias("ano"), F.round("previsto", 4).alias("previsto"))
+
+
+# ---------------------------------------------------------------------------
+# Spark ML models (rows-only checks)
+# ---------------------------------------------------------------------------
+
+NUMERIC = ["idade", "anos_estudo", "horas_trabalhadas_semana"]
+CATEGORICAL = ["sexo", "uf", "nivel_instrucao", "carteira_assinada", "cor_raca"]
+TARGET_ALIASES = ("y_true", "rendimento_trabalho_principal", "rendimento_bruto_mensal")
+
+
+def _ml_table(spark, d) -> DataFrame:
+    """Features ∩ schema minus target/leakage, hash split, balanced weights."""
+    df = SV.occ(spark, d).withColumn("hk", M.pk_hash("l_orderkey", "l_linenumber"))
+    num, cat = __import__("laborlens.operators.schema", fromlist=["x"]).feature_projection(
+        df, NUMERIC, CATEGORICAL, TARGET_ALIASES)
+    t = ML.prepare(df.select("hk", "record_id", "y_true", "eh_ti", *num, *cat), num, cat, "y_true")
+    t = M.stratified_split(t, "label", 0.25, "hk")
+    return ML.balanced_weights(t, "label")
+
+
+def _fit_forest(spark, d, num_trees=20, max_depth=8):
+    t = _ml_table(spark, d)
+    train, test = t.filter(F.col("split") == "treino"), t.filter(F.col("split") == "teste")
+    model = ML.forest(NUMERIC, CATEGORICAL, num_trees, max_depth, 5, "peso_classe").fit(train)
+    return model, train, test
+
+
+@register("forest", "R5 R6 R8 R9")
+def forest(spark, d):
+    model, _, test = _fit_forest(spark, d)
+    pred = ML.positive_probability(model.transform(test))
+    rep = MT.classification_report(pred.withColumn("y", F.col("label").cast("int")), "y", "y_proba")
+    auc = MT.auc_exact(pred, "label", "y_proba")
+    return rep.join(auc, how="inner")
+
+
+@register("logistic", "R5 R7")
+def logistic(spark, d):
+    t = _ml_table(spark, d)
+    model = ML.logistic(NUMERIC, CATEGORICAL, "peso_classe").fit(t.filter(F.col("split") == "treino"))
+    lr = model.stages[-1]
+    scored_ = model.transform(t.limit(1))
+    names = ML.feature_names(model, "features", scored_)
+    coefs = [(n, float(c)) for n, c in zip(names, lr.coefficients.toArray())]
+    out = spark.createDataFrame(coefs, "feature string, coef double")
+    return out.withColumn("abs_coef", F.abs("coef")).orderBy(F.desc("abs_coef"))
+
+
+@register("importances", "R13")
+def importances(spark, d):
+    model, train, _ = _fit_forest(spark, d, num_trees=10, max_depth=6)
+    rf = model.stages[-1]
+    names = ML.feature_names(model, "features", model.transform(train.limit(1)))
+    rows = [(ML.source_column(n, NUMERIC + CATEGORICAL), float(v))
+            for n, v in zip(names, rf.featureImportances.toArray())]
+    imp = spark.createDataFrame(rows, "origem string, importancia double")
+    return imp.groupBy("origem").agg(F.sum("importancia").alias("importancia"))
+
+
+@register("perm_importance", "R14")
+def perm_importance(spark, d):
+    """F1 drop when one feature column is permuted (2 repeats), mean and std."""
+    model, _, test = _fit_forest(spark, d, num_trees=10, max_depth=6)
+    base = ML.f1_of(ML.positive_probability(model.transform(test))).withColumnRenamed("f1", "f1_base")
+    parts = []
+    for col in NUMERIC:
+        for rep in range(2):
+            perm = ML.permute_column(test, col, seed=100 + rep)
+            f1 = ML.f1_of(ML.positive_probability(model.transform(perm)))
+            parts.append(f1.select(F.lit(col).alias("feature"), F.lit(rep).alias("repeticao"), "f1"))
+    allp = parts[0]
+    for p in parts[1:]:
+        allp = allp.unionByName(p)
+    j = allp.join(base, how="inner").withColumn("queda", F.col("f1_base") - F.col("f1"))
+    return j.groupBy("feature").agg(F.avg("queda").alias("media"), F.stddev("queda").alias("desvio"))
+
+
+@register("cv_grid", "R15")
+def cv_grid(spark, d):
+    t = _ml_table(spark, d).withColumn("fold", (F.col("hk") % 3).cast("int"))
+    pipe = ML.forest(NUMERIC, CATEGORICAL, 10, 4, 5)
+    rf = pipe.getStages()[-1]
+    grid = ML.ParamGridBuilder().addGrid(rf.maxDepth, [3, 6]).build()
+    cv = ML.cross_validate(t, pipe, grid, "fold")
+    rows = [(int(pm[rf.maxDepth]), float(m)) for pm, m in zip(grid, cv.avgMetrics)]
+    return spark.createDataFrame(rows, "max_depth int, auc_media double")
+
+
+@register("learning_curve", "R15")
+def learning_curve(spark, d):
+    t = _ml_table(spark, d)
+    train, test = t.filter(F.col("split") == "treino"), t.filter(F.col("split") == "teste")
+    out = None
+    for frac in (0.25, 0.5, 1.0):
+        sub = train.filter(F.col("hk") < F.lit(int(frac * 17592186044416)))
+        m = ML.forest(NUMERIC, CATEGORICAL, 10, 6, 5).fit(sub)
+        auc = MT.auc_exact(ML.positive_probability(m.transform(test)), "label", "y_proba")
+        r = auc.select(F.lit(frac).alias("fracao"), "auc")
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+@register("batch_score", "R17 X24")
+def batch_score(spark, d):
+    """Save the fitted pipeline to the shared folder, load it back, score the survey."""
+    model, _, _ = _fit_forest(spark, d, num_trees=10, max_depth=6)
+    path = scratch_path(spark, "model")
+    model.write().overwrite().save(path)
+    loaded = ML.PipelineModel.load(path)
+    t = _ml_table(spark, d)
+    pred = ML.positive_probability(loaded.transform(t))
+    return pred.select("record_id", X.percent2("y_proba").alias("prob_pct"),
+                       X.class_label(F.col("prediction").cast("int")).alias("previsao"))
+
+
+@register("kmeans_age", "R16 A33")
+def kmeans_age(spark, d):
+    it = SV.survey(spark, d).filter(F.col("eh_ti")).select(F.col("idade").cast("double").alias("idade"))
+    model = ML.kmeans(it, ["idade"], k=4)
+    return ML.cluster_summary(model.transform(it), "idade")
+
+
+@register("pca_kmeans", "R16 A33 A32")
+def pca_kmeans(spark, d):
+    df = SV.survey(spark, d).select(*[F.col(c).cast("double").alias(c) for c in NUMERIC])
+    model = ML.kmeans(df, NUMERIC, k=4, pca_k=2)
+    pred = model.transform(df)
+    rng = pred.agg(F.min("idade").alias("mn"), F.max("idade").alias("mx"))
+    b = F.least(F.floor((F.col("idade") - F.col("mn")) * 20.0 / (F.col("mx") - F.col("mn"))).cast("int") + 1,
+                F.lit(20))
+    return pred.join(F.broadcast(rng), how="inner").groupBy("cluster", b.alias("bin")) \
+               .agg(F.count(F.lit(1)).alias("n"))

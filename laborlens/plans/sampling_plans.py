@@ -1 +1,147 @@
-"""sampling_plans plans."""
+"""Sampling and splitting (M1-M9, A35) over the survey view.
+
+Oracle-checked variants order rows by a deterministic hash of the primary key
+(l_orderkey, l_linenumber), never by rand(): u = 8*l_orderkey + l_linenumber is
+unique, and h = (u * 1000003) mod 2^44 is a bijection on [0, 2^44), so the
+hash order has no ties.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from laborlens.operators import sampling as M
+from laborlens.plans import survey as SV
+from laborlens.plans.registry import register
+from laborlens.plans.sqlbits import survey_sql
+
+MAX_ROWS = 5000
+TEST_FRACTION = 0.25
+HASH_SQL = "((l_orderkey * 8 + l_linenumber) * 1000003) % 17592186044416"
+
+
+def hashed(spark, d) -> DataFrame:
+    return SV.survey(spark, d).withColumn("hk", M.pk_hash("l_orderkey", "l_linenumber"))
+
+
+_HK_CTE = f"hs AS (SELECT *, {HASH_SQL} AS hk FROM survey)"
+
+
+def _quota_sql(src: str, keys: str, max_rows: int, name: str = "q") -> str:
+    return f"""
+{name}_sz AS (SELECT {keys}, COUNT(*) AS n FROM {src} GROUP BY {keys}),
+{name} AS (SELECT *, CAST(base + CASE WHEN rk <= short THEN 1 ELSE 0 END AS BIGINT) AS quota FROM (
+  SELECT *, ROW_NUMBER() OVER (ORDER BY rem DESC, {keys}) AS rk,
+         CASE WHEN tot <= {max_rows} THEN 0 ELSE {max_rows} - SUM(base) OVER () END AS short FROM (
+    SELECT *, CASE WHEN tot <= {max_rows} THEN n ELSE CAST(floor(n * {max_rows} / tot) AS BIGINT) END AS base,
+           CASE WHEN tot <= {max_rows} THEN 0.0 ELSE n * {max_rows} / tot - floor(n * {max_rows} / tot) END AS rem
+    FROM (SELECT *, SUM(n) OVER () AS tot FROM {name}_sz))))"""
+
+
+@register("quotas", "M2", survey_sql("SELECT ano, trimestre, n, quota FROM q",
+                                     extra=_quota_sql("survey", "ano, trimestre", MAX_ROWS)))
+def quotas(spark, d):
+    sizes = SV.survey(spark, d).groupBy("ano", "trimestre").agg(F.count(F.lit(1)).alias("n"))
+    return M.allocate_quotas(sizes, ["ano", "trimestre"], MAX_ROWS).select("ano", "trimestre", "n", "quota")
+
+
+@register("strat_sample", "M2 M3", survey_sql("""
+SELECT ano, trimestre, y_true, COUNT(*) AS n_amostra, MIN(hk) AS hk_min, MAX(hk) AS hk_max
+FROM (SELECT hs.*, ROW_NUMBER() OVER (PARTITION BY hs.ano, hs.trimestre, hs.y_true ORDER BY hs.hk) AS rn, q2.quota
+      FROM hs JOIN q2 ON hs.ano = q2.ano AND hs.trimestre = q2.trimestre AND hs.y_true = q2.y_true)
+WHERE rn <= quota GROUP BY ano, trimestre, y_true""", extra=_HK_CTE + "," + _quota_sql(
+    "survey", "ano, trimestre", MAX_ROWS) + """,
+q2_sz AS (SELECT s.ano, s.trimestre, s.y_true, COUNT(*) AS n, MAX(q.quota) AS squota
+          FROM survey s JOIN q ON s.ano = q.ano AND s.trimestre = q.trimestre GROUP BY 1, 2, 3),
+q2 AS (SELECT *, CAST(base + CASE WHEN rk <= short THEN 1 ELSE 0 END AS BIGINT) AS quota FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY ano, trimestre ORDER BY rem DESC, y_true) AS rk,
+         CASE WHEN tot <= squota THEN 0 ELSE squota - SUM(base) OVER (PARTITION BY ano, trimestre) END AS short FROM (
+    SELECT *, CASE WHEN tot <= squota THEN n ELSE CAST(floor(n * squota / tot) AS BIGINT) END AS base,
+           CASE WHEN tot <= squota THEN 0.0 ELSE n * squota / tot - floor(n * squota / tot) END AS rem
+    FROM (SELECT *, SUM(n) OVER (PARTITION BY ano, trimestre) AS tot FROM q2_sz))))"""))
+def strat_sample(spark, d):
+    s = M.stratified_downsample(hashed(spark, d), ["ano", "trimestre"], "y_true", MAX_ROWS, "hk")
+    return s.groupBy("ano", "trimestre", "y_true").agg(
+        F.count(F.lit(1)).alias("n_amostra"), F.min("hk").alias("hk_min"), F.max("hk").alias("hk_max"))
+
+
+@register("split_sizes", "M5 A35", survey_sql(f"""
+SELECT split, y_true, COUNT(*) AS n FROM (
+  SELECT y_true, CASE WHEN ROW_NUMBER() OVER (PARTITION BY y_true ORDER BY hk)
+                        <= round(COUNT(*) OVER (PARTITION BY y_true) * {TEST_FRACTION}) THEN 'teste' ELSE 'treino' END AS split
+  FROM hs) GROUP BY split, y_true""", extra=_HK_CTE))
+def split_sizes(spark, d):
+    s = M.stratified_split(hashed(spark, d), "y_true", TEST_FRACTION, "hk")
+    return s.groupBy("split", "y_true").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("class_counts", "A35 M5", survey_sql(f"""
+SELECT split, COUNT(*) AS n, COUNT(CASE WHEN y_true = 1 THEN 1 END) AS n_pos,
+       ROUND(AVG(CAST(y_true AS DOUBLE)), 6) AS prevalencia FROM (
+  SELECT y_true, CASE WHEN ROW_NUMBER() OVER (PARTITION BY y_true ORDER BY hk)
+                        <= round(COUNT(*) OVER (PARTITION BY y_true) * {TEST_FRACTION}) THEN 'teste' ELSE 'treino' END AS split
+  FROM hs) GROUP BY split""", extra=_HK_CTE))
+def class_counts(spark, d):
+    s = M.stratified_split(hashed(spark, d), "y_true", TEST_FRACTION, "hk")
+    return M.class_distribution(s, "split", "y_true")
+
+
+@register("temporal_split", "M6 F8", survey_sql("""
+SELECT CASE WHEN ano = (SELECT MAX(ano) FROM survey) THEN 'teste' ELSE 'treino' END AS split,
+       y_true, COUNT(*) AS n FROM survey GROUP BY 1, 2"""))
+def temporal_split(spark, d):
+    s = M.temporal_split(SV.survey(spark, d), "ano")
+    return s.groupBy("split", "y_true").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("undersample", "M7", survey_sql("""
+SELECT y_true, COUNT(*) AS n FROM (
+  SELECT hs.y_true, ROW_NUMBER() OVER (PARTITION BY hs.y_true ORDER BY hs.hk) AS rn, c.keep
+  FROM hs JOIN (SELECT y_true, CASE WHEN n = MAX(n) OVER () AND n <> MIN(n) OVER ()
+                                  THEN LEAST(n, CAST(floor(MIN(n) OVER () / 0.5) AS BIGINT)) ELSE n END AS keep
+                FROM (SELECT y_true, COUNT(*) AS n FROM hs GROUP BY y_true)) c ON hs.y_true = c.y_true)
+WHERE rn <= keep GROUP BY y_true""", extra=_HK_CTE))
+def undersample(spark, d):
+    s = M.undersample_majority(hashed(spark, d), "y_true", 0.5, "hk")
+    return s.groupBy("y_true").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("plain_sample", "M1 T4", survey_sql("""
+SELECT record_id, l_partkey, y_true, hk FROM hs ORDER BY hk LIMIT 1000""", extra=_HK_CTE))
+def plain_sample(spark, d):
+    return M.first_n_by_hash(hashed(spark, d), 1000, "hk").select("record_id", "l_partkey", "y_true", "hk")
+
+
+@register("fraction_sample", "M1")
+def fraction_sample(spark, d):
+    """Bernoulli sample of a fraction, seeded (rows-only check: Spark's RNG)."""
+    return SV.survey(spark, d).sample(fraction=0.1, seed=42).select("record_id", "ano", "eh_ti")
+
+
+@register("prop_sample", "M4")
+def prop_sample(spark, d):
+    """Proportional sample per class (sampleBy, seeded; rows-only check)."""
+    s = M.proportional_by_class(SV.survey(spark, d), "y_true", 0.2, seed=42)
+    return s.groupBy("y_true").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("smote", "M8")
+def smote(spark, d):
+    """Minority over-sampling to ratio 0.3 (rows-only check)."""
+    df = SV.occ(spark, d).select("record_id", "y_true", "idade", "anos_estudo",
+                                 F.coalesce(F.col("rendimento_trabalho_principal"), F.lit(0.0)).alias("renda"))
+    out = M.smote(df, "y_true", ["idade", "anos_estudo", "renda"], ratio=0.3, seed=42)
+    return out.groupBy("y_true", "sintetico").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("bootstrap_auc", "M9 R9")
+def bootstrap_auc(spark, d):
+    """Bootstrap replicates of the exact AUC (Poisson(1) weights from a hash;
+    rows-only check), summarised as mean / std / 2.5% / 97.5%."""
+    df = hashed(spark, d).select("hk", "y_true", "y_proba")
+    reps = M.bootstrap_auc(df, "y_true", "y_proba", "hk", replicates=20)
+    return reps.agg(F.count(F.lit(1)).alias("replicas"), F.avg("auc").alias("auc_media"),
+                    F.stddev("auc").alias("auc_desvio"),
+                    F.percentile("auc", 0.025).alias("auc_q025"),
+                    F.percentile("auc", 0.975).alias("auc_q975"))
