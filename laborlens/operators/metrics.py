@@ -93,17 +93,15 @@ def threshold_sweep(df: DataFrame, y: str, score: str, w: str | None = None,
         aggs += confusion_aggs(y, pred, None, f"_{i}")
         if w is not None:
             aggs += confusion_aggs(y, pred, w, f"_w{i}")
-    row = df.agg(*aggs)
-    parts = []
+    row = df.agg(*aggs)          # one pass for every threshold
+    structs = []
     for i, t in enumerate(thresholds):
         cols = [F.lit(float(t)).alias("limiar")]
         cols += [F.col(f"{c}_{i}").alias(c) for c in ("tp", "fp", "tn", "fn")]
         if w is not None:
             cols += [F.col(f"{c}_w{i}").alias(f"{c}_w") for c in ("tp", "fp", "tn", "fn")]
-        parts.append(row.select(*cols))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        structs.append(F.struct(*cols))
+    out = row.select(F.explode(F.array(*structs)).alias("_t")).select("_t.*")
     out = derive_metrics(out)
     if w is not None:
         out = derive_metrics(out, "_w")
