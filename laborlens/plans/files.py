@@ -173,7 +173,7 @@ def zip_roundtrip(spark, d):
 # delimited files: registry CSV (gzip), charset mix, separator sniffing, no header
 # ---------------------------------------------------------------------------
 
-@register("csv_roundtrip", "S3 K4 K6 P2 P3 P4 X22 A27", RG._sql("""
+@register("csv_roundtrip", "S3 K4 K6 P2 P3 P4 P6 X22 A27", RG._sql("""
 SELECT ano, uf, eh_ti, n, ROUND(taxa_ativo, 6) AS taxa_ativo, ROUND(salario_mediana, 4) AS salario_mediana
 FROM grp""", extra=RG._GROUPS_SQL))
 def csv_roundtrip(spark, d):
@@ -220,7 +220,7 @@ def charset_roundtrip(spark, d):
     return _feed_counts(df)
 
 
-@register("sep_sniff", "S5 S3", _MOV_COUNTS_SQL)
+@register("sep_sniff", "S5 S3 S8", _MOV_COUNTS_SQL)
 def sep_sniff(spark, d):
     path = _fixture(spark, d, "comma", lambda: K.export_csv(
         mov(spark, d).select("event_id", "competencia", "uf", "tipomovimentacao", "cbo_ocupacao",

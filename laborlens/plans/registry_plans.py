@@ -100,11 +100,13 @@ grp AS (SELECT ano, uf, eh_ti, COUNT(*) AS n, AVG(ativo_3112) AS taxa_ativo,
                quantile_cont(salario, 0.5) AS salario_mediana FROM registry GROUP BY ano, uf, eh_ti)"""
 
 
-@register("registry_groups", "A27 P2 P3 P4 X1 X5 X6 X10 X11 X13 X14 X22", _sql("""
+@register("registry_groups", "A27 P2 P3 P4 P8 X1 X5 X6 X10 X11 X13 X14 X22", _sql("""
 SELECT ano, uf, eh_ti, n, ROUND(taxa_ativo, 6) AS taxa_ativo, ROUND(salario_mediana, 4) AS salario_mediana
 FROM grp""", extra=_GROUPS_SQL))
 def registry_groups(spark, d):
-    g = group_aggregate(registry(spark, d), KEYS)
+    reg = registry(spark, d)
+    keys = SC.non_empty_columns(reg, KEYS)      # P8: usable keys only (one aggregate pass)
+    g = group_aggregate(reg, keys)
     return g.select(*KEYS, "n", _r(F.col("taxa_ativo"), 6).alias("taxa_ativo"),
                     _r(F.col("salario_mediana")).alias("salario_mediana"))
 

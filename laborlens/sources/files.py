@@ -84,9 +84,10 @@ def read_delimited(spark: SparkSession, paths, sep: str = ";", encoding: str = "
     lines = read_lines(spark, paths, encoding).filter(F.trim("value") != "")
     if header and names is None:
         first = lines.select("value").limit(1).first()
-        names = [c.strip() for c in first["value"].split(sep)] if first else []
-    if header:
-        lines = lines.filter(F.col("value") != F.lit(sep.join(names)))
+        raw_names = [c.strip() for c in first["value"].split(sep)] if first else []
+        lines = lines.filter(F.col("value") != F.lit(first["value"]))
+        from laborlens.operators.schema import dedupe_names
+        names = dedupe_names(raw_names)                       # P6: nome, nome_1, ...
     n = len(names)
     nf = F.size(F.split("value", re.escape(sep), -1))
     ok = lines.filter(nf <= n)
