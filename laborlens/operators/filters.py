@@ -53,6 +53,16 @@ def latest_year(df: DataFrame, col: str = "ano") -> DataFrame:
     return df.join(F.broadcast(mx), F.col(col) == F.col("_max_year")).drop("_max_year")
 
 
+def keep_latest(agg: DataFrame, col: str = "ano") -> DataFrame:
+    """F8 on an *aggregated* table: keep the rows of the latest year.  The
+    window spans the small per-year table (years x categories), so the raw rows
+    are scanned once, aggregated for every year, and the latest year is picked
+    afterwards."""
+    from pyspark.sql import Window
+    mx = F.max(col).over(Window.partitionBy(F.lit(0)))
+    return agg.withColumn("_mx", mx).filter(F.col(col) == F.col("_mx")).drop("_mx")
+
+
 def segment(df: DataFrame, it: bool, col: str = "eh_ti") -> DataFrame:
     """IT or non-IT part (prefer conditional aggregation over two scans)."""
     return df.filter(F.col(col) == F.lit(it))

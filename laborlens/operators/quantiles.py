@@ -87,7 +87,19 @@ def weighted_percentiles(df: DataFrame, groups: list[str], v: str, w: str,
     interpolate=False (A5): value of the last row whose normalised running
         weight is <= p (else the smallest value).
     """
-    rt = running_weights(value_weights(df, groups, v, w), groups, v)
+    return percentiles_from_values(value_weights(df, groups, v, w), groups, v, ps, interpolate)
+
+
+def regroup_values(vt: DataFrame, groups: list[str], v: str) -> DataFrame:
+    """Distinct-value table re-aggregated to coarser groups (Σ sw, min mw):
+    several groupings share one scan of the rows."""
+    return vt.groupBy(*groups, v).agg(F.sum("sw").alias("sw"), F.min("mw").alias("mw"))
+
+
+def percentiles_from_values(vt: DataFrame, groups: list[str], v: str, ps: list[float],
+                            interpolate: bool = True) -> DataFrame:
+    """`weighted_percentiles` on a distinct-value table (groups, v, sw, mw)."""
+    rt = running_weights(vt, groups, v)
     c = F.col("cum") / F.col("total")
     first_row = (F.col("before") + F.col("mw")) / F.col("total")
     aggs = []
@@ -127,12 +139,18 @@ def weighted_percentile_long(df: DataFrame, groups: list[str], v: str, w: str,
         wide.unpivot([], cols, "percentil", name)
 
 
-def exact_percentiles(df: DataFrame, groups: list[str], v: str, ps: list[float]) -> DataFrame:
+def exact_percentiles(df: DataFrame, groups: list[str], v: str, ps: list[float],
+                      count_col: str | None = None) -> DataFrame:
     """Exact unweighted percentiles with linear interpolation (numpy 'linear' /
     SQL percentile_cont), computed from running counts of distinct values — no
-    per-group value buffer, so a huge group never sits in one task's memory."""
-    vt = (df.filter(F.col(v).isNotNull()).groupBy(*groups, v)
-            .agg(F.count(F.lit(1)).cast("double").alias("sw")))
+    per-group value buffer, so a huge group never sits in one task's memory.
+    With `count_col`, `df` is already one row per (groups, v) with its count."""
+    if count_col is None:
+        vt = (df.filter(F.col(v).isNotNull()).groupBy(*groups, v)
+                .agg(F.count(F.lit(1)).cast("double").alias("sw")))
+    else:
+        vt = (df.filter(F.col(v).isNotNull()).groupBy(*groups, v)
+                .agg(F.sum(count_col).cast("double").alias("sw")))
     rt = running_weights(vt, groups, v)
     n = F.max("total")
     aggs = [n.alias("_n")]

@@ -34,17 +34,24 @@ def normalize_registry(v: DataFrame, it_codes=P.IT_CODES_REGISTRY) -> DataFrame:
     mun, sexo = SC.pick(v, MUN_CANDIDATES), SC.pick(v, SEX_CANDIDATES)
     esc, sal = SC.pick(v, EDU_CANDIDATES), SC.pick(v, SAL_CANDIDATES)
     ativo, sit = SC.pick(v, ACTIVE_CANDIDATES), SC.pick(v, SITUATION_CANDIDATES)
-    uf = X.uf_from_municipio(mun) if mun else (X.uf_code("uf") if "uf" in v.columns
-                                               else F.lit(None).cast("int"))
-    fam = X.cbo_family("cbo_ocupacao") if "cbo_ocupacao" in v.columns else F.lit(None).cast("string")
+    # stage 1: the regex-heavy text parts, once per row
+    stage1 = {
+        "_mun": X.municipio_digits(mun) if mun else F.lit(None).cast("string"),
+        "_esc_num": X.to_number(esc) if esc else F.lit(None).cast("double"),
+        "_esc_txt": X.normalize_text(esc) if esc else F.lit(None).cast("string"),
+        "_fam": X.cbo_family("cbo_ocupacao") if "cbo_ocupacao" in v.columns else F.lit(None).cast("string"),
+    }
+    v = v.withColumns(stage1)
+    uf = X.uf_from_municipio(None, "_mun") if mun else (X.uf_code("uf") if "uf" in v.columns
+                                                       else F.lit(None).cast("int"))
     return v.select(
         X.to_number("ano", to_int=True).cast("int").alias("ano"),
         X.to_number("idade").alias("idade"),
         uf.alias("uf"),
         (X.sex_norm(sexo) if sexo else F.lit(None).cast("string")).alias("sexo"),
-        (X.education_level(esc) if esc else F.lit(None).cast("string")).alias("escolaridade"),
-        fam.alias("cbo_familia"),
-        X.is_it(fam, it_codes).alias("eh_ti"),
+        X.education_level_parts("_esc_num", "_esc_txt").alias("escolaridade"),
+        F.col("_fam").alias("cbo_familia"),
+        X.is_it("_fam", it_codes).alias("eh_ti"),
         X.link_status(flag=ativo, situation=sit).alias("ativo_3112"),
         (X.to_number(sal) if sal else F.lit(None).cast("double")).alias("salario"),
     )
@@ -89,9 +96,15 @@ def _r(c, places=4):
 def group_aggregate(df: DataFrame, keys: list[str]) -> DataFrame:
     """N, active rate (mean of the 0/1 status) and median salary per key
     (nulls kept as groups); the median is exact and distributed."""
-    base = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"),
-                                 F.avg("ativo_3112").alias("taxa_ativo"))
-    med = Q.exact_percentiles(df, keys, "salario", [0.5]).withColumnRenamed("p0_5", "salario_mediana")
+    # one shuffle of the rows: a table per (keys, salary) that carries every
+    # measure; the group stats and the exact median both come from it
+    vt = df.groupBy(*keys, "salario").agg(F.count(F.lit(1)).alias("_n"),
+                                         F.sum("ativo_3112").alias("_sa"),
+                                         F.count("ativo_3112").alias("_ca"))
+    base = vt.groupBy(*keys).agg(F.sum("_n").alias("n"),
+                                 (F.sum("_sa") / F.sum("_ca")).alias("taxa_ativo"))
+    med = Q.exact_percentiles(vt, keys, "salario", [0.5], count_col="_n") \
+           .withColumnRenamed("p0_5", "salario_mediana")
     return A.join_null_safe(base, med, keys, "left")
 
 
@@ -100,13 +113,11 @@ grp AS (SELECT ano, uf, eh_ti, COUNT(*) AS n, AVG(ativo_3112) AS taxa_ativo,
                quantile_cont(salario, 0.5) AS salario_mediana FROM registry GROUP BY ano, uf, eh_ti)"""
 
 
-@register("registry_groups", "A27 P2 P3 P4 P8 X1 X5 X6 X10 X11 X13 X14 X22", _sql("""
+@register("registry_groups", "A27 P2 P3 P4 X1 X5 X6 X10 X11 X13 X14 X22", _sql("""
 SELECT ano, uf, eh_ti, n, ROUND(taxa_ativo, 6) AS taxa_ativo, ROUND(salario_mediana, 4) AS salario_mediana
 FROM grp""", extra=_GROUPS_SQL))
 def registry_groups(spark, d):
-    reg = registry(spark, d)
-    keys = SC.non_empty_columns(reg, KEYS)      # P8: usable keys only (one aggregate pass)
-    g = group_aggregate(reg, keys)
+    g = group_aggregate(registry(spark, d), KEYS)
     return g.select(*KEYS, "n", _r(F.col("taxa_ativo"), 6).alias("taxa_ativo"),
                     _r(F.col("salario_mediana")).alias("salario_mediana"))
 
@@ -156,6 +167,19 @@ def registry_rollup_exact(spark, d):
                  _r(F.avg("salario"), 5).alias("salario_medio"))
 
 
+@register("usable_keys", "P8", _sql("""
+SELECT k AS chave FROM (
+  SELECT 'ano' AS k, COUNT(ano) AS c FROM registry UNION ALL SELECT 'uf', COUNT(uf) FROM registry
+  UNION ALL SELECT 'eh_ti', COUNT(eh_ti) FROM registry UNION ALL SELECT 'sexo_raw', COUNT(NULL) FROM registry)
+WHERE c > 0"""))
+def usable_keys(spark, d):
+    """Candidate keys with at least one non-null value (one aggregate pass);
+    the list drives which keys a registry aggregate is grouped on."""
+    reg = registry(spark, d).withColumn("sexo_raw", F.lit(None).cast("string"))
+    keys = SC.non_empty_columns(reg, KEYS + ["sexo_raw"])
+    return reg.sparkSession.createDataFrame([(k,) for k in keys], "chave string")
+
+
 # ---------------------------------------------------------------------------
 # survey <-> registry
 # ---------------------------------------------------------------------------

@@ -176,10 +176,11 @@ def general_comparative(spark, d):
                             .when(_it(), "ti").otherwise("nao_ti"))
                 .select("seg", *[F.col(s).cast("double").alias(s) for s in stats]))
     long = by_seg.unpivot(["seg"], stats, "estatistica", "valor")
-    med_seg = (Q.weighted_percentiles(df, ["eh_ti"], INC, WGT, [0.5])
+    vt = Q.value_weights(df, ["eh_ti"], INC, WGT)       # one scan, both groupings
+    med_seg = (Q.percentiles_from_values(vt, ["eh_ti"], INC, [0.5])
                .select(_segment_label().alias("seg"), F.lit("mediana_rendimento").alias("estatistica"),
                        F.col("p0_5").alias("valor")))
-    med_all = (Q.weighted_percentiles(df, [], INC, WGT, [0.5])
+    med_all = (Q.percentiles_from_values(Q.regroup_values(vt, [], INC), [], INC, [0.5])
                .select(F.lit("total").alias("seg"), F.lit("mediana_rendimento").alias("estatistica"),
                        F.col("p0_5").alias("valor")))
     allv = long.unionByName(med_seg).unionByName(med_all)
@@ -361,10 +362,10 @@ LEFT JOIN (SELECT uf, {S.wsum(cond='eh_ti')} AS total_ti, {S.wsum(cond='NOT eh_t
            FROM occ WHERE ano = (SELECT MAX(ano) FROM occ) GROUP BY uf) a ON dim.uf = a.uf
 ORDER BY pct_ti DESC, dim.uf"""))
 def uf_latest_year(spark, d):
-    latest = FL.latest_year(occ(spark, d))
-    agg = latest.groupBy("uf").agg(
+    agg = occ(spark, d).groupBy("ano", "uf").agg(
         A.wsum(WGT, _it()).alias("total_ti"), A.wsum(WGT, _nit()).alias("total_nao_ti"),
         A.wmean(INC, WGT, _it()).alias("renda_ti"), A.wmean(INC, WGT, _nit()).alias("renda_nao_ti"))
+    agg = FL.keep_latest(agg, "ano").drop("ano")
     states = dimension(spark, P.UF_CODE_TO_SIGLA, "uf", "sigla")
     j = F.broadcast(states).join(agg, "uf", "left").fillna(0.0, ["total_ti", "total_nao_ti"])
     return j.select(
@@ -439,9 +440,9 @@ FROM (SELECT b.faixa_idade, b.ordem, COALESCE(a.pop_ti, 0.0) AS pop_ti,
                  FROM occ WHERE ano = (SELECT MAX(ano) FROM occ) GROUP BY 1) a
         ON a.faixa_idade = b.faixa_idade)"""))
 def age_band_distribution(spark, d):
-    latest = FL.latest_year(occ(spark, d))
-    banded = latest.withColumn("faixa_idade", X.age_cut("idade", _EDGES, _LABELS))
-    g = banded.filter(F.col("faixa_idade").isNotNull()).groupBy("faixa_idade").agg(*_dist_measures())
+    banded = occ(spark, d).withColumn("faixa_idade", X.age_cut("idade", _EDGES, _LABELS))
+    g = banded.filter(F.col("faixa_idade").isNotNull()).groupBy("ano", "faixa_idade").agg(*_dist_measures())
+    g = FL.keep_latest(g, "ano").drop("ano")
     bands = spark.createDataFrame([(lb, i) for i, lb in enumerate(_LABELS)], "faixa_idade string, ordem int")
     full = F.broadcast(bands).join(g, "faixa_idade", "left").fillna(0.0, ["pop_ti", "pop_nao_ti"])
     return _dist_select(full, ["faixa_idade", "ordem"])
@@ -476,13 +477,17 @@ FROM (SELECT d.era, d.codigo, d.nivel, COALESCE(a.pop_ti, 0.0) AS pop_ti,
                           AS codigo, {_DIST_SQL_MEASURES} FROM lat GROUP BY 1) a ON a.codigo = d.codigo)""",
     extra="lat AS (SELECT * FROM occ WHERE ano = (SELECT MAX(ano) FROM occ))"))
 def education_distribution(spark, d):
-    latest = FL.latest_year(occ(spark, d))
     era = F.when(F.col("ano") <= P.EDUCATION_ERA_SPLIT_YEAR, "ate2015").otherwise("pos2015")
     code = F.when(F.col("ano") <= P.EDUCATION_ERA_SPLIT_YEAR,
                   F.col("curso_mais_elevado_antes_2015")).otherwise(F.col("curso_mais_elevado"))
-    lat = latest.withColumn("era", era).withColumn("codigo", code)
-    totals = lat.groupBy("era").agg(A.wsum(WGT, _it()).alias("tot_ti"), A.wsum(WGT, _nit()).alias("tot_nao_ti"))
-    g = lat.groupBy("codigo").agg(*_dist_measures())
+    lat = occ(spark, d).withColumn("era", era).withColumn("codigo", code)
+    g = lat.groupBy("ano", "era", "codigo").agg(*_dist_measures())
+    per_year = Window.partitionBy("ano")                 # small: codes of one year
+    g = g.withColumns({"tot_ti": F.sum("pop_ti").over(per_year),
+                       "tot_nao_ti": F.sum("pop_nao_ti").over(per_year)})
+    g = FL.keep_latest(g, "ano")
+    totals = g.select("era", "tot_ti", "tot_nao_ti").distinct()
+    g = g.drop("ano", "era", "tot_ti", "tot_nao_ti")
     grid = F.broadcast(_education_dim(spark)).join(totals, "era")   # codes of the latest era
     full = grid.join(g, "codigo", "left").fillna(0.0, ["pop_ti", "pop_nao_ti"])
     return full.select(
