@@ -10,8 +10,6 @@ grows with the data is ever forced into memory.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,12 +44,15 @@ def align_segments(a: DataFrame, b: DataFrame, keys: list[str], fill: float | No
     return j.fillna(fill, subset=measures)
 
 
-def complete_grid(values: DataFrame, dims: list[DataFrame], keys: list[str],
+def complete_grid(values: DataFrame, series_keys: list[str], categories: dict,
                   fill: float = 0.0) -> DataFrame:
-    """Every combination of the (fixed, small) dimension tables, left-joined
-    to the aggregate and zero-filled.  Dimensions are fixed category lists, so
-    their product has a known size."""
-    grid = reduce(lambda x, y: x.crossJoin(F.broadcast(y)), dims[1:], dims[0])
+    """Every fixed category value for every series present in `values`
+    (distinct series keys, each exploded over literal category arrays), left-
+    joined to the aggregate and zero-filled.  The grid is |series| x |categories|."""
+    grid = values.select(*series_keys).distinct()
+    for col, vals in categories.items():
+        grid = grid.withColumn(col, F.explode(F.array(*[F.lit(v) for v in vals])))
+    keys = list(series_keys) + list(categories)
     j = grid.join(values, keys, "left")
     measures = [c for c in values.columns if c not in keys]
     return j.fillna(fill, subset=measures)

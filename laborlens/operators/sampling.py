@@ -127,7 +127,9 @@ def smote(df: DataFrame, y: str, features: list[str], ratio: float = 0.3, seed:
     rng = mino.agg(F.min("_p").alias("lo"), F.max("_p").alias("hi")).first()
     width = max((rng["hi"] - rng["lo"]) / buckets, 1e-12)
     mino = mino.withColumn("_b", F.floor((F.col("_p") - F.lit(rng["lo"])) / F.lit(width)))
-    w = Window.partitionBy("_b").orderBy("_p")
+    # salt: identical rows (one projection value) never pile into one task
+    mino = mino.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(32)))
+    w = Window.partitionBy("_b", "_salt").orderBy("_p")
     for c in features:
         mino = mino.withColumn(f"_nb_{c}", F.coalesce(F.lead(c).over(w), F.lag(c).over(w), F.col(c)))
     reps = int(math.ceil(n_new / n_min))

@@ -117,7 +117,7 @@ SELECT 'PNADC_0' || CAST(trimestre AS STRING) || CAST(ano AS STRING) AS nome_arq
 def file_caps(spark, d):
     lines = FS.read_lines(spark, fwf_dir(spark, d))
     lines = lines.withColumn("nome_arquivo", F.regexp_extract("arquivo", r"nome_arquivo=([^/]+)", 1))
-    capped = FS.cap_rows_per_file(lines, 100, "nome_arquivo", [F.col("value"), F.col("arquivo")])
+    capped = FS.cap_rows_per_file(lines, 100, "nome_arquivo")
     return capped.groupBy("nome_arquivo").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -37,7 +37,10 @@ def test_wage(ano) -> "F.Column":
     return (F.lit(10000.0) + F.lit(500.0) * (F.col(ano) - 1995)).cast("double")
 
 
-def _base_join(spark: SparkSession, d: str) -> DataFrame:
+def _base_join(spark: SparkSession, d: str, it_codes=None) -> DataFrame:
+    """The five-table join.  With `it_codes`, the occupation family and IT flag
+    are derived on the part dimension *before* the join (once per part, not
+    once per fact row)."""
     li = table(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
                "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag",
                "l_linestatus", "l_shipdate")
@@ -45,6 +48,9 @@ def _base_join(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer", "c_custkey", "c_nationkey", "c_mktsegment")
     n = F.broadcast(table(spark, d, "nation", "n_nationkey", "n_name", "n_regionkey"))
     p = table(spark, d, "part", "p_partkey", "p_brand", "p_size")
+    if it_codes is not None:
+        p = p.withColumn("cbo_familia", X.cbo_family("p_brand"))
+        p = p.withColumn("eh_ti", X.is_it("cbo_familia", it_codes))
     cn = c.join(n, c.c_nationkey == n.n_nationkey)
     ocn = o.join(cn, o.o_custkey == cn.c_custkey)
     return (li.join(ocn, li.l_orderkey == ocn.o_orderkey)
@@ -52,7 +58,7 @@ def _base_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 def micro(spark: SparkSession, d: str, it_codes=TEST_IT_CODES) -> DataFrame:
-    j = _base_join(spark, d)
+    j = _base_join(spark, d, it_codes)
     seg = X.map_literal({s: i + 1 for i, s in enumerate(SEGMENTS)})
     ano = F.year("l_shipdate").cast("int")
     income = F.when(F.col("l_tax") < 0.01, F.lit(None).cast("double")).otherwise(
@@ -86,9 +92,8 @@ def micro(spark: SparkSession, d: str, it_codes=TEST_IT_CODES) -> DataFrame:
         (1 + F.col("l_suppkey") % 2).cast("string").alias("tipo_area"),
         (((F.col("l_partkey") * 7919 + F.col("l_suppkey") * 104729 + F.col("l_linenumber"))
           % 1000).cast("double") / 1000).alias("y_proba"),
+        "cbo_familia", "eh_ti",
     )
-    df = df.withColumn("cbo_familia", X.cbo_family("cbo_ocupacao"))
-    df = df.withColumn("eh_ti", X.is_it("cbo_familia", it_codes))
     df = df.withColumn("ano_nascimento", (F.col("ano") - F.col("idade")).cast("int"))
     df = df.withColumn("y_true", X.income_target("rendimento_trabalho_principal",
                                                   test_wage("ano"), TEST_N_WAGES).cast("int"))

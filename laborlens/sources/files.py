@@ -12,7 +12,7 @@ import re
 import zipfile
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -143,11 +143,13 @@ def flag_from_name(col: str = "arquivo") -> "F.Column":
             .when(name.rlike(r"(^|[_-])ti([_.-]|$)"), 1))
 
 
-def cap_rows_per_file(df: DataFrame, n: int, file_col: str = "arquivo",
-                      order=None) -> DataFrame:
-    """At most n rows per input file (a file is a bounded unit)."""
-    w = Window.partitionBy(file_col).orderBy(*(order or [F.col(file_col)]))
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+def cap_rows_per_file(df: DataFrame, n: int, file_col: str = "arquivo") -> DataFrame:
+    """The first n rows of every input file (file order = the scan's row
+    id).  Distributed first-k (running counts over bucketed ids), so one huge
+    file is never sorted inside a single task."""
+    from laborlens.operators.quantiles import first_k_per_group
+    t = df.withColumn("_rid", F.monotonically_increasing_id()).withColumn("_k", F.lit(n).cast("long"))
+    return first_k_per_group(t, [file_col], "_rid", "_k").drop("_rid", "_k")
 
 
 def multi_scan(spark: SparkSession, paths, fmt: str = "parquet", glob: str | None = None,

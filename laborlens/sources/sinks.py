@@ -66,18 +66,22 @@ def write_zip_archives(df: DataFrame, col: str, path: str, member: str = "dados.
                        encoding: str = "ISO-8859-1") -> str:
     """Fixture sink: every partition writes one .zip holding its lines (a
     bounded unit per task); returns the folder."""
-    os.makedirs(path, exist_ok=True)
+    from pyarrow import fs as pafs
+    filesystem, root = pafs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
+    filesystem.create_dir(root, recursive=True)
 
     def _write(batches):
+        from pyarrow import fs as pafs_
+        fsys, base = pafs_.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
         buf = []
         for pdf in batches:
             buf.extend(pdf[col].tolist())
         if buf:
-            target = os.path.join(path, f"part-{uuid.uuid4().hex}.zip")
+            target = f"{base}/part-{uuid.uuid4().hex}.zip"
             mem = io.BytesIO()
             with zipfile.ZipFile(mem, "w", zipfile.ZIP_DEFLATED) as z:
                 z.writestr(member, ("\n".join(buf) + "\n").encode(encoding, "replace"))
-            with open(target, "wb") as fh:
+            with fsys.open_output_stream(target) as fh:
                 fh.write(mem.getvalue())
         yield pd.DataFrame({"n": [len(buf)]})
 
