@@ -99,6 +99,13 @@ def regroup_values(vt: DataFrame, groups: list[str], v: str) -> DataFrame:
 def percentiles_from_values(vt: DataFrame, groups: list[str], v: str, ps: list[float],
                             interpolate: bool = True) -> DataFrame:
     """`weighted_percentiles` on a distinct-value table (groups, v, sw, mw)."""
+    return percentiles_targeted(vt, groups, v, ps, interpolate)
+
+
+def percentiles_full_order(vt: DataFrame, groups: list[str], v: str, ps: list[float],
+                           interpolate: bool = True) -> DataFrame:
+    """Reference path: running weight of every distinct value (W1), then the
+    same rules; used by tests to cross-check the targeted path."""
     rt = running_weights(vt, groups, v)
     c = F.col("cum") / F.col("total")
     first_row = (F.col("before") + F.col("mw")) / F.col("total")
@@ -151,6 +158,10 @@ def exact_percentiles(df: DataFrame, groups: list[str], v: str, ps: list[float],
     else:
         vt = (df.filter(F.col(v).isNotNull()).groupBy(*groups, v)
                 .agg(F.sum(count_col).cast("double").alias("sw")))
+    return exact_percentiles_targeted(vt, groups, v, ps)
+
+
+def _exact_percentiles_full(vt: DataFrame, groups: list[str], v: str, ps: list[float]) -> DataFrame:
     rt = running_weights(vt, groups, v)
     n = F.max("total")
     aggs = [n.alias("_n")]
@@ -176,3 +187,106 @@ def first_k_per_group(df: DataFrame, groups: list[str], order_col: str, k_col: s
     t = df.withColumn("_one", F.lit(1).cast("long"))
     rt = running_sums(t, groups, order_col, ["_one"])
     return rt.filter(F.col("cum__one") <= F.col(k_col)).drop("_one", "cum__one", "total__one")
+
+
+# ---------------------------------------------------------------------------
+# targeted selection: order only the buckets that hold the requested ranks
+# ---------------------------------------------------------------------------
+
+def _bucket_index(vt: DataFrame, groups: list[str], v: str) -> tuple[DataFrame, DataFrame]:
+    """Bucketed distinct-value table and its bucket summary (groups, _b, _bs,
+    _boff, total), the summary being bounded by the number of buckets."""
+    vt = vt.withColumn("_b", value_bucket(v))
+    bt = vt.groupBy(*groups, "_b").agg(F.sum("sw").alias("_bs"))
+    part = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
+    wb = part.orderBy("_b")
+    bt = (bt.withColumn("_boff", F.coalesce(F.sum("_bs").over(wb.rowsBetween(_UNB, -1)),
+                                            F.lit(0).cast(bt.schema["_bs"].dataType)))
+            .withColumn("total", F.sum("_bs").over(part)))
+    return vt, bt
+
+
+def _candidate_rows(vt: DataFrame, bt: DataFrame, groups: list[str], v: str,
+                    targets: list) -> DataFrame:
+    """Rows of the buckets crossing any target running weight (Column in terms
+    of `total`), plus the neighbouring nonempty buckets, with their exact
+    running weight `cum` (bucket offset + ordered window inside the bucket)."""
+    part = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
+    wb = part.orderBy("_b")
+    hit = F.lit(False)
+    for t in targets:
+        tc = F.least(F.greatest(t, F.lit(0.0)), F.col("total"))
+        hit = hit | ((F.col("_boff") < tc) & (tc <= F.col("_boff") + F.col("_bs"))) \
+                  | ((tc <= 0) & (F.col("_boff") == 0))
+    bt = bt.withColumn("_hit", hit)
+    near = F.col("_hit") | F.coalesce(F.lag("_hit").over(wb), F.lit(False)) \
+        | F.coalesce(F.lead("_hit").over(wb), F.lit(False))
+    cand = bt.withColumn("_near", near).filter(F.col("_near")).select(*groups, "_b", "_boff", "total")
+    rows = join_null_safe(vt, cand, list(groups) + ["_b"])          # small right side
+    wv = Window.partitionBy(*groups, "_b").orderBy(v).rowsBetween(_UNB, 0)
+    rows = rows.withColumn("cum", F.col("_boff") + F.sum("sw").over(wv))
+    return rows.withColumn("before", F.col("cum") - F.col("sw")).drop("_b", "_boff")
+
+
+def percentiles_targeted(vt: DataFrame, groups: list[str], v: str, ps: list[float],
+                         interpolate: bool = True) -> DataFrame:
+    """A4 / A5 percentiles from a distinct-value table (groups, v, sw, mw),
+    ordering only the rows of the buckets around each requested rank."""
+    vt, bt = _bucket_index(vt, groups, v)
+    T = F.col("total")
+    rt = _candidate_rows(vt, bt, groups, v, [T * F.lit(float(p)) for p in ps])
+    return _percentile_aggregate(rt, groups, v, ps, interpolate)
+
+
+def _percentile_aggregate(rt: DataFrame, groups: list[str], v: str, ps: list[float],
+                          interpolate: bool) -> DataFrame:
+    c = F.col("cum") / F.col("total")
+    first_row = (F.col("before") + F.col("mw")) / F.col("total")
+    aggs = []
+    for p in ps:
+        pl = F.lit(float(p))
+        if interpolate:
+            aggs += [F.min(F.when(c >= pl, F.col(v))).alias(f"_t{_pname(p)}"),
+                     F.min_by(F.col("mw"), F.when(c >= pl, F.col(v))).alias(f"_m{_pname(p)}"),
+                     F.max(F.when(c < pl, F.col(v))).alias(f"_v{_pname(p)}"),
+                     F.max(F.when(c < pl, F.col("cum"))).alias(f"_b{_pname(p)}")]
+        else:
+            aggs.append(F.coalesce(F.max(F.when(first_row <= pl, F.col(v))), F.min(v))
+                        .alias(_pname(p)))
+    aggs += [F.max("total").alias("_total"), F.max(v).alias("_vmax")]
+    out = rt.groupBy(*groups).agg(*aggs)
+    if interpolate:
+        for p in ps:
+            n = _pname(p)
+            tv, mw, pv, b = (F.col(f"_t{n}"), F.col(f"_m{n}"), F.col(f"_v{n}"), F.col(f"_b{n}"))
+            T, pl = F.col("_total"), F.lit(float(p))
+            x0, x1 = b / T, (b + mw) / T
+            val = (F.when(tv.isNull(), F.col("_vmax"))
+                   .when(pv.isNull(), tv)
+                   .when(pl > x1, tv)
+                   .otherwise(pv + (tv - pv) * (pl - x0) / (x1 - x0)))
+            out = out.withColumn(n, val).drop(f"_t{n}", f"_m{n}", f"_v{n}", f"_b{n}")
+    return out.drop("_total", "_vmax")
+
+
+def exact_percentiles_targeted(vt: DataFrame, groups: list[str], v: str, ps: list[float]) -> DataFrame:
+    """Linear-interpolation percentiles from (groups, v, sw=count): the values
+    at positions floor(h) and floor(h)+1 are located through the bucket index."""
+    vt, bt = _bucket_index(vt, groups, v)
+    hs = [(F.col("total") - 1) * F.lit(float(p)) for p in ps]
+    targets = [F.floor(h) + 1 for h in hs] + [F.floor(h) + 2 for h in hs]
+    rt = _candidate_rows(vt, bt, groups, v, targets)
+    aggs = []
+    for p in ps:
+        h = (F.col("total") - 1) * F.lit(float(p))
+        lo = F.floor(h)
+        aggs += [F.min(F.when(F.col("cum") > lo, F.col(v))).alias(f"_lo{_pname(p)}"),
+                 F.min(F.when(F.col("cum") > lo + 1, F.col(v))).alias(f"_hi{_pname(p)}"),
+                 F.max(h - lo).alias(f"_fr{_pname(p)}")]
+    out = rt.groupBy(*groups).agg(*aggs)
+    for p in ps:
+        nm = _pname(p)
+        lo_v, hi_v, fr = F.col(f"_lo{nm}"), F.col(f"_hi{nm}"), F.col(f"_fr{nm}")
+        out = out.withColumn(nm, F.when(hi_v.isNull(), lo_v).otherwise(lo_v + fr * (hi_v - lo_v)))
+        out = out.drop(f"_lo{nm}", f"_hi{nm}", f"_fr{nm}")
+    return out

@@ -147,7 +147,10 @@ SELECT nivel, ano, uf, eh_ti, CAST(n AS BIGINT) AS n, ROUND(taxa_ativo, 6) AS ta
   UNION ALL SELECT 'ano', ano, NULL, eh_ti, SUM(n), AVG(taxa_ativo), quantile_cont(salario_mediana, 0.5)
             FROM grp GROUP BY ano, eh_ti)""", extra=_GROUPS_SQL))
 def registry_rollup(spark, d):
-    full = group_aggregate(registry(spark, d), KEYS)
+    # the full-key aggregate is read three times (itself + two coarser levels):
+    # checkpoint it (bounded by the key domain) to the shared folder, cutting
+    # the lineage instead of re-deriving it from the rows
+    full = group_aggregate(registry(spark, d), KEYS).checkpoint()
     h = rollup_hierarchy(full)
     return h.select("nivel", F.col("ano").cast("int").alias("ano"), F.col("uf").cast("int").alias("uf"),
                     "eh_ti", F.col("n").cast("long").alias("n"),
@@ -259,7 +262,7 @@ def merge_best_keys(pred: DataFrame, reg: DataFrame) -> DataFrame:
     """L4: inner join on the finest key set that matches anything.  The decision
     is one `isEmpty()` per level on the small aggregated join (driver action on
     aggregates, never on rows)."""
-    full = group_aggregate(reg, KEYS)
+    full = group_aggregate(reg, KEYS).checkpoint()      # reused by every key level
     hier = rollup_hierarchy(full)
     for nivel, keys in KEY_LEVELS:
         p = harmonize_keys(grouped_predictions(pred, keys))

@@ -18,6 +18,9 @@ from laborlens.plans.registry import register
 from laborlens.plans.views import micro
 
 WGT = "peso_populacional"
+# Multi-branch reports materialise their narrow pre-aggregate once (checkpoint
+# to the shared folder) so the fact-table join is computed exactly once.
+CHECKPOINT_PRE = True
 INC = "rendimento_trabalho_principal"
 
 
@@ -168,15 +171,38 @@ def _gen_stats(df: DataFrame) -> list:
 
 @register("general_comparative", "F3 A4 A7", _gen_sql())
 def general_comparative(spark, d):
+    """One scan: rows are pre-aggregated per (segment, income value) carrying
+    every partial sum; segment/total statistics and the weighted medians are
+    all derived from that table (its exchange is reused by each branch)."""
     df = occ(spark, d)
+    w, ok = F.col(WGT), A.w_ok(WGT)
+    pre = df.groupBy("eh_ti", INC).agg(
+        F.sum(w).alias("pop_ponderada"),
+        F.sum(F.when(F.col("sexo") == 1, w)).alias("pop_masculino"),
+        F.sum(F.when(F.col("sexo") == 2, w)).alias("pop_feminino"),
+        F.sum(F.when(ok & F.col("idade").isNotNull(), F.col("idade") * w)).alias("_ia"),
+        F.sum(F.when(ok & F.col("idade").isNotNull(), w)).alias("_iw"),
+        F.sum(F.when(ok & F.col("anos_estudo").isNotNull(), F.col("anos_estudo") * w)).alias("_ea"),
+        F.sum(F.when(ok & F.col("anos_estudo").isNotNull(), w)).alias("_ew"),
+        F.sum(F.when(ok, w)).alias("sw"), F.min(F.when(ok, w)).alias("mw"))
+    if CHECKPOINT_PRE:
+        pre = pre.checkpoint()          # narrow table read by every branch below
+    inc_known = F.col(INC).isNotNull()
     stats = ["pop_ponderada", "pop_masculino", "pop_feminino", "media_idade",
              "media_anos_estudo", "media_rendimento"]
-    by_seg = (df.rollup("eh_ti").agg(*_gen_stats(df), F.grouping("eh_ti").alias("_g"))
-                .withColumn("seg", F.when(F.col("_g") == 1, "total")
-                            .when(_it(), "ti").otherwise("nao_ti"))
-                .select("seg", *[F.col(s).cast("double").alias(s) for s in stats]))
+    by_seg = (pre.rollup("eh_ti").agg(
+                F.coalesce(F.sum("pop_ponderada"), F.lit(0.0)).alias("pop_ponderada"),
+                F.coalesce(F.sum("pop_masculino"), F.lit(0.0)).alias("pop_masculino"),
+                F.coalesce(F.sum("pop_feminino"), F.lit(0.0)).alias("pop_feminino"),
+                F.try_divide(F.sum("_ia"), F.sum("_iw")).alias("media_idade"),
+                F.try_divide(F.sum("_ea"), F.sum("_ew")).alias("media_anos_estudo"),
+                F.try_divide(F.sum(F.when(inc_known, F.col(INC) * F.col("sw"))),
+                             F.sum(F.when(inc_known, F.col("sw")))).alias("media_rendimento"),
+                F.grouping("eh_ti").alias("_g"))
+              .withColumn("seg", F.when(F.col("_g") == 1, "total").when(_it(), "ti").otherwise("nao_ti"))
+              .select("seg", *[F.col(c).cast("double").alias(c) for c in stats]))
     long = by_seg.unpivot(["seg"], stats, "estatistica", "valor")
-    vt = Q.value_weights(df, ["eh_ti"], INC, WGT)       # one scan, both groupings
+    vt = pre.filter(inc_known & F.col("sw").isNotNull()).select("eh_ti", INC, "sw", "mw")
     med_seg = (Q.percentiles_from_values(vt, ["eh_ti"], INC, [0.5])
                .select(_segment_label().alias("seg"), F.lit("mediana_rendimento").alias("estatistica"),
                        F.col("p0_5").alias("valor")))
@@ -286,15 +312,22 @@ def _desc_long(df: DataFrame) -> DataFrame:
 
 
 def weighted_describe_df(df: DataFrame) -> DataFrame:
-    """A5: n, Σw, mean, population std, min, max and step quantiles per (variavel, eh_ti)."""
-    long = _desc_long(df)
+    """A5: n, Σw, mean, population std, min, max and step quantiles per
+    (variavel, eh_ti).  One scan: the masked long rows are pre-aggregated per
+    distinct value; moments, the centred variance and the quantiles all come
+    from that table (means are joined back to it, not to the rows)."""
     keys = ["variavel", "eh_ti"]
-    base = long.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(WGT).alias("n_ponderado"),
-        A.wmean("valor", WGT).alias("media"), F.min("valor").alias("minimo"),
-        F.max("valor").alias("maximo"))
-    var = A.weighted_variance_pop(long, keys, "valor", WGT)
-    qs = Q.weighted_percentiles(long, keys, "valor", WGT, _DPS, interpolate=False)
+    vt = _desc_long(df).groupBy(*keys, "valor").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(WGT).alias("sw"), F.min(WGT).alias("mw"))
+    if CHECKPOINT_PRE:
+        vt = vt.checkpoint()            # narrow table read by every branch below
+    base = vt.groupBy(*keys).agg(
+        F.sum("_n").alias("n"), F.sum("sw").alias("n_ponderado"),
+        (F.sum(F.col("valor") * F.col("sw")) / F.sum("sw")).alias("media"),
+        F.min("valor").alias("minimo"), F.max("valor").alias("maximo"))
+    var = A.join_null_safe(vt, base.select(*keys, "media"), keys).groupBy(*keys).agg(
+        (F.sum(F.col("sw") * (F.col("valor") - F.col("media")) ** 2) / F.sum("sw")).alias("_var"))
+    qs = Q.percentiles_from_values(vt.drop("_n"), keys, "valor", _DPS, interpolate=False)
     out = A.join_null_safe(A.join_null_safe(base, var, keys), qs, keys)
     return out.withColumn("desvio", F.sqrt("_var")).drop("_var")
 

@@ -53,3 +53,19 @@ def test_exact_percentiles_match_numpy(spark):
     r = Q.exact_percentiles(df, [], "v", ps).first()
     for p in ps:
         assert abs(r[Q._pname(p)] - np.percentile(v, p * 100)) < 1e-9
+
+
+def test_targeted_matches_full_order(spark):
+    """The bucket-targeted selection equals the full running-weight path."""
+    rng = np.random.default_rng(11)
+    rows = [(int(g), float(v), float(w)) for g, v, w in
+            zip(rng.integers(0, 4, 3000), np.round(rng.normal(0, 500, 3000), 1), rng.uniform(0.1, 9, 3000))]
+    df = spark.createDataFrame(rows, "g int, v double, w double")
+    vt = Q.value_weights(df, ["g"], "v", "w")
+    ps = [0.0, 0.01, 0.33, 0.5, 0.999, 1.0]
+    for interp in (True, False):
+        a = {r["g"]: r for r in Q.percentiles_from_values(vt, ["g"], "v", ps, interp).collect()}
+        b = {r["g"]: r for r in Q.percentiles_full_order(vt, ["g"], "v", ps, interp).collect()}
+        for g in a:
+            for p in ps:
+                assert abs(a[g][Q._pname(p)] - b[g][Q._pname(p)]) < 1e-9, (g, p, interp)
