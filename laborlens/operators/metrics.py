@@ -85,24 +85,35 @@ def average_precision(df: DataFrame, y: str, score: str, w: str | None = None,
 
 def threshold_sweep(df: DataFrame, y: str, score: str, w: str | None = None,
                     thresholds=P.THRESHOLDS) -> DataFrame:
-    """Metrics at each threshold, all thresholds in one aggregate pass,
-    then unpivoted to one row per threshold (unweighted and weighted)."""
-    aggs = []
-    for i, t in enumerate(thresholds):
-        pred = F.col(score) >= F.lit(float(t))
-        aggs += confusion_aggs(y, pred, None, f"_{i}")
-        if w is not None:
-            aggs += confusion_aggs(y, pred, w, f"_w{i}")
-    row = df.agg(*aggs)          # one pass for every threshold
-    structs = []
-    for i, t in enumerate(thresholds):
-        cols = [F.lit(float(t)).alias("limiar")]
-        cols += [F.col(f"{c}_{i}").alias(c) for c in ("tp", "fp", "tn", "fn")]
-        if w is not None:
-            cols += [F.col(f"{c}_w{i}").alias(f"{c}_w") for c in ("tp", "fp", "tn", "fn")]
-        structs.append(F.struct(*cols))
-    out = row.select(F.explode(F.array(*structs)).alias("_t")).select("_t.*")
-    out = derive_metrics(out)
+    """Metrics at each threshold.  Every row is counted once, in the
+    bucket k = number of thresholds its score reaches (one small aggregate of
+    len(thresholds)+1 rows); predicted-positive counts at threshold i are the
+    sums over k >= i (the fixed 19-row threshold grid joined to that <= 20-row
+    table — both sides bounded by the threshold count, not by the data)."""
+    k = sum((F.col(score) >= F.lit(float(t))).cast("int") for t in thresholds)
+    yy = F.col(y) == 1
+    ww = _w(w)
+    aggs = [F.sum(F.when(yy, 1.0).otherwise(0.0)).alias("_pos"),
+            F.sum(F.when(yy, 0.0).otherwise(1.0)).alias("_neg")]
+    if w is not None:
+        aggs += [F.sum(F.when(yy, ww).otherwise(0.0)).alias("_pos_w"),
+                 F.sum(F.when(yy, 0.0).otherwise(ww)).alias("_neg_w")]
+    kb = df.groupBy(k.alias("_k")).agg(*aggs)
+    grid = df.sparkSession.createDataFrame([(i + 1, float(t)) for i, t in enumerate(thresholds)],
+                                           "_i int, limiar double")
+    full = F.broadcast(grid).join(kb, F.col("_k") >= F.col("_i"), "left")   # <= 19 x 20 rows
+    tot = kb.agg(*[F.sum(c).alias(f"{c}_t") for c in kb.columns if c != "_k"])
+    sums = full.groupBy("_i", "limiar").agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(f"{c}_ge")
+                                             for c in kb.columns if c != "_k"])
+    t = sums.join(F.broadcast(tot), how="inner")                              # one-row totals
+    cols = [F.col("limiar"),
+            F.col("_pos_ge").alias("tp"), F.col("_neg_ge").alias("fp"),
+            (F.col("_neg_t") - F.col("_neg_ge")).alias("tn"), (F.col("_pos_t") - F.col("_pos_ge")).alias("fn")]
+    if w is not None:
+        cols += [F.col("_pos_w_ge").alias("tp_w"), F.col("_neg_w_ge").alias("fp_w"),
+                 (F.col("_neg_w_t") - F.col("_neg_w_ge")).alias("tn_w"),
+                 (F.col("_pos_w_t") - F.col("_pos_w_ge")).alias("fn_w")]
+    out = derive_metrics(t.select(*cols))
     if w is not None:
         out = derive_metrics(out, "_w")
     return out

@@ -5,9 +5,10 @@ Plan (no task ever holds a whole group):
 1. ``groupBy(g, v)`` -> one row per distinct value with Σw and min w
    (partial aggregation; a hot value collapses to one row).
 2. Each distinct value gets a monotone *magnitude bucket*
-   ``floor(256 * log2|v|)`` (sign-separated); a bucket spans a factor of
-   2^(1/256) ≈ 1.0027 in value.  Bucket totals are a bounded table (a few
-   thousand rows per group), so their running offsets are a cheap window.
+   ``floor(65536 * log2|v|)`` (sign-separated); a bucket spans a factor of
+   2^(1/65536) in value.  Bucket totals are a bounded table (at most 65536
+   rows per octave spanned, per group), so their running offsets are a cheap
+   window.
 3. Inside a bucket, an ordered window gives the exact running sum; adding the
    bucket offset gives the running weight of every distinct value.
 
@@ -26,11 +27,19 @@ from laborlens.operators.aggregates import join_null_safe, w_ok
 _UNB = Window.unboundedPreceding
 
 
+BUCKETS_PER_OCTAVE = 65536
+_SIGN_OFFSET = 1 << 28          # > 65536 * 1075 (the log2 range of doubles)
+
+
 def value_bucket(v) -> Column:
+    """Monotone bucket of a value: floor(65536 * log2|v|), sign-separated.  A
+    bucket spans a factor 2^(1/65536) in value, so even uniformly spread keys
+    (hashes, scores) put ~1e-5 of an octave's rows in one bucket, while the
+    bucket table stays bounded by 65536 x (octaves spanned)."""
     x = F.col(v) if isinstance(v, str) else v
-    lg = F.floor(F.log2(F.abs(x)) * 256)
-    return (F.when(x > 0, F.lit(1_000_000) + lg)
-            .when(x < 0, F.lit(-1_000_000) - lg)
+    lg = F.floor(F.log2(F.abs(x)) * BUCKETS_PER_OCTAVE)
+    return (F.when(x > 0, F.lit(_SIGN_OFFSET) + lg)
+            .when(x < 0, F.lit(-_SIGN_OFFSET) - lg)
             .otherwise(F.lit(0))).cast("long")
 
 
