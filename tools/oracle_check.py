@@ -22,6 +22,8 @@ from laborlens.session import get_session  # noqa: E402
 from laborlens.plans.registry import all_queries  # noqa: E402
 from laborlens.sources.tables import TABLES  # noqa: E402
 
+EXACT = bool(os.environ.get("ORACLE_EXACT"))
+
 _SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
                   "boolean": "BOOLEAN", "timestamp": "TIMESTAMP", "date": "DATE",
                   "smallint": "SMALLINT", "tinyint": "TINYINT", "float": "FLOAT"}
@@ -33,7 +35,7 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        return round(v, 6) + 0.0
+        return (round(v, 6) if not EXACT else v) + 0.0
     if hasattr(v, "item"):
         return _norm(v.item())
     return v
