@@ -77,22 +77,25 @@ def fixed_width_line(layout, values: dict) -> "F.Column":
 
 
 def read_delimited(spark: SparkSession, paths, sep: str = ";", encoding: str = "UTF-8",
-                   header: bool = True, names: list[str] | None = None) -> DataFrame:
-    """Delimited text, all columns as strings.  Blank lines are skipped;
-    lines with MORE fields than the header are dropped (shorter ones are
-    null-padded), which is the pandas `on_bad_lines='skip'` behaviour."""
+                   header: bool = True, names: list[str] | None = None,
+                   quote: str = '"') -> DataFrame:
+    """Delimited text, all columns as strings.  Each line is parsed by
+    `from_csv` (quotes honoured); blank lines are skipped; lines with MORE
+    fields than the header are dropped and shorter ones are null-padded (the
+    pandas `on_bad_lines='skip'` behaviour).  Leading blanks are stripped."""
     lines = read_lines(spark, paths, encoding).filter(F.trim("value") != "")
     if header and names is None:
         first = lines.select("value").limit(1).first()
-        raw_names = [c.strip() for c in first["value"].split(sep)] if first else []
+        raw_names = [c.strip().strip(quote) for c in first["value"].split(sep)] if first else []
         lines = lines.filter(F.col("value") != F.lit(first["value"]))
         from laborlens.operators.schema import dedupe_names
         names = dedupe_names(raw_names)                       # P6: nome, nome_1, ...
     n = len(names)
-    nf = F.size(F.split("value", re.escape(sep), -1))
-    ok = lines.filter(nf <= n)
-    parts = F.split("value", re.escape(sep), -1)
-    return ok.select(*[F.ltrim(F.get(parts, i)).alias(c) for i, c in enumerate(names)], "arquivo")
+    ddl = ", ".join(f"c{i} STRING" for i in range(n + 1))    # one spare field detects long lines
+    parsed = lines.select(F.from_csv("value", ddl, {"sep": sep, "quote": quote,
+                                                    "mode": "PERMISSIVE"}).alias("_r"), "arquivo")
+    ok = parsed.filter(F.col(f"_r.c{n}").isNull())
+    return ok.select(*[F.ltrim(F.col(f"_r.c{i}")).alias(c) for i, c in enumerate(names)], "arquivo")
 
 
 def sniff_separator(spark: SparkSession, path: str, candidates=(";", ",", "\t"),
@@ -108,15 +111,15 @@ def sniff_separator(spark: SparkSession, path: str, candidates=(";", ",", "\t"),
 
 
 def detect_charsets(spark: SparkSession, paths, glob: str | None = None) -> DataFrame:
-    """Per-file charset verdict: valid UTF-8 -> 'UTF-8', else 'ISO-8859-1'.
-    Whole-file probe (the reference's first-line probe can miss later bytes);
-    one file = one row of the binaryFile source (files must be < 2 GB)."""
-    r = spark.read.format("binaryFile")
-    if glob:
-        r = r.option("pathGlobFilter", glob)
-    b = r.load(paths).select("path", "content")
-    valid = F.is_valid_utf8(F.col("content").cast("string"))
-    return b.select("path", F.when(valid, "UTF-8").otherwise("ISO-8859-1").alias("charset"))
+    """Per-file charset verdict over the whole file: valid UTF-8 ->
+    'UTF-8', else 'ISO-8859-1'.  Lines are read as ISO-8859-1 (every byte is a
+    character), re-encoded to their original bytes and checked with
+    `is_valid_utf8`; one aggregate per file — no file is ever held whole."""
+    opts = {"pathGlobFilter": glob} if glob else {}
+    lines = read_lines(spark, paths, "ISO-8859-1", **opts)
+    raw = F.encode(F.col("value"), "ISO-8859-1").cast("string")
+    return lines.groupBy(F.col("arquivo").alias("path")).agg(
+        F.when(F.bool_and(F.is_valid_utf8(raw)), "UTF-8").otherwise("ISO-8859-1").alias("charset"))
 
 
 def read_delimited_any_charset(spark: SparkSession, paths, sep: str = ";",
