@@ -31,18 +31,31 @@ BUCKETS_PER_OCTAVE = 65536
 _SIGN_OFFSET = 1 << 28          # > 65536 * 1075 (the log2 range of doubles)
 
 
-def value_bucket(v) -> Column:
-    """Monotone bucket of a value: floor(65536 * log2|v|), sign-separated.  A
-    bucket spans a factor 2^(1/65536) in value, so even uniformly spread keys
-    (hashes, scores) put ~1e-5 of an octave's rows in one bucket, while the
-    bucket table stays bounded by 65536 x (octaves spanned)."""
-    x = F.col(v) if isinstance(v, str) else v
-    lg = F.floor(F.log2(F.abs(x)) * BUCKETS_PER_OCTAVE)
+FINE_PER_COARSE = 256            # coarse buckets: 256 per octave
+
+
+def _signed(x: Column, lg: Column) -> Column:
     return (F.when(x > 0, F.lit(_SIGN_OFFSET) + lg)
             .when(x < 0, F.lit(-_SIGN_OFFSET) - lg)
             .otherwise(F.lit(0))).cast("long")
 
 
+def value_bucket(v) -> Column:
+    """Monotone fine bucket of a value: floor(65536 * log2|v|), sign-separated.
+    A bucket spans a factor 2^(1/65536), so even uniformly spread keys (hashes,
+    scores) put ~1e-5 of an octave's rows in one bucket."""
+    x = F.col(v) if isinstance(v, str) else v
+    return _signed(x, F.floor(F.log2(F.abs(x)) * BUCKETS_PER_OCTAVE))
+
+
+def coarse_bucket(v) -> Column:
+    """Monotone coarse bucket (256 per octave) that contains whole fine buckets:
+    floor(fine / 256) on the unsigned log index, then the same sign split."""
+    x = F.col(v) if isinstance(v, str) else v
+    lg = F.floor(F.log2(F.abs(x)) * BUCKETS_PER_OCTAVE)
+    return _signed(x, F.floor(lg / FINE_PER_COARSE))
+
+
 def value_weights(df: DataFrame, groups: list[str], v: str, w: str) -> DataFrame:
     """Step 1: distinct (groups, v) with sw = Σw and mw = min w (strict mask)."""
     ok = F.col(v).isNotNull() & w_ok(w)
@@ -54,23 +67,35 @@ def running_sums(vt: DataFrame, groups: list[str], v: str, cols: list[str],
                  descending: bool = False) -> DataFrame:
     """Running sums of `cols` ordered by `v` within `groups` (one row per
     distinct v expected): adds `cum_<c>` (inclusive) and `total_<c>`.
-    Two-level: bounded bucket-total window + exact within-bucket window."""
+
+    Three levels, each window over a bounded partition: coarse-bucket totals
+    (<= 256 per octave per group) get the group-wide window; fine-bucket totals
+    are windowed inside their coarse bucket (<= 256 each); rows are ordered
+    inside their fine bucket (2^-16 of an octave)."""
     key = F.col(v) if not descending else -F.col(v)
-    vt = vt.withColumn("_b", value_bucket(key))
-    bt = vt.groupBy(*groups, "_b").agg(*[F.sum(c).alias(f"_bs_{c}") for c in cols])
-    wb = Window.partitionBy(*groups).orderBy("_b")
-    wall = Window.partitionBy(*groups)
+    vt = vt.withColumn("_cb", coarse_bucket(key)).withColumn("_fb", value_bucket(key))
+    part = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
+    ct = vt.groupBy(*groups, "_cb").agg(*[F.sum(c).alias(f"_cs_{c}") for c in cols])
+    for c in cols:
+        zero = F.lit(0).cast(ct.schema[f"_cs_{c}"].dataType)
+        ct = (ct.withColumn(f"_co_{c}", F.coalesce(
+                  F.sum(f"_cs_{c}").over(part.orderBy("_cb").rowsBetween(_UNB, -1)), zero))
+                .withColumn(f"total_{c}", F.sum(f"_cs_{c}").over(part)))
+    ct = ct.drop(*[f"_cs_{c}" for c in cols])
+    ft = vt.groupBy(*groups, "_cb", "_fb").agg(*[F.sum(c).alias(f"_fs_{c}") for c in cols])
+    inner = Window.partitionBy(*groups, "_cb").orderBy("_fb").rowsBetween(_UNB, -1)
     for c in cols:
-        bt = (bt.withColumn(f"_bo_{c}", F.coalesce(F.sum(f"_bs_{c}").over(wb.rowsBetween(_UNB, -1)),
-                                                   F.lit(0).cast(bt.schema[f"_bs_{c}"].dataType)))
-                .withColumn(f"total_{c}", F.sum(f"_bs_{c}").over(wall)))
-    bt = bt.drop(*[f"_bs_{c}" for c in cols])
-    j = join_null_safe(vt, bt, list(groups) + ["_b"])
+        zero = F.lit(0).cast(ft.schema[f"_fs_{c}"].dataType)
+        ft = ft.withColumn(f"_fi_{c}", F.coalesce(F.sum(f"_fs_{c}").over(inner), zero))
+    ft = join_null_safe(ft, ct, list(groups) + ["_cb"])
+    ft = ft.select(*groups, "_fb", *[(F.col(f"_co_{c}") + F.col(f"_fi_{c}")).alias(f"_fo_{c}") for c in cols],
+                   *[f"total_{c}" for c in cols])
+    j = join_null_safe(vt.drop("_cb"), ft, list(groups) + ["_fb"])
     order = F.col(v).desc() if descending else F.col(v).asc()
-    wv = Window.partitionBy(*groups, "_b").orderBy(order).rowsBetween(_UNB, 0)
+    wv = Window.partitionBy(*groups, "_fb").orderBy(order).rowsBetween(_UNB, 0)
     for c in cols:
-        j = j.withColumn(f"cum_{c}", F.col(f"_bo_{c}") + F.sum(c).over(wv))
-    return j.drop("_b", *[f"_bo_{c}" for c in cols])
+        j = j.withColumn(f"cum_{c}", F.col(f"_fo_{c}") + F.sum(c).over(wv))
+    return j.drop("_fb", *[f"_fo_{c}" for c in cols])
 
 
 def running_weights(vt: DataFrame, groups: list[str], v: str) -> DataFrame:
@@ -202,48 +227,54 @@ def first_k_per_group(df: DataFrame, groups: list[str], order_col: str, k_col: s
 # targeted selection: order only the buckets that hold the requested ranks
 # ---------------------------------------------------------------------------
 
-def _bucket_index(vt: DataFrame, groups: list[str], v: str) -> tuple[DataFrame, DataFrame]:
-    """Bucketed distinct-value table and its bucket summary (groups, _b, _bs,
-    _boff, total), the summary being bounded by the number of buckets."""
-    vt = vt.withColumn("_b", value_bucket(v))
-    bt = vt.groupBy(*groups, "_b").agg(F.sum("sw").alias("_bs"))
-    part = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
-    wb = part.orderBy("_b")
-    bt = (bt.withColumn("_boff", F.coalesce(F.sum("_bs").over(wb.rowsBetween(_UNB, -1)),
-                                            F.lit(0).cast(bt.schema["_bs"].dataType)))
-            .withColumn("total", F.sum("_bs").over(part)))
-    return vt, bt
-
-
-def _candidate_rows(vt: DataFrame, bt: DataFrame, groups: list[str], v: str,
-                    targets: list) -> DataFrame:
-    """Rows of the buckets crossing any target running weight (Column in terms
-    of `total`), plus the neighbouring nonempty buckets, with their exact
-    running weight `cum` (bucket offset + ordered window inside the bucket)."""
-    part = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
-    wb = part.orderBy("_b")
+def _near(flag: str, order_part) -> Column:
+    return (F.col(flag) | F.coalesce(F.lag(flag).over(order_part), F.lit(False))
+            | F.coalesce(F.lead(flag).over(order_part), F.lit(False)))
+
+
+def _crossing(off: str, size: str, targets: list) -> Column:
     hit = F.lit(False)
     for t in targets:
         tc = F.least(F.greatest(t, F.lit(0.0)), F.col("total"))
-        hit = hit | ((F.col("_boff") < tc) & (tc <= F.col("_boff") + F.col("_bs"))) \
-                  | ((tc <= 0) & (F.col("_boff") == 0))
-    bt = bt.withColumn("_hit", hit)
-    near = F.col("_hit") | F.coalesce(F.lag("_hit").over(wb), F.lit(False)) \
-        | F.coalesce(F.lead("_hit").over(wb), F.lit(False))
-    cand = bt.withColumn("_near", near).filter(F.col("_near")).select(*groups, "_b", "_boff", "total")
-    rows = join_null_safe(vt, cand, list(groups) + ["_b"])          # small right side
-    wv = Window.partitionBy(*groups, "_b").orderBy(v).rowsBetween(_UNB, 0)
-    rows = rows.withColumn("cum", F.col("_boff") + F.sum("sw").over(wv))
-    return rows.withColumn("before", F.col("cum") - F.col("sw")).drop("_b", "_boff")
+        hit = hit | ((F.col(off) < tc) & (tc <= F.col(off) + F.col(size))) | ((tc <= 0) & (F.col(off) == 0))
+    return hit
+
+
+def _targeted_rows(vt: DataFrame, groups: list[str], v: str, targets_of) -> DataFrame:
+    """Rows of the fine buckets crossing any target running weight (plus their
+    nonempty neighbours), with exact `cum` / `before`.  `targets_of(total)`
+    returns the target Columns.  Only the coarse table is scanned whole; fine
+    buckets are aggregated only inside the selected coarse buckets, and rows
+    are ordered only inside the selected fine buckets."""
+    vt = vt.withColumn("_cb", coarse_bucket(v)).withColumn("_fb", value_bucket(v))
+    part = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
+    ct = vt.groupBy(*groups, "_cb").agg(F.sum("sw").alias("_cs"))
+    zero = F.lit(0).cast(ct.schema["_cs"].dataType)
+    ct = (ct.withColumn("_co", F.coalesce(F.sum("_cs").over(part.orderBy("_cb").rowsBetween(_UNB, -1)), zero))
+            .withColumn("total", F.sum("_cs").over(part)))
+    ct = ct.withColumn("_hit", _crossing("_co", "_cs", targets_of(F.col("total"))))
+    ct = ct.withColumn("_keep", _near("_hit", part.orderBy("_cb")))
+    sel_c = ct.filter(F.col("_keep")).select(*groups, "_cb", "_co", "total")
+    inside = join_null_safe(vt, sel_c, list(groups) + ["_cb"])          # small right side
+    ft = inside.groupBy(*groups, "_cb", "_fb").agg(F.sum("sw").alias("_fs"), F.max("_co").alias("_co"),
+                                                   F.max("total").alias("total"))
+    ft = ft.withColumn("_fo", F.col("_co") + F.coalesce(
+        F.sum("_fs").over(Window.partitionBy(*groups, "_cb").orderBy("_fb").rowsBetween(_UNB, -1)),
+        F.lit(0).cast(ft.schema["_fs"].dataType)))
+    ft = ft.withColumn("_hit", _crossing("_fo", "_fs", targets_of(F.col("total"))))
+    ft = ft.withColumn("_keep", _near("_hit", part.orderBy("_fb")))     # few coarse buckets' fines
+    sel_f = ft.filter(F.col("_keep")).select(*groups, "_fb", "_fo", "total")
+    rows = join_null_safe(inside.drop("_cb", "_co", "total"), sel_f, list(groups) + ["_fb"])
+    wv = Window.partitionBy(*groups, "_fb").orderBy(v).rowsBetween(_UNB, 0)
+    rows = rows.withColumn("cum", F.col("_fo") + F.sum("sw").over(wv))
+    return rows.withColumn("before", F.col("cum") - F.col("sw")).drop("_fb", "_fo")
 
 
 def percentiles_targeted(vt: DataFrame, groups: list[str], v: str, ps: list[float],
                          interpolate: bool = True) -> DataFrame:
     """A4 / A5 percentiles from a distinct-value table (groups, v, sw, mw),
     ordering only the rows of the buckets around each requested rank."""
-    vt, bt = _bucket_index(vt, groups, v)
-    T = F.col("total")
-    rt = _candidate_rows(vt, bt, groups, v, [T * F.lit(float(p)) for p in ps])
+    rt = _targeted_rows(vt, groups, v, lambda T: [T * F.lit(float(p)) for p in ps])
     return _percentile_aggregate(rt, groups, v, ps, interpolate)
 
 
@@ -281,10 +312,10 @@ def _percentile_aggregate(rt: DataFrame, groups: list[str], v: str, ps: list[flo
 def exact_percentiles_targeted(vt: DataFrame, groups: list[str], v: str, ps: list[float]) -> DataFrame:
     """Linear-interpolation percentiles from (groups, v, sw=count): the values
     at positions floor(h) and floor(h)+1 are located through the bucket index."""
-    vt, bt = _bucket_index(vt, groups, v)
-    hs = [(F.col("total") - 1) * F.lit(float(p)) for p in ps]
-    targets = [F.floor(h) + 1 for h in hs] + [F.floor(h) + 2 for h in hs]
-    rt = _candidate_rows(vt, bt, groups, v, targets)
+    def targets_of(T):
+        hs = [(T - 1) * F.lit(float(p)) for p in ps]
+        return [F.floor(h) + 1 for h in hs] + [F.floor(h) + 2 for h in hs]
+    rt = _targeted_rows(vt, groups, v, targets_of)
     aggs = []
     for p in ps:
         h = (F.col("total") - 1) * F.lit(float(p))
@@ -299,3 +330,13 @@ def exact_percentiles_targeted(vt: DataFrame, groups: list[str], v: str, ps: lis
         out = out.withColumn(nm, F.when(hi_v.isNull(), lo_v).otherwise(lo_v + fr * (hi_v - lo_v)))
         out = out.drop(f"_lo{nm}", f"_hi{nm}", f"_fr{nm}")
     return out
+
+
+def percentiles_reference(vt: DataFrame, groups: list[str], v: str, ps: list[float],
+                          interpolate: bool = True) -> DataFrame:
+    """Test-only reference: one plain ordered window per group (small data)."""
+    part = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
+    rt = vt.withColumn("cum", F.sum("sw").over(part.orderBy(v).rowsBetween(_UNB, 0))) \
+           .withColumn("total", F.sum("sw").over(part))
+    rt = rt.withColumn("before", F.col("cum") - F.col("sw"))
+    return _percentile_aggregate(rt, groups, v, ps, interpolate)
