@@ -146,9 +146,9 @@ def proba_matrix(spark, d):
 @register("labelled_scores", "X24 X21", survey_sql("""
 SELECT record_id, l_partkey, ROUND(y_proba * 100, 2) AS prob_pct,
        CASE WHEN y_proba >= 0.5 THEN 'Sim' ELSE 'Nao' END AS previsao, y_true
-FROM survey WHERE ano = 2000 AND trimestre = 1"""))
+FROM survey"""))
 def labelled_scores(spark, d):
-    df = scored(spark, d).filter((F.col("ano") == 2000) & (F.col("trimestre") == 1))
+    df = scored(spark, d)
     return df.select("record_id", "l_partkey", X.percent2("y_proba").alias("prob_pct"),
                      X.class_label((F.col("y_proba") >= 0.5).cast("int")).alias("previsao"), "y_true")
 

@@ -203,13 +203,12 @@ def general_comparative(spark, d):
               .select("seg", *[F.col(c).cast("double").alias(c) for c in stats]))
     long = by_seg.unpivot(["seg"], stats, "estatistica", "valor")
     vt = pre.filter(inc_known & F.col("sw").isNotNull()).select("eh_ti", INC, "sw", "mw")
-    med_seg = (Q.percentiles_from_values(vt, ["eh_ti"], INC, [0.5])
-               .select(_segment_label().alias("seg"), F.lit("mediana_rendimento").alias("estatistica"),
-                       F.col("p0_5").alias("valor")))
-    med_all = (Q.percentiles_from_values(Q.regroup_values(vt, [], INC), [], INC, [0.5])
-               .select(F.lit("total").alias("seg"), F.lit("mediana_rendimento").alias("estatistica"),
-                       F.col("p0_5").alias("valor")))
-    allv = long.unionByName(med_seg).unionByName(med_all)
+    # per-segment and total medians in one pass: the total is a third segment
+    seg_vt = vt.select(_segment_label().alias("seg"), INC, "sw", "mw")
+    tot_vt = Q.regroup_values(vt, [], INC).select(F.lit("total").alias("seg"), INC, "sw", "mw")
+    med = (Q.percentiles_from_values(seg_vt.unionByName(tot_vt), ["seg"], INC, [0.5])
+           .select("seg", F.lit("mediana_rendimento").alias("estatistica"), F.col("p0_5").alias("valor")))
+    allv = long.unionByName(med)
     ti = F.max(F.when(F.col("seg") == "ti", F.col("valor")))
     nti = F.max(F.when(F.col("seg") == "nao_ti", F.col("valor")))
     tot = F.max(F.when(F.col("seg") == "total", F.col("valor")))
