@@ -84,21 +84,21 @@ def it_mean_age_by_year(spark, d):
 
 
 @register("it_quarter_series", "F4 A13 A19 T2", S.survey_sql(f"""
-SELECT ano, trimestre, COUNT(*) AS linhas,
-       COUNT(CASE WHEN ocupado = 1 THEN 1 END) AS ocupados_total,
-       COUNT(CASE WHEN ocupado = 1 AND eh_ti THEN 1 END) AS ocupados_ti,
-       {S.r('AVG(CASE WHEN ocupado = 1 THEN CAST(eh_ti AS INT) END)', 6)} AS prop_ti_ocup_simples,
-       {S.r(S.wshare('eh_ti', cond='ocupado = 1'), 6)} AS prop_ti_ocup_ponderada
+SELECT ano, trimestre, COUNT(*) AS n_registros,
+       COUNT(CASE WHEN ocupado = 1 THEN 1 END) AS n_ocupados,
+       COUNT(CASE WHEN ocupado = 1 AND eh_ti THEN 1 END) AS ti_count_ocupados,
+       {S.r('AVG(CASE WHEN ocupado = 1 THEN CAST(eh_ti AS INT) END)', 6)} AS ti_prop_ocupados_simple,
+       {S.r(S.wshare('eh_ti', cond='ocupado = 1'), 6)} AS ti_prop_ocupados_weighted
 FROM survey GROUP BY ano, trimestre ORDER BY ano, trimestre"""))
 def it_quarter_series(spark, d):
     df = survey(spark, d)
     o = F.col("ocupado") == 1
     return (df.groupBy("ano", "trimestre").agg(
-        F.count(F.lit(1)).alias("linhas"),
-        A.count_if(o).alias("ocupados_total"),
-        A.count_if(o & _it()).alias("ocupados_ti"),
-        _r(A.share("eh_ti", o), 6).alias("prop_ti_ocup_simples"),
-        _r(A.wshare("eh_ti", WGT, o), 6).alias("prop_ti_ocup_ponderada"),
+        F.count(F.lit(1)).alias("n_registros"),
+        A.count_if(o).alias("n_ocupados"),
+        A.count_if(o & _it()).alias("ti_count_ocupados"),
+        _r(A.share("eh_ti", o), 6).alias("ti_prop_ocupados_simple"),
+        _r(A.wshare("eh_ti", WGT, o), 6).alias("ti_prop_ocupados_weighted"),
     ).orderBy("ano", "trimestre"))
 
 
@@ -410,7 +410,7 @@ def uf_latest_year(spark, d):
 
 @register("uf_year_share", "A16 L1", S.survey_sql(f"""
 SELECT ano, uf, s.sigla, {S.r('ti_total')} AS ti_total, {S.r('ocupados_total')} AS ocupados_total,
-       {S.r(S.pct('ti_total', 'ocupados_total'))} AS pct_ti
+       {S.r('100.0 * ' + S.ratio('ti_total', 'ocupados_total'))} AS pct_ti
 FROM (SELECT ano, uf, {S.wsum(cond='eh_ti')} AS ti_total,
              {S.wsum(cond='ocupado = 1 OR rendimento_trabalho_principal > 0')} AS ocupados_total
       FROM survey GROUP BY ano, uf) t
@@ -423,7 +423,7 @@ def uf_year_share(spark, d):
     g = g.withColumn("sigla", X.map_literal(P.UF_CODE_TO_SIGLA)[F.col("uf")])
     return g.select("ano", "uf", "sigla", _r(F.col("ti_total")).alias("ti_total"),
                     _r(F.col("ocupados_total")).alias("ocupados_total"),
-                    _r(A.pct("ti_total", "ocupados_total")).alias("pct_ti"))
+                    _r(100.0 * A.ratio("ti_total", "ocupados_total")).alias("pct_ti"))   # null, not 0, when no employed weight
 
 
 # ---------------------------------------------------------------------------
