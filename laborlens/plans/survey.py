@@ -647,34 +647,54 @@ def income_long(spark, d):
 # education x sex
 # ---------------------------------------------------------------------------
 
-_NIVEIS = list(range(1, 8))
-_NIVEIS_SQL = ", ".join(f"({n})" for n in _NIVEIS)
-
-
-@register("education_by_sex", "A20 L8 X10", S.survey_sql(f"""
-SELECT k.ano, k.eh_ti, n.nivel_instrucao, {S.r('COALESCE(a.homens, 0.0)')} AS homens,
-       {S.r('COALESCE(a.mulheres, 0.0)')} AS mulheres
-FROM (SELECT DISTINCT ano, eh_ti FROM occ) k CROSS JOIN (VALUES {_NIVEIS_SQL}) n(nivel_instrucao)
-LEFT JOIN (SELECT ano, eh_ti, nivel_instrucao, {S.wsum(cond='sexo = 1')} AS homens,
-                  {S.wsum(cond='sexo = 2')} AS mulheres FROM occ GROUP BY 1, 2, 3) a
-  ON a.ano = k.ano AND a.eh_ti = k.eh_ti AND a.nivel_instrucao = n.nivel_instrucao"""))
+_SEXES = list(P.SEX_LABELS.values())
+_SEX_SQL = "CASE sexo " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in P.SEX_LABELS.items()) + " END"
+
+
+@register("education_by_sex", "A20 L1 L8 X10", S.survey_sql(f"""
+SELECT k.ano, k.eh_ti, d.codigo, d.nivel AS nivel_escolaridade, x.sexo_desc,
+       {S.r('COALESCE(a.populacao_estimada, 0.0)')} AS populacao_estimada
+FROM (SELECT DISTINCT ano, eh_ti, CASE WHEN ano <= 2015 THEN 'ate2015' ELSE 'pos2015' END AS era FROM survey) k
+JOIN (VALUES {_edu_values_sql()}) d(era, codigo, nivel) ON d.era = k.era
+CROSS JOIN (VALUES ('Homens'), ('Mulheres')) x(sexo_desc)
+LEFT JOIN (SELECT ano, eh_ti, CASE WHEN ano <= 2015 THEN curso_mais_elevado_antes_2015 ELSE curso_mais_elevado END AS codigo,
+                  {_SEX_SQL} AS sexo_desc, SUM(peso_populacional) AS populacao_estimada
+           FROM survey WHERE peso_populacional IS NOT NULL GROUP BY 1, 2, 3, 4) a
+  ON a.ano = k.ano AND a.eh_ti = k.eh_ti AND a.codigo = d.codigo AND a.sexo_desc = x.sexo_desc"""))
 def education_by_sex(spark, d):
-    df = occ(spark, d).withColumn("sexo_label", X.sex_label("sexo"))
-    g = (df.groupBy("ano", "eh_ti", "nivel_instrucao")
-           .pivot("sexo_label", list(P.SEX_LABELS.values())).agg(F.sum(WGT)))
-    g = g.withColumnsRenamed({"Homens": "homens", "Mulheres": "mulheres"})
-    keys = g.select("ano", "eh_ti").distinct()
-    grid = keys.select("ano", "eh_ti", F.explode(F.array(*[F.lit(n) for n in _NIVEIS]))
-                       .alias("nivel_instrucao"))
-    full = grid.join(g, ["ano", "eh_ti", "nivel_instrucao"], "left").fillna(0.0, ["homens", "mulheres"])
-    return full.select("ano", "eh_ti", "nivel_instrucao", _r(F.col("homens")).alias("homens"),
-                       _r(F.col("mulheres")).alias("mulheres"))
-
-
-@register("education_by_sex_int", "A20", S.survey_sql("""
-SELECT ano, nivel_instrucao, sexo, CAST(SUM(CAST(trunc(peso_populacional) AS BIGINT)) AS BIGINT) AS populacao
-FROM occ WHERE eh_ti AND peso_populacional IS NOT NULL GROUP BY ano, nivel_instrucao, sexo"""))
+    """Weighted population by education level (era-dependent course code
+    and label table) x sex, per year and segment; every level of the era and
+    both sexes present (zero-filled)."""
+    era = F.when(F.col("ano") <= P.EDUCATION_ERA_SPLIT_YEAR, "ate2015").otherwise("pos2015")
+    code = F.when(F.col("ano") <= P.EDUCATION_ERA_SPLIT_YEAR,
+                  F.col("curso_mais_elevado_antes_2015")).otherwise(F.col("curso_mais_elevado"))
+    df = survey(spark, d).withColumns({"era": era, "codigo": code, "sexo_desc": X.sex_label("sexo")})
+    df = FL.required(df, "codigo", "sexo_desc", WGT)
+    g = df.groupBy("ano", "eh_ti", "era", "codigo", "sexo_desc").agg(F.sum(WGT).alias("populacao_estimada"))
+    keys = g.select("ano", "eh_ti", "era").distinct()
+    grid = keys.join(F.broadcast(_education_dim(spark)), "era")           # fixed label table
+    grid = grid.withColumn("sexo_desc", F.explode(F.array(*[F.lit(x) for x in _SEXES])))
+    full = grid.join(g, ["ano", "eh_ti", "era", "codigo", "sexo_desc"], "left") \
+               .fillna(0.0, ["populacao_estimada"])
+    return full.select("ano", "eh_ti", "codigo", F.col("nivel").alias("nivel_escolaridade"), "sexo_desc",
+                       _r(F.col("populacao_estimada")).alias("populacao_estimada"))
+
+
+@register("education_by_sex_int", "A20", S.survey_sql(f"""
+SELECT ano, codigo,
+       CAST(COALESCE(SUM(CASE WHEN sexo = 1 THEN w END), 0) AS BIGINT) AS homens,
+       CAST(COALESCE(SUM(CASE WHEN sexo = 2 THEN w END), 0) AS BIGINT) AS mulheres
+FROM (SELECT ano, sexo, CASE WHEN ano < 2015 THEN curso_mais_elevado_antes_2015 ELSE curso_mais_elevado END AS codigo,
+             CAST(trunc(peso_populacional) AS BIGINT) AS w
+      FROM survey WHERE eh_ti AND peso_populacional IS NOT NULL AND sexo IN (1, 2))
+WHERE codigo IS NOT NULL GROUP BY ano, codigo"""))
 def education_by_sex_int(spark, d):
-    df = FL.segment(occ(spark, d), True).filter(F.col(WGT).isNotNull())
-    return df.groupBy("ano", "nivel_instrucao", "sexo").agg(
-        F.sum(F.col(WGT).cast("long")).alias("populacao"))
+    """A20 variant: IT only, weights truncated to integers, course code by era
+    (switch at < 2015 in this variant), pivoted by sex."""
+    code = F.when(F.col("ano") < 2015, F.col("curso_mais_elevado_antes_2015")).otherwise(F.col("curso_mais_elevado"))
+    df = FL.segment(survey(spark, d), True).withColumns({"codigo": code, "sexo_desc": X.sex_label("sexo")})
+    df = FL.required(df, "codigo", "sexo_desc", WGT)
+    p = (df.groupBy("ano", "codigo").pivot("sexo_desc", _SEXES)
+           .agg(F.sum(F.col(WGT).cast("long"))).fillna(0, _SEXES))
+    return p.select("ano", "codigo", F.col("Homens").cast("long").alias("homens"),
+                    F.col("Mulheres").cast("long").alias("mulheres"))
