@@ -10,6 +10,16 @@ plans      named report queries over the bundled test tables + SQL oracles.
 streaming  file-source ingestion and windowed feed counts.
 """
 
-from laborlens.session import get_session, checkpoint_dir  # noqa: F401
+import sys as _sys
+
+# Functions that run on executors (pandas UDFs, mapInPandas bodies) are
+# shipped by value, so workers never need this package on their path.
+try:
+    from pyspark import cloudpickle as _cloudpickle
+    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # pragma: no cover - older cloudpickle
+    pass
+
+from laborlens.session import get_session, checkpoint_dir  # noqa: F401,E402
 
 __all__ = ["get_session", "checkpoint_dir"]
