@@ -101,20 +101,33 @@ def micro(spark: SparkSession, d: str, it_codes=TEST_IT_CODES) -> DataFrame:
 
 
 def vinculos(spark: SparkSession, d: str) -> DataFrame:
-    """Registry rows as raw text (header names as in the file, incl. 'vinculo_ativo_31/12')."""
-    j = _base_join(spark, d)
+    """Registry rows as raw text (header names as in the file, incl. 'vinculo_ativo_31/12').
+    Text columns that depend on one dimension only are formatted on that
+    dimension before the join (once per order / customer / part)."""
+    li = table(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+               "l_quantity", "l_linestatus", "l_shipdate")
+    o = table(spark, d, "orders", "o_orderkey", "o_custkey", "o_totalprice") \
+        .withColumn("vl_remun_media_nom", F.col("o_totalprice").cast("string"))
     sex = F.array(*[F.lit(s) for s in REGISTRY_SEX])
+    c = table(spark, d, "customer", "c_custkey", "c_nationkey") \
+        .withColumn("sexo_trabalhador", F.element_at(sex, (F.col("c_custkey") % 4 + 1).cast("int")))
+    n = F.broadcast(table(spark, d, "nation", "n_nationkey"))
+    p = table(spark, d, "part", "p_partkey", "p_brand", "p_size").select(
+        "p_partkey", F.col("p_brand").alias("cbo_ocupacao_2002"),
+        (F.col("p_size") * 2).cast("string").alias("idade"),
+        (1 + F.col("p_partkey") % 11).cast("string").alias("escolaridade_apos_2005"))
+    cn = c.join(n, c.c_nationkey == n.n_nationkey)
+    ocn = o.join(cn, o.o_custkey == cn.c_custkey)
+    j = li.join(ocn, li.l_orderkey == ocn.o_orderkey).join(p, li.l_partkey == p.p_partkey)
     return j.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("record_id"),
         F.year("l_shipdate").cast("string").alias("ano"),
-        F.element_at(sex, (F.col("c_custkey") % 4 + 1).cast("int")).alias("sexo_trabalhador"),
+        "sexo_trabalhador",
         ((F.col("n_nationkey") + 11) * 10000 + F.col("l_suppkey") % 10000).cast("string")
         .alias("mun_trab"),
-        (1 + F.col("l_partkey") % 11).cast("string").alias("escolaridade_apos_2005"),
-        F.col("p_brand").alias("cbo_ocupacao_2002"),
-        (F.col("p_size") * 2).cast("string").alias("idade"),
+        "escolaridade_apos_2005", "cbo_ocupacao_2002", "idade",
         F.when(F.col("l_linestatus") == "O", "SIM").otherwise("NAO").alias("vinculo_ativo_31/12"),
-        F.col("o_totalprice").cast("string").alias("vl_remun_media_nom"),
+        "vl_remun_media_nom",
         F.col("l_quantity").cast("int").cast("string").alias("qtd_hora_contr"),
     )
 
