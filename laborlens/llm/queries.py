@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from laborlens.llm import packing, simhash
-from laborlens.llm.common import table
+from laborlens.llm import langid, packing, quality, simhash, toxicity
+from laborlens.llm.common import held_out, table
 from laborlens.plans.registry import register
 
 
@@ -17,3 +17,27 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op3_simhash_near_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register("op1_quality_classifier")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = quality.classify(docs, table(spark, sf_dir, "labels"))
+    return out.select("doc_id", held_out(F.col("doc_id"), quality.MOD, quality.HELD).alias("held_out"),
+                      F.col("quality_score").alias("score"), F.col("quality_pred").alias("predicted"))
+
+
+@register("op7_language_id")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return (langid.identify(docs)
+            .select("doc_id", held_out(F.col("doc_id"), langid.MOD, langid.HELD).alias("held_out"),
+                    "langid.lang_pred", "langid.score"))
+
+
+@register("op8_toxicity")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.classify(docs, table(spark, sf_dir, "labels"))
+    return out.select("doc_id", held_out(F.col("doc_id"), toxicity.MOD, toxicity.HELD).alias("held_out"),
+                      F.col("toxic_score").alias("score"), F.col("toxic_pred").alias("predicted"))
