@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from laborlens.llm import langid, packing, quality, simhash, toxicity
+from laborlens.llm import decontam, langid, packing, quality, simhash, toxicity, url_reputation
 from laborlens.llm.common import held_out, table
 from laborlens.plans.registry import register
 
@@ -41,3 +41,15 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = toxicity.classify(docs, table(spark, sf_dir, "labels"))
     return out.select("doc_id", held_out(F.col("doc_id"), toxicity.MOD, toxicity.HELD).alias("held_out"),
                       F.col("toxic_score").alias("score"), F.col("toxic_pred").alias("predicted"))
+
+
+@register("op5_benchmark_decontamination")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op6_url_reputation", oracle=url_reputation.ORACLE_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    outcomes = url_reputation.outcomes_from_labels(pages, table(spark, sf_dir, "labels"))
+    return url_reputation.judge(pages, outcomes)
