@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from laborlens.llm import decontam, langid, packing, quality, simhash, toxicity, url_reputation
+from laborlens.llm import ann, decontam, langid, packing, pylm, quality, simhash, toxicity, url_reputation
 from laborlens.llm.common import held_out, table
 from laborlens.plans.registry import register
 
@@ -53,3 +53,13 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     outcomes = url_reputation.outcomes_from_labels(pages, table(spark, sf_dir, "labels"))
     return url_reputation.judge(pages, outcomes)
+
+
+@register("op9_nearest_neighbours")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@register("op10_lm_scoring")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pylm.score(table(spark, sf_dir, "documents"))
