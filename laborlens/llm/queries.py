@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from laborlens.llm import ann, decontam, langid, packing, pylm, quality, simhash, toxicity, url_reputation
+from laborlens.llm import ann, chat, decontam, langid, packing, pylm, quality, simhash, toxicity, url_reputation
 from laborlens.llm.common import held_out, table
 from laborlens.plans.registry import register
 
@@ -63,3 +63,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_lm_scoring")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pylm.score(table(spark, sf_dir, "documents"))
+
+
+@register("op4_chat_formatting")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.conversations(table(spark, sf_dir, "conversations"))
