@@ -16,7 +16,9 @@ gives no rows; other columns of the input are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +30,7 @@ from laborlens.llm.common import materialise, worker_cache
 CAPACITY = 2048
 SEPARATOR = 0
 TOKENIZER = "word_bpe_49k.json"
-CACHE_WORDS = 250_000        # words per generation of a worker's id cache
+CACHE_WORDS = 300_000        # chunks per generation of a worker's id cache
 BUCKETS = 1024               # rank buckets per length
 
 PIECES = "doc_id long, copy long, piece int, start long, length long, ids_crc32 long"
@@ -41,39 +43,82 @@ class WordIds:
     The tokenizer drops white space before its merges, so the ids of a text
     are the concatenated ids of its chunks.  Chunks are split at ASCII white
     space only; other white space stays inside a chunk for the tokenizer.
-    Two generations bound the memory: the older is dropped when full.
+
+    A chunk of Latin letters with ASCII signs after them (most are) falls into
+    the letters and the signs, as the tokenizer's own split does; both go to
+    its merge model directly.  Any other chunk goes through the whole tokenizer.
+    Two generations of chunks bound the memory: the older is dropped when full.
     """
 
+    #: Letters whose lower case is one character and which no normal form changes.
+    PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿŒœ]+)([!-/:-@\\[-`{-~]*)")
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = self.tokenizer.model.tokenize
+        self.bytes_as_text = _byte_alphabet()
         self.young: dict = {}
         self.old: dict = {}
+        self.parts: dict = {"": b""}
+
+    def part(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            shown = part.encode("utf-8").decode("latin-1").translate(self.bytes_as_text)
+            ids = array("I", [t.id for t in self.merges(shown)]).tobytes()
+            self.parts[part] = ids
+        return ids
+
+    def learn(self, chunks: set) -> None:
+        if len(self.parts) > CACHE_WORDS // 2:
+            self.parts = {"": b""}
+        whole = []
+        for w in chunks:
+            ids = self.old.get(w)
+            if ids is None:
+                text = w.decode("utf-8", "replace")
+                plain = self.PLAIN.fullmatch(text)
+                if plain is None:
+                    whole.append((w, text))
+                    continue
+                ids = self.part(plain[1].lower()) + self.part(plain[2])
+            self.young[w] = ids
+        if whole:
+            found = self.tokenizer.encode_batch_fast([t for _, t in whole], add_special_tokens=False)
+            for (w, _), e in zip(whole, found):
+                self.young[w] = array("I", e.ids).tobytes()
 
     def encode(self, texts: list) -> list:
         """Little-endian 32-bit ids of each text, as bytes."""
-        chunks = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        out = []
-        for words in chunks:
-            need = {w for w in words if w not in self.young}
-            if need:
-                if len(self.young) > CACHE_WORDS:
-                    self.old, self.young = self.young, {}
-                    need = set(words)
-                fresh = []
-                for w in need:
-                    hit = self.old.get(w)
-                    if hit is None:
-                        fresh.append(w)
-                    else:
-                        self.young[w] = hit
-                if fresh:
-                    enc = self.tokenizer.encode_batch_fast(
-                        [w.decode("utf-8", "replace") for w in fresh], add_special_tokens=False)
-                    for w, e in zip(fresh, enc):
-                        self.young[w] = np.asarray(e.ids, "<u4").tobytes()
-            out.append(b"".join(map(self.young.__getitem__, words)))
-        return out
+        if len(self.young) > CACHE_WORDS:
+            self.old, self.young = self.young, {}
+        rows = [_folded(t).encode("utf-8", "surrogatepass").split() for t in texts]
+        found = [list(map(self.young.get, words)) for words in rows]
+        self.learn({w for words, ids in zip(rows, found) if None in ids
+                    for w, i in zip(words, ids) if i is None})
+        young = self.young
+        return [b"".join([young[w] if i is None else i for w, i in zip(words, ids)] if None in ids else ids)
+                for words, ids in zip(rows, found)]
+
+
+def _folded(text: str) -> str:
+    """A Latin-1 text in lower case, as the tokenizer will make it; any other text as it is."""
+    if "<|" in text:                                  # may hold a special token, which keeps its case
+        return text
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
+def _byte_alphabet() -> dict:
+    """The printable character that stands for each byte in byte-level vocabularies:
+    printable Latin-1 bytes stand for themselves, the others follow from 256 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {b: b for b in own} | {b: 256 + k for k, b in enumerate(rest)}
 
 
 def _tokenizer_path(name: str) -> str:
