@@ -14,7 +14,8 @@ Hosts without outcomes have their domain's mean with the prior's strength.
 
 Explicit rules (host and path) come first; the longest that fits decides.
 
-Hosts are counted before they are shuffled.  For the look-up of the verdict, hosts
+Hosts are counted before they are shuffled; the counts and each level's means are written once,
+so that no level is computed again for the next.  For the look-up of the verdict, hosts
 with over a thousandth of all pages (so fewer than 1000) are broadcast; the others are joined
 by host, with the rows of broadcast hosts spread by page.
 
@@ -28,6 +29,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from laborlens.llm.common import materialise
+
 #: (host, path, verdict)
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"),
          ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -88,11 +91,12 @@ def reputation(hosts: DataFrame) -> DataFrame:
     suffixes = parts.groupBy("suffix").agg(*sums)
     domains = parts.groupBy("domain", "suffix").agg(*sums)
     whole = suffixes.agg(((F.sum("good") + 0.5) / (F.sum("n") + 1)).alias("all_mean"))
-    suffixes = _shrunk(suffixes.crossJoin(F.broadcast(whole)), "all_mean")
-    domains = _shrunk(domains.join(suffixes.select("suffix", F.col("post").alias("suffix_mean")), "suffix"),
-                      "suffix_mean")
-    parts = _shrunk(parts.join(domains.select("domain", F.col("post").alias("domain_mean")), "domain"),
-                    "domain_mean")
+    suffixes = materialise(_shrunk(suffixes.crossJoin(F.broadcast(whole)), "all_mean"), "suffixes")
+    domains = materialise(domains.join(suffixes.select("suffix", F.col("post").alias("suffix_mean")), "suffix"),
+                          "domains")
+    domains = materialise(_shrunk(domains, "suffix_mean"), "domains")
+    parts = materialise(parts.join(domains.select("domain", F.col("post").alias("domain_mean")), "domain"), "hosts")
+    parts = _shrunk(parts, "domain_mean")
     a = F.col("good") + F.col("k") * F.col("domain_mean")
     b = F.col("n") - F.col("good") + F.col("k") * (1 - F.col("domain_mean"))
     return (parts.withColumn("_a", a).withColumn("_b", b)
@@ -111,12 +115,12 @@ def judge(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url_co
     own = with_host_path(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))).drop("url")
     known = (outcomes.where(F.col("good").isNotNull()).groupBy("page_id")
              .agg(F.min("good").cast("long").alias("good")))
-    counted = (own.select("page_id", "host").join(known, "page_id", "left").groupBy("host")
+    counted = materialise((own.select("page_id", "host").join(known, "page_id", "left").groupBy("host")
                .agg(F.count(F.lit(1)).alias("pages"), F.count("good").alias("n"),
-                    F.coalesce(F.sum("good"), F.lit(0)).alias("good")))
+                    F.coalesce(F.sum("good"), F.lit(0)).alias("good"))), "counted")
     total = counted.agg(F.sum("pages").alias("all_pages"))
     rated = reputation(counted).select("host", "pages", "allow").crossJoin(F.broadcast(total))   # one row
-    rated = rated.withColumn("hot", F.col("pages") * HOT_SHARE > F.col("all_pages"))
+    rated = materialise(rated.withColumn("hot", F.col("pages") * HOT_SHARE > F.col("all_pages")), "rated")
     hot = rated.where("hot").select("host", F.col("allow").alias("hot_allow"))      # under 1000 rows
     rest = rated.where("not hot").select(F.col("host").alias("key"), "allow")
     out = own.join(F.broadcast(hot), "host", "left")
