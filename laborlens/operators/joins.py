@@ -2,10 +2,10 @@
 
 Broadcast policy: only *fixed* dimensions (state table, education tables,
 minimum-wage table, threshold grid — sizes known in advance, independent of the
-data) are broadcast explicitly.  Data-derived sides are joined plainly and AQE
-decides at runtime from real sizes (broadcast under
-``spark.sql.autoBroadcastJoinThreshold``, sort-merge above it), so nothing that
-grows with the data is ever forced into memory.
+data) are broadcast explicitly, and aggregates only after their rows were counted.
+Other data-derived sides are joined plainly and AQE decides at runtime from real
+sizes (broadcast under ``spark.sql.autoBroadcastJoinThreshold``, sort-merge above
+it), so nothing that grows with the data is ever forced into memory.
 """
 
 from __future__ import annotations
@@ -66,6 +66,10 @@ def int_range(df: DataFrame, partition: list[str], col: str) -> DataFrame:
 
 
 def enrich(left: DataFrame, right: DataFrame, keys: list[str], suffix: str) -> DataFrame:
-    """L2: left join on `keys` (null matches null), right measures suffixed."""
+    """L2: left join on `keys` (null matches null), right measures suffixed.  The right side is
+    an aggregate: its rows are counted, and up to MAX_BROADCAST_ROWS it is broadcast, so
+    that the left rows aren't shuffled on a few hundred keys; a larger one is joined plainly."""
+    if right.count() <= MAX_BROADCAST_ROWS:
+        right = F.broadcast(right)
     rn = {c: f"{c}{suffix}" for c in right.columns if c not in keys}
     return join_null_safe(left, right.withColumnsRenamed(rn), keys, "left")

@@ -135,11 +135,83 @@ def calibration(df: DataFrame, y: str, score: str, bins: int = P.CALIBRATION_BIN
 
 def subgroup_metrics(df: DataFrame, y: str, score: str, group_cols: list[str],
                      threshold: float = 0.5, min_n: int = 10) -> DataFrame:
-    """Metrics per (group column, value) with n >= min_n and both classes present."""
+    """Metrics of every (group column, value).  `valido` says whether the group has
+    min_n rows and both classes; the metrics of the others are null."""
     long = df.select(y, score, *[F.col(c).cast("string").alias(c) for c in group_cols]) \
              .unpivot([y, score], group_cols, "grupo", "valor")
     pred = F.col(score) >= threshold
     t = long.groupBy("grupo", "valor").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(y)).alias("_pos"), *confusion_aggs(y, pred))
-    t = t.filter((F.col("n") >= min_n) & (F.col("_pos") > 0) & (F.col("_pos") < F.col("n"))).drop("_pos")
-    return derive_metrics(t)
+    t = t.withColumn("valido", (F.col("n") >= min_n) & (F.col("_pos") > 0) & (F.col("_pos") < F.col("n")))
+    t = derive_metrics(t.drop("_pos"))
+    derived = ("accuracy", "balanced_accuracy", "precision", "recall", "f1")
+    return t.withColumns({c: F.when(F.col("valido"), F.col(c)) for c in derived})
+
+
+def class_report(df: DataFrame, y: str, score: str, threshold: float = 0.5, w: str | None = None) -> DataFrame:
+    """Precision, recall, F1 and support of each class, and their macro and
+    support-weighted means, from one aggregate row."""
+    row = df.agg(*confusion_aggs(y, F.col(score) >= threshold, w))
+    tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
+
+    def line(name, hit, wrong, missed):
+        prec = F.when(hit + wrong > 0, hit / (hit + wrong)).otherwise(0.0)
+        rec = F.when(hit + missed > 0, hit / (hit + missed)).otherwise(0.0)
+        f1 = F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(0.0)
+        return F.struct(F.lit(name).alias("classe"), prec.alias("precision"), rec.alias("recall"), f1.alias("f1"),
+                        (hit + missed).alias("suporte"))
+
+    both = row.select(line("0", tn, fn, fp).alias("a"), line("1", tp, fp, fn).alias("b"))
+
+    def mean(name, wa, wb):
+        cols = [((F.col(f"a.{c}") * wa + F.col(f"b.{c}") * wb) / (wa + wb)).alias(c)
+                for c in ("precision", "recall", "f1")]
+        return F.struct(F.lit(name).alias("classe"), *cols, (F.col("a.suporte") + F.col("b.suporte")).alias("suporte"))
+
+    lines = both.select(F.inline(F.array(
+        F.col("a"), F.col("b"), mean("macro", F.lit(1.0), F.lit(1.0)),
+        mean("ponderada", F.col("a.suporte"), F.col("b.suporte")))))
+    return lines.select("classe", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")],
+                        F.round("suporte", 4).alias("suporte"))
+
+
+def score_table(df: DataFrame, y: str, score: str, weights: dict) -> DataFrame:
+    """One row per distinct score with the positive and negative weight of each variant
+    (`weights`: name -> weight column or None): all ranking metrics need no more."""
+    pos = F.col(y) == 1
+    return df.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("score")).agg(*[a for name, w in weights.items() for a in (
+        F.sum(F.when(pos, _w(w)).otherwise(0.0)).alias(f"wp_{name}"),
+        F.sum(F.when(pos, 0.0).otherwise(_w(w))).alias(f"wn_{name}"))])
+
+
+def curve_points(table: DataFrame, name: str) -> DataFrame:
+    """A ROC and a precision-recall point per distinct score: the weights of the
+    scores from it upwards, and fpr, tpr, precision, recall."""
+    wp, wn = f"wp_{name}", f"wn_{name}"
+    rt = running_sums(table.select("score", wp, wn), [], "score", [wp, wn], descending=True)
+    tp, fp = F.col(f"cum_{wp}"), F.col(f"cum_{wn}")
+    share = lambda a, b: F.when(b > 0, a / b)
+    return rt.select("score", F.col(wp).alias("wp"), F.col(wn).alias("wn"), tp.alias("tp"), fp.alias("fp"),
+                     share(fp, F.col(f"total_{wn}")).alias("fpr"), share(tp, F.col(f"total_{wp}")).alias("tpr"),
+                     share(tp, tp + fp).alias("precision"), share(tp, F.col(f"total_{wp}")).alias("recall"),
+                     F.col(f"total_{wp}").alias("total_p"), F.col(f"total_{wn}").alias("total_n"))
+
+
+def ranking_metrics(table: DataFrame, names: list[str]) -> DataFrame:
+    """Exact AUC (half credit for ties) and average precision of every variant of a
+    score table, from one ordering of the scores."""
+    cols = [f"{k}_{n}" for n in names for k in ("wp", "wn")]
+    rt = running_sums(table, [], "score", cols, descending=True)
+
+    def pair(n):
+        wp, wn = F.col(f"wp_{n}"), F.col(f"wn_{n}")
+        tp, fp = F.col(f"cum_wp_{n}"), F.col(f"cum_wn_{n}")
+        below = F.col(f"total_wn_{n}") - fp
+        return (F.sum(wp * (below + wn / 2)).alias(f"num_{n}"),
+                (F.sum(wp) * F.max(f"total_wn_{n}")).alias(f"den_{n}"),
+                F.sum(F.when(F.col(f"total_wp_{n}") > 0, wp / F.col(f"total_wp_{n}") * tp / (tp + fp))).alias(f"ap_{n}"))
+
+    row = rt.agg(*[a for n in names for a in pair(n)])
+    return row.select(F.inline(F.array(*[F.struct(
+        F.lit(n).alias("variante"), F.when(F.col(f"den_{n}") > 0, F.col(f"num_{n}") / F.col(f"den_{n}")).alias("auc"),
+        F.col(f"ap_{n}").alias("ap")) for n in names])))

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from laborlens.operators.aggregates import count_if
+from laborlens.operators.quantiles import running_sums
+from laborlens.operators.sampling import poisson1, uniform
 
 
 def preprocess_stages(numeric: list[str], categorical: list[str]) -> tuple[list, str]:
@@ -52,12 +54,21 @@ def balanced_weights(df: DataFrame, label: str = "label", out: str = "peso_class
     return df.join(F.broadcast(c.select(label, out)), label)
 
 
+def require_two_classes(df: DataFrame, label: str = "label") -> DataFrame:
+    """Raise unless the training rows hold two classes."""
+    if df.select(label).distinct().count() < 2:
+        raise ValueError(f"the training rows have a single class of {label}")
+    return df
+
+
 def forest(numeric, categorical, num_trees=20, max_depth=8, min_leaf=5, weight_col=None,
            seed=42) -> Pipeline:
-    """Random forest (maxDepth is capped at 30 by Spark)."""
+    """Random forest; `weight_col` holds class or survey weights."""
+    if max_depth > 30:
+        raise ValueError("Spark's trees are at most 30 levels deep")
     stages, feat = preprocess_stages(numeric, categorical)
     rf = RandomForestClassifier(featuresCol=feat, labelCol="label", numTrees=num_trees,
-                                maxDepth=min(max_depth, 30), minInstancesPerNode=min_leaf, seed=seed)
+                                maxDepth=max_depth, minInstancesPerNode=min_leaf, seed=seed)
     if weight_col:
         rf.setWeightCol(weight_col)
     return Pipeline(stages=stages + [rf])
@@ -115,17 +126,48 @@ def cluster_summary(pred: DataFrame, col: str) -> DataFrame:
                                        F.min(col).alias("minimo"), F.max(col).alias("maximo"))
 
 
-def permute_column(df: DataFrame, col: str, seed: int, buckets: int = 1024) -> DataFrame:
-    """Random permutation of one column without a global sort: rows are
-    spread over random buckets; inside a bucket the values are re-assigned by a
-    second random order (two row_numbers joined on (bucket, rank))."""
-    b = F.floor(F.rand(seed) * buckets).cast("int")
-    t = df.withColumn("_pb", b).withColumn("_r1", F.rand(seed + 1)).withColumn("_r2", F.rand(seed + 2))
-    w1 = Window.partitionBy("_pb").orderBy("_r1")
-    w2 = Window.partitionBy("_pb").orderBy("_r2")
-    left = t.withColumn("_k", F.row_number().over(w1)).drop(col)
-    donor = t.select("_pb", F.row_number().over(w2).alias("_k"), F.col(col))
-    return left.join(donor, ["_pb", "_k"]).drop("_pb", "_k", "_r1", "_r2")
+def permute_column(df: DataFrame, col: str, key: str, seed: int, buckets: int = 1024) -> DataFrame:
+    """A permutation of one column without a global sort.  Rows fall into buckets
+    by a hash of the uniform `key` and the seed; inside a bucket the values go to the rows in
+    another hash order.  Everything follows from the key, so a repeated task
+    permutes alike."""
+    def h(n: int):
+        return F.xxhash64(F.col(key), F.lit(seed), F.lit(n))
+    t = df.withColumn("_pb", F.pmod(h(0), F.lit(buckets)).cast("int"))
+    left = t.withColumn("_k", F.row_number().over(Window.partitionBy("_pb").orderBy(h(1), key))).drop(col)
+    donor = t.select("_pb", F.row_number().over(Window.partitionBy("_pb").orderBy(h(2), key)).alias("_k"),
+                     F.col(col))
+    return left.join(donor, ["_pb", "_k"]).drop("_pb", "_k")
+
+
+def permutation_importance(model, test: DataFrame, features: list[str], key: str, replicates: int = 20,
+                           seed: int = 100) -> DataFrame:
+    """F1 drop of every feature when its column is permuted, with the mean, standard
+    deviation and 2.5 % / 97.5 % quantiles over Poisson bootstrap weights of the test rows.
+
+    Per feature one pass over the rows; the replicates are sums side by side."""
+    weights = [poisson1(uniform(F.col(key), F.lit(r))).cast("double") for r in range(replicates)]
+
+    def scores(df: DataFrame, name: str) -> DataFrame:
+        pred = positive_probability(model.transform(df))
+        p, y = F.col("y_proba") >= 0.5, F.col("label") == 1
+        sums = [F.sum(F.when(cond, w).otherwise(0.0)).alias(f"{k}{r}") for r, w in enumerate(weights)
+                for k, cond in (("tp", y & p), ("e", y != p))]
+        row = pred.agg(*sums)
+        f1 = F.array(*[2 * F.col(f"tp{r}") / F.greatest(2 * F.col(f"tp{r}") + F.col(f"e{r}"), F.lit(1.0))
+                       for r in range(replicates)])
+        return row.select(F.lit(name).alias("feature"), f1.alias("f1"))
+
+    base = scores(test, "").select(F.col("f1").alias("f1_base"))
+    parts = [scores(permute_column(test, c, key, seed + k), c) for k, c in enumerate(features)]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    drops = every.crossJoin(F.broadcast(base)).select(                             # one-row base
+        "feature", F.explode(F.zip_with("f1_base", "f1", lambda a, b: a - b)).alias("queda"))
+    return drops.groupBy("feature").agg(
+        F.count(F.lit(1)).alias("replicas"), F.avg("queda").alias("media"), F.stddev("queda").alias("desvio"),
+        F.percentile("queda", 0.025).alias("q025"), F.percentile("queda", 0.975).alias("q975"))
 
 
 def f1_of(pred: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -135,6 +177,13 @@ def f1_of(pred: DataFrame, threshold: float = 0.5) -> DataFrame:
     return pred.agg((2 * tp / F.greatest(2 * tp + fp + fn, F.lit(1))).alias("f1"))
 
 
+def stratified_folds(df: DataFrame, y: str, key: str, k: int, ties: tuple = ()) -> DataFrame:
+    """Column `fold`: within each class the rows go round the k folds in hash order,
+    so every fold has the class shares of the whole."""
+    t = running_sums(df.withColumn("_one", F.lit(1).cast("long")), [y], key, ["_one"], ties=ties)
+    return t.withColumn("fold", ((F.col("cum__one") - 1) % k).cast("int")).drop("_one", "cum__one", "total__one")
+
+
 def cross_validate(df: DataFrame, pipeline: Pipeline, grid_param_map, fold_col: str, seed: int = 42):
     """K-fold CV with a precomputed (hash) fold column and a small grid."""
     ev = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction")

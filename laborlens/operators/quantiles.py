@@ -64,14 +64,15 @@ def value_weights(df: DataFrame, groups: list[str], v: str, w: str) -> DataFrame
 
 
 def running_sums(vt: DataFrame, groups: list[str], v: str, cols: list[str],
-                 descending: bool = False) -> DataFrame:
+                 descending: bool = False, ties: tuple = ()) -> DataFrame:
     """Running sums of `cols` ordered by `v` within `groups` (one row per
     distinct v expected): adds `cum_<c>` (inclusive) and `total_<c>`.
 
     Three levels, each window over a bounded partition: coarse-bucket totals
     (<= 256 per octave per group) get the group-wide window; fine-bucket totals
     are windowed inside their coarse bucket (<= 256 each); rows are ordered
-    inside their fine bucket (2^-16 of an octave)."""
+    inside their fine bucket (2^-16 of an octave).  `ties`: columns that order
+    rows of one v, where v may repeat."""
     key = F.col(v) if not descending else -F.col(v)
     vt = vt.withColumn("_cb", coarse_bucket(key)).withColumn("_fb", value_bucket(key))
     part = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
@@ -92,7 +93,7 @@ def running_sums(vt: DataFrame, groups: list[str], v: str, cols: list[str],
                    *[f"total_{c}" for c in cols])
     j = join_null_safe(vt.drop("_cb"), ft, list(groups) + ["_fb"])
     order = F.col(v).desc() if descending else F.col(v).asc()
-    wv = Window.partitionBy(*groups, "_fb").orderBy(order).rowsBetween(_UNB, 0)
+    wv = Window.partitionBy(*groups, "_fb").orderBy(order, *ties).rowsBetween(_UNB, 0)
     for c in cols:
         j = j.withColumn(f"cum_{c}", F.col(f"_fo_{c}") + F.sum(c).over(wv))
     return j.drop("_fb", *[f"_fo_{c}" for c in cols])
@@ -214,12 +215,13 @@ def _exact_percentiles_full(vt: DataFrame, groups: list[str], v: str, ps: list[f
     return out.drop("_n")
 
 
-def first_k_per_group(df: DataFrame, groups: list[str], order_col: str, k_col: str) -> DataFrame:
-    """Rows whose rank by `order_col` (unique within a group) is <= the group's
+def first_k_per_group(df: DataFrame, groups: list[str], order_col: str, k_col: str,
+                      ties: tuple = ()) -> DataFrame:
+    """Rows whose rank by `order_col` (then `ties`) within a group is <= the group's
     `k_col`.  Exact and distributed: running counts over bucketed order values,
     so a group holding a third of the rows is still spread over many tasks."""
     t = df.withColumn("_one", F.lit(1).cast("long"))
-    rt = running_sums(t, groups, order_col, ["_one"])
+    rt = running_sums(t, groups, order_col, ["_one"], ties=ties)
     return rt.filter(F.col("cum__one") <= F.col(k_col)).drop("_one", "cum__one", "total__one")
 
 

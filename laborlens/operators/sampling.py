@@ -1,6 +1,6 @@
 """Sampling and splitting operators (M1-M9).
 
-Deterministic selections rank rows by a unique hash key and take the first k
+Selections rank rows by a uniform key (MD5 of the primary key) and take the first k
 per group with `first_k_per_group` (distributed running counts), so no stratum
 is ever sorted inside one task.  Quota tables are per-stratum aggregates
 (bounded by the number of strata).
@@ -9,19 +9,42 @@ is ever sorted inside one task.  Quota tables are per-stratum aggregates
 from __future__ import annotations
 
 import math
+import random
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from laborlens.operators.quantiles import first_k_per_group, running_sums
 
-_POW44 = 17592186044416
+KEY_BITS = 60
+KEY_RANGE = 1 << KEY_BITS
 
 
-def pk_hash(orderkey: str, linenumber: str) -> Column:
-    """Bijective mix of the unique key 8*orderkey + linenumber (no ties)."""
-    u = F.col(orderkey) * 8 + F.col(linenumber)
-    return F.pmod(u * 1000003, F.lit(_POW44))
+def pk_hash(*keys: str) -> Column:
+    """A uniform key on [0, 2^60): the first 15 hex digits of the MD5 of the key
+    columns, joined by '-'.  Equal digits are ordered by the key columns."""
+    text = F.concat_ws("-", *[F.col(k).cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, KEY_BITS // 4), 16, 10).cast("long")
+
+
+def uniform(*parts) -> Column:
+    """A uniform number on [0, 1) from the MD5 of some columns joined by '-'."""
+    text = F.concat_ws("-", *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
+
+
+def below(order_key: str, fraction: float) -> Column:
+    """Whether a row's uniform key lies in the first `fraction` of the range."""
+    return F.col(order_key) < F.lit(int(fraction * KEY_RANGE))
+
+
+def small_table(df: DataFrame, bound: int = 100_000) -> DataFrame:
+    """Broadcast a table of classes, strata or quotas, whose size is checked first."""
+    n = df.count()
+    if n > bound:
+        return df                      # too many strata: an ordinary join
+    return F.broadcast(df)
 
 
 def allocate_quotas(sizes: DataFrame, keys: list[str], cap, within: list[str] | None = None,
@@ -45,15 +68,22 @@ def allocate_quotas(sizes: DataFrame, keys: list[str], cap, within: list[str] |
     return t.withColumn("quota", q.cast("long")).drop("_tot", "_cap", "_base", "_rem", "_rk", "_short")
 
 
-def stratified_downsample(df: DataFrame, strata: list[str], y: str, max_rows: int,
-                          order_key: str) -> DataFrame:
-    """M3: quotas per stratum (M2), then per class within the stratum, then the
-    first `quota` rows by hash order in every (stratum, class)."""
-    s1 = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("n"))
-    q1 = allocate_quotas(s1, strata, max_rows).select(*strata, F.col("quota").alias("squota"))
-    s2 = df.groupBy(*strata, y).agg(F.count(F.lit(1)).alias("n")).join(q1, strata)
-    q2 = allocate_quotas(s2, strata + [y], "squota", within=strata).select(*strata, y, "quota")
-    return first_k_per_group(df.join(q2, strata + [y]), strata + [y], order_key, "quota").drop("quota")
+def share_of(sizes: DataFrame, fraction: float, size_col: str = "n") -> DataFrame:
+    """Adds `_alvo`: the number of rows that a sample of `fraction` of all rows has."""
+    total = Window.partitionBy(F.lit(0))                 # a small sizes table
+    return sizes.withColumn("_alvo", F.floor(F.sum(size_col).over(total) * F.lit(fraction)).cast("long"))
+
+
+def stratified_downsample(df: DataFrame, strata: list[str], y: str, fraction: float,
+                          order_key: str, ties: tuple = ()) -> DataFrame:
+    """M3: a sample of `fraction` of the rows: quotas per stratum (M2), then per class
+    within the stratum, then the first `quota` rows by hash order in every (stratum, class)."""
+    cells = df.groupBy(*strata, y).agg(F.count(F.lit(1)).alias("n"))
+    s1 = share_of(cells.groupBy(*strata).agg(F.sum("n").alias("n")), fraction)
+    q1 = allocate_quotas(s1, strata, "_alvo").select(*strata, F.col("quota").alias("squota"))
+    q2 = allocate_quotas(cells.join(q1, strata), strata + [y], "squota", within=strata).select(*strata, y, "quota")
+    quotas = small_table(q2)
+    return first_k_per_group(df.join(quotas, strata + [y]), strata + [y], order_key, "quota", ties).drop("quota")
 
 
 def stratified_split(df: DataFrame, y: str, test_fraction: float, order_key: str) -> DataFrame:
@@ -90,54 +120,66 @@ def undersample_majority(df: DataFrame, y: str, ratio: float, order_key: str) ->
     keep = F.when((F.col("n") == mx) & (F.col("n") != mn),
                   F.least(F.col("n"), F.floor(mn / F.lit(ratio)).cast("long"))).otherwise(F.col("n"))
     c = c.withColumn("keep", keep).select(y, "keep")
-    return first_k_per_group(df.join(c, y), [y], order_key, "keep").drop("keep")
+    return first_k_per_group(df.join(small_table(c), y), [y], order_key, "keep").drop("keep")
 
 
-def first_n_by_hash(df: DataFrame, n: int, order_key: str) -> DataFrame:
+def first_n_by_hash(df: DataFrame, n: int, order_key: str, ties: tuple = ()) -> DataFrame:
     """M1: fixed-size sample = n smallest hash keys (TakeOrdered, distributed top-k)."""
-    return df.orderBy(order_key).limit(n)
+    return df.orderBy(order_key, *ties).limit(n)
+
 
+def fraction_by_hash(df: DataFrame, fraction: float, order_key: str) -> DataFrame:
+    """M1/M4: the rows whose uniform key is below `fraction`; a class keeps its share."""
+    return df.filter(below(order_key, fraction))
 
-def proportional_by_class(df: DataFrame, y: str, fraction: float, seed: int = 42,
-                          classes=(0, 1)) -> DataFrame:
-    """M4: same fraction from every class (Bernoulli per row, seeded)."""
-    return df.sampleBy(y, {c: fraction for c in classes}, seed)
 
+def smote(df: DataFrame, y: str, features: list[str], key: str, ratio: float = 0.3, seed: int = 42,
+          cuts: int = 1024, part_rows: int = 4096) -> DataFrame:
+    """M8: synthetic minority rows x + u (nb - x) until the minority has
+    ceil(ratio * majority) rows; nb is the next minority row along a random projection.
 
-def smote(df: DataFrame, y: str, features: list[str], ratio: float = 0.3, seed: int = 42,
-          buckets: int = 64) -> DataFrame:
-    """M8: synthetic minority rows x + u (nb - x), nb = the next minority row
-    along a random projection inside the same projection bucket (LSH-style
-    neighbour; linear in rows, no pair enumeration)."""
+    Every minority row gives the same number of copies, and the first rows by
+    hash key one more, so which rows are used does not depend on the layout.
+    Neighbours are sought between quantiles of the projection, in parts of about
+    `part_rows` rows; u follows from the key and the copy, so that a repeated
+    task makes the same rows.  Linear in rows, no pair enumeration.
+    """
+    base = df.withColumn("sintetico", F.lit(False))
     counts = {r[y]: r["n"] for r in df.groupBy(y).agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2:
-        return df.withColumn("sintetico", F.lit(False))
-    minority = min(counts, key=counts.get)
+        return base
+    minority = min(counts, key=lambda c: (counts[c], c))
     n_min, n_maj = counts[minority], max(counts.values())
-    n_new = max(0, int(math.ceil(ratio * n_maj)) - n_min)
-    base = df.withColumn("sintetico", F.lit(False))
+    n_new = max(0, math.ceil(ratio * n_maj) - n_min)
     if n_new == 0:
         return base
     mino = df.filter(F.col(y) == minority)
-    stats = mino.agg(*[F.stddev(c).alias(c) for c in features]).first()
-    import random
     rnd = random.Random(seed)
-    proj = sum(((F.col(c) / F.lit(float(stats[c] or 1.0))) * rnd.gauss(0, 1) for c in features), F.lit(0.0))
+    spread = mino.agg(*[F.stddev(c).alias(c) for c in features]).first()
+    proj = sum(((F.coalesce(F.col(c), F.lit(0.0)) / F.lit(float(spread[c] or 1.0))) * rnd.gauss(0, 1)
+                for c in features), F.lit(0.0))
     mino = mino.withColumn("_p", proj)
-    rng = mino.agg(F.min("_p").alias("lo"), F.max("_p").alias("hi")).first()
-    width = max((rng["hi"] - rng["lo"]) / buckets, 1e-12)
-    mino = mino.withColumn("_b", F.floor((F.col("_p") - F.lit(rng["lo"])) / F.lit(width)))
-    # salt: identical rows (one projection value) never pile into one task
-    mino = mino.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(32)))
-    w = Window.partitionBy("_b", "_salt").orderBy("_p")
+    edges = mino.agg(F.percentile_approx("_p", [i / cuts for i in range(1, cuts)], 10_000)).first()[0]
+    splits = [-math.inf, *sorted(set(edges)), math.inf]
+    mino = Bucketizer(splits=splits, inputCol="_p", outputCol="_b").transform(mino)
+    sizes = mino.groupBy("_b").agg(F.ceil(F.count(F.lit(1)) / F.lit(part_rows)).alias("_parts"))   # <= cuts rows
+    mino = mino.join(F.broadcast(sizes), "_b") \
+               .withColumn("_part", F.pmod(F.xxhash64(F.col(key), F.lit(1)), F.col("_parts")))
+    w = Window.partitionBy("_b", "_part").orderBy("_p", key)
     for c in features:
         mino = mino.withColumn(f"_nb_{c}", F.coalesce(F.lead(c).over(w), F.lag(c).over(w), F.col(c)))
-    reps = int(math.ceil(n_new / n_min))
-    mino = mino.withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    mino = mino.withColumn("_u", F.rand(seed))
-    synth = mino.select(*[c for c in df.columns if c not in features],
-                        *[(F.col(c) + F.col("_u") * (F.col(f"_nb_{c}") - F.col(c))).alias(c)
-                          for c in features]).limit(n_new)
+    each, more = divmod(n_new, n_min)
+    if more:
+        extra = first_k_per_group(mino.select(y, key).withColumn("_k", F.lit(more).cast("long")), [y], key, "_k")
+        mino = mino.join(extra.select(key, F.lit(1).alias("_more")), key, "left") \
+                   .withColumn("_copies", F.lit(each) + F.coalesce("_more", F.lit(0)))
+    else:
+        mino = mino.withColumn("_copies", F.lit(each))
+    mino = mino.filter(F.col("_copies") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    u = uniform(F.lit(seed), F.col(key), F.col("_copy"))
+    synth = mino.withColumn("_u", u).select(
+        *[c for c in df.columns if c not in features],
+        *[(F.col(c) + F.col("_u") * (F.col(f"_nb_{c}") - F.col(c))).alias(c) for c in features])
     return base.unionByName(synth.withColumn("sintetico", F.lit(True)).select(*base.columns))
 
 
@@ -156,10 +198,21 @@ def poisson1(u: Column) -> Column:
 
 
 def bootstrap_auc(df: DataFrame, y: str, score: str, key: str, replicates: int = 20) -> DataFrame:
-    """M9: AUC per bootstrap replicate with Poisson(1) row weights derived from
-    a hash of (key, replicate) — every replicate is a weighted pass."""
-    from laborlens.operators.metrics import auc_exact
-    r = df.withColumn("replica", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    u = F.pmod(F.xxhash64(F.col(key), F.col("replica")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    r = r.withColumn("_w", poisson1(u).cast("double")).filter(F.col("_w") > 0)
-    return auc_exact(r, y, score, "_w", ["replica"])
+    """M9: AUC per bootstrap replicate with Poisson(1) row weights from the MD5 of
+    (key, replicate).  The weights of all replicates are summed per distinct score
+    side by side, and one ordering of the scores serves them all."""
+    names = [(f"p{r}", f"n{r}") for r in range(replicates)]
+    pos = F.col(y) == 1
+    weights = df.filter(F.col(score).isNotNull()).select(
+        score, pos.alias("_pos"), *[poisson1(uniform(F.col(key), F.lit(r))).cast("double").alias(f"w{r}")
+                                    for r in range(replicates)])
+    per = weights.groupBy(score).agg(*[a for r, (p, n) in enumerate(names) for a in (
+        F.sum(F.when(F.col("_pos"), F.col(f"w{r}")).otherwise(0.0)).alias(p),
+        F.sum(F.when(F.col("_pos"), 0.0).otherwise(F.col(f"w{r}"))).alias(n))])
+    rt = running_sums(per, [], score, [n for _, n in names])
+    sums = rt.agg(*[a for p, n in names for a in (
+        F.sum(F.col(p) * (F.col(f"cum_{n}") - F.col(n) / 2)).alias(f"s_{p}"),
+        (F.sum(p) * F.max(f"total_{n}")).alias(f"d_{p}"))])                       # one row
+    return sums.select(F.inline(F.array(*[F.struct(
+        F.lit(r).alias("replica"),
+        F.when(F.col(f"d_{p}") > 0, F.col(f"s_{p}") / F.col(f"d_{p}")).alias("auc")) for r, (p, _) in enumerate(names)])))

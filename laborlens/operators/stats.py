@@ -77,18 +77,25 @@ def t_pvalue(t: pd.Series, dof: pd.Series) -> pd.Series:
     """Two-sided p-value of Student's t with `dof` degrees of freedom."""
     tt = t.astype(float).to_numpy()
     v = dof.astype(float).to_numpy()
-    x = v / (v + tt * tt)
-    p = _betainc(v / 2.0, np.full_like(v, 0.5), x)
-    p = np.where((v > 0) & np.isfinite(tt), p, 1.0)
+    known = (v > 0) & np.isfinite(tt)                 # else there is nothing to test: p = 1
+    p = np.ones(len(tt))
+    a = v[known] / 2.0
+    p[known] = _betainc(a, np.full_like(a, 0.5), v[known] / (v[known] + tt[known] ** 2))
     return pd.Series(np.clip(p, 0.0, 1.0))
 
 
 def linear_trend(df: DataFrame, by: list[str], y: str, x: str) -> DataFrame:
-    """R2: slope, intercept, R^2 per group, direction of the slope."""
+    """R2: slope, intercept, R^2 per group, direction of the slope, and the two-sided
+    p-value of the slope (null below three points)."""
     g = df.groupBy(*by).agg(F.regr_slope(y, x).alias("inclinacao"),
                             F.regr_intercept(y, x).alias("intercepto"),
                             F.regr_r2(y, x).alias("r2"), F.count(F.lit(1)).alias("n"),
                             F.max(x).alias("x_max"))
+    dof = (F.col("n") - 2).cast("double")
+    r2 = F.least(F.col("r2"), F.lit(1.0))
+    g = g.withColumn("_t", F.when(r2 < 1, F.sqrt(r2 * dof / (1 - r2))))
+    p = F.when(F.col("n") > 2, F.when(F.col("r2") >= 1, F.lit(0.0)).otherwise(t_pvalue(F.coalesce("_t", F.lit(0.0)), dof)))
+    g = g.withColumn("p_valor", p).drop("_t")
     return g.withColumn("direcao", F.when(F.col("inclinacao") > 0, "crescente")
                         .when(F.col("inclinacao") < 0, "decrescente").otherwise("estavel"))
 

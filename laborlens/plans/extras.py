@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from laborlens import params as P
 from laborlens.functions import scalars as X
+from laborlens.operators import filters as FL
 from laborlens.operators import quantiles as Q
 from laborlens.operators import schema as SC
 from laborlens.plans import feed as FD
@@ -15,7 +16,7 @@ from laborlens.plans.files import _fixture
 from laborlens.plans.registry import register
 from laborlens.plans.sqlbits import survey_sql
 from laborlens.plans.views import micro, mov, with_views, test_wage, TEST_N_WAGES
-from laborlens.session import scratch_path
+from laborlens.session import materialise, scratch_path
 from laborlens.sources import files as FS
 from laborlens.sources import sinks as K
 from laborlens.operators.aggregates import count_if, weighted_summary
@@ -84,17 +85,37 @@ SELECT ano, COUNT(*) AS n, ROUND(SUM(w2 / m), 6) AS soma_peso_norm FROM (
                      ELSE (SELECT quantile_cont(peso_populacional, 0.5) FROM survey WHERE peso_populacional > 0)
                 END AS w2 FROM survey)) GROUP BY ano"""))
 def sample_weights(spark, d):
-    df = SV.survey(spark, d)
     w = F.when(F.isnan("peso_populacional") | F.col("peso_populacional").isNull(), F.lit(0.0)) \
          .otherwise(F.col("peso_populacional"))
-    df = df.withColumn("_w", w)
-    med = Q.exact_percentiles(df.filter(F.col("_w") > 0), [], "_w", [0.5]).withColumnRenamed("p0_5", "_med")
-    j = df.join(F.broadcast(med), how="inner")                         # one-row scalar
+    # median, mean and sums all come from one (year, weight, rows) table
+    t = materialise(SV.survey(spark, d).groupBy("ano", w.alias("_w")).agg(F.count(F.lit(1)).alias("_n")), "pesos")
+    med = Q.exact_percentiles(t.filter(F.col("_w") > 0), [], "_w", [0.5], count_col="_n") \
+           .withColumnRenamed("p0_5", "_med")
+    j = t.join(F.broadcast(med), how="inner")                          # one-row scalar
     j = j.withColumn("_w2", F.when(F.col("_w") > 0, F.col("_w")).otherwise(F.col("_med")))
-    mean = j.agg(F.avg("_w2").alias("_mean"))
+    mean = j.agg((F.sum(F.col("_w2") * F.col("_n")) / F.sum("_n")).alias("_mean"))
     j = j.join(F.broadcast(mean), how="inner")                         # one-row scalar
-    return j.groupBy("ano").agg(F.count(F.lit(1)).alias("n"),
-                                F.round(F.sum(F.col("_w2") / F.col("_mean")), 6).alias("soma_peso_norm"))
+    return j.groupBy("ano").agg(F.sum("_n").alias("n"),
+                                F.round(F.sum(F.col("_w2") * F.col("_n") / F.col("_mean")), 6).alias("soma_peso_norm"))
+
+
+_WAGE_SQL = "CASE ano + 20 " + " ".join(f"WHEN {k} THEN {float(v)}e0" for k, v in P.MINIMUM_WAGE.items()) + " END"
+
+
+@register("targets_wage", "X21", survey_sql(f"""
+SELECT ano, COUNT(*) AS n, COUNT(CASE WHEN eh_ti THEN 1 END) AS alvo_ti,
+       COUNT(CASE WHEN rendimento_trabalho_principal IS NOT NULL AND {_WAGE_SQL} IS NOT NULL THEN 1 END) AS definido,
+       CAST(COALESCE(SUM(CASE WHEN rendimento_trabalho_principal / 20 > 10 * {_WAGE_SQL} THEN 1 ELSE 0 END), 0) AS BIGINT) AS alvo_10sm
+FROM survey GROUP BY ano"""))
+def targets_wage(spark, d):
+    """The IT target and income above ten minimum wages, with the real wage table."""
+    df = SV.survey(spark, d)
+    wage = X.minimum_wage(F.col("ano") + 20)                 # the test years lie before the table
+    income = F.col("rendimento_trabalho_principal") / 20
+    high = X.above_wages(income, wage, 10)
+    return df.groupBy("ano").agg(F.count(F.lit(1)).alias("n"), count_if(F.col("eh_ti")).alias("alvo_ti"),
+                                 F.count(high).alias("definido"),
+                                 F.coalesce(F.sum(high), F.lit(0)).cast("long").alias("alvo_10sm"))
 
 
 _DUMMY = {"sexo": [1, 2], "nivel_instrucao": [1, 2, 3, 4, 5], "uf": list(range(11, 36))}
@@ -132,8 +153,7 @@ def _typed_dir(spark, d) -> str:
 SELECT CAST(eh_ti AS INT) AS flag_nome, COUNT(*) AS n FROM feed WHERE event_id % 3 = 0 GROUP BY 1""")
 def file_type_filter(spark, d):
     df = spark.read.parquet(_typed_dir(spark, d)).withColumn("arquivo", F.col("_metadata.file_path"))
-    kept = df.transform(lambda x: __import__("laborlens.operators.filters", fromlist=["x"])
-                        .file_type(x, ("MOV",), "arquivo"))
+    kept = FL.file_type(df, ("MOV",), "arquivo")
     return kept.groupBy(FS.flag_from_name("arquivo_nome").alias("flag_nome")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -18,6 +18,7 @@ from laborlens.plans.views import micro, mov, vinculos, ledger, with_views, TEST
 from laborlens.session import scratch_path
 from laborlens.sources import files as FS
 from laborlens.sources import sinks as K
+from laborlens.sources.tables import table
 
 # Fixture layout: a subset of the survey layout under the raw variable names.
 RAW_NAMES = {"ano": "Ano", "trimestre": "Trimestre", "uf": "UF", "peso_populacional": "V1028",
@@ -25,6 +26,7 @@ RAW_NAMES = {"ano": "Ano", "trimestre": "Trimestre", "uf": "UF", "peso_populacio
              "rendimento_trabalho_principal": "VD4016"}
 RAW_LAYOUT = [(RAW_NAMES[n], s, e) for n, s, e in P.SURVEY_LAYOUT if n in RAW_NAMES]
 RENAME = {v: k for k, v in RAW_NAMES.items()}
+RANGED = ("idade", "ano", "trimestre", "sexo")       # columns whose range the layout report gives
 
 _FIXTURES: dict = {}
 
@@ -79,28 +81,37 @@ def fixed_width_roundtrip(spark, d):
 
 
 @register("layout_verify", "Q4 S1", _m("""
-SELECT CAST(ano AS STRING) AS valor, COUNT(*) AS n, MIN(CAST(ano AS STRING) || CAST(trimestre AS STRING)) AS contexto
+SELECT CAST(ano AS STRING) AS valor, COUNT(*) AS n,
+       MIN(CAST(ano AS STRING) || CAST(trimestre AS STRING) || lpad(CAST(uf AS STRING), 2, ' ')) AS contexto,
+       MAX(CAST(ano AS STRING) || CAST(trimestre AS STRING) || lpad(CAST(uf AS STRING), 2, ' ')) AS contexto_max,
+       COUNT(DISTINCT CAST(ano AS STRING) || CAST(trimestre AS STRING) || lpad(CAST(uf AS STRING), 2, ' ')) AS contextos
 FROM micro GROUP BY 1"""))
 def layout_verify(spark, d):
     lines = FS.read_lines(spark, fwf_dir(spark, d))
+    around = F.substring("value", 1, 7)                              # the year and the fields after it
     return lines.groupBy(F.substring("value", 1, 4).alias("valor")).agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.substring("value", 1, 5)).alias("contexto"))
+        F.count(F.lit(1)).alias("n"), F.min(around).alias("contexto"), F.max(around).alias("contexto_max"),
+        F.countDistinct(around).alias("contextos"))
 
 
 @register("layout_columns", "Q8 S1 S2", _m(" UNION ALL ".join(
-    f"SELECT '{raw}' AS coluna, '{name}' AS nome, {s} AS inicio, {e} AS fim, COUNT({name}) AS nao_nulos FROM micro"
+    f"SELECT '{raw}' AS coluna, '{name}' AS nome, {s} AS inicio, {e} AS fim, COUNT({name}) AS nao_nulos, "
+    + (f"CAST(MIN({name}) AS DOUBLE) AS minimo, CAST(MAX({name}) AS DOUBLE) AS maximo FROM micro" if name in RANGED else
+       "CAST(NULL AS DOUBLE) AS minimo, CAST(NULL AS DOUBLE) AS maximo FROM micro")
     for raw, s, e in RAW_LAYOUT for name in [RENAME[raw]])))
 def layout_columns(spark, d):
-    spec = {raw: f"{s}-{e}" for raw, s, e in RAW_LAYOUT}          # textual spec, as in a config
+    # textual specs, as in a config: 'a-b', 'a,b', reversed; an invalid entry is left out
+    forms = ("{s}-{e}", "{s},{e}", "{e}:{s}")
+    spec = {raw: forms[k % 3].format(s=s, e=e) for k, (raw, s, e) in enumerate(RAW_LAYOUT)} | {"ruim": "x-9"}
     layout = FS.parse_layout(spec)
     raw = FS.read_fixed_width(spark, fwf_dir(spark, d), layout)
-    row = raw.agg(*[F.count(n).alias(n) for n, _, _ in layout])
-    parts = [row.select(F.lit(n).alias("coluna"), F.lit(RENAME[n]).alias("nome"), F.lit(s).alias("inicio"),
-                        F.lit(e).alias("fim"), F.col(n).alias("nao_nulos")) for n, s, e in layout]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    number = {n: X.to_number(n) if RENAME[n] in RANGED else F.lit(None).cast("double") for n, _, _ in layout}
+    row = raw.agg(*[a for n, _, _ in layout for a in (
+        F.count(n).alias(n), F.min(number[n]).alias(f"{n}_min"), F.max(number[n]).alias(f"{n}_max"))])
+    return row.select(F.inline(F.array(*[F.struct(
+        F.lit(n).alias("coluna"), F.lit(RENAME[n]).alias("nome"), F.lit(s).alias("inicio"), F.lit(e).alias("fim"),
+        F.col(n).alias("nao_nulos"), F.col(f"{n}_min").alias("minimo"), F.col(f"{n}_max").alias("maximo"))
+        for n, s, e in layout])))
 
 
 @register("year_pruned_scan", "S10 S9", _m("""
@@ -112,13 +123,14 @@ def year_pruned_scan(spark, d):
 
 
 @register("file_caps", "S11", _m("""
-SELECT 'PNADC_0' || CAST(trimestre AS STRING) || CAST(ano AS STRING) AS nome_arquivo,
-       CAST(LEAST(COUNT(*), 100) AS BIGINT) AS n FROM micro GROUP BY 1"""))
+SELECT 'PNADC_0' || CAST(trimestre AS STRING) || CAST(ano AS STRING) AS nome_arquivo, COUNT(*) AS n,
+       COUNT(*) AS validas, CAST(MIN(idade) AS INT) AS idade_min, CAST(MAX(idade) AS INT) AS idade_max
+FROM micro GROUP BY 1"""))
 def file_caps(spark, d):
+    """Preview of every file from all its rows: line count, well-formed lines, age range."""
     lines = FS.read_lines(spark, fwf_dir(spark, d))
-    lines = lines.withColumn("nome_arquivo", F.regexp_extract("arquivo", r"nome_arquivo=([^/]+)", 1))
-    capped = FS.cap_rows_per_file(lines, 100, "nome_arquivo")
-    return capped.groupBy("nome_arquivo").agg(F.count(F.lit(1)).alias("n"))
+    return FS.file_preview(lines.withColumn("arquivo", F.regexp_extract("arquivo", r"nome_arquivo=([^/]+)", 1)),
+                           RAW_LAYOUT, "V2009")
 
 
 @register("raw_vs_processed", "L6 X3 X23", _m("""
@@ -154,7 +166,7 @@ def raw_vs_processed(spark, d):
 
 
 @register("zip_roundtrip", "S13", _m("""
-SELECT ano, COUNT(*) AS n, CAST(SUM(idade) AS BIGINT) AS soma_idade FROM micro GROUP BY ano"""))
+SELECT ano, 'PNADC_012001.txt' AS nome, COUNT(*) AS n, CAST(SUM(idade) AS BIGINT) AS soma_idade FROM micro GROUP BY ano"""))
 def zip_roundtrip(spark, d):
     def build():
         m = micro(spark, d)
@@ -165,7 +177,7 @@ def zip_roundtrip(spark, d):
     lines = FS.read_zip_lines(spark, zdir)
     df = FS.cut_fixed_width(lines.withColumn("nome", FS.canonical_archive_name()), RAW_LAYOUT, keep=("nome",))
     df = SC.rename_present(df, RENAME, normalize_keys=False)
-    return df.groupBy(X.to_number("ano", to_int=True).cast("int").alias("ano")).agg(
+    return df.groupBy(X.to_number("ano", to_int=True).cast("int").alias("ano"), "nome").agg(
         F.count(F.lit(1)).alias("n"), F.sum(X.to_number("idade", to_int=True)).cast("long").alias("soma_idade"))
 
 
@@ -209,15 +221,45 @@ def charset_roundtrip(spark, d):
         K.export_csv(m.filter(F.col("user_id") % 2 == 1).drop("user_id"), f"{base}/utf8", ";", True)
         return base
     base = _fixture(spark, d, "charset", build)
-    paths = [f"{base}/latin1", f"{base}/utf8"]
-    parts = []
-    for v in FS.detect_charsets(spark, paths, "*.csv").collect():      # one verdict per file
-        raw = FS.read_delimited(spark, v["path"], ";", v["charset"])
-        parts.append(SC.rename_present(SC.normalize_headers(raw.drop("arquivo")), P.FEED_RENAME))
-    df = parts[0]
-    for p in parts[1:]:
-        df = df.unionByName(p, allowMissingColumns=True)
-    return _feed_counts(df)
+    raw = FS.read_delimited(spark, [f"{base}/latin1", f"{base}/utf8"], ";", encoding=None, glob="*.csv")
+    return _feed_counts(SC.rename_present(SC.normalize_headers(raw.drop("arquivo")), P.FEED_RENAME))
+
+
+@register("csv_headers", "S3 S4 P6", """
+SELECT CAST(n_regionkey AS STRING) AS regiao, COUNT(*) AS n, CAST(SUM(length(n_name)) AS BIGINT) AS letras,
+       COUNT(CASE WHEN n_nationkey % 2 = 0 THEN 1 END) AS com_segunda_nota,
+       CAST(SUM(CASE WHEN n_nationkey % 3 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS com_quebra
+FROM nation GROUP BY n_regionkey""")
+def csv_headers(spark, d):
+    """Files with different column orders, a duplicate header, blank and over-long lines,
+    quoted separators and line breaks."""
+    def build():
+        base = scratch_path(spark, "headers")
+        n = table(spark, d, "nation", "n_nationkey", "n_regionkey", "n_name")
+        note = F.when(F.col("n_nationkey") % 3 == 0, F.lit('"uma; nota\nem ""duas"" linhas"')).otherwise(F.lit('"uma; nota"'))
+        name, region = F.col("n_name"), F.col("n_regionkey").cast("string")
+        for part, head, cols in ((0, "nome;regiao;nota;nota", [name, region, note, F.lit("segunda")]),
+                                 (1, ' nota;"regiao";nome', [note, region, name])):
+            lines = n.filter(F.col("n_nationkey") % 2 == part).select(F.lit(1).alias("k"), F.concat_ws(";", *cols).alias("value"))
+            extra = spark.createDataFrame([(0, head), (2, "   "), (3, "a;b;c;d;e;f;longa")], "k int, value string")
+            lines.union(extra).coalesce(1).sortWithinPartitions("k").select("value") \
+                 .write.mode("overwrite").text(f"{base}/{part}")            # 25 rows: one file each
+        return base
+    base = _fixture(spark, d, "headers", build)
+    df = FS.read_delimited(spark, [f"{base}/0", f"{base}/1"], ";", encoding=None)
+    return df.groupBy("regiao").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.length("nome")).cast("long").alias("letras"),
+        F.count("nota_1").alias("com_segunda_nota"),
+        F.sum((F.col("nota") == 'uma; nota\nem "duas" linhas').cast("long")).alias("com_quebra"))
+
+
+@register("export_rows", "K4 K6", with_views("mov") + "SELECT COUNT(*) AS linhas, COUNT(*) AS lidas FROM mov")
+def export_rows(spark, d):
+    """Rows of a table before an export, and lines of the exported files without headers."""
+    path = scratch_path(spark, "export")
+    n = K.export_with_count(mov(spark, d).select("competencia", "uf", "idade"), path, compression="gzip")
+    read = FS.read_delimited(spark, path, ";", "UTF-8").agg(F.count(F.lit(1)).alias("lidas"))
+    return read.select(F.lit(n).cast("long").alias("linhas"), "lidas")
 
 
 @register("sep_sniff", "S5 S3 S8", _MOV_COUNTS_SQL)
@@ -243,14 +285,14 @@ def headerless_csv(spark, d):
 # ---------------------------------------------------------------------------
 
 @register("consolidate", "K1 K2 K3 S7 S9 S16 U1 P5 P7", _m("""
-SELECT ano, trimestre, eh_ti, COUNT(*) AS n, COUNT(CASE WHEN trimestre <= 2 THEN idade END) AS n_idade,
+SELECT ano, trimestre, eh_ti, 5 AS colunas, COUNT(*) AS n, COUNT(CASE WHEN trimestre <= 2 THEN idade END) AS n_idade,
        ROUND(COALESCE(SUM(peso_populacional), 0.0), 4) AS peso FROM micro GROUP BY ano, trimestre, eh_ti"""))
 def consolidate(spark, d):
     def build():
         base = scratch_path(spark, "consol")
         m = micro(spark, d)
-        K.write_dataset(m.filter(F.col("trimestre") <= 2).select("ano", "trimestre", "eh_ti", "idade",
-                                                                 "peso_populacional"),
+        K.write_dataset(m.filter(F.col("trimestre") <= 2).select("ano", "trimestre", "eh_ti", "idade", "peso_populacional",
+                                                                 F.lit("x").alias("cbo_familia_antiga")),
                         f"{base}/parte1", partition_by=("ano", "eh_ti"))
         K.write_dataset(m.filter(F.col("trimestre") > 2).select("ano", "trimestre", "eh_ti", "sexo",
                                                                 "peso_populacional"),
@@ -263,6 +305,7 @@ def consolidate(spark, d):
     con = con.withColumn("eh_ti", F.col("eh_ti").cast("boolean"))   # partition values are text
     con = SC.drop_present(con, "cbo_familia_antiga")
     return con.groupBy("ano", "trimestre", "eh_ti").agg(
+        F.lit(len(con.columns)).alias("colunas"),
         F.count(F.lit(1)).alias("n"), F.count("idade").alias("n_idade"),
         F.round(F.coalesce(F.sum("peso_populacional"), F.lit(0.0)), 4).alias("peso"))
 
@@ -276,7 +319,6 @@ _INPUTS_SQL = """inputs AS (SELECT DISTINCT 'PNADC_0' || CAST(1 + event_id % 4 A
 
 
 def _inputs(spark, d) -> DataFrame:
-    from laborlens.sources.tables import table
     e = table(spark, d, "events", "event_id")
     return e.select(F.concat(F.lit("PNADC_0"), (1 + F.col("event_id") % 4).cast("string"),
                              (2012 + F.col("event_id") % 14).cast("string"), F.lit(".txt")).alias("nome")).distinct()

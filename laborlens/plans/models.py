@@ -1,5 +1,6 @@
-"""Model evaluation (metrics over the deterministic pseudo-score, SQL-checked),
-statistical tests and trends, and Spark ML model operators (rows-only)."""
+"""Model evaluation (metrics over the deterministic pseudo-score), statistical tests
+and trends, and Spark ML model operators.  The model queries report what SQL can
+check (sizes, weights, sums, agreement of a saved and a fitted model)."""
 
 from __future__ import annotations
 
@@ -11,12 +12,14 @@ from laborlens.functions import scalars as X
 from laborlens.operators import metrics as MT
 from laborlens.operators import ml as ML
 from laborlens.operators import sampling as M
+from laborlens.operators import schema as SC
 from laborlens.operators import stats as ST
 from laborlens.plans import ageism as AG
+from laborlens.plans import sampling_plans as SP
 from laborlens.plans import survey as SV
 from laborlens.plans.registry import register
 from laborlens.plans.sqlbits import survey_sql
-from laborlens.session import scratch_path
+from laborlens.session import materialise, scratch_path
 
 WGT = "peso_populacional"
 _W_SQL = "COALESCE(peso_populacional, CAST(0 AS DOUBLE))"
@@ -56,6 +59,28 @@ def clf_metrics(spark, d):
     return a.unionByName(b)
 
 
+def _class_sql(name: str, w: str) -> str:
+    line = ("SELECT '{v}' AS variante, '{c}' AS classe, {tp} / NULLIF({tp} + {fp}, 0) AS p, {tp} / NULLIF({tp} + {fn}, 0) AS r, "
+            "{tp} + {fn} AS s FROM k")
+    both = (line.format(v=name, c="0", tp="tn", fp="fn", fn="fp") + " UNION ALL "
+            + line.format(v=name, c="1", tp="tp", fp="fp", fn="fn"))
+    f1 = "CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END"
+    return f"""
+SELECT variante, classe, ROUND(p, 6) AS precision, ROUND(r, 6) AS recall, ROUND(f1, 6) AS f1, ROUND(s, 4) AS suporte FROM (
+  WITH k AS (SELECT {_conf_sql(w)} FROM survey),
+  c AS (SELECT variante, classe, p, r, {f1} AS f1, s FROM (SELECT variante, classe, COALESCE(p, 0) AS p, COALESCE(r, 0) AS r, s FROM ({both})))
+  SELECT * FROM c
+  UNION ALL SELECT '{name}', 'macro', AVG(p), AVG(r), AVG(f1), SUM(s) FROM c
+  UNION ALL SELECT '{name}', 'ponderada', SUM(p * s) / SUM(s), SUM(r * s) / SUM(s), SUM(f1 * s) / SUM(s), SUM(s) FROM c)"""
+
+
+@register("class_report", "R8", survey_sql(_class_sql("nao_ponderado", None) + " UNION ALL " + _class_sql("ponderado", _W_SQL)))
+def class_report(spark, d):
+    df = scored(spark, d)
+    a = MT.class_report(df, "y_true", "y_proba").withColumn("variante", F.lit("nao_ponderado"))
+    return a.unionByName(MT.class_report(df, "y_true", "y_proba", w=WGT).withColumn("variante", F.lit("ponderado")))
+
+
 def _auc_sql(w: str, name: str) -> str:
     return f"""
 SELECT '{name}' AS variante,
@@ -73,15 +98,24 @@ FROM (SELECT *, SUM(wn) OVER (ORDER BY y_proba ROWS UNBOUNDED PRECEDING) AS cwn,
 @register("auc_exact", "R9 W1", survey_sql(_auc_sql("1.0", "nao_ponderado") + " UNION ALL "
                                            + _auc_sql(_W_SQL, "ponderado")))
 def auc_exact(spark, d):
-    df = scored(spark, d)
-    out = None
-    for name, w in (("nao_ponderado", None), ("ponderado", WGT)):
-        a = MT.auc_exact(df, "y_true", "y_proba", w)
-        p = MT.average_precision(df, "y_true", "y_proba", w)
-        t = a.join(p, how="inner").select(F.lit(name).alias("variante"), F.round("auc", 6).alias("auc"),
-                                          F.round("ap", 6).alias("ap"))
-        out = t if out is None else out.unionByName(t)
-    return out
+    t = MT.score_table(scored(spark, d), "y_true", "y_proba", {"nao_ponderado": None, "ponderado": WGT})
+    r = MT.ranking_metrics(materialise(t, "escores"), ["nao_ponderado", "ponderado"])
+    return r.select("variante", F.round("auc", 6).alias("auc"), F.round("ap", 6).alias("ap"))
+
+
+@register("curve_points", "R9", survey_sql("""
+SELECT y_proba AS score, ROUND(fp / tn, 6) AS fpr, ROUND(tp / tpos, 6) AS tpr, ROUND(tp / (tp + fp), 6) AS precision,
+       ROUND(tp / tpos, 6) AS recall FROM (
+  SELECT y_proba, SUM(wp) OVER (ORDER BY y_proba DESC ROWS UNBOUNDED PRECEDING) AS tp,
+         SUM(wn) OVER (ORDER BY y_proba DESC ROWS UNBOUNDED PRECEDING) AS fp,
+         SUM(wp) OVER () AS tpos, SUM(wn) OVER () AS tn FROM (
+    SELECT y_proba, CAST(COUNT(CASE WHEN y_true = 1 THEN 1 END) AS DOUBLE) AS wp,
+           CAST(COUNT(CASE WHEN y_true <> 1 THEN 1 END) AS DOUBLE) AS wn
+    FROM survey WHERE y_proba IS NOT NULL GROUP BY y_proba))"""))
+def curve_points(spark, d):
+    """ROC and precision-recall points, one per distinct score."""
+    t = materialise(MT.score_table(scored(spark, d), "y_true", "y_proba", {"n": None}), "escores")
+    return MT.curve_points(t, "n").select("score", *[F.round(c, 6).alias(c) for c in ("fpr", "tpr", "precision", "recall")])
 
 
 _TH_SQL = ", ".join(f"({t})" for t in P.THRESHOLDS)
@@ -123,12 +157,14 @@ _HCUT_SQL = "CASE " + " ".join(f"WHEN idade > {lo} AND idade <= {hi} THEN '{lb}'
 
 
 @register("subgroup_metrics", "R12 X19", survey_sql(f"""
-SELECT grupo, valor, n, tp, fp, tn, fn, {_derive_sql()} FROM (
+SELECT grupo, valor, n, tp, fp, tn, fn, valido, {", ".join(f"CASE WHEN valido THEN {c} END AS {c}" for c in
+    ("accuracy", "balanced_accuracy", "precision", "recall", "f1"))} FROM (
+SELECT grupo, valor, n, tp, fp, tn, fn, n >= 10 AND pos > 0 AND pos < n AS valido, {_derive_sql()} FROM (
   SELECT grupo, valor, COUNT(*) AS n, SUM(y_true) AS pos, {_conf_sql(None)} FROM (
     SELECT 'faixa_idade' AS grupo, {_HCUT_SQL} AS valor, y_true, y_proba FROM survey
     UNION ALL SELECT 'sexo', CAST(sexo AS STRING), y_true, y_proba FROM survey
     UNION ALL SELECT 'nivel_instrucao', CAST(nivel_instrucao AS STRING), y_true, y_proba FROM survey)
-  GROUP BY grupo, valor) WHERE n >= 10 AND pos > 0 AND pos < n"""))
+  GROUP BY grupo, valor))"""))
 def subgroup_metrics(spark, d):
     df = scored(spark, d).withColumn("faixa_idade", X.age_cut("idade", _HE, _HL))
     return MT.subgroup_metrics(df, "y_true", "y_proba", ["faixa_idade", "sexo", "nivel_instrucao"])
@@ -175,11 +211,30 @@ def ttest_by_period(spark, d):
                     F.round("t", 6).alias("t"))
 
 
-@register("ttest_pvalues", "R1")
+_STEPS = 4000
+#: Two-sided p-value of t with v degrees of freedom: Simpson's rule over the density.
+_P_SQL = f"""
+pv AS (SELECT id, CASE WHEN v > 0 THEN greatest(0e0, 1 - 2 * abs(t) / {_STEPS} / 3 * SUM(
+    CASE WHEN i = 0 OR i = {_STEPS} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+    * exp(lgamma((v + 1) / 2e0) - lgamma(v / 2e0)) / sqrt(v * pi())
+    * pow(1 + pow(abs(t) * i / {_STEPS}, 2) / v, -(v + 1) / 2e0))) ELSE 1e0 END AS p
+  FROM ts, (SELECT UNNEST(range(0, {_STEPS + 1})) AS i) GROUP BY id, t, v)"""
+
+
+@register("ttest_pvalues", "R1", AG._sql("""
+SELECT ano, ROUND(t, 6) AS t, v AS gl, ROUND(p, 5) AS p FROM ts JOIN pv ON ts.id = pv.id""", extra="""
+ts AS (SELECT ano AS id, ano, CAST(n1 + n2 - 2 AS BIGINT) AS v,
+    CASE WHEN n1 >= 2 AND n2 >= 2 AND sp2 > 0 THEN (m1 - m2) / sqrt(sp2 * (1.0 / n1 + 1.0 / n2)) ELSE 0.0 END AS t
+  FROM (SELECT *, ((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) AS sp2 FROM (
+    SELECT ano, COUNT(CASE WHEN eh_ti THEN 1 END) AS n1, COUNT(CASE WHEN NOT eh_ti THEN 1 END) AS n2,
+           AVG(CASE WHEN eh_ti THEN idade END) AS m1, AVG(CASE WHEN NOT eh_ti THEN idade END) AS m2,
+           VAR_SAMP(CASE WHEN eh_ti THEN idade END) AS v1, VAR_SAMP(CASE WHEN NOT eh_ti THEN idade END) AS v2
+    FROM base GROUP BY 1))),""" + _P_SQL))
 def ttest_pvalues(spark, d):
-    """t and its two-sided p-value per year (p from the t distribution; rows-only)."""
+    """t and its two-sided p-value per year."""
     t = ST.two_sample_t(AG.base(spark, d), ["ano"], "idade", "eh_ti")
-    return t.select("ano", "t", "gl", ST.t_pvalue(F.col("t"), F.col("gl").cast("double")).alias("p"))
+    return t.select("ano", F.round("t", 6).alias("t"), "gl",
+                    F.round(ST.t_pvalue(F.col("t"), F.col("gl").cast("double")), 5).alias("p"))
 
 
 _YEARLY_AGE_SQL = "ya AS (SELECT eh_ti, ano, AVG(idade) AS idade_media FROM base GROUP BY eh_ti, ano)"
@@ -189,13 +244,17 @@ _YEARLY_AGE_SQL = "ya AS (SELECT eh_ti, ano, AVG(idade) AS idade_media FROM base
 SELECT eh_ti, ROUND(regr_slope(idade_media, ano), 6) AS inclinacao,
        ROUND(regr_intercept(idade_media, ano), 4) AS intercepto, ROUND(regr_r2(idade_media, ano), 6) AS r2,
        COUNT(*) AS n, CASE WHEN regr_slope(idade_media, ano) > 0 THEN 'crescente'
-                           WHEN regr_slope(idade_media, ano) < 0 THEN 'decrescente' ELSE 'estavel' END AS direcao
-FROM ya GROUP BY eh_ti""", extra=_YEARLY_AGE_SQL))
+                           WHEN regr_slope(idade_media, ano) < 0 THEN 'decrescente' ELSE 'estavel' END AS direcao,
+       ROUND(ANY_VALUE(p), 5) AS p_valor
+FROM ya JOIN pv ON ya.eh_ti = pv.id GROUP BY eh_ti""", extra=_YEARLY_AGE_SQL + """,
+ts AS (SELECT eh_ti AS id, COUNT(*) - 2 AS v, sqrt(regr_r2(idade_media, ano) * (COUNT(*) - 2)
+              / (1 - regr_r2(idade_media, ano))) AS t FROM ya GROUP BY eh_ti),""" + _P_SQL))
 def age_trend(spark, d):
     ya = AG.base(spark, d).groupBy("eh_ti", "ano").agg(F.avg("idade").alias("idade_media"))
     t = ST.linear_trend(ya, ["eh_ti"], "idade_media", "ano")
     return t.select("eh_ti", F.round("inclinacao", 6).alias("inclinacao"),
-                    F.round("intercepto", 4).alias("intercepto"), F.round("r2", 6).alias("r2"), "n", "direcao")
+                    F.round("intercepto", 4).alias("intercepto"), F.round("r2", 6).alias("r2"), "n", "direcao",
+                    F.round("p_valor", 5).alias("p_valor"))
 
 
 @register("trend_projection", "R4", AG._sql("""
@@ -211,133 +270,225 @@ def trend_projection(spark, d):
 
 
 # ---------------------------------------------------------------------------
-# Spark ML models (rows-only checks)
+# Spark ML models
 # ---------------------------------------------------------------------------
 
 NUMERIC = ["idade", "anos_estudo", "horas_trabalhadas_semana"]
 CATEGORICAL = ["sexo", "uf", "nivel_instrucao", "carteira_assinada", "cor_raca"]
 TARGET_ALIASES = ("y_true", "rendimento_trabalho_principal", "rendimento_bruto_mensal")
+TRAIN = "split = 'treino'"
+
+_TABLES: dict = {}
 
 
 def _ml_table(spark, d) -> DataFrame:
-    """Features ∩ schema minus target/leakage, hash split, balanced weights."""
-    df = SV.occ(spark, d).withColumn("hk", M.pk_hash("l_orderkey", "l_linenumber"))
-    num, cat = __import__("laborlens.operators.schema", fromlist=["x"]).feature_projection(
-        df, NUMERIC, CATEGORICAL, TARGET_ALIASES)
-    t = ML.prepare(df.select("hk", "record_id", "y_true", "eh_ti", *num, *cat), num, cat, "y_true")
-    t = M.stratified_split(t, "label", 0.25, "hk")
-    return ML.balanced_weights(t, "label")
+    """Features ∩ schema minus target/leakage, hash split, balanced weights;
+    written once, as every model pass reads it."""
+    at = (spark.sparkContext.applicationId, d)
+    if at not in _TABLES:
+        df = SV.occ(spark, d).withColumn("hk", M.pk_hash(*SP.PK))
+        num, cat = SC.feature_projection(df, NUMERIC, CATEGORICAL, TARGET_ALIASES)
+        t = ML.prepare(df.select("hk", "record_id", "y_true", "eh_ti", WGT, *num, *cat), num, cat, "y_true")
+        t = M.stratified_split(t, "label", SP.TEST_FRACTION, "hk")
+        _TABLES[at] = materialise(ML.balanced_weights(t, "label"), "ml")
+    return _TABLES[at]
+
+
+def _fit_forest(spark, d, num_trees=20, max_depth=8, weight_col="peso_classe"):
+    t = _ml_table(spark, d)
+    train = ML.require_two_classes(t.filter(TRAIN))
+    return ML.forest(NUMERIC, CATEGORICAL, num_trees, max_depth, 5, weight_col).fit(train), t
 
 
-def _fit_forest(spark, d, num_trees=20, max_depth=8):
-    t = _ml_table(spark, d)
-    train, test = t.filter(F.col("split") == "treino"), t.filter(F.col("split") == "teste")
-    model = ML.forest(NUMERIC, CATEGORICAL, num_trees, max_depth, 5, "peso_classe").fit(train)
-    return model, train, test
+_ML_CTE = SP._HK_CTE.replace("FROM survey", "FROM occ") + f""",
+ml AS (SELECT *, CASE WHEN ROW_NUMBER() OVER (PARTITION BY y_true ORDER BY hk, {SP.PK_ORDER})
+         <= round(COUNT(*) OVER (PARTITION BY y_true) * {SP.TEST_FRACTION}) THEN 'teste' ELSE 'treino' END AS split FROM hs),
+wc AS (SELECT y_true, SUM(COUNT(*)) OVER () / (COUNT(*) OVER () * COUNT(*)) AS peso FROM ml GROUP BY y_true)"""
+
 
+def _in_unit(c) -> "F.Column":
+    return F.coalesce(F.col(c).between(0.0, 1.0), F.lit(False))
 
-@register("forest", "R5 R6 R8 R9")
+
+@register("forest", "R5 R6 R8 R9", survey_sql("""
+SELECT v AS pesos, COUNT(*) AS n, CAST(SUM(y_true) AS BIGINT) AS n_pos, TRUE AS soma_ok, TRUE AS auc_ok, TRUE AS metricas_ok,
+       (SELECT ROUND(peso, 6) FROM wc WHERE y_true = 1) AS peso_pos
+FROM ml, (VALUES ('classe'), ('populacao')) x(v) WHERE split = 'teste' GROUP BY v""", extra=_ML_CTE))
 def forest(spark, d):
-    model, _, test = _fit_forest(spark, d)
-    pred = ML.positive_probability(model.transform(test))
-    rep = MT.classification_report(pred.withColumn("y", F.col("label").cast("int")), "y", "y_proba")
-    auc = MT.auc_exact(pred, "label", "y_proba")
-    return rep.join(auc, how="inner")
+    """Forests with class and with survey weights, scored on the test rows."""
+    out = None
+    for name, w in (("classe", "peso_classe"), ("populacao", "peso_amostra")):
+        t = _ml_table(spark, d)
+        if w == "peso_amostra":
+            t = t.withColumn(w, F.greatest(F.coalesce(F.col(WGT), F.lit(0.0)), F.lit(0.0)))
+        model = ML.forest(NUMERIC, CATEGORICAL, 20, 8, 5, w).fit(ML.require_two_classes(t.filter(TRAIN)))
+        pred = materialise(ML.positive_probability(model.transform(t.filter("split = 'teste'")))
+                           .select("label", "y_proba", "peso_classe"), "previsoes")
+        rep = MT.classification_report(pred, "label", "y_proba")
+        auc = MT.auc_exact(pred, "label", "y_proba")
+        more = pred.agg(F.sum("label").cast("long").alias("n_pos"),
+                        F.round(F.max(F.when(F.col("label") == 1, F.col("peso_classe"))), 6).alias("peso_pos"))
+        r = rep.crossJoin(auc).crossJoin(more).select(                                   # one row each
+            F.lit(name).alias("pesos"), "n", "n_pos",
+            (F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn") == F.col("n")).alias("soma_ok"),
+            _in_unit("auc").alias("auc_ok"), (_in_unit("f1") & _in_unit("accuracy")).alias("metricas_ok"), "peso_pos")
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+@register("forest_predictions", "R6 X24", survey_sql("""
+SELECT record_id, l_partkey, split, y_true, TRUE AS prob_ok FROM ml""", extra=_ML_CTE))
+def forest_predictions(spark, d):
+    """Prediction table of all rows (train and test) with the probability and the label."""
+    model, t = _fit_forest(spark, d, num_trees=10, max_depth=6)
+    pred = ML.positive_probability(model.transform(t))
+    ok = _in_unit("y_proba") & ((F.col("y_proba") >= 0.5) == (F.col("prediction") == 1))
+    keys = SV.occ(spark, d).withColumn("hk", M.pk_hash(*SP.PK)).select("hk", "l_partkey")
+    return pred.join(keys, "hk").select("record_id", "l_partkey", "split", "y_true", ok.alias("prob_ok"))
 
 
-@register("logistic", "R5 R7")
+def _sources_sql(flag: str) -> str:
+    return survey_sql(" UNION ALL ".join(
+        f"SELECT '{c}' AS origem, TRUE AS {flag}, (SELECT COUNT(*) FROM ml WHERE split = 'treino') AS n_treino"
+        for c in NUMERIC + CATEGORICAL), extra=_ML_CTE)
+
+
+def coefficients(model, t: DataFrame) -> DataFrame:
+    """(feature, coef, origem) of a fitted logistic pipeline."""
+    names = ML.feature_names(model, "features", model.transform(t.limit(1)))
+    rows = [(n, float(c), ML.source_column(n, NUMERIC + CATEGORICAL))
+            for n, c in zip(names, model.stages[-1].coefficients.toArray())]
+    return t.sparkSession.createDataFrame(rows, "feature string, coef double, origem string")
+
+
+@register("logistic", "R5 R7", _sources_sql("finito"))
 def logistic(spark, d):
     t = _ml_table(spark, d)
-    model = ML.logistic(NUMERIC, CATEGORICAL, "peso_classe").fit(t.filter(F.col("split") == "treino"))
-    lr = model.stages[-1]
-    scored_ = model.transform(t.limit(1))
-    names = ML.feature_names(model, "features", scored_)
-    coefs = [(n, float(c)) for n, c in zip(names, lr.coefficients.toArray())]
-    out = spark.createDataFrame(coefs, "feature string, coef double")
-    return out.withColumn("abs_coef", F.abs("coef")).orderBy(F.desc("abs_coef"))
+    train = ML.require_two_classes(t.filter(TRAIN))
+    c = coefficients(ML.logistic(NUMERIC, CATEGORICAL, "peso_classe").fit(train), t)
+    n = train.agg(F.count(F.lit(1)).alias("n_treino"))
+    return c.groupBy("origem").agg(F.bool_and(F.abs("coef") < 1e6).alias("finito")).crossJoin(n)   # one row
 
 
-@register("importances", "R13")
-def importances(spark, d):
-    model, train, _ = _fit_forest(spark, d, num_trees=10, max_depth=6)
-    rf = model.stages[-1]
-    names = ML.feature_names(model, "features", model.transform(train.limit(1)))
+def importance_table(model, t: DataFrame) -> DataFrame:
+    """Forest importances summed to their source columns."""
+    names = ML.feature_names(model, "features", model.transform(t.limit(1)))
     rows = [(ML.source_column(n, NUMERIC + CATEGORICAL), float(v))
-            for n, v in zip(names, rf.featureImportances.toArray())]
-    imp = spark.createDataFrame(rows, "origem string, importancia double")
+            for n, v in zip(names, model.stages[-1].featureImportances.toArray())]
+    imp = t.sparkSession.createDataFrame(rows, "origem string, importancia double")
     return imp.groupBy("origem").agg(F.sum("importancia").alias("importancia"))
 
 
-@register("perm_importance", "R14")
+@register("importances", "R13", _sources_sql("soma_ok"))
+def importances(spark, d):
+    model, t = _fit_forest(spark, d, num_trees=10, max_depth=6)
+    imp = importance_table(model, t)
+    one = imp.agg((F.abs(F.sum("importancia") - 1) < 1e-9).alias("soma_ok"))
+    n = t.filter(TRAIN).agg(F.count(F.lit(1)).alias("n_treino"))
+    return imp.select("origem").crossJoin(one).crossJoin(n)                              # one row each
+
+
+@register("perm_importance", "R14 M9", survey_sql(" UNION ALL ".join(
+    f"SELECT '{c}' AS feature, CAST(20 AS BIGINT) AS replicas, TRUE AS valida" for c in NUMERIC + CATEGORICAL)))
 def perm_importance(spark, d):
-    """F1 drop when one feature column is permuted (2 repeats), mean and std."""
-    model, _, test = _fit_forest(spark, d, num_trees=10, max_depth=6)
-    base = ML.f1_of(ML.positive_probability(model.transform(test))).withColumnRenamed("f1", "f1_base")
-    parts = []
-    for col in NUMERIC:
-        for rep in range(2):
-            perm = ML.permute_column(test, col, seed=100 + rep)
-            f1 = ML.f1_of(ML.positive_probability(model.transform(perm)))
-            parts.append(f1.select(F.lit(col).alias("feature"), F.lit(rep).alias("repeticao"), "f1"))
-    allp = parts[0]
-    for p in parts[1:]:
-        allp = allp.unionByName(p)
-    j = allp.join(base, how="inner").withColumn("queda", F.col("f1_base") - F.col("f1"))
-    return j.groupBy("feature").agg(F.avg("queda").alias("media"), F.stddev("queda").alias("desvio"))
-
-
-@register("cv_grid", "R15")
+    """F1 drop of all features when permuted, with bootstrap mean, deviation and quantiles."""
+    model, t = _fit_forest(spark, d, num_trees=10, max_depth=6)
+    imp = ML.permutation_importance(model, t.filter("split = 'teste'"), NUMERIC + CATEGORICAL, "hk")
+    ok = (F.col("q025") <= F.col("media") + 1e-9) & (F.col("media") <= F.col("q975") + 1e-9) & (F.abs("media") <= 1)
+    return imp.select("feature", "replicas", ok.alias("valida"))
+
+
+@register("cv_folds", "R15", survey_sql(f"""
+SELECT fold, y_true, COUNT(*) AS n FROM (
+  SELECT y_true, CAST((ROW_NUMBER() OVER (PARTITION BY y_true ORDER BY hk, {SP.PK_ORDER}) - 1) % 3 AS INT) AS fold
+  FROM ml) GROUP BY fold, y_true""", extra=_ML_CTE))
+def cv_folds(spark, d):
+    """Stratified folds: sizes per fold and class."""
+    t = ML.stratified_folds(_ml_table(spark, d), "y_true", "hk", 3)
+    return t.groupBy("fold", "y_true").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("cv_grid", "R15", survey_sql("""
+SELECT x AS max_depth, TRUE AS auc_ok FROM (VALUES (3), (6)) v(x)"""))
 def cv_grid(spark, d):
-    t = _ml_table(spark, d).withColumn("fold", (F.col("hk") % 3).cast("int"))
+    t = materialise(ML.stratified_folds(_ml_table(spark, d), "y_true", "hk", 3), "folds")
     pipe = ML.forest(NUMERIC, CATEGORICAL, 10, 4, 5)
     rf = pipe.getStages()[-1]
     grid = ML.ParamGridBuilder().addGrid(rf.maxDepth, [3, 6]).build()
     cv = ML.cross_validate(t, pipe, grid, "fold")
     rows = [(int(pm[rf.maxDepth]), float(m)) for pm, m in zip(grid, cv.avgMetrics)]
-    return spark.createDataFrame(rows, "max_depth int, auc_media double")
+    return spark.createDataFrame(rows, "max_depth int, auc_media double").select(
+        "max_depth", _in_unit("auc_media").alias("auc_ok"))
+
 
+CURVE = (0.25, 0.5, 1.0)
+_SHARE_SQL = "CAST('0x' || substr(md5(CAST(hk AS STRING) || '-curva'), 1, 8) AS BIGINT) / CAST(4294967296 AS DOUBLE)"
 
-@register("learning_curve", "R15")
+
+@register("learning_curve", "R15", survey_sql(" UNION ALL ".join(
+    f"SELECT CAST({f} AS DOUBLE) AS fracao, COUNT(*) AS n_treino, TRUE AS auc_ok FROM ml "
+    f"WHERE split = 'treino' AND {_SHARE_SQL} < CAST({f} AS DOUBLE)" for f in CURVE), extra=_ML_CTE))
 def learning_curve(spark, d):
+    """AUC on the test rows of forests fitted on growing shares of the training rows."""
     t = _ml_table(spark, d)
-    train, test = t.filter(F.col("split") == "treino"), t.filter(F.col("split") == "teste")
+    train, test = t.filter(TRAIN), t.filter("split = 'teste'")
     out = None
-    for frac in (0.25, 0.5, 1.0):
-        sub = train.filter(F.col("hk") < F.lit(int(frac * 17592186044416)))
-        m = ML.forest(NUMERIC, CATEGORICAL, 10, 6, 5).fit(sub)
+    for frac in CURVE:
+        sub = train.filter(M.uniform(F.col("hk"), F.lit("curva")) < frac)
+        m = ML.forest(NUMERIC, CATEGORICAL, 10, 6, 5).fit(ML.require_two_classes(sub))
         auc = MT.auc_exact(ML.positive_probability(m.transform(test)), "label", "y_proba")
-        r = auc.select(F.lit(frac).alias("fracao"), "auc")
+        n = sub.agg(F.count(F.lit(1)).alias("n_treino"))
+        r = auc.crossJoin(n).select(F.lit(frac).alias("fracao"), "n_treino", _in_unit("auc").alias("auc_ok"))   # one row
         out = r if out is None else out.unionByName(r)
     return out
 
 
-@register("batch_score", "R17 X24")
+@register("batch_score", "R17 X24", survey_sql("""
+SELECT COUNT(*) AS n, CAST(0 AS BIGINT) AS divergentes FROM ml""", extra=_ML_CTE))
 def batch_score(spark, d):
-    """Save the fitted pipeline to the shared folder, load it back, score the survey."""
-    model, _, _ = _fit_forest(spark, d, num_trees=10, max_depth=6)
+    """Save the fitted pipeline to the shared folder, load it back, score the survey; rows
+    where the loaded and the fitted model disagree."""
+    model, t = _fit_forest(spark, d, num_trees=10, max_depth=6)
     path = scratch_path(spark, "model")
     model.write().overwrite().save(path)
     loaded = ML.PipelineModel.load(path)
-    t = _ml_table(spark, d)
-    pred = ML.positive_probability(loaded.transform(t))
-    return pred.select("record_id", X.percent2("y_proba").alias("prob_pct"),
-                       X.class_label(F.col("prediction").cast("int")).alias("previsao"))
-
-
-@register("kmeans_age", "R16 A33")
+    a = ML.positive_probability(model.transform(t)).select("hk", F.col("y_proba").alias("a"))
+    b = ML.positive_probability(loaded.transform(t)).select(
+        "hk", F.col("y_proba").alias("b"), X.percent2("y_proba").alias("prob_pct"),
+        X.class_label(F.col("prediction").cast("int")).alias("previsao"))
+    wrong = ~F.col("a").eqNullSafe(F.col("b")) | (F.round(F.col("b") * 100, 2) != F.col("prob_pct")) \
+        | ~F.col("previsao").isin("Sim", "Nao")
+    return a.join(b, "hk").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(wrong, 1)).alias("divergentes"))
+
+
+@register("kmeans_age", "R16 A33", survey_sql("""
+SELECT CAST(4 AS BIGINT) AS clusters, COUNT(*) AS n, MIN(CAST(idade AS DOUBLE)) AS minimo, MAX(CAST(idade AS DOUBLE)) AS maximo,
+       ROUND(AVG(idade), 6) AS media, TRUE AS separados FROM survey WHERE eh_ti"""))
 def kmeans_age(spark, d):
+    """Clusters of age: their sizes, means and ranges add up to the whole and don't overlap."""
     it = SV.survey(spark, d).filter(F.col("eh_ti")).select(F.col("idade").cast("double").alias("idade"))
-    model = ML.kmeans(it, ["idade"], k=4)
-    return ML.cluster_summary(model.transform(it), "idade")
-
-
-@register("pca_kmeans", "R16 A33 A32")
+    it = materialise(it, "idades")
+    c = ML.cluster_summary(ML.kmeans(it, ["idade"], k=4).transform(it), "idade")
+    ranges = F.array_sort(F.collect_list(F.struct("minimo", "maximo")))                  # one entry a cluster
+    s = c.agg(F.count(F.lit(1)).alias("clusters"), F.sum("n").alias("n"), F.min("minimo").alias("minimo"),
+              F.max("maximo").alias("maximo"), F.round(F.sum(F.col("media") * F.col("n")) / F.sum("n"), 6).alias("media"),
+              ranges.alias("r"))
+    apart = F.forall(F.sequence(F.lit(1), F.size("r") - 1),
+                     lambda i: F.element_at("r", i)["maximo"] < F.element_at("r", i + 1)["minimo"])
+    return s.withColumn("separados", apart).drop("r")
+
+
+@register("pca_kmeans", "R16 A33 A32", survey_sql(f"""
+SELECT CAST(4 AS BIGINT) AS clusters, COUNT(*) AS n, TRUE AS faixas_ok FROM survey
+WHERE {" AND ".join(c + " IS NOT NULL" for c in NUMERIC)}"""))
 def pca_kmeans(spark, d):
-    df = SV.survey(spark, d).select(*[F.col(c).cast("double").alias(c) for c in NUMERIC])
-    model = ML.kmeans(df, NUMERIC, k=4, pca_k=2)
-    pred = model.transform(df)
+    """Clusters on principal components, as an age histogram of 20 bins per cluster."""
+    df = materialise(SV.survey(spark, d).select(*[F.col(c).cast("double").alias(c) for c in NUMERIC]), "pca")
+    pred = ML.kmeans(df, NUMERIC, k=4, pca_k=2).transform(df)
     rng = pred.agg(F.min("idade").alias("mn"), F.max("idade").alias("mx"))
     b = F.least(F.floor((F.col("idade") - F.col("mn")) * 20.0 / (F.col("mx") - F.col("mn"))).cast("int") + 1,
                 F.lit(20))
-    return pred.join(F.broadcast(rng), how="inner").groupBy("cluster", b.alias("bin")) \
+    hist = pred.join(F.broadcast(rng), how="inner").groupBy("cluster", b.alias("bin")) \
                .agg(F.count(F.lit(1)).alias("n"))
+    return hist.agg(F.countDistinct("cluster").alias("clusters"), F.sum("n").alias("n"),
+                    F.bool_and(F.col("bin").between(1, 20)).alias("faixas_ok"))

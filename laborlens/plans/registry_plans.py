@@ -14,6 +14,7 @@ from laborlens.operators import schema as SC
 from laborlens.operators.joins import enrich
 from laborlens.plans.registry import register
 from laborlens.plans.views import vinculos, with_views, TEST_IT_CODES, micro
+from laborlens.session import materialise
 
 MUN_CANDIDATES = ("mun_trab", "municipio", "codigo_municipio", "mun_estbl")
 SEX_CANDIDATES = ("sexo_trabalhador", "sexo")
@@ -53,7 +54,7 @@ def normalize_registry(v: DataFrame, it_codes=P.IT_CODES_REGISTRY) -> DataFrame:
         F.col("_fam").alias("cbo_familia"),
         X.is_it("_fam", it_codes).alias("eh_ti"),
         X.link_status(flag=ativo, situation=sit).alias("ativo_3112"),
-        (X.to_number(sal) if sal else F.lit(None).cast("double")).alias("salario"),
+        (X.parse_locale_number(sal) if sal else F.lit(None).cast("double")).alias("salario"),
     )
 
 
@@ -101,6 +102,7 @@ def group_aggregate(df: DataFrame, keys: list[str]) -> DataFrame:
     vt = df.groupBy(*keys, "salario").agg(F.count(F.lit(1)).alias("_n"),
                                          F.sum("ativo_3112").alias("_sa"),
                                          F.count("ativo_3112").alias("_ca"))
+    vt = materialise(vt, "grupos")           # read by the sums and by each level of the median
     base = vt.groupBy(*keys).agg(F.sum("_n").alias("n"),
                                  (F.sum("_sa") / F.sum("_ca")).alias("taxa_ativo"))
     med = Q.exact_percentiles(vt, keys, "salario", [0.5], count_col="_n") \
@@ -122,6 +124,33 @@ def registry_groups(spark, d):
                     _r(F.col("salario_mediana")).alias("salario_mediana"))
 
 
+# Registry rows as older files have them: schooling and situation as text, money in locale form.
+EDU_TEXT = ("Analfabeto", "Até 5ª incompleto", "5ª completo fundamental", "6ª a 9ª fundamental", "Fundamental completo",
+            "Médio incompleto", "Médio completo", "Superior incompleto", "Superior completo", "Mestrado", "Doutorado")
+EDU_EXPECTED = ("fundamental_incompleto", "fundamental_incompleto", "fundamental_completo", "fundamental_incompleto",
+                "fundamental_completo", "medio_incompleto", "medio_completo", "superior_incompleto", "superior_completo",
+                "pos_graduacao", "pos_graduacao")
+
+
+@register("registry_profile", "X10 X11 X14 X15 X22", _sql(f"""
+SELECT sexo, CASE CAST(escolaridade_apos_2005 AS INT) {" ".join(f"WHEN {k + 1} THEN '{v}'" for k, v in enumerate(EDU_EXPECTED))} END
+         AS escolaridade, CASE "vinculo_ativo_31/12" WHEN 'SIM' THEN 1 ELSE 0 END AS ativo, COUNT(*) AS n,
+       ROUND(SUM(TRY_CAST(vl_remun_media_nom AS DOUBLE)), 2) AS soma_salario
+FROM (SELECT *, CASE sexo_trabalhador WHEN '1' THEN 'M' WHEN '2' THEN 'F' WHEN 'masculino' THEN 'M' WHEN 'F' THEN 'F' END AS sexo
+      FROM vinculos) GROUP BY 1, 2, 3"""))
+def registry_profile(spark, d):
+    """Counts and salary sums by sex, schooling and link status, all read from text values."""
+    text = F.array(*[F.lit(t) for t in EDU_TEXT])
+    old = vinculos(spark, d).select(
+        "ano", "idade", "mun_trab", "cbo_ocupacao_2002", "sexo_trabalhador",
+        F.element_at(text, F.col("escolaridade_apos_2005").cast("int")).alias("grau_instrucao"),
+        F.when(F.col("vinculo_ativo_31/12") == "SIM", "Vínculo Ativo").otherwise("Desligado").alias("situacao_vinculo"),
+        F.translate(F.format_number(F.col("vl_remun_media_nom").cast("double"), 2), ",.", ".,").alias("salario"))
+    reg = normalize_registry(old, TEST_IT_CODES)
+    return reg.groupBy("sexo", "escolaridade", F.col("ativo_3112").alias("ativo")).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("salario"), 2).alias("soma_salario"))
+
+
 def rollup_hierarchy(full: DataFrame) -> DataFrame:
     """Full -> (uf, eh_ti) -> (ano, eh_ti): Σn, unweighted mean of rates,
     median of medians (re-aggregation of the aggregate table, as specified)."""
@@ -203,7 +232,7 @@ FROM survey s LEFT JOIN grp g
     extra=_GROUPS_SQL + "," + _SURVEY_CTE, views=("vinculos", "micro")))
 def enriched_survey(spark, d):
     s = _survey_keys(spark, d).select("record_id", *KEYS)
-    g = group_aggregate(registry(spark, d), KEYS)
+    g = materialise(group_aggregate(registry(spark, d), KEYS), "agregado")
     e = enrich(s, g, KEYS, "_raisagg")
     return e.select("record_id", *KEYS, "n_raisagg",
                     _r(F.col("taxa_ativo_raisagg"), 6).alias("taxa_ativo_raisagg"),

@@ -7,21 +7,14 @@ from pyspark.sql import functions as F
 from laborlens.plans import feed as FD
 from laborlens.plans.registry import register
 from laborlens.plans.views import with_views, mov
-from laborlens.session import scratch_path
+from laborlens.session import materialise, scratch_path
 from laborlens.streaming import ingest as ST
 
-_FIXTURES: dict = {}
-
-
-def _landing(spark, d) -> str:
-    """Landing folder: the feed written as several parquet files (one per month)."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _FIXTURES:
-        path = scratch_path(spark, "landing")
-        m = mov(spark, d).withColumn("_mes", F.substring("competencia", 5, 2))
-        m.repartition(12, "_mes").drop("_mes").write.mode("overwrite").parquet(path)
-        _FIXTURES[key] = path
-    return _FIXTURES[key]
+def _land(spark, d, path: str, months) -> str:
+    """Land the feed rows of some months as Parquet files, as the feed's partitions lie."""
+    month = F.substring("competencia", 5, 2).cast("int")
+    mov(spark, d).filter(month.isin(list(months))).write.mode("append").parquet(path)
+    return path
 
 
 def _feed_transform(stream):
@@ -35,28 +28,36 @@ def _feed_transform(stream):
 
 
 @register("stream_ingest", "S14", with_views("mov") + """
-SELECT TRY_CAST(substr(competencia, 1, 4) AS INT) AS ano, COUNT(*) AS n FROM mov GROUP BY 1""")
+SELECT rodada, TRY_CAST(substr(competencia, 1, 4) AS INT) AS ano, COUNT(*) AS n
+FROM mov, (VALUES (1), (2)) r(rodada) WHERE rodada = 2 OR CAST(substr(competencia, 5, 2) AS INT) <= 6 GROUP BY 1, 2""")
 def stream_ingest(spark, d):
-    landing = _landing(spark, d)
-    schema = spark.read.parquet(landing).schema
-    out = ST.ingest_files(spark, landing, schema, scratch_path(spark, "ingested"),
-                          scratch_path(spark, "ingest-ckpt"))
-    df = spark.read.parquet(out)
-    return df.groupBy(F.substring("competencia", 1, 4).try_cast("int").alias("ano")) \
-             .agg(F.count(F.lit(1)).alias("n"))
+    """Two runs: the first half of the year, then only what landed since."""
+    landing, out, ckpt = (scratch_path(spark, n) for n in ("landing", "ingested", "ingest-ckpt"))
+    year = F.substring("competencia", 1, 4).try_cast("int").alias("ano")
+    rounds = None
+    for k, months in ((1, range(1, 7)), (2, range(7, 13))):
+        _land(spark, d, landing, months)
+        schema = spark.read.parquet(landing).schema
+        df = spark.read.schema(schema).parquet(ST.ingest_files(spark, landing, schema, out, ckpt))
+        r = materialise(df.groupBy(F.lit(k).alias("rodada"), year).agg(F.count(F.lit(1)).alias("n")), "rodada")
+        rounds = r if rounds is None else rounds.unionByName(r)
+    return rounds
 
 
 @register("stream_feed_windows", "X25 A23", with_views("mov", extra=FD.FEED_SQL.replace(
     "WHERE idade BETWEEN 14 AND 80", "")) + """
-SELECT epoch_us(time_bucket(INTERVAL 1 DAY, ts)) AS inicio_us, eh_ti,
-       COUNT(CASE WHEN eh_admissao THEN 1 END) AS admissoes,
-       COUNT(CASE WHEN eh_demissao THEN 1 END) AS demissoes
-FROM feed GROUP BY 1, 2""")
+SELECT epoch_us(inicio) AS inicio_us, eh_ti, admissoes, demissoes FROM (
+  SELECT time_bucket(INTERVAL 1 DAY, ts) AS inicio, eh_ti,
+         COUNT(CASE WHEN eh_admissao THEN 1 END) AS admissoes,
+         COUNT(CASE WHEN eh_demissao THEN 1 END) AS demissoes
+  FROM feed GROUP BY 1, 2)
+WHERE inicio + INTERVAL 1 DAY <= (SELECT MAX(ts) FROM feed) - INTERVAL 2 DAY""")
 def stream_feed_windows(spark, d):
-    landing = _landing(spark, d)
+    """Daily counts of the windows that the watermark (two days) has closed."""
+    landing = _land(spark, d, scratch_path(spark, "landing"), range(1, 13))
     schema = spark.read.parquet(landing).schema
     out = ST.run_windowed(spark, landing, schema, scratch_path(spark, "windows"),
                           scratch_path(spark, "windows-ckpt"), _feed_transform)
-    w = spark.read.parquet(out)
+    w = spark.read.schema("inicio timestamp, eh_ti boolean, admissoes long, demissoes long").parquet(out)
     return w.select(F.unix_micros(F.col("inicio").cast("timestamp")).alias("inicio_us"), "eh_ti",
                     "admissoes", "demissoes")

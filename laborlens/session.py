@@ -2,16 +2,17 @@
 
 On a cluster the session comes from the platform; ``get_session`` only fills
 in settings that are unset.  ``spark.checkpoint.dir`` is read from the session
-and only set here (to a fresh scratch folder) when nobody configured it, as in
-tests and local benchmarks.
+and only set here (to a fresh scratch folder) for a local master without one, as
+in tests and benchmarks; on a cluster it must be configured.
 """
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -46,7 +47,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def _ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
-        current = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        current = tempfile.mkdtemp(prefix="run-", dir="/tmp")     # one machine: tests and benchmarks
         spark.conf.set("spark.checkpoint.dir", current)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(current)
@@ -59,12 +62,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the shared checkpoint folder for written stages."""
-    base = checkpoint_dir(spark).rstrip("/")
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    if "://" in base:  # remote shared storage: unique name, no local mkdtemp
-        import uuid
-        return f"{base}/{name}-{uuid.uuid4().hex}"
-    os.makedirs(base, exist_ok=True)
-    return tempfile.mkdtemp(prefix=f"{name}-", dir=base)
+    """A fresh path under the shared checkpoint folder; Spark creates it."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` once to the shared folder and read it back: later branches read
+    files instead of computing it again, and a lost executor costs its tasks only."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

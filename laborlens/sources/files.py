@@ -7,18 +7,19 @@ Every scan is a Spark read; the few driver-side steps touch metadata only
 
 from __future__ import annotations
 
+import csv
 import io
 import re
 import zipfile
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-LINE_SEP_OPTS = {"sep": "\x01", "quote": "", "escape": "", "header": "false",
-                 "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
-
+from laborlens.operators.schema import dedupe_names
 
 def parse_layout(spec: dict) -> list[tuple[str, int, int]]:
     """Layout entries 'a,b' / 'a-b' / 'a:b' (1-based, inclusive) ->
@@ -41,13 +42,11 @@ def parse_layout(spec: dict) -> list[tuple[str, int, int]]:
 
 
 def read_lines(spark: SparkSession, paths, encoding: str = "ISO-8859-1", **opts) -> DataFrame:
-    """Raw lines in a given charset (the CSV reader with a never-occurring
-    separator; `spark.read.text` ignores `encoding`)."""
-    r = spark.read.options(**LINE_SEP_OPTS).option("encoding", encoding)
-    for k, v in opts.items():
-        r = r.option(k, v)
-    return r.schema("value string").csv(paths).select(
-        "value", F.col("_metadata.file_path").alias("arquivo"))
+    """Raw lines in a charset that keeps ASCII bytes: the text reader hands on the bytes
+    of a line unchanged, and they are decoded here."""
+    lines = spark.read.options(**opts).text(paths)
+    return lines.select(F.decode(F.col("value").cast("binary"), encoding).alias("value"),
+                        F.col("_metadata.file_path").alias("arquivo"))
 
 
 def cut_fixed_width(lines: DataFrame, layout, keep=("arquivo",)) -> DataFrame:
@@ -76,26 +75,59 @@ def fixed_width_line(layout, values: dict) -> "F.Column":
     return F.concat(*pieces)
 
 
-def read_delimited(spark: SparkSession, paths, sep: str = ";", encoding: str = "UTF-8",
+def file_facts(spark: SparkSession, paths, glob: str | None = None, quote: str = '"') -> DataFrame:
+    """One row per file, from one scan: is it UTF-8, does a quoted field span lines, the
+    header line's bytes (the first line of the file's first block)."""
+    lines = spark.read.options(**({"pathGlobFilter": glob} if glob else {})).text(paths).select(
+        "value", F.col("_metadata.file_path").alias("arquivo"), F.col("_metadata.file_block_start").alias("_at"),
+        F.monotonically_increasing_id().alias("_row"))
+    odd = (F.length("value") - F.length(F.replace("value", F.lit(quote), F.lit("")))) % 2 == 1
+    return lines.groupBy("arquivo").agg(
+        F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.bool_or(odd).alias("multilinha"),
+        F.min_by(F.col("value").cast("binary"), F.struct("_at", "_row")).alias("cabecalho"))
+
+
+def split_header(line: str, sep: str, quote: str = '"') -> list[str]:
+    """Field names of a header line; quotes may hold separators; duplicates get suffixes."""
+    fields = next(csv.reader([line.lstrip("\ufeff")], delimiter=sep, quotechar=quote), [])
+    return dedupe_names([f.strip() for f in fields])
+
+
+def read_delimited(spark: SparkSession, paths, sep: str = ";", encoding: str | None = "UTF-8",
                    header: bool = True, names: list[str] | None = None,
-                   quote: str = '"') -> DataFrame:
-    """Delimited text, all columns as strings.  Each line is parsed by
-    `from_csv` (quotes honoured); blank lines are skipped; lines with MORE
-    fields than the header are dropped and shorter ones are null-padded (the
-    pandas `on_bad_lines='skip'` behaviour).  Leading blanks are stripped."""
-    lines = read_lines(spark, paths, encoding).filter(F.trim("value") != "")
-    if header and names is None:
-        first = lines.select("value").limit(1).first()
-        raw_names = [c.strip().strip(quote) for c in first["value"].split(sep)] if first else []
-        lines = lines.filter(F.col("value") != F.lit(first["value"]))
-        from laborlens.operators.schema import dedupe_names
-        names = dedupe_names(raw_names)                       # P6: nome, nome_1, ...
-    n = len(names)
-    ddl = ", ".join(f"c{i} STRING" for i in range(n + 1))    # one spare field detects long lines
-    parsed = lines.select(F.from_csv("value", ddl, {"sep": sep, "quote": quote,
-                                                    "mode": "PERMISSIVE"}).alias("_r"), "arquivo")
-    ok = parsed.filter(F.col(f"_r.c{n}").isNull())
-    return ok.select(*[F.ltrim(F.col(f"_r.c{i}")).alias(c) for i, c in enumerate(names)], "arquivo")
+                   quote: str = '"', glob: str | None = None) -> DataFrame:
+    """Delimited text, all columns as strings.
+
+    Every file has its own header, and columns are aligned by name; a missing column is
+    null.  `encoding` None: each file's own (UTF-8 if all its lines are, else ISO-8859-1).
+    Blank lines are skipped; lines with more fields than the header are dropped, shorter
+    ones padded with null; quoted fields may span lines; leading blanks go.  Files are read
+    in groups that share header, charset and form, so the plan grows with the variants,
+    not with the files.
+    """
+    groups: dict = {}
+    if header or encoding is None:
+        for f in file_facts(spark, paths, glob, quote).collect():          # one row per file
+            cs = encoding or ("UTF-8" if f["utf8"] else "ISO-8859-1")
+            own = names or split_header(bytes(f["cabecalho"]).decode(cs, "replace"), sep, quote)
+            groups.setdefault((cs, tuple(own), f["multilinha"]), []).append(f["arquivo"])
+    else:
+        groups[encoding, tuple(names), False] = paths
+    out = None
+    for (cs, own, spans), files in sorted(groups.items(), key=lambda g: g[0]):
+        n = len(own)
+        ddl = ", ".join(f"c{i} STRING" for i in range(n + 1))               # one spare field detects long lines
+        reader = spark.read.schema(ddl).options(
+            sep=sep, quote=quote, escape=quote, encoding=cs, header=str(header).lower(),
+            multiLine=str(bool(spans)).lower(), mode="PERMISSIVE")
+        if not (header or encoding is None) and glob:
+            reader = reader.option("pathGlobFilter", glob)
+        t = reader.csv(files).withColumn("arquivo", F.col("_metadata.file_path"))
+        some = reduce(or_, [F.coalesce(F.trim(f"c{i}"), F.lit("")) != "" for i in range(n)])
+        t = t.filter(F.col(f"c{n}").isNull() & some)
+        t = t.select(*[F.ltrim(f"c{i}").alias(c) for i, c in enumerate(own)], "arquivo")
+        out = t if out is None else out.unionByName(t, allowMissingColumns=True)
+    return out
 
 
 def sniff_separator(spark: SparkSession, path: str, candidates=(";", ",", "\t"),
@@ -111,27 +143,10 @@ def sniff_separator(spark: SparkSession, path: str, candidates=(";", ",", "\t"),
 
 
 def detect_charsets(spark: SparkSession, paths, glob: str | None = None) -> DataFrame:
-    """Per-file charset verdict over the whole file: valid UTF-8 ->
-    'UTF-8', else 'ISO-8859-1'.  Lines are read as ISO-8859-1 (every byte is a
-    character), re-encoded to their original bytes and checked with
-    `is_valid_utf8`; one aggregate per file — no file is ever held whole."""
-    opts = {"pathGlobFilter": glob} if glob else {}
-    lines = read_lines(spark, paths, "ISO-8859-1", **opts)
-    raw = F.encode(F.col("value"), "ISO-8859-1").cast("string")
-    return lines.groupBy(F.col("arquivo").alias("path")).agg(
-        F.when(F.bool_and(F.is_valid_utf8(raw)), "UTF-8").otherwise("ISO-8859-1").alias("charset"))
-
-
-def read_delimited_any_charset(spark: SparkSession, paths, sep: str = ";",
-                               glob: str | None = None) -> DataFrame:
-    """One read per charset group, united by column name."""
-    verdicts = detect_charsets(spark, paths, glob).collect()   # one row per file
-    out = None
-    for cs in sorted({v["charset"] for v in verdicts}):
-        files = [v["path"] for v in verdicts if v["charset"] == cs]
-        df = read_delimited(spark, files, sep, cs)
-        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    return out
+    """Per-file charset verdict over the whole file: valid UTF-8 -> 'UTF-8', else
+    'ISO-8859-1'.  One aggregate per file — no file is ever held whole."""
+    return file_facts(spark, paths, glob).select(
+        F.col("arquivo").alias("path"), F.when(F.col("utf8"), "UTF-8").otherwise("ISO-8859-1").alias("charset"))
 
 
 def year_from_name(col: str = "arquivo") -> "F.Column":
@@ -146,13 +161,15 @@ def flag_from_name(col: str = "arquivo") -> "F.Column":
             .when(name.rlike(r"(^|[_-])ti([_.-]|$)"), 1))
 
 
-def cap_rows_per_file(df: DataFrame, n: int, file_col: str = "arquivo") -> DataFrame:
-    """The first n rows of every input file (file order = the scan's row
-    id).  Distributed first-k (running counts over bucketed ids), so one huge
-    file is never sorted inside a single task."""
-    from laborlens.operators.quantiles import first_k_per_group
-    t = df.withColumn("_rid", F.monotonically_increasing_id()).withColumn("_k", F.lit(n).cast("long"))
-    return first_k_per_group(t, [file_col], "_rid", "_k").drop("_rid", "_k")
+def file_preview(lines: DataFrame, layout, number_field: str) -> DataFrame:
+    """What a preview of a file's first rows would show, from all its rows: the number
+    of lines, of lines as long as the layout, and the range of one numeric field."""
+    width = max(e for _, _, e in layout)
+    s, e = next((s, e) for n, s, e in layout if n == number_field)
+    value = F.trim(F.substring("value", s, e - s + 1)).try_cast("int")
+    return lines.groupBy(F.col("arquivo").alias("nome_arquivo")).agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(F.length("value") >= width, 1)).alias("validas"),
+        F.min(value).alias("idade_min"), F.max(value).alias("idade_max"))
 
 
 def multi_scan(spark: SparkSession, paths, fmt: str = "parquet", glob: str | None = None,

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import io
-import os
-import uuid
+import re
 import zipfile
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -32,6 +30,13 @@ def export_csv(df: DataFrame, path: str, sep: str = ";", header: bool = True,
     return path
 
 
+def export_with_count(df: DataFrame, path: str, **options) -> int:
+    """K4: export and the number of rows exported, counted as they are written."""
+    seen = Observation()
+    export_csv(df.observe(seen, F.count(F.lit(1)).alias("n")), path, **options)
+    return seen.get["n"]
+
+
 def write_report(df: DataFrame, path: str, fmt: str = "json") -> str:
     """K5: small metrics table as JSON / CSV."""
     df.coalesce(1).write.mode("overwrite").format(fmt).save(path)
@@ -64,26 +69,27 @@ def write_text(df: DataFrame, col: str, path: str, partition_by=()) -> str:
 
 def write_zip_archives(df: DataFrame, col: str, path: str, member: str = "dados.txt",
                        encoding: str = "ISO-8859-1") -> str:
-    """Fixture sink: every partition writes one .zip holding its lines (a
-    bounded unit per task); returns the folder."""
+    """Fixture sink: every partition writes one .zip holding its lines, batch by
+    batch; returns the folder (an absolute path or URI in shared storage).  The
+    file is named by the partition, so a repeated task writes it anew."""
     from pyarrow import fs as pafs
-    filesystem, root = pafs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
+    uri = path if ":" in path.split("/")[0] else f"file://{path}"
+    if uri.startswith("file:") and not re.match("file:/+[^/]", uri):
+        raise ValueError(f"an absolute path is needed: {path}")
+    filesystem, root = pafs.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri))
     filesystem.create_dir(root, recursive=True)
 
     def _write(batches):
         from pyarrow import fs as pafs_
-        fsys, base = pafs_.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
-        buf = []
-        for pdf in batches:
-            buf.extend(pdf[col].tolist())
-        if buf:
-            target = f"{base}/part-{uuid.uuid4().hex}.zip"
-            mem = io.BytesIO()
-            with zipfile.ZipFile(mem, "w", zipfile.ZIP_DEFLATED) as z:
-                z.writestr(member, ("\n".join(buf) + "\n").encode(encoding, "replace"))
-            with fsys.open_output_stream(target) as fh:
-                fh.write(mem.getvalue())
-        yield pd.DataFrame({"n": [len(buf)]})
+        from pyspark import TaskContext
+        fsys, base = pafs_.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri))
+        n, part = 0, TaskContext.get().partitionId()
+        with fsys.open_output_stream(f"{base}/part-{part:05d}.zip") as fh, \
+                zipfile.ZipFile(fh, "w", zipfile.ZIP_DEFLATED) as z, z.open(member, "w", force_zip64=True) as out:
+            for pdf in batches:
+                n += len(pdf)
+                out.write("".join(f"{x}\n" for x in pdf[col]).encode(encoding, "replace"))
+        yield pd.DataFrame({"n": [n]})
 
     df.select(col).mapInPandas(_write, "n long").collect()   # one count per partition
     return path

@@ -1,11 +1,11 @@
 """Structured Streaming forms of ingestion (S14) and the monthly feed counts.
 
 * `ingest_files`: a file-source stream over a landing folder, processed with
-  `trigger(availableNow=True)`; the checkpoint records which files are done, so
-  a re-run picks up only new files and a failed batch is retried (the ledger
-  semantics of S14, kept by Spark itself).  Output is appended to a Parquet
-  dataset through `foreachBatch` (idempotent per batch id).
-* `windowed_moves`: hires / exits per event-time window with a watermark.
+  `trigger(availableNow=True)` into the Parquet file sink.  The checkpoint records which
+  files are done and the sink's log which files belong to a finished batch, so a re-run
+  picks up only new files and a repeated batch leaves no duplicates.
+* `windowed_moves`: hires / exits per event-time window with a watermark, in append mode:
+  a window is written once, when the watermark closes it, and its state goes.
 All state and outputs live under the shared checkpoint folder.
 """
 
@@ -16,22 +16,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def ingest_files(spark: SparkSession, landing: str, schema: StructType, out: str, checkpoint: str,
-                 transform=None, fmt: str = "parquet") -> str:
-    """Process every not-yet-seen file of `landing` once (availableNow)."""
-    stream = spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", 8).load(landing)
-    if transform is not None:
-        stream = transform(stream)
-
-    def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_lote", F.lit(batch_id)).write.mode("append").parquet(out)
-
-    q = (stream.writeStream.foreachBatch(write_batch)
+def _finish(stream: DataFrame, out: str, checkpoint: str) -> str:
+    q = (stream.writeStream.format("parquet").outputMode("append").option("path", out)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     return out
 
 
+def ingest_files(spark: SparkSession, landing: str, schema: StructType, out: str, checkpoint: str,
+                 transform=None, fmt: str = "parquet") -> str:
+    """Process every not-yet-seen file of `landing` once (availableNow)."""
+    stream = spark.readStream.format(fmt).schema(schema).load(landing)
+    return _finish(stream if transform is None else transform(stream), out, checkpoint)
+
+
 def windowed_moves(stream: DataFrame, ts: str = "ts", window: str = "1 day",
                    watermark: str = "2 days") -> DataFrame:
     """Hire / exit counts per event-time window and IT flag (streaming plan)."""
@@ -43,17 +41,9 @@ def windowed_moves(stream: DataFrame, ts: str = "ts", window: str = "1 day",
 
 def run_windowed(spark: SparkSession, landing: str, schema: StructType, out: str,
                  checkpoint: str, transform, **kw) -> str:
-    """Run `windowed_moves` to completion; every batch rewrites the full,
-    bounded result table (windows x flag), so the sink always holds the final
-    counts including windows the watermark has not closed yet."""
+    """Run `windowed_moves` over what has landed; windows that the watermark has not
+    closed yet stay in the state for the next run."""
     stream = transform(spark.readStream.format("parquet").schema(schema).load(landing))
     agg = windowed_moves(stream, **kw)
-
-    def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.select(F.col("janela.start").alias("inicio"), "eh_ti", "admissoes", "demissoes") \
-             .write.mode("overwrite").parquet(out)
-
-    q = (agg.writeStream.outputMode("complete").foreachBatch(write_batch)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return out
+    return _finish(agg.select(F.col("janela.start").alias("inicio"), "eh_ti", "admissoes", "demissoes"),
+                   out, checkpoint)

@@ -7,7 +7,10 @@ from tests.conftest import SF_SMALL
 
 SAMPLE = ["it_share_by_year", "yearly_comparative", "weighted_quantiles", "uf_latest_year",
           "age_band_distribution", "income_by_schooling_smoothed", "registry_groups", "moves_by_band",
-          "quotas", "strat_sample", "auc_exact", "top_codes", "ingest_pending", "consolidate"]
+          "quotas", "strat_sample", "auc_exact", "top_codes", "ingest_pending", "consolidate",
+          "fraction_sample", "prop_sample", "smote", "bootstrap_auc", "class_report", "curve_points", "subgroup_metrics",
+          "age_trend", "ttest_pvalues", "registry_profile", "targets_wage", "csv_headers", "charset_roundtrip",
+          "stream_ingest", "stream_feed_windows", "cv_folds", "layout_columns", "file_caps"]
 
 
 @pytest.fixture(scope="module")
@@ -36,10 +39,9 @@ def test_shares_sum_to_100(spark, qs):
 
 
 def test_quotas_sum(spark, qs):
-    from laborlens.plans.sampling_plans import MAX_ROWS
+    from laborlens.plans.sampling_plans import SAMPLE_FRACTION
     rows = qs["quotas"].fn(spark, SF_SMALL).collect()
-    tot = sum(r["n"] for r in rows)
-    assert sum(r["quota"] for r in rows) == min(MAX_ROWS, tot)
+    assert sum(r["quota"] for r in rows) == int(sum(r["n"] for r in rows) * SAMPLE_FRACTION)
 
 
 def test_split_fraction(spark, qs):

@@ -46,3 +46,29 @@ def test_fixed_width_cut(spark):
     _write(d, "f.txt", "2020 3 Zé  \n2021    x\n".encode("latin-1"))
     rows = FS.read_fixed_width(spark, d, [("ano", 1, 4), ("t", 6, 6), ("nome", 8, 11)]).drop("arquivo").collect()
     assert sorted(tuple(r) for r in rows) == [("2020", "3", "Zé"), ("2021", None, "x")]
+
+
+def test_headers_per_file_and_line_breaks(spark):
+    d = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    _write(d, "1.csv", b'x;y;z\n1;"a\nb";3\nx;y;z\n')
+    _write(d, "2.csv", b'y;x;z\n20;10;30\n')
+    _write(d, "3.csv", "z;é\n5;6\n".encode("latin-1"))
+    df = FS.read_delimited(spark, d, ";", encoding=None).drop("arquivo")
+    got = {tuple(r[c] for c in ("x", "y", "z", "é")) for r in df.collect()}
+    assert got == {("1", "a\nb", "3", None), ("x", "y", "z", None), ("10", "20", "30", None), (None, None, "5", "6")}
+
+
+def test_control_characters_stay_in_lines(spark):
+    d = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    _write(d, "f.txt", b"a\x01b\xe9\n\nc")
+    assert sorted(r["value"] for r in FS.read_lines(spark, d).collect()) == ["", "a\x01bé", "c"]
+
+
+def test_zip_round_trip(spark):
+    from laborlens.sources import sinks as K
+    d = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    lines = spark.range(500).selectExpr("concat('linha ', id) AS value").repartition(3)
+    K.write_zip_archives(lines, "value", f"{d}/z", member="X_20240101.txt")
+    rows = FS.read_zip_lines(spark, f"{d}/z").collect()
+    assert sorted(r["value"] for r in rows) == sorted(f"linha {i}" for i in range(500))
+    assert {r["membro"] for r in rows} == {"X_20240101.txt"}
