@@ -97,18 +97,6 @@ def employed_summary(df: DataFrame, w: str = "peso_populacional", flag: str = "e
     )
 
 
-def weighted_variance_pop(df: DataFrame, keys: list[str], v: str, w: str) -> DataFrame:
-    """Population weighted variance, two-pass (centred): mean per key, then
-    sum w (v - mean)^2 / sum w.  The per-key means are joined back null-safely;
-    AQE broadcasts them when they are small."""
-    ok = F.col(v).isNotNull() & w_ok(w)
-    base = df.filter(ok).select(*keys, v, w)
-    means = base.groupBy(*keys).agg(wmean(v, w).alias("_mean"))
-    j = join_null_safe(base, means, keys)
-    return j.groupBy(*keys).agg(
-        F.try_divide(F.sum(F.col(w) * (F.col(v) - F.col("_mean")) ** 2), F.sum(w)).alias("_var"))
-
-
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str],
                    how: str = "inner") -> DataFrame:
     """Equi-join on `keys` where null matches null (pandas merge semantics).

@@ -46,13 +46,6 @@ def min_schooling(df: DataFrame, col: str = "anos_estudo", lo: int = 1) -> DataF
     return df.filter(F.col(col) >= lo)
 
 
-def latest_year(df: DataFrame, col: str = "ano") -> DataFrame:
-    """F8: rows of the latest year — a scalar subquery; Spark plans it as a
-    broadcast of the one-row max (proven size: one row)."""
-    mx = df.agg(F.max(col).alias("_max_year"))
-    return df.join(F.broadcast(mx), F.col(col) == F.col("_max_year")).drop("_max_year")
-
-
 def keep_latest(agg: DataFrame, col: str = "ano") -> DataFrame:
     """F8 on an *aggregated* table: keep the rows of the latest year.  The
     window spans the small per-year table (years x categories), so the raw rows

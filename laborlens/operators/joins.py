@@ -33,31 +33,6 @@ def lookup(df: DataFrame, dim: DataFrame, on: str | list[str], how: str = "left"
     return df.join(F.broadcast(dim), on, how)
 
 
-def align_segments(a: DataFrame, b: DataFrame, keys: list[str], fill: float | None = 0.0
-                   ) -> DataFrame:
-    """Align two aggregates on the union of their keys (full outer join),
-    missing measures -> `fill`."""
-    j = a.join(b, keys, "full_outer")
-    if fill is None:
-        return j
-    measures = [c for c in j.columns if c not in keys]
-    return j.fillna(fill, subset=measures)
-
-
-def complete_grid(values: DataFrame, series_keys: list[str], categories: dict,
-                  fill: float = 0.0) -> DataFrame:
-    """Every fixed category value for every series present in `values`
-    (distinct series keys, each exploded over literal category arrays), left-
-    joined to the aggregate and zero-filled.  The grid is |series| x |categories|."""
-    grid = values.select(*series_keys).distinct()
-    for col, vals in categories.items():
-        grid = grid.withColumn(col, F.explode(F.array(*[F.lit(v) for v in vals])))
-    keys = list(series_keys) + list(categories)
-    j = grid.join(values, keys, "left")
-    measures = [c for c in values.columns if c not in keys]
-    return j.fillna(fill, subset=measures)
-
-
 def int_range(df: DataFrame, partition: list[str], col: str) -> DataFrame:
     """Integer densification — one row per value min..max per partition
     (`sequence` + `explode` over the small min/max table)."""

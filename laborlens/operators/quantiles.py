@@ -171,16 +171,6 @@ def percentiles_full_order(vt: DataFrame, groups: list[str], v: str, ps: list[fl
     return out.drop("_total", "_vmax")
 
 
-def weighted_percentile_long(df: DataFrame, groups: list[str], v: str, w: str,
-                             ps: list[float], interpolate: bool = True,
-                             name: str = "valor") -> DataFrame:
-    """Same as `weighted_percentiles`, unpivoted to (groups..., percentil, valor)."""
-    wide = weighted_percentiles(df, groups, v, w, ps, interpolate)
-    cols = [_pname(p) for p in ps]
-    return wide.unpivot(groups, cols, "percentil", name) if groups else \
-        wide.unpivot([], cols, "percentil", name)
-
-
 def exact_percentiles(df: DataFrame, groups: list[str], v: str, ps: list[float],
                       count_col: str | None = None) -> DataFrame:
     """Exact unweighted percentiles with linear interpolation (numpy 'linear' /

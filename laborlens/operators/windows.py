@@ -5,6 +5,8 @@ whole table."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,12 +48,10 @@ def centred_mean(value: str, partition: list[str], order: str, half: int = 1) ->
     return F.avg(value).over(_w(partition, [order]).rowsBetween(-half, half))
 
 
-def scale_by_max(value: str, partition: list[str]) -> Column:
-    """X / max(x) over the partition; a max <= 0 (or null) divides by 1."""
+def scale_by_max(values: list[str], partition: list[str]) -> list[Column]:
+    """Each x / the largest of all the values over the partition, so that series stay
+    comparable; a largest value <= 0 (or null) divides by 1."""
     w = Window.partitionBy(*partition) if partition else Window.partitionBy(F.lit(0))
-    m = F.max(value).over(w)
-    return F.col(value) / F.when(m > 0, m).otherwise(F.lit(1.0))
-
-
-def running_sum(value: str, partition: list[str], order: str) -> Column:
-    return F.sum(value).over(_w(partition, [order]).rowsBetween(_UNB, 0))
+    top = reduce(F.greatest, [F.max(v).over(w) for v in values])
+    scale = F.when(top > 0, top).otherwise(F.lit(1.0))
+    return [F.col(v) / scale for v in values]

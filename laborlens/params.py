@@ -207,3 +207,17 @@ SURVEY = DatasetSpec("pnad", IT_CODES_SURVEY, AGE_BANDS_SURVEY, layout=SURVEY_LA
 REGISTRY = DatasetSpec("rais", essential_columns=("ano", "idade", "cbo_ocupacao"))
 FEED = DatasetSpec("caged", encoding="UTF-8", essential_columns=("competencia", "idade",
                                                                   "cbo_ocupacao"))
+
+# FIXED VALUES: names of the raw survey variables and of the registry's columns, as
+# the published files have them.
+RAW_NAMES = {"ano": "Ano", "trimestre": "Trimestre", "uf": "UF", "peso_populacional": "V1028",
+             "sexo": "V2007", "idade": "V2009", "cbo_ocupacao": "V4010", "ocupado": "VD4002",
+             "rendimento_trabalho_principal": "VD4016"}
+MUN_CANDIDATES = ("mun_trab", "municipio", "codigo_municipio", "mun_estbl")
+SEX_CANDIDATES = ("sexo_trabalhador", "sexo")
+EDU_CANDIDATES = ("escolaridade_apos_2005", "escolaridade", "grau_instrucao")
+SAL_CANDIDATES = ("vl_remun_media_nom", "vl_remuneracao_media_nom", "vl_remun_media_sm", "salario")
+ACTIVE_CANDIDATES = ("vinculo_ativo_31_12", "vinculo_ativo_3112", "ind_vinculo_ativo_3112",
+                     "ativo_3112", "ind_vinculo_ativo", "indicador_vinculo_ativo_31_12",
+                     "ind_vinculo_ativo_31_12")
+SITUATION_CANDIDATES = ("situacao_vinculo", "situacao", "classe_desligamento")

@@ -170,11 +170,17 @@ SELECT ROUND(proporcao_ti_ponderada, 6) AS proporcao_ti_ponderada,
            / SUM(CASE WHEN NOT eh_ti AND idade IS NOT NULL AND peso_populacional > 0 THEN peso_populacional END)
            AS idade_media_outros_ponderada FROM survey)"""))
 def report_sink(spark, d):
-    path = K.write_report(weighted_summary(SV.survey(spark, d)), scratch_path(spark, "report"), "json")
-    r = spark.read.json(path)
-    return r.select(F.round("proporcao_ti_ponderada", 6).alias("proporcao_ti_ponderada"),
-                    F.round("idade_media_ti_ponderada", 4).alias("idade_media_ti_ponderada"),
-                    F.round("idade_media_outros_ponderada", 4).alias("idade_media_outros_ponderada"))
+    """The report written as JSON and, with a time in its name, as CSV; both read back alike."""
+    t = materialise(weighted_summary(SV.survey(spark, d)), "resumo")
+    j = spark.read.json(K.write_report(t, scratch_path(spark, "report"), "json"))
+    path = K.write_report(t, scratch_path(spark, "report"), "csv", stamp="2024-01-31T10:00:00")
+    text = spark.read.schema(", ".join(f"`{c}` STRING" for c in t.columns)).option("header", "true").csv(path)
+    both = j.select(*[F.col(c).cast("double").alias(c) for c in t.columns]).unionByName(
+        text.select(*[F.col(c).cast("double").alias(c) for c in t.columns]))
+    cols = ["proporcao_ti_ponderada", "idade_media_ti_ponderada", "idade_media_outros_ponderada"]
+    same = both.agg(*[F.max(c).alias(c) for c in cols], *[(F.max(c) - F.min(c)).alias(f"d_{c}") for c in cols]) \
+               .filter(" AND ".join(f"d_{c} < 1e-9" for c in cols))
+    return same.select(F.round(cols[0], 6).alias(cols[0]), *[F.round(c, 4).alias(c) for c in cols[1:]])
 
 
 __all__ = ["mov"]

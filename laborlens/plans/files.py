@@ -21,9 +21,7 @@ from laborlens.sources import sinks as K
 from laborlens.sources.tables import table
 
 # Fixture layout: a subset of the survey layout under the raw variable names.
-RAW_NAMES = {"ano": "Ano", "trimestre": "Trimestre", "uf": "UF", "peso_populacional": "V1028",
-             "sexo": "V2007", "idade": "V2009", "cbo_ocupacao": "V4010", "ocupado": "VD4002",
-             "rendimento_trabalho_principal": "VD4016"}
+RAW_NAMES = P.RAW_NAMES
 RAW_LAYOUT = [(RAW_NAMES[n], s, e) for n, s, e in P.SURVEY_LAYOUT if n in RAW_NAMES]
 RENAME = {v: k for k, v in RAW_NAMES.items()}
 RANGED = ("idade", "ano", "trimestre", "sexo")       # columns whose range the layout report gives

@@ -96,11 +96,16 @@ def suspicious_sample(spark, d):
 
 @register("prefix_counts", "Q9 X4", _sql("""
 SELECT CASE WHEN substr(cbo_familia, 1, 2) IN ('14', '21', '31') THEN substr(cbo_familia, 1, 2)
-            ELSE 'outros' END AS prefixo, COUNT(*) AS n FROM micro GROUP BY 1"""))
+            ELSE 'outros' END AS prefixo, substr(cbo_familia, 1, 3) AS prefixo3,
+       nullif(regexp_extract('CBO ' || cbo_familia || '-05', '([0-9]{4})', 1), '') AS primeira_sequencia,
+       COUNT(*) AS n FROM micro GROUP BY 1, 2, 3"""))
 def prefix_counts(spark, d):
     m = micro(spark, d)
-    p = F.substring("cbo_familia", 1, 2)
-    return m.groupBy(F.when(p.isin("14", "21", "31"), p).otherwise("outros").alias("prefixo")) \
+    p = X.cbo_prefix("cbo_familia", 2)
+    written = F.concat(F.lit("CBO "), F.col("cbo_familia"), F.lit("-05"))
+    return m.groupBy(F.when(p.isin("14", "21", "31"), p).otherwise("outros").alias("prefixo"),
+                     X.cbo_prefix("cbo_familia", 3).alias("prefixo3"),
+                     X.cbo_first_run(written).alias("primeira_sequencia")) \
             .agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -16,14 +16,6 @@ from laborlens.plans.registry import register
 from laborlens.plans.views import vinculos, with_views, TEST_IT_CODES, micro
 from laborlens.session import materialise
 
-MUN_CANDIDATES = ("mun_trab", "municipio", "codigo_municipio", "mun_estbl")
-SEX_CANDIDATES = ("sexo_trabalhador", "sexo")
-EDU_CANDIDATES = ("escolaridade_apos_2005", "escolaridade", "grau_instrucao")
-SAL_CANDIDATES = ("vl_remun_media_nom", "vl_remuneracao_media_nom", "vl_remun_media_sm", "salario")
-ACTIVE_CANDIDATES = ("vinculo_ativo_31_12", "vinculo_ativo_3112", "ind_vinculo_ativo_3112",
-                     "ativo_3112", "ind_vinculo_ativo", "indicador_vinculo_ativo_31_12",
-                     "ind_vinculo_ativo_31_12")
-SITUATION_CANDIDATES = ("situacao_vinculo", "situacao", "classe_desligamento")
 KEYS = ["ano", "uf", "eh_ti"]
 
 
@@ -32,9 +24,9 @@ def normalize_registry(v: DataFrame, it_codes=P.IT_CODES_REGISTRY) -> DataFrame:
     state from municipality (X6), sex (X10), education (X11), family + IT (X2, X8),
     link status (X13/X14), numerics (X1)."""
     v = SC.resolve_occupation_column(SC.normalize_headers(v))
-    mun, sexo = SC.pick(v, MUN_CANDIDATES), SC.pick(v, SEX_CANDIDATES)
-    esc, sal = SC.pick(v, EDU_CANDIDATES), SC.pick(v, SAL_CANDIDATES)
-    ativo, sit = SC.pick(v, ACTIVE_CANDIDATES), SC.pick(v, SITUATION_CANDIDATES)
+    mun, sexo = SC.pick(v, P.MUN_CANDIDATES), SC.pick(v, P.SEX_CANDIDATES)
+    esc, sal = SC.pick(v, P.EDU_CANDIDATES), SC.pick(v, P.SAL_CANDIDATES)
+    ativo, sit = SC.pick(v, P.ACTIVE_CANDIDATES), SC.pick(v, P.SITUATION_CANDIDATES)
     # stage 1: the regex-heavy text parts, once per row
     stage1 = {
         "_mun": X.municipio_digits(mun) if mun else F.lit(None).cast("string"),
@@ -132,12 +124,14 @@ EDU_EXPECTED = ("fundamental_incompleto", "fundamental_incompleto", "fundamental
                 "pos_graduacao", "pos_graduacao")
 
 
-@register("registry_profile", "X10 X11 X14 X15 X22", _sql(f"""
+@register("registry_profile", "T2 X10 X11 X14 X15 X22", _sql(f"""
+SELECT sexo, escolaridade, ativo, n, soma_salario, CASE escolaridade {" ".join(
+    f"WHEN '{v}' THEN {k}" for k, v in enumerate(P.SCHOOLING_LEVELS))} END AS ordem FROM (
 SELECT sexo, CASE CAST(escolaridade_apos_2005 AS INT) {" ".join(f"WHEN {k + 1} THEN '{v}'" for k, v in enumerate(EDU_EXPECTED))} END
          AS escolaridade, CASE "vinculo_ativo_31/12" WHEN 'SIM' THEN 1 ELSE 0 END AS ativo, COUNT(*) AS n,
        ROUND(SUM(TRY_CAST(vl_remun_media_nom AS DOUBLE)), 2) AS soma_salario
 FROM (SELECT *, CASE sexo_trabalhador WHEN '1' THEN 'M' WHEN '2' THEN 'F' WHEN 'masculino' THEN 'M' WHEN 'F' THEN 'F' END AS sexo
-      FROM vinculos) GROUP BY 1, 2, 3"""))
+      FROM vinculos) GROUP BY 1, 2, 3)"""))
 def registry_profile(spark, d):
     """Counts and salary sums by sex, schooling and link status, all read from text values."""
     text = F.array(*[F.lit(t) for t in EDU_TEXT])
@@ -148,7 +142,8 @@ def registry_profile(spark, d):
         F.translate(F.format_number(F.col("vl_remun_media_nom").cast("double"), 2), ",.", ".,").alias("salario"))
     reg = normalize_registry(old, TEST_IT_CODES)
     return reg.groupBy("sexo", "escolaridade", F.col("ativo_3112").alias("ativo")).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum("salario"), 2).alias("soma_salario"))
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("salario"), 2).alias("soma_salario")) \
+        .withColumn("ordem", X.education_rank("escolaridade"))
 
 
 def rollup_hierarchy(full: DataFrame) -> DataFrame:

@@ -574,15 +574,12 @@ def _smoothed(df: DataFrame) -> DataFrame:
     for c in ("renda_ti", "renda_nao_ti"):
         dense = W.interpolate_linear(dense, ["ano"], "anos_estudo", c, f"{c}_interp")
         dense = dense.withColumn(f"{c}_suave", W.centred_mean(f"{c}_interp", ["ano"], "anos_estudo"))
-    mx = Window.partitionBy("ano")
-    top = F.greatest(F.max("renda_ti_suave").over(mx), F.max("renda_nao_ti_suave").over(mx))
-    scale = F.when(top > 0, top).otherwise(F.lit(1.0))
+    ti, nao_ti = W.scale_by_max(["renda_ti_suave", "renda_nao_ti_suave"], ["ano"])
     return dense.select(
         "ano", "anos_estudo",
         *[_r(F.col(c)).alias(c) for c in ("renda_ti", "renda_nao_ti", "renda_ti_interp",
                                          "renda_nao_ti_interp", "renda_ti_suave", "renda_nao_ti_suave")],
-        _r(F.col("renda_ti_suave") / scale, 6).alias("escala_ti"),
-        _r(F.col("renda_nao_ti_suave") / scale, 6).alias("escala_nao_ti"))
+        _r(ti, 6).alias("escala_ti"), _r(nao_ti, 6).alias("escala_nao_ti"))
 
 
 def _interp_sql(c: str) -> str:

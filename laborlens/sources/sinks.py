@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from laborlens.operators.schema import ensure_columns
+
 
 def write_dataset(df: DataFrame, path: str, partition_by=(), mode: str = "overwrite") -> str:
     """K1/K2: Parquet (snappy), optionally partitioned (e.g. 'ano', 'eh_ti')."""
@@ -37,9 +39,20 @@ def export_with_count(df: DataFrame, path: str, **options) -> int:
     return seen.get["n"]
 
 
-def write_report(df: DataFrame, path: str, fmt: str = "json") -> str:
-    """K5: small metrics table as JSON / CSV."""
-    df.coalesce(1).write.mode("overwrite").format(fmt).save(path)
+BOM = "\ufeff"
+
+
+def write_report(df: DataFrame, path: str, fmt: str = "json", stamp: str | None = None) -> str:
+    """K5: a small metrics table as JSON, or as CSV with a byte-order mark before the header
+    (spreadsheets then read UTF-8).  `stamp` (a time) is added to the folder's name."""
+    if stamp:
+        path = f"{path}_{re.sub('[^0-9]', '', stamp)}"
+    w = df.coalesce(1).write.mode("overwrite")
+    if fmt == "csv":
+        first, *rest = df.columns
+        df = df.withColumnRenamed(first, BOM + first)
+        w = df.coalesce(1).write.mode("overwrite").option("header", "true")
+    w.format(fmt).save(path)
     return path
 
 
@@ -52,9 +65,7 @@ def consolidate(frames: list[DataFrame], forced: dict | None = None) -> DataFram
             contract.append(c)
     out = None
     for f in frames:
-        for c, t in (forced or {}).items():
-            if c not in f.columns:
-                f = f.withColumn(c, F.lit(None).cast(t))
+        f, _ = ensure_columns(f, forced or {})
         out = f if out is None else out.unionByName(f, allowMissingColumns=True)
     return out.select(*contract)
 
