@@ -47,6 +47,22 @@ def test_education(spark):
                    "superior_incompleto"]
 
 
+def test_education_from_words(spark):
+    texts = ["Analfabeto", "Até 5ª incompleto", "6ª a 9ª fundamental", "Fundamental completo", "FUND. INCOMPLETO",
+             "Médio", "Ensino médio incompleto", "Superior completo", "Mestrado", "Pós-graduação", "", None, "outro"]
+    got = _col(spark, texts, X.education_level)
+    assert got == ["fundamental_incompleto", "fundamental_incompleto", "fundamental_incompleto", "fundamental_completo",
+                   "fundamental_incompleto", None, "medio_incompleto", "superior_completo", "pos_graduacao",
+                   "pos_graduacao", None, None, None]
+    assert _col(spark, ["Analfabeto"], lambda c: X.education_level(c, True)) == ["sem_instrucao"]
+
+
+def test_wage_targets(spark):
+    got = _col(spark, [9540.0, 9541.0, None], lambda c: X.above_wages(c, X.minimum_wage(F.lit(2018)), 10), "double")
+    assert got == [0, 1, None]
+    assert _col(spark, [1.0], lambda c: X.above_wages(c, X.minimum_wage(F.lit(1990)), 10), "double") == [None]
+
+
 def test_age_bands(spark):
     ages = [13.0, 14.0, 17.0, 18.0, 24.0, 24.5, 25.0, 65.0, 100.0, 101.0, None]
     got = _col(spark, ages, lambda c: X.age_band(c, P.AGE_BANDS_SURVEY), "double")
