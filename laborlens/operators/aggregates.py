@@ -100,8 +100,11 @@ def employed_summary(df: DataFrame, w: str = "peso_populacional", flag: str = "e
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str],
                    how: str = "inner") -> DataFrame:
     """Equi-join on `keys` where null matches null (pandas merge semantics).
-    Still a hash/sort-merge equi-join in the physical plan."""
+    Still a hash/sort-merge equi-join in the physical plan.  Without keys the right
+    side must be one row (a scalar)."""
     if not keys:
+        if right.limit(2).count() > 1:
+            raise ValueError("a join without keys needs a right side of one row")
         return left.crossJoin(right) if how == "inner" else left.join(right, how=how)
     rn = {k: f"_r_{k}" for k in keys}
     r = right.withColumnsRenamed(rn)

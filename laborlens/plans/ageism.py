@@ -14,6 +14,7 @@ from laborlens.operators import quantiles as Q
 from laborlens.plans import sqlbits as S
 from laborlens.plans.registry import register
 from laborlens.plans.views import micro, with_views
+from laborlens.session import materialise
 
 # Test parameters: the study's year window is 2012-2025; the synthetic years are 1995-2001.
 YEAR_LO, YEAR_HI = 1990, 2025
@@ -107,8 +108,9 @@ _BOX = [0.0, 0.25, 0.5, 0.75, 1.0]
 SELECT decada, eh_ti, {', '.join(f'ROUND(quantile_cont(idade, {p}), 4) AS {S.pname(p)}' for p in _BOX)}
 FROM (SELECT *, CAST(floor(ano / 10) * 10 AS INT) AS decada FROM base) GROUP BY decada, eh_ti"""))
 def age_box_by_period(spark, d):
-    df = base(spark, d).withColumn("decada", X.decade("ano"))
-    q = Q.exact_percentiles(df, ["decada", "eh_ti"], "idade", _BOX)
+    # ages are few: every level of the percentile search reads one written table of counts
+    n = base(spark, d).groupBy(X.decade("ano").alias("decada"), "eh_ti", "idade").agg(F.count(F.lit(1)).alias("_n"))
+    q = Q.exact_percentiles(materialise(n, "idades"), ["decada", "eh_ti"], "idade", _BOX, count_col="_n")
     return q.select("decada", "eh_ti", *[_r(F.col(Q._pname(p))).alias(Q._pname(p)) for p in _BOX])
 
 
