@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from laborlens.llm.common import materialise, worker_cache
@@ -31,6 +32,7 @@ CAPACITY = 2048
 SEPARATOR = 0
 TOKENIZER = "word_bpe_49k.json"
 CACHE_WORDS = 300_000        # chunks per generation of a worker's id cache
+SLICE_BYTES = 4 << 20        # text tokenised at once
 BUCKETS = 1024               # rank buckets per length
 
 PIECES = "doc_id long, copy long, piece int, start long, length long, ids_crc32 long"
@@ -70,47 +72,60 @@ class WordIds:
             self.parts[part] = ids
         return ids
 
-    def learn(self, chunks: set) -> None:
+    def learn(self, chunks: list) -> None:
         if len(self.parts) > CACHE_WORDS // 2:
             self.parts = {"": b""}
         whole = []
         for w in chunks:
             ids = self.old.get(w)
             if ids is None:
-                text = w.decode("utf-8", "replace")
-                plain = self.PLAIN.fullmatch(text)
+                plain = self.PLAIN.fullmatch(w)
                 if plain is None:
-                    whole.append((w, text))
+                    whole.append(w)
                     continue
                 ids = self.part(plain[1].lower()) + self.part(plain[2])
             self.young[w] = ids
         if whole:
-            found = self.tokenizer.encode_batch_fast([t for _, t in whole], add_special_tokens=False)
-            for (w, _), e in zip(whole, found):
+            found = self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)
+            for w, e in zip(whole, found):
                 self.young[w] = array("I", e.ids).tobytes()
 
-    def encode(self, texts: list) -> list:
-        """Little-endian 32-bit ids of each text, as bytes."""
+    def encode(self, texts: pa.Array) -> tuple:
+        """(ids of all texts in a row, where each text ends).
+
+        Chunks are cut and numbered by Arrow; each different chunk is looked up once, and
+        the ids are laid out by number.  A-Z are lower-cased first (the tokenizer does so for
+        all letters) unless a text may hold a special token, which keeps its case.
+        """
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        lower = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        rows = pc.ascii_split_whitespace(lower)
+        chunks = rows.flatten().dictionary_encode()
         if len(self.young) > CACHE_WORDS:
             self.old, self.young = self.young, {}
-        rows = [_folded(t).encode("utf-8", "surrogatepass").split() for t in texts]
-        found = [list(map(self.young.get, words)) for words in rows]
-        self.learn({w for words, ids in zip(rows, found) if None in ids
-                    for w, i in zip(words, ids) if i is None})
-        young = self.young
-        return [b"".join([young[w] if i is None else i for w, i in zip(words, ids)] if None in ids else ids)
-                for words, ids in zip(rows, found)]
-
-
-def _folded(text: str) -> str:
-    """A Latin-1 text in lower case, as the tokenizer will make it; any other text as it is."""
-    if "<|" in text:                                  # may hold a special token, which keeps its case
-        return text
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return text
-    return text.lower()
+        words = chunks.dictionary.to_pylist()
+        self.learn([w for w in words if w not in self.young])
+        ids = list(map(self.young.__getitem__, words))
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        pool = np.frombuffer(b"".join(ids), "<u4")
+        number = chunks.indices.to_numpy()
+        many = size[number]
+        ends = np.cumsum(many)
+        place = np.repeat((np.cumsum(size) - size)[number] - (ends - many), many)
+        place += np.arange(len(place))
+        cuts = np.concatenate([[0], ends])[rows.offsets.to_numpy()[1:] - rows.offsets[0].as_py()]
+        return pool[place], cuts
+
+
+def _slices(texts: pa.Array) -> Iterator[tuple]:
+    """(first row, number of rows) of runs of about ``SLICE_BYTES`` of text."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < len(size):
+        done = size[first - 1] if first else 0
+        end = max(first + 1, int(np.searchsorted(size, done + SLICE_BYTES, side="right")))
+        yield first, end - first
+        first = end
 
 
 def _byte_alphabet() -> dict:
@@ -143,13 +158,14 @@ def tokenise(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACI
         serial = TaskContext.get().partitionId() << 33
         for batch in batches:
             cols = ([], [], [], [], [], [])
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                for doc, ids in zip(part.column(0).to_pylist(), enc.encode(texts)):
-                    ids += tail
-                    for k, s in enumerate(range(0, len(ids), step)):
-                        cut = ids[s:s + step]
+            for at, rows in _slices(batch.column(1)):
+                part = batch.slice(at, rows)
+                ids, ends = enc.encode(part.column(1))
+                raw, begin = ids.tobytes(), 0
+                for doc, end in zip(part.column(0).to_pylist(), ends.tolist()):
+                    own, begin = raw[4 * begin:4 * end] + tail, end
+                    for k, s in enumerate(range(0, len(own), step)):
+                        cut = own[s:s + step]
                         for c, v in zip(cols, (doc, serial, k, s // 4, len(cut) // 4, zlib.crc32(cut))):
                             c.append(v)
                     serial += 1
