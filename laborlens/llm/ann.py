@@ -49,6 +49,7 @@ TREE_SAMPLE = 20_000
 BLOCK_ROWS = 16_384
 MAX_BLOCKS = 1 << 16
 LEAF_ROWS = 32
+PARTS = 4                    # tasks that share a block's queries
 HITS = "query_id long, vec_id long, score double"
 
 
@@ -289,5 +290,3 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec
     return (every.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
 
-
-PARTS = 4

@@ -140,7 +140,8 @@ def outcomes_from_labels(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """
     doc = F.expr("try_cast(nullif(regexp_extract(path, '/([0-9]+)(/|[.]html)?$', 1), '') as bigint)")
     of_page = with_host_path(pages.select("page_id", "url")).select("page_id", doc.alias("doc_id"))
-    good = ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int")
+    good = F.when(F.col("quality").isNotNull(),
+                  ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int"))
     return (of_page.join(labels.select("doc_id", good.alias("good")), "doc_id")
             .select("page_id", "good"))
 
