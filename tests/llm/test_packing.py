@@ -77,5 +77,5 @@ def test_odd_rows(spark):
     check_layout(rows, 2048)
     assert rows[rows.doc_id.isin([1, 2, 3])]["length"].tolist() == [1, 1, 1]
     assert (rows.doc_id == 5).sum() == 2 and rows.doc_id.isna().sum() == 1
-    assert rows[rows.doc_id == 8]["piece"].tolist() == list(range((rows.doc_id == 8).sum()))
+    assert sorted(rows[rows.doc_id == 8]["piece"]) == list(range((rows.doc_id == 8).sum()))
     assert packing.pack(empty(spark)).count() == 0
