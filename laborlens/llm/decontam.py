@@ -3,11 +3,13 @@
 Method, for every whole document:
 
 1. Windows.  A window can pass the final check against an item only if it shares
-   one of the item's five-word shingles, so item-sized windows are laid where a
-   shingle of the document occurs in some item, aligned to its place there.  This
-   leaves out no window that could pass.
+   the item's five-word shingles, so for each item size the windows of that size are
+   laid at every start from which they cover a shingle that some item of that size has,
+   wherever it stands there.  Of ``m`` shingles in a window and ``n`` in the item, ``b``
+   shared ones give a similarity of b / (m + n - b) at most; windows that hold too few
+   such shingles to reach ``MIN_SIMILARITY`` by this are left out, so none that could pass.
 2. Fingerprints.  Each window's 64-bit SimHash is taken over its shingles, counted
-   as often as they occur.
+   as often as they occur; bit counts are rolled from window to window.
 3. Multi-index Hamming blocks.  Fingerprints are cut into 8 blocks of 8 bits.  Two
    fingerprints within ``RADIUS`` = 23 bits agree in some block up to 2 bits (8 * 3 =
    24 > 23), so looking up every block value within 2 bits finds all items within
@@ -41,6 +43,7 @@ MIN_SIMILARITY = 0.8
 RADIUS = 23
 PART_WORDS = 1_000_000       # words of benchmark text in one broadcast index
 CACHE_WORDS = 300_000
+CHUNK = 4096                 # shingles whose bits are counted at once
 WORD = re.compile(r"\w+")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 MATCH = "doc_id long, item_id long, start_word long, end_word long, similarity double, distance int"
@@ -80,6 +83,25 @@ def simhash(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def rolled(doc: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list:
+    """SimHash of each window; starts ascend.  Windows that lie close share the bit counts of their words."""
+    out: list = []
+    low = 0
+    while low < len(starts):
+        base = int(starts[low])
+        reach = max(int(ends[low]) - base, CHUNK)
+        high = max(low + 1, int(np.searchsorted(ends, base + reach, side="right")))
+        part = doc[base:int(ends[high - 1])]
+        bits = np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        total = np.zeros((len(part) + 1, 64), np.int32)
+        np.cumsum(bits, axis=0, dtype=np.int32, out=total[1:])
+        a, b = starts[low:high] - base, ends[low:high] - base
+        ones = 2 * (total[b] - total[a]) > (b - a)[:, None]
+        out += np.packbits(ones, axis=1, bitorder="little").view("<u8")[:, 0].tolist()
+        low = high
+    return out
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Weighted (multiset) Jaccard similarity of two shingle arrays."""
     x, y = Counter(a.tolist()), Counter(b.tolist())
@@ -101,10 +123,12 @@ class Index:
         self.size = np.asarray([len(s) for s in self.items], np.int64)
         self.prints = np.asarray([simhash(s) for s in self.items], np.uint64)
         flat = np.concatenate([np.zeros(0, np.uint64), *self.items])
-        item = np.repeat(np.arange(len(rows)), self.size)
-        offset = np.concatenate([np.zeros(0, np.int64), *[np.arange(n) for n in self.size]])
-        order = np.argsort(flat, kind="stable")
-        self.flat, self.item, self.offset = flat[order], item[order], offset[order]
+        size = np.repeat(self.size, self.size)
+        order = np.lexsort((size, flat))
+        flat, size = flat[order], size[order]
+        new = np.ones(len(flat), bool)
+        new[1:] = (flat[1:] != flat[:-1]) | (size[1:] != size[:-1])
+        self.flat, self.flat_size = flat[new], size[new]          # shingles and sizes of items that have them
         self.seen = np.zeros(1 << 20, bool)
         self.seen[self.flat >> np.uint64(44)] = True
         near = np.bitwise_count(np.arange(256)[:, None] ^ np.arange(256)[None, :]) <= RADIUS // 8
@@ -117,33 +141,45 @@ class Index:
         found = np.unique(np.concatenate([self.blocks[b][v] for b, v in enumerate(values.tolist())]))
         return found[np.bitwise_count(self.prints[found] ^ np.uint64(window)) <= RADIUS]
 
-    def windows(self, doc: np.ndarray) -> set:
-        """(start, shingles) of the item-sized windows that share a shingle with an item of that size."""
+    def windows(self, doc: np.ndarray) -> Iterator[tuple]:
+        """(size, starts, ends) of the windows that could pass against an item of that size."""
         at = np.flatnonzero(self.seen[doc >> np.uint64(44)])
-        if not len(at):
-            return set()
         low = np.searchsorted(self.flat, doc[at], side="left")
         many = np.searchsorted(self.flat, doc[at], side="right") - low
         at, low, many = at[many > 0], low[many > 0], many[many > 0]
-        where = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
-        start = np.repeat(at, many) - self.offset[where]
-        size = self.size[self.item[where]]
-        end = np.minimum(start + size, len(doc))
-        return set(zip(np.maximum(start, 0).tolist(), end.tolist(), size.tolist()))
+        if not len(at):
+            return
+        size = self.flat_size[np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())]
+        at = np.repeat(at, many)
+        order = np.argsort(size, kind="stable")
+        for hits in np.split(order, np.flatnonzero(np.diff(size[order])) + 1):
+            n, hit = int(size[hits[0]]), at[hits]                 # places in ascending order
+            if len(hit) < MIN_SIMILARITY * n - 1e-6:
+                continue
+            first = np.maximum(hit - n + 1, np.r_[-n, hit[:-1] + 1])      # starts not laid for the hit before
+            long = hit + 1 - first
+            start = np.repeat(first - np.cumsum(long) + long, long) + np.arange(long.sum())
+            start, end = np.maximum(start, 0), np.minimum(start + n, len(doc))
+            both = np.searchsorted(hit, end) - np.searchsorted(hit, start)
+            could = both >= MIN_SIMILARITY * (end - start + n - both) - 1e-6
+            spans = np.unique(np.stack([start[could], end[could]], axis=1), axis=0)
+            if len(spans):
+                yield n, spans[:, 0], spans[:, 1]
 
     def matches(self, doc: np.ndarray) -> list:
         """(item, start word, end word, similarity, distance) for one document's shingles."""
         found: dict = {}
-        for start, end, size in self.windows(doc):
-            own = doc[start:end]
-            mark = simhash(own)
-            for k in self.within(mark).tolist():
-                if self.size[k] != size:
-                    continue
-                s = similarity(own, self.items[k])
-                if s >= MIN_SIMILARITY:
-                    far = int(np.bitwise_count(self.prints[k] ^ np.uint64(mark)))
-                    found.setdefault(k, []).append((-s, start, end + SHINGLE - 1, far))
+        for size, starts, ends in self.windows(doc):
+            for start, end, mark in zip(starts.tolist(), ends.tolist(), rolled(doc, starts, ends)):
+                own = None
+                for k in self.within(mark).tolist():
+                    if self.size[k] != size:
+                        continue
+                    own = doc[start:end] if own is None else own
+                    s = similarity(own, self.items[k])
+                    if s >= MIN_SIMILARITY:
+                        far = int(np.bitwise_count(self.prints[k] ^ np.uint64(mark)))
+                        found.setdefault(k, []).append((-s, start, end + SHINGLE - 1, far))
         out = []
         for k, spans in found.items():
             kept: list = []

@@ -92,3 +92,42 @@ def test_odd_rows(spark):
     assert sorted(rows.doc_id) == [5, 5, 6] and (rows.similarity == 1).all()
     assert decontam.find(empty(spark), bench).count() == 0
     assert decontam.find(docs, bench.where("item_id < 0")).count() == 0
+
+
+def test_swapped_halves(spark):
+    rng = np.random.default_rng(4)
+    filler = [f"filler{i}" for i in range(300)]
+    rows, items = [], []
+    for i, n in enumerate((100, 100, 60, 200)):
+        w = [f"w{x}" for x in rng.integers(0, 50_000, n)]
+        items.append((i, " ".join(w)))
+        for k in (n // 2, n // 3):
+            rows.append((10 * i + len(rows) % 2, " ".join([*filler, *w[k:], *w[:k], *filler])))
+    want = {(d, i) for d, t in rows for i, item in items if slow_matches(t, item)}
+    assert len(want) == len(rows)
+    got = decontam.find(spark.createDataFrame(rows, "doc_id long, text string"),
+                        spark.createDataFrame(items, "item_id long, text string")).toPandas()
+    assert set(zip(got.doc_id, got.item_id)) == want
+
+
+def test_best_window_of_random_edits_equals_brute_force():
+    rng = np.random.default_rng(7)
+    for _ in range(150):
+        n = int(rng.integers(6, 80))
+        w = [f"w{x}" for x in rng.integers(0, 400, n)]
+        item = " ".join(w)
+        k = int(rng.integers(0, n))
+        made = [w[k:] + w[:k], w[:k] + ["new"] * 2 + w[k:], w[:k] + w[k + 3:], w[k // 8:]][rng.integers(4)]
+        around = [f"f{x}" for x in rng.integers(0, 30, 40)]
+        text = " ".join([*around[:rng.integers(0, 40)], *made, *around[:rng.integers(0, 40)]])
+        index = decontam.Index([(1, item)])
+        got = index.matches(decontam.shingles(decontam.WordHash().of(text)))
+        t, s, size = words(text), shingles(words(item)), n - 4
+        at = len(t) - 4
+        spans = {(max(a, 0), min(a + size, at)) for a in range(1 - size, at)}
+        best = 0.0
+        for a, b in spans:
+            own = shingles(t[a:b + 4])
+            both = sum((s & own).values())
+            best = max(best, both / (sum(s.values()) + sum(own.values()) - both))
+        assert max([m[3] for m in got], default=0.0) == (best if best >= 0.8 else 0.0)
