@@ -9,9 +9,10 @@ reply order, each message under the one it answers, with its own text alone: quo
 and the line that announces one, are left out.
 
 Links are found by an as-of join in two steps (turns in ranges of ``RANGE``), so that a passage
-that a whole conversation repeats is split over tasks and never paired with itself.  Ancestor
-paths grow by pointer doubling.  A conversation is rows in order, never one value, so it may be
-of any length.
+that a whole conversation repeats is split over tasks and never paired with itself.  The reply
+order is a position: the tour that enters a message, then its replies, and leaves it, is ranked by
+pointer doubling over rows of fixed size.  A conversation is rows in order, never one value, so
+it may be of any length, and its reply chains may too.
 
 Defined cases: a null or empty text is an empty body; rows without conversation or turn
 are returned without links; a passage of nothing but white space links to nothing; of several
@@ -144,6 +145,58 @@ def linked(messages: DataFrame) -> DataFrame:
             .agg(F.max_by("source", F.struct(-F.col("part"), F.col("source"))).alias("source")))
 
 
+def tour(replies: DataFrame) -> DataFrame:
+    """(conv_id, turn, out, back, back_out): each message is entered and left (``out``), and the event
+    before that in its conversation's tour; the first event has none.
+
+    ``replies``: (conv_id, turn, parent), one row per turn, parent an earlier turn of it or null.
+    """
+    nodes = replies.select("conv_id", "turn", "parent", F.floor(F.col("turn") / RANGE).alias("span"))
+    earlier = Window.partitionBy("conv_id", "parent").orderBy("span")             # one row per range of turns
+    lasts = (nodes.groupBy("conv_id", "parent", "span").agg(F.max("turn").alias("last"))
+             .select(F.col("conv_id").alias("c"), F.col("parent").alias("p"), F.col("span").alias("s"),
+                     F.lag("last").over(earlier).alias("far")))
+    inside = Window.partitionBy("conv_id", "parent", "span").orderBy("turn")      # RANGE turns
+    enter = (nodes.withColumn("near", F.lag("turn").over(inside))
+             .join(lasts, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("parent").eqNullSafe(F.col("p"))
+                   & F.col("span").eqNullSafe(F.col("s")))
+             .withColumn("sibling", F.coalesce("near", "far"))
+             .select("conv_id", "turn", F.lit(False).alias("out"), F.coalesce("sibling", "parent").alias("back"),
+                     F.col("sibling").isNotNull().alias("back_out")))
+    child = (nodes.where(F.col("parent").isNotNull())
+             .groupBy("conv_id", F.col("parent").alias("turn")).agg(F.max("turn").alias("child")))
+    leave = (nodes.select("conv_id", "turn").join(child, ["conv_id", "turn"], "left")
+             .select("conv_id", "turn", F.lit(True).alias("out"), F.coalesce("child", "turn").alias("back"),
+                     F.col("child").isNotNull().alias("back_out")))
+    return enter.union(leave)
+
+
+def places(replies: DataFrame) -> DataFrame:
+    """(conv_id, turn, root_turn, depth, position) of each turn, by list ranking of the tour.
+
+    A row holds what lies between its event and ``back``, exclusive: entered messages, entered less
+    left ones, the last thread begun.  Each round doubles the distance.
+    """
+    tops = replies.select("conv_id", "turn", F.col("parent").isNull().alias("top"))
+    now = materialise(tour(replies).join(tops, ["conv_id", "turn"]).select(
+        "conv_id", "turn", "out", "back", "back_out", F.when(F.col("out"), 0).otherwise(1).cast("long").alias("entered"),
+        F.when(F.col("out"), -1).otherwise(1).cast("long").alias("inside"),
+        F.when(F.col("top") & ~F.col("out"), F.col("turn")).alias("root")), "tour")
+    columns = now.columns
+    while not now.where(F.col("back").isNotNull()).isEmpty():
+        before = now.select("conv_id", F.col("turn").alias("back"), F.col("out").alias("back_out"),
+                            *[F.col(c).alias(f"{c}_") for c in columns[3:]])
+        further = (now.where(F.col("back").isNotNull()).join(before, ["conv_id", "back", "back_out"])
+                   .select("conv_id", "turn", "out", F.col("back_").alias("back"), F.col("back_out_").alias("back_out"),
+                           (F.col("entered") + F.col("entered_")).alias("entered"),
+                           (F.col("inside") + F.col("inside_")).alias("inside"),
+                           F.coalesce("root", "root_").alias("root")))
+        now = materialise(now.where(F.col("back").isNull()).union(further), "tour")
+    return now.where(~F.col("out")).select("conv_id", "turn", F.col("root").alias("root_turn"),
+                                           (F.col("inside") - 1).alias("depth"),
+                                           (F.col("entered") - 1).alias("position"))
+
+
 def paths(replies: DataFrame) -> DataFrame:
     """(conv_id, turn, path): turns from the thread's first message down, by pointer doubling.
 
@@ -162,9 +215,8 @@ def paths(replies: DataFrame) -> DataFrame:
     return now.select("conv_id", "turn", "path")
 
 
-def conversations(messages: DataFrame) -> DataFrame:
-    """Messages in reply order: (conv_id, turn, role, body, n_quotes, n_linked, parent_turn, depth,
-    path, formatted).  Sorting by (conv_id, path) gives the order; the result is sorted so."""
+def replied(messages: DataFrame) -> tuple:
+    """The parsed rows with their links, and (conv_id, turn, parent) of each turn."""
     rows = materialise(parsed(messages), "messages")
     links = materialise(linked(rows), "links")
     parent = links.groupBy("uid").agg(
@@ -172,10 +224,29 @@ def conversations(messages: DataFrame) -> DataFrame:
     replies = materialise(rows.join(parent, "uid", "left"), "replies")
     nodes = (replies.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
              .groupBy("conv_id", "turn").agg(F.min("parent_turn").alias("parent")))
+    return replies, materialise(nodes, "nodes")
+
+
+def formatted(replies: DataFrame, placed: DataFrame) -> DataFrame:
     role = F.coalesce("role", F.lit("unknown"))
-    return (replies.join(paths(nodes), ["conv_id", "turn"], "left")
+    own = ["root_turn", F.coalesce("depth", F.lit(0)).cast("int").alias("depth"), "position"]
+    return (replies.join(placed, ["conv_id", "turn"], "left")
             .select("conv_id", "turn", "role", "body", "n_quotes",
-                    F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "parent_turn",
-                    (F.coalesce(F.size("path"), F.lit(1)) - 1).alias("depth"), "path",
+                    F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "parent_turn", *own,
+                    *[c for c in placed.columns if c == "path"],
                     F.concat(F.lit("<|"), role, F.lit("|>\n"), F.col("body"), F.lit("\n<|end|>")).alias("formatted"))
-            .orderBy("conv_id", "path", "turn"))
+            .orderBy("conv_id", "position", "turn"))
+
+
+def threads(messages: DataFrame) -> DataFrame:
+    """Messages in reply order: (conv_id, turn, role, body, n_quotes, n_linked, parent_turn, root_turn, depth,
+    position, formatted).  Sorting by (conv_id, position) gives the order; the result is sorted so."""
+    replies, nodes = replied(messages)
+    return formatted(replies, places(nodes))
+
+
+def conversations(messages: DataFrame) -> DataFrame:
+    """``threads`` with each message's path of turns from its thread's first one (``paths``).  A chain of n
+    replies has n * n / 2 turns in its paths, so this is for short chains only."""
+    replies, nodes = replied(messages)
+    return formatted(replies, places(nodes).join(paths(nodes), ["conv_id", "turn"]))

@@ -67,4 +67,4 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op4_chat_formatting")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.conversations(table(spark, sf_dir, "conversations"))
+    return chat.threads(table(spark, sf_dir, "conversations"))

@@ -84,3 +84,46 @@ def test_odd_rows(spark):
 @pytest.mark.parametrize("text,level", [("> a", 1), (">> a", 2), (" > > a", 2), ("a > b", 0), (">a", 1)])
 def test_quote_level(text, level):
     assert chat.passages(text)[0][0] == level
+
+
+def slow_order(nodes):
+    """(conv, turn) -> (root, depth, position) of turn -> parent, by walking the trees."""
+    out = {}
+    for conv in {c for c, _ in nodes}:
+        todo = [(t, t, 0) for t in sorted((t for (c, t), p in nodes.items() if c == conv and p is None), reverse=True)]
+        replies = {}
+        for (c, t), p in sorted(nodes.items()):
+            if c == conv and p is not None:
+                replies.setdefault(p, []).append(t)
+        place = 0
+        while todo:
+            t, root, depth = todo.pop()
+            out[conv, t] = root, depth, place
+            place += 1
+            todo += [(u, root, depth + 1) for u in reversed(replies.get(t, []))]
+    return out
+
+
+def test_places_equal_a_walk_of_the_trees(spark):
+    rng = random.Random(3)
+    nodes = {(1, t): t - 1 if t else None for t in range(3000)}                       # one long chain
+    nodes |= {(2, t): None if t in (-700, 400) else -700 for t in range(-700, 900)}   # many replies to one message
+    for conv in range(3, 9):
+        turns = sorted(rng.sample(range(-400, 1200), 200))
+        nodes |= {(conv, t): rng.choice([None, *turns[max(0, k - 5):k]]) if k else None for k, t in enumerate(turns)}
+    frame = spark.createDataFrame([(c, t, p) for (c, t), p in nodes.items()], "conv_id long, turn long, parent long")
+    got = chat.places(frame).collect()
+    assert {(r.conv_id, r.turn): (r.root_turn, r.depth, r.position) for r in got} == slow_order(nodes)
+    assert len(got) == len(nodes)
+
+
+def test_threads_are_ordered_without_paths(spark):
+    rows = [(1, 0, "a", "m0")] + [(1, t, "a", f"> m{t - 1}\nm{t}") for t in range(1, 300)] + [
+        (1, 400, "b", "> m7\nlate"), (None, 3, "c", "x"), (1, None, "c", "y"), (1, 400, "b", "> m7\nlate")]
+    out = chat.threads(spark.createDataFrame(rows, SCHEMA))
+    assert not [f.name for f in out.schema if f.dataType.typeName() == "array"]
+    got = out.collect()
+    assert [r.position for r in got] == [None, None, *range(300), 300, 300]
+    assert [(r.turn, r.parent_turn, r.depth, r.root_turn) for r in got[-2:]] == [(400, 7, 8, 0)] * 2
+    assert [(r.conv_id, r.turn, r.depth) for r in got] == [
+        (r.conv_id, r.turn, r.depth) for r in chat.conversations(spark.createDataFrame(rows, SCHEMA)).collect()]
