@@ -33,13 +33,22 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class: that of the smallest id.
+    """One document of each near-duplicate class: that of the smallest id, then fingerprint.
 
-    Of rows with one id, one stays; rows without an id have no class and stay.
+    An id repeated with other texts counts once in each of their classes; rows without an id have no
+    class and stay.  Only for ids with several fingerprints are the rows' fingerprints compared again.
     """
-    classes = simhash.near_duplicates(docs)
-    first = classes.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(first, "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns)
+    rows = materialise(simhash.classes(docs).where(F.col("doc_id").isNotNull()), "members")
+    several = materialise(rows.groupBy("doc_id").agg((F.min("fp") != F.max("fp")).alias("_several"))
+                          .where("_several").select("doc_id"), "several")
+
+    first = (rows.where(F.col("doc_id") == F.col("component_id"))
+             .groupBy("root", "doc_id").agg(F.min("fp").alias("_fp")).select("doc_id", "_fp"))
+    plain = (docs.join(several, "doc_id", "left_anti").join(first.select("doc_id"), "doc_id", "left_semi")
+             .dropDuplicates(["doc_id"]))
+    many = (docs.join(several, "doc_id", "left_semi").withColumn("_fp", simhash.fingerprint(F.col("text")))
+            .join(first, ["doc_id", "_fp"]).dropDuplicates(["doc_id", "_fp"]))
+    kept = plain.select(*docs.columns).union(many.select(*docs.columns))
     return kept.union(docs.where(F.col("doc_id").isNull()))
 
 

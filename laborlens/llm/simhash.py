@@ -245,18 +245,25 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS) ->
     return met_all.mapInPandas(found_sorted, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS,
-                    blocks: int = BLOCKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every row."""
+def classes(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS,
+            blocks: int = BLOCKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp, root, component_id) of every row; ``root`` tells classes apart, also those with
+    one smallest id (an id may be repeated with other texts)."""
     prints = materialise(docs.select(F.col(id_col).cast("long").alias("doc_id"),
                                      fingerprint(F.col(text_col), shingle).alias("fp")), "prints")
     distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     roots = components(links(distinct.select("fp"), max_bits, blocks))
-    classes = (distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-               .select("fp", "first_id", F.coalesce("root", "fp").alias("root")))
-    smallest = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    known = (distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+             .select("fp", "first_id", F.coalesce("root", "fp").alias("root")))
+    smallest = known.groupBy("root").agg(F.min("first_id").alias("component_id"))
     # Only classes of several fingerprints need the look-up of their smallest id.
-    of_print = materialise(classes.join(smallest, "root").select("fp", "component_id"), "classes")
-    return (prints.join(of_print, "fp")
-            .select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
-                    F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")))
+    of_print = materialise(known.join(smallest, "root").select("fp", "root", "component_id"), "classes")
+    return prints.join(of_print, "fp").select(
+        "doc_id", "fp", "root", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS,
+                    blocks: int = BLOCKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every row."""
+    return classes(docs, shingle, max_bits, blocks, id_col, text_col).select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -1,4 +1,5 @@
 import os
+import random
 import shutil
 import subprocess
 import sys
@@ -62,3 +63,22 @@ def test_unknown_language_goes(spark):
                                  "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source", "1L AS n_chars")
     out = corpus_pipeline.keep_language(spark, docs.union(docs.selectExpr("doc_id + 10", "text", "lang", "source", "n_chars")), SF_SMALL)
     assert langid.UNKNOWN == "und" and {r.doc_id % 10 for r in out.collect()} == {2}
+
+
+def test_repeated_ids_with_other_texts_stay(spark):
+    rng = random.Random(1)
+    a, b, c, d = (" ".join(f"{x}{rng.randrange(9999)}" for _ in range(80)) for x in "abcd")
+    rows = [(5, a), (5, b), (5, b), (3, a), (9, b), (5, c), (7, d), (7, d), (8, d), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr(
+        "doc_id", "text", "'en' AS lang", "'s' AS source", "1L AS n_chars")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF_SMALL).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(0, a), (3, a), (5, b), (5, c), (7, d)])
+
+
+def test_one_row_of_an_id_with_near_duplicates(spark):
+    rng = random.Random(2)
+    long = " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(400))
+    docs = spark.createDataFrame([(1, long), (1, long + " e0"), (2, long)], "doc_id long, text string")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF_SMALL).collect()
+    assert [r.doc_id for r in kept] == [1]
+    assert simhash.near_duplicates(docs).select("fingerprint").distinct().count() == 2
