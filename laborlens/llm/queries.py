@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from laborlens.llm import ann, chat, decontam, langid, packing, pylm, quality, simhash, toxicity, url_reputation
+from laborlens.llm import ann, centroids, chat, decontam, langid, packing, pylm, quality, simhash, toxicity, url_reputation
 from laborlens.llm.common import held_out, table
 from laborlens.plans.registry import register
 
@@ -68,3 +68,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op4_chat_formatting")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.threads(table(spark, sf_dir, "conversations"))
+
+
+@register("op12_centroid_clustering", oracle=centroids.ORACLE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
