@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from laborlens.llm import ann, centroids, chat, decontam, langid, packing, pylm, quality, simhash, toxicity, url_reputation
+from laborlens.llm import (alignment, ann, centroids, chat, decontam, langid, packing, pylm, quality, simhash, token_store,
+                           toxicity, url_reputation)
 from laborlens.llm.common import held_out, table
 from laborlens.plans.registry import register
 
@@ -70,6 +71,16 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.threads(table(spark, sf_dir, "conversations"))
 
 
+@register("op11_token_store")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.round_trip(table(spark, sf_dir, "documents")).drop("nth")
+
+
+@register("op13_token_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
 @register("op12_centroid_clustering", oracle=centroids.ORACLE_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
