@@ -3,6 +3,7 @@ import os
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from laborlens.llm import alignment
@@ -92,23 +93,28 @@ def test_units_equal_whole_texts(whole):
     rng = random.Random(5)
     parts = ["a", "bird", " ", " ", "  ", "\n", "\n\n", "'s", "don't", "\t", "　", "\x85", "é", "日本", "12", ".", ",",
              ">", "</s>", "<0x0A>", "<|endoftext|>", "\r", "\r\n", "{", "}", "ﬁ", "\x00", "😀", "word,", " the", "▁"]
-    for _ in range(3000):
-        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 14)))
-        unsafe = bool(alignment.odd_rows(pa.array([text]), alignment.UNSAFE))
-        want = whole.document(text)
-        doc = alignment.Document()
-        ok = all(map(doc.add, al.units(text, unsafe)))
-        assert ok == bool(want[0]), repr(text)
-        if ok:
-            assert (doc.n_a, doc.n_b, doc.n_groups) == (want[0], want[1], len(want[2])), repr(text)
-            assert doc.sha.hexdigest() == hashlib.sha256(";".join(want[2]).encode()).hexdigest(), repr(text)
-            assert dict(zip(doc.keys.tolist(), doc.times.tolist())) == Counter(a << 32 | b for a, b in want[3])
+    for _ in range(400):
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 14))) for _ in range(8)]
+        of = al.numbers(texts, alignment.odd_rows(pa.array(texts), alignment.UNSAFE))
+        t = alignment.Tally(al, of)
+        for k, text in enumerate(texts):
+            want = whole.document(text)
+            assert t.ok[k] == bool(want[0]), repr(text)
+            if t.ok[k]:
+                assert [x[k] for x in t.sums] == [want[0], want[1], len(want[2]), len(want[3])], repr(text)
+                assert t.texts[k] == ";".join(want[2]), repr(text)
+                own = t.doc == k
+                assert dict(zip(t.keys[own].tolist(), t.times[own].tolist())) == Counter(
+                    a << 32 | b for a, b in want[3])
+            parts_of = [u for part in al.long_numbers(text) for u in part]
+            assert alignment.Tally(al, [parts_of]).texts[0] == t.texts[k] or not t.ok[k]
 
 
 def test_groups_and_links():
     a, b = [2, 5, 6, 9], [1, 6, 7, 9]
-    assert alignment.groups(a, b) == [(0, 3, 0, 2), (3, 4, 2, 4)]
-    assert alignment.links(a, b, (0, 3, 0, 2)) == [(0, 0), (0, 1), (1, 1), (2, 1)]
+    assert alignment.groups(a, b) == ([6, 9], [3, 4], [2, 4])
+    ends, i, j = alignment.links(np.asarray(a), np.asarray(b))
+    assert list(zip(i.tolist(), j.tolist())) == [(0, 0), (0, 1), (1, 1), (2, 1), (3, 2), (3, 3)]
 
 
 def test_odd_rows_equal_brute_force(spark, whole, monkeypatch):
