@@ -2,8 +2,8 @@
 
 *Shards.*  Every text's ids, closed by an end id, lie in ascending order of document id in
 shard files: a header, the raw little-endian ids (16 bits each if the vocabulary allows), a footer with
-their number and checksum.  Rows are dealt by ranges of (id, hash of the ids), so equal
-ids, however many, spread over shards, and a shard is written as a stream.
+their number and checksum.  Rows are dealt by ranges of (id, hash of the text), so equal
+ids, however many, spread over shards; a task encodes its range and writes it as a stream.
 
 *Index.*  A document's key is its id and its number among the rows of that id.  Keys are
 dealt by hash to index parts of about ``PART_KEYS``; a part's minimal perfect hash maps each of
@@ -36,13 +36,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from laborlens.llm.byte_bpe import ByteIds, tokenizer_path
-from laborlens.llm.common import materialise, worker_cache
+from laborlens.llm.common import worker_cache
 from laborlens.session import scratch_path
 
 TOKENIZER = "byte_bpe_50k.json"
 END = 2
-SHARD_BYTES = 128 << 20
-LEAST_SHARD = 4 << 20        # as many shards as shuffle partitions, if each has this much
+SHARD_BYTES = 128 << 20      # text of a shard
+LEAST_SHARD = 4 << 20        # as many shards as shuffle partitions, if each has this much text
 PART_KEYS = 50_000
 LEVELS = 24
 SPACE = 2.0                  # bits a key in each level
@@ -57,7 +57,6 @@ HEADER_BYTES = struct.calcsize(HEADER)
 SLOT = np.dtype([("print", "<u4"), ("shard", "<u4"), ("at", "<u8"), ("n", "<u8")])
 LISTED = np.dtype([("null", "u1"), ("doc_id", "<i8"), ("nth", "<i8")])
 
-ENCODED = "doc_id long, ids binary"
 ENTRY = "shard int, file string, doc_id long, nth long, at long, n long"
 FOUND = "doc_id long, nth long, shard int, at long, n long"
 READ = "doc_id long, nth long, start long, n_tokens long, ids_crc32 long"
@@ -234,28 +233,15 @@ class Store:
                 .select("doc_id", (F.col("nth") + first).alias("nth"), "shard", "at", "n"))
 
 
-def encode(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END, width: int = 2,
-           id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids) of every document, ids of ``width`` bytes, the end id last."""
+def write_shards(rows: DataFrame, path: str, tokenizer: str, end: int, width: int) -> DataFrame:
+    """Encodes rows (doc_id, text), dealt and sorted by id, into shard files; a row for each document."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
+        from pyspark import TaskContext
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         enc = worker_cache("byte_" + re.sub(r"\W", "_", tokenizer), lambda: ByteIds(tokenizer_path(tokenizer)))
         tail = end.to_bytes(width, "little")
-        for batch in batches:
-            ids = [np.frombuffer(i, "<u4").astype(f"<u{width}").tobytes() + tail for i in enc.encode(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
-
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return src.mapInArrow(work, ENCODED)
-
-
-def write_shards(encoded: DataFrame, path: str, width: int) -> DataFrame:
-    """Shard files from rows dealt and sorted by id; a row for each document."""
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
         shard, file = TaskContext.get().partitionId(), f"shard-{uuid.uuid4().hex}.bin"
         out, crc, at, docs, last, nth = None, 0, 0, 0, (), 0
         for batch in batches:
@@ -266,24 +252,24 @@ def write_shards(encoded: DataFrame, path: str, width: int) -> DataFrame:
                 fs.create_dir(root, recursive=True)
                 out = fs.open_output_stream(f"{root}/{file}")
                 out.write(struct.pack(HEADER, SHARD_MAGIC, width, 0))
-            rows = []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
-                raw = ids.as_buffer()
+            entries = []
+            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1))):
+                raw = np.frombuffer(ids, "<u4").astype(f"<u{width}").tobytes() + tail
                 out.write(raw)
                 crc = zlib.crc32(raw, crc)
                 nth = nth + 1 if last == (doc_id,) else 0
                 last = (doc_id,)
-                rows.append((shard, file, doc_id, nth, at, raw.size // width))
-                at += raw.size // width
-            docs += len(rows)
+                entries.append((shard, file, doc_id, nth, at, len(raw) // width))
+                at += len(raw) // width
+            docs += len(entries)
             types = [pa.int32(), pa.string(), *[pa.int64()] * 4]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)],
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*entries), types)],
                                              names=[f.split()[0] for f in ENTRY.split(", ")])
         if out is not None:
             out.write(struct.pack(FOOTER, at, docs, crc, SHARD_MAGIC))
             out.close()
 
-    return encoded.mapInArrow(write, ENTRY)
+    return rows.select("doc_id", "text").mapInArrow(write, ENTRY)
 
 
 def _shard_table(entries: DataFrame) -> DataFrame:
@@ -346,14 +332,14 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end: int = END
     """Writes shards and index of all documents under ``path``.  ``width``: bytes an id (2 for
     vocabularies up to 65 536 ids, else 4)."""
     spark = docs.sparkSession
-    rows = encode(docs, tokenizer, end, width, id_col, text_col).withColumn("tie", F.xxhash64("ids"))
-    rows = materialise(rows, "encoded")
-    n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
+                       F.xxhash64(text_col).alias("tie"))
+    n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = max(1, -(-size // SHARD_BYTES), min(wide, -(-size // LEAST_SHARD)))
-    dealt = (rows.repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), "tie")
-             .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie").select("doc_id", "ids"))
-    write_shards(dealt, path, width).write.parquet(f"{path}/entries")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
+    dealt = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order)
+    write_shards(dealt, path, tokenizer, end, width).write.parquet(f"{path}/entries")
     _shard_table(spark.read.parquet(f"{path}/entries")).write.parquet(f"{path}/shards")
     store = Store(path, max(1, -(-n // PART_KEYS)))
     write_index(store.entries(spark), path, store.parts).write.parquet(f"{path}/parts")
