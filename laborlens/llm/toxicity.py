@@ -3,9 +3,10 @@
 Features are the distinct character n-grams (``SIZES`` letters, lower-cased, white
 space runs as one blank) of a whole text, hashed to ``SLOTS`` slots.  From labelled
 texts each slot has a log-count ratio r = log((p / |p|) / (q / |q|)) of its smoothed
-document counts in the two classes.  A logistic regression is fitted on the
-presence features times r; slots found in fewer than ``MIN_DOCS`` labelled texts, and
-those beyond the ``FEATURES`` slots of the largest |r| * sqrt(count), have weight 0.
+document counts in the two classes.  A logistic regression with L2 penalty is fitted on the presence
+features times r, over all slots, by L-BFGS: the features of the labelled rows are written once, and each
+step's gradient is summed in Spark tasks.  A fifth of the labelled rows is kept from the fit;
+on them a scale and a shift of the log-odds are fitted, so that scores are probabilities.
 
 The fit uses at most ``MAX_LABELLED`` labelled rows, none of the held-out fold; the
 model has ``SLOTS`` numbers, so it may be broadcast.
@@ -25,39 +26,64 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from laborlens.llm.common import labelled_sample, materialise
+from laborlens.llm.common import id_crc, labelled_sample, materialise
 
 SIZES = (3, 4, 5, 6)
 SLOTS = 1 << 18
-FEATURES = 1 << 13
-MIN_DOCS = 5
 MAX_LABELLED = 20_000
+L2 = 1e-2
+STEPS = 25
+MEMORY = 8                    # L-BFGS pairs
 THRESHOLD = 0.5
-MOD, HELD = 5, 0
-SLICE = 1 << 20
+MOD, HELD, ASIDE = 5, 0, 1
+SLICE = 1 << 18
+ROWS = 256                    # documents whose features are handled at once
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
+def flat_slices(text: str) -> Iterator[str]:
+    """The text in lower case with one blank for each run of white space and at both ends, in slices."""
+    yield " "
+    open_word = False                                   # the slice before ended within a word
+    for at in range(0, len(text), SLICE):
+        raw = text[at:at + SLICE]
+        flat = " ".join(raw.lower().split())
+        if flat:
+            yield flat if open_word and not raw[0].isspace() else flat if at == 0 or not open_word else " " + flat
+            open_word = True
+        if raw[-1].isspace() and open_word:
+            yield " "
+            open_word = False
+    if open_word:
+        yield " "
+
+
 def slots(text: str | None) -> np.ndarray:
     """Distinct slots of a whole text's n-grams, sorted."""
-    flat = " " + " ".join((text or "").lower().split()) + " "
-    c = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    seen = np.zeros(0, np.int32)
-    for at in range(0, len(c), SLICE):
-        part = c[at:at + SLICE + SIZES[-1] - 1]
-        code, found = part + np.uint64(1), []
-        for k in range(1, SIZES[-1]):
-            code = code[:-1] * _MULT + part[k:] + np.uint64(1)
-            code ^= code >> np.uint64(29)
-            if k + 1 in SIZES:
-                found.append((code * _MULT >> np.uint64(46)).astype(np.int32))
-        mark = np.unique(np.concatenate(found))
-        seen = np.union1d(seen, mark) if len(seen) else mark
-    return seen
-
-
-def log_count_ratios(sample: DataFrame) -> tuple:
-    """(r, documents) per slot from rows (_text, _y)."""
+    seen = np.zeros(SLOTS, bool)
+    longest = SIZES[-1]
+    held = np.zeros(0, np.uint64)
+    for flat in flat_slices(text or ""):
+        c = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        held = np.concatenate([held, c])
+        if len(held) >= SLICE:
+            _mark(held, seen)
+            held = held[1 - longest:]
+    _mark(held, seen)
+    return np.flatnonzero(seen).astype(np.int32)
+
+
+def _mark(c: np.ndarray, seen: np.ndarray) -> None:
+    code = c + np.uint64(1)
+    for k in range(1, SIZES[-1]):
+        code = code[:-1] * _MULT + c[k:] + np.uint64(1)
+        code ^= code >> np.uint64(29)
+        if k + 1 in SIZES:
+            seen[(code * _MULT >> np.uint64(46)).astype(np.int32)] = True
+
+
+def log_count_ratios(sample: DataFrame) -> np.ndarray:
+    """r per slot from rows (_text, _y)."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n = np.zeros((2, SLOTS), np.int64)
@@ -73,27 +99,155 @@ def log_count_ratios(sample: DataFrame) -> tuple:
     n = np.zeros((2, SLOTS))
     n[0, total["slot"]], n[1, total["slot"]] = total["n0"], total["n1"]
     p, q = n[1] + 1, n[0] + 1
-    return np.log((p / p.sum()) / (q / q.sum())), n.sum(axis=0)
-
-
-def logistic(rows: list, y: np.ndarray, scale: np.ndarray, l2: float = 1e-3, steps: int = 300) -> tuple:
-    """Weights and intercept of a logistic regression on scaled presence features."""
-    k = len(scale)
-    size = np.asarray([len(r) for r in rows])
-    idx = np.concatenate([np.zeros(0, np.int64), *rows]).astype(np.int64)
-    doc = np.repeat(np.arange(len(rows)), size)
-    val = scale[idx]
-    share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
-    w, b = np.zeros(k), np.log(share / (1 - share))
-    m, v = np.zeros(k + 1), np.zeros(k + 1)
-    for step in range(1, steps + 1):
-        z = np.bincount(doc, val * w[idx], len(rows)) + b
-        d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(rows)
-        g = np.append(np.bincount(idx, val * d[doc], k) + l2 * w, d.sum())
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        move = 0.05 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-9)
-        w, b = w - move[:-1], b - move[-1]
-    return w, b
+    return np.log((p / p.sum()) / (q / q.sum()))
+
+
+def features(sample: DataFrame) -> DataFrame:
+    """(aside, y, low, many): the slots of each labelled row, as the low 16 bits of each and how many
+    there are of each high part."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), ROWS):
+                part = pdf.iloc[at:at + ROWS]
+                own = [slots(t) for t in part["_text"]]
+                yield pd.DataFrame({"aside": part["_aside"], "y": part["_y"],
+                                    "low": [(x & 0xFFFF).astype("<u2").tobytes() for x in own],
+                                    "many": [np.bincount(x >> 16, minlength=SLOTS >> 16).astype("<i4").tobytes()
+                                             for x in own]})
+
+    return sample.mapInPandas(work, "aside boolean, y int, low binary, many binary")
+
+
+def _index(low: list, many: list) -> tuple:
+    """(slots of all rows in a row, number of each row)."""
+    high = np.frombuffer(b"".join(many), "<i4")
+    base = np.tile(np.arange(SLOTS >> 16, dtype=np.int32) << 16, len(many))
+    idx = np.frombuffer(b"".join(low), "<u2").astype(np.int32) + np.repeat(base, high)
+    return idx, high.reshape(len(many), -1).sum(axis=1)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(labels, slots of all rows in a row, row of each slot) of some rows at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            part = batch.slice(at, ROWS)
+            idx, size = _index(part.column("low").to_pylist(), part.column("many").to_pylist())
+            yield part.column("y").to_numpy().astype(float), idx, np.repeat(np.arange(part.num_rows), size)
+
+
+def log_odds(rows: DataFrame, weights: np.ndarray, bias: float) -> pd.DataFrame:
+    """(y, z) of labelled rows; their number is bounded by the sample."""
+    shared = rows.sparkSession.sparkContext.broadcast(weights)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for y, idx, row in _rows(batches):
+            z = np.bincount(row, shared.value[idx], len(y)) + bias
+            yield pa.RecordBatch.from_pydict({"y": pa.array(y), "z": pa.array(z)})
+
+    return rows.select("y", "low", "many").mapInArrow(work, "y double, z double").toPandas()
+
+
+def loss_and_gradient(rows: DataFrame, ratio: np.ndarray, n: int, l2: float):
+    """The objective of the fit as a function of the weights and the intercept."""
+    context = rows.sparkSession.sparkContext
+
+    def value(x: np.ndarray) -> tuple:
+        shared = context.broadcast((x[:-1] * ratio, float(x[-1])))
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            weights, bias = shared.value
+            loss, slope, steep = 0.0, np.zeros(SLOTS), 0.0
+            for y, idx, row in _rows(batches):
+                z = np.bincount(row, weights[idx], len(y)) + bias
+                loss += float((np.logaddexp(0, z) - y * z).sum())
+                d = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - y
+                slope += np.bincount(idx, d[row], SLOTS)
+                steep += float(d.sum())
+            yield pa.RecordBatch.from_pydict({"loss": [loss], "steep": [steep], "slope": [slope.tobytes()]})
+
+        parts = rows.select("y", "low", "many").mapInArrow(work, "loss double, steep double, slope binary").collect()
+        shared.unpersist()
+        slope = np.zeros(SLOTS)
+        for r in parts:                                           # one row a task, SLOTS numbers each
+            slope += np.frombuffer(r["slope"])
+        loss = sum(r["loss"] for r in parts) / n + l2 / 2 * float(x[:-1] @ x[:-1])
+        return loss, np.append(slope * ratio / n + l2 * x[:-1], sum(r["steep"] for r in parts) / n)
+
+    return value
+
+
+def minimised(value, x: np.ndarray, steps: int = STEPS) -> np.ndarray:
+    """L-BFGS with halved steps until the loss falls enough."""
+    pairs: list = []
+    loss, g = value(x)
+    for _ in range(steps):
+        q, used = g.copy(), []
+        for s, t in reversed(pairs):
+            a = (s @ q) / (t @ s)
+            used.append(a)
+            q -= a * t
+        q *= (pairs[-1][0] @ pairs[-1][1]) / (pairs[-1][1] @ pairs[-1][1]) if pairs else 0.1 / max(np.linalg.norm(g), 1e-12)
+        for (s, t), a in zip(pairs, reversed(used)):
+            q += s * (a - (t @ q) / (t @ s))
+        step = 1.0
+        while True:
+            there = x - step * q
+            new, slope = value(there)
+            if new <= loss - 1e-4 * step * (g @ q) or step < 1e-6:
+                break
+            step /= 2
+        if (there - x) @ (slope - g) > 1e-12:
+            pairs = [*pairs, (there - x, slope - g)][-MEMORY:]
+        done = abs(loss - new) < 1e-6 * max(1.0, abs(loss))
+        x, loss, g = there, new, slope
+        if done:
+            break
+    return x
+
+
+def calibration(z: np.ndarray, y: np.ndarray) -> tuple:
+    """(scale, shift) of log-odds with the least log-loss, by damped Newton steps."""
+    def cost(p):
+        t = p[0] * z + p[1]
+        return (np.logaddexp(0, t) - y * t).sum() + 5e-4 * (p[0] - 1) ** 2
+
+    at = np.asarray([1.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(at[0] * z + at[1], -500, 500)))
+        w = p * (1 - p) + 1e-9
+        g = np.asarray([((p - y) * z).sum() + 1e-3 * (at[0] - 1), (p - y).sum()])
+        h = np.asarray([[(w * z * z).sum() + 1e-3, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-9]])
+        move, step = np.linalg.solve(h, g), 1.0
+        while cost(at - step * move) > cost(at) and step > 1e-9:
+            step /= 2
+        at = at - step * move
+        if np.abs(step * move).max() < 1e-8:
+            break
+    return float(at[0]), float(at[1])
+
+
+def train(sample: DataFrame) -> tuple:
+    """(weight of each slot, intercept) from labelled rows (_id, _text, _y)."""
+    aside = F.coalesce(id_crc(F.col("_id")) % MOD == ASIDE, F.lit(False))
+    rows = sample.withColumn("_aside", aside)
+    rows = materialise(features(rows), "features")
+    known = {(r[0], r[1]): r[2] for r in rows.groupBy("aside", "y").count().collect()}
+    n0, n1 = (sum(n for (_, y), n in known.items() if (y == 1) == c) for c in (False, True))
+    fit0, fit1 = known.get((False, 0), 0), known.get((False, 1), 0)
+    if not (fit0 and fit1):
+        share = n1 / (n0 + n1) if n0 + n1 else 0.5
+        return np.zeros(SLOTS), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
+    ratio = log_count_ratios(sample.where(~aside))
+    own = rows.where("NOT aside")
+    start = np.append(np.zeros(SLOTS), np.log(fit1 / fit0))
+    x = minimised(loss_and_gradient(own, ratio, fit0 + fit1, L2), start)
+    weights, bias = x[:-1] * ratio, float(x[-1])
+    if known.get((True, 0), 0) and known.get((True, 1), 0):
+        kept = log_odds(rows.where("aside"), weights, bias).sort_values(["z", "y"])
+        scale, shift = calibration(kept["z"].to_numpy(), kept["y"].to_numpy())
+        weights, bias = weights * scale, bias * scale + shift
+    return weights, bias
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id",
@@ -101,30 +255,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     """Fit on the labelled sample; a function text column -> score column."""
     spark = docs.sparkSession
     sample = materialise(labelled_sample(docs, labels, label, MOD, HELD, bound, id_col, text_col), "labelled")
-    ratio, found = log_count_ratios(sample)
-    weight = np.abs(ratio) * np.sqrt(found) * (found >= MIN_DOCS)
-    chosen = np.sort(np.argsort(-weight, kind="stable")[:FEATURES])
-    chosen = chosen[weight[chosen] > 0]
-    place = np.full(SLOTS, -1, np.int32)
-    place[chosen] = np.arange(len(chosen))
-    shared = spark.sparkContext.broadcast(place)
-
-    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            own = [shared.value[slots(t)] for t in pdf["_text"]]
-            yield pd.DataFrame({"id": pdf["_id"], "y": pdf["_y"],
-                                "x": [o[o >= 0].astype("<i4").tobytes() for o in own]})
-
-    rows = sample.mapInPandas(features, "id long, y int, x binary").toPandas().sort_values(["id", "x"])
-    y = rows["y"].to_numpy().astype(float)
-    linear = np.zeros(SLOTS)
-    if len(np.unique(y)) < 2:
-        share = float(y.mean()) if len(y) else 0.5
-        bias = np.log(max(share, 1e-9) / max(1 - share, 1e-9))
-    else:
-        w, bias = logistic([np.frombuffer(x, "<i4") for x in rows["x"]], y, ratio[chosen])
-        linear[chosen] = w * ratio[chosen]
-    model = spark.sparkContext.broadcast((linear, float(bias)))
+    model = spark.sparkContext.broadcast(train(sample))
 
     def score(text: Column) -> Column:
         @F.pandas_udf("double")

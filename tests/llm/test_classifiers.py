@@ -140,3 +140,81 @@ def test_long_text_counts_like_a_short_one(monkeypatch):
     slots = toxicity.slots(text)
     monkeypatch.setattr(toxicity, "SLICE", 101)
     assert (slots == toxicity.slots(text)).all()
+
+
+def slow_slots(text):
+    """Slots of a text's n-grams by plain Python integers."""
+    flat, out = " " + " ".join(text.lower().split()) + " ", set()
+    mult, top = 0x9E3779B97F4A7C15, (1 << 64) - 1
+    for at in range(len(flat)):
+        code = ord(flat[at]) + 1
+        for k in range(1, toxicity.SIZES[-1]):
+            if at + k >= len(flat):
+                break
+            code = (code * mult + ord(flat[at + k]) + 1) & top
+            code ^= code >> 29
+            if k + 1 in toxicity.SIZES:
+                out.add((code * mult & top) >> 46)
+    return out
+
+
+TEXTS = [("you are a fool", 1), ("what a fool you were", 1), ("nice words here", 0), ("a nice day", 0), ("a fool's day", 1),
+         ("more nice words of a day", 0), ("", 0), ("fool fool", 1), ("here we go on", 0)]
+
+
+def labelled(spark, copies=4):
+    rows = [(i * len(TEXTS) + k, t + f" {i}", y) for i in range(copies) for k, (t, y) in enumerate(TEXTS)]
+    return spark.createDataFrame(rows, "_id long, _text string, _y int").repartition(3), rows
+
+
+def test_ratios_equal_brute_force(spark):
+    sample, rows = labelled(spark)
+    n = np.ones((2, toxicity.SLOTS))
+    for _, t, y in rows:
+        assert set(toxicity.slots(t).tolist()) == slow_slots(t)
+        n[y, list(slow_slots(t))] += 1
+    want = np.log((n[1] / n[1].sum()) / (n[0] / n[0].sum()))
+    assert np.allclose(toxicity.log_count_ratios(sample), want)
+
+
+def test_fit_is_a_minimum_and_scores_equal_brute_force(spark):
+    """No slot is left out; the gradient of the plain objective vanishes at the fitted weights."""
+    sample, rows = labelled(spark)
+    held = toxicity.features(sample.withColumn("_aside", F.lit(False)))
+    ratio = toxicity.log_count_ratios(sample)
+    value = toxicity.loss_and_gradient(held, ratio, len(rows), toxicity.L2)
+    x = toxicity.minimised(value, np.zeros(toxicity.SLOTS + 1), 60)
+    own = [sorted(slow_slots(t)) for _, t, _ in rows]
+    y = np.asarray([r[2] for r in rows], float)
+    z = np.asarray([(x[:-1] * ratio)[o].sum() + x[-1] for o in own])
+    d = 1 / (1 + np.exp(-z)) - y
+    slope = np.append(toxicity.L2 * x[:-1], d.mean())
+    for o, e in zip(own, d):
+        slope[o] += e * ratio[o] / len(rows)
+    loss = (np.logaddexp(0, z) - y * z).mean() + toxicity.L2 / 2 * (x[:-1] ** 2).sum()
+    got, gradient = value(x)
+    assert got == pytest.approx(loss) and np.allclose(gradient, slope)
+    assert np.linalg.norm(slope) < 0.02 * np.linalg.norm(value(np.zeros(len(x)))[1])
+    found = toxicity.log_odds(held, x[:-1] * ratio, x[-1])
+    assert sorted(found.z) == pytest.approx(sorted(z))
+
+
+def test_calibration_has_the_least_log_loss():
+    rng = np.random.default_rng(4)
+    z = rng.normal(size=4000) * 3
+    y = (rng.random(4000) < 1 / (1 + np.exp(-(0.5 * z - 1)))).astype(float)
+    scale, shift = toxicity.calibration(z, y)
+    assert scale == pytest.approx(0.5, abs=0.05) and shift == pytest.approx(-1, abs=0.1)
+    apart = toxicity.calibration(np.asarray([-9.0, -8, 8, 9]), np.asarray([0.0, 0, 1, 1]))
+    assert np.isfinite(apart).all() and apart[0] > 0
+
+
+def test_toxic_rows_of_the_held_out_fold(spark):
+    """Accuracy with all slots, on rows the fit has not seen."""
+    sf = "/root/testdata/sf0.1"
+    rows = queries.op8(spark, sf).toPandas()
+    held = rows[rows.held_out].merge(pandas_table(sf, "labels"), on="doc_id")
+    held = held[held.toxic.notna()]
+    assert auc(held.toxic.to_numpy(), held.score.to_numpy()) >= 0.98
+    assert (held[held.toxic == 1].predicted == 1).mean() >= 0.74
+    assert (held[held.predicted == 1].toxic == 1).mean() >= 0.95
