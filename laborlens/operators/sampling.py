@@ -9,12 +9,11 @@ is ever sorted inside one task.  Quota tables are per-stratum aggregates
 from __future__ import annotations
 
 import math
-import random
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from laborlens.operators.neighbours import nearest, neighbour_rows
 from laborlens.operators.quantiles import first_k_per_group, running_sums
 
 KEY_BITS = 60
@@ -134,15 +133,14 @@ def fraction_by_hash(df: DataFrame, fraction: float, order_key: str) -> DataFram
 
 
 def smote(df: DataFrame, y: str, features: list[str], key: str, ratio: float = 0.3, seed: int = 42,
-          cuts: int = 1024, part_rows: int = 4096) -> DataFrame:
+          k: int = 5) -> DataFrame:
     """M8: synthetic minority rows x + u (nb - x) until the minority has
-    ceil(ratio * majority) rows; nb is the next minority row along a random projection.
+    ceil(ratio * majority) rows; nb is one of the `k` nearest minority rows (``neighbours``).
 
-    Every minority row gives the same number of copies, and the first rows by
-    hash key one more, so which rows are used does not depend on the layout.
-    Neighbours are sought between quantiles of the projection, in parts of about
-    `part_rows` rows; u follows from the key and the copy, so that a repeated
-    task makes the same rows.  Linear in rows, no pair enumeration.
+    Every minority row gives the same number of copies, and the first rows by hash key one
+    more, so which rows are used does not depend on the layout.  u and the choice of the
+    neighbour follow from the key and the copy, so a repeated task makes the same rows.  A value
+    that is missing in the neighbour stays the row's own.
     """
     base = df.withColumn("sintetico", F.lit(False))
     counts = {r[y]: r["n"] for r in df.groupBy(y).agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -154,20 +152,6 @@ def smote(df: DataFrame, y: str, features: list[str], key: str, ratio: float = 0
     if n_new == 0:
         return base
     mino = df.filter(F.col(y) == minority)
-    rnd = random.Random(seed)
-    spread = mino.agg(*[F.stddev(c).alias(c) for c in features]).first()
-    proj = sum(((F.coalesce(F.col(c), F.lit(0.0)) / F.lit(float(spread[c] or 1.0))) * rnd.gauss(0, 1)
-                for c in features), F.lit(0.0))
-    mino = mino.withColumn("_p", proj)
-    edges = mino.agg(F.percentile_approx("_p", [i / cuts for i in range(1, cuts)], 10_000)).first()[0]
-    splits = [-math.inf, *sorted(set(edges)), math.inf]
-    mino = Bucketizer(splits=splits, inputCol="_p", outputCol="_b").transform(mino)
-    sizes = mino.groupBy("_b").agg(F.ceil(F.count(F.lit(1)) / F.lit(part_rows)).alias("_parts"))   # <= cuts rows
-    mino = mino.join(F.broadcast(sizes), "_b") \
-               .withColumn("_part", F.pmod(F.xxhash64(F.col(key), F.lit(1)), F.col("_parts")))
-    w = Window.partitionBy("_b", "_part").orderBy("_p", key)
-    for c in features:
-        mino = mino.withColumn(f"_nb_{c}", F.coalesce(F.lead(c).over(w), F.lag(c).over(w), F.col(c)))
     each, more = divmod(n_new, n_min)
     if more:
         extra = first_k_per_group(mino.select(y, key).withColumn("_k", F.lit(more).cast("long")), [y], key, "_k")
@@ -175,11 +159,18 @@ def smote(df: DataFrame, y: str, features: list[str], key: str, ratio: float = 0
                    .withColumn("_copies", F.lit(each) + F.coalesce("_more", F.lit(0)))
     else:
         mino = mino.withColumn("_copies", F.lit(each))
-    mino = mino.filter(F.col("_copies") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    near = neighbour_rows(nearest(df.filter(F.col(y) == minority), features, k, seed=seed), k) \
+        .withColumnsRenamed({"x": "_x", "nbs": "_nbs"})
+    clean = F.array(*[F.when(~F.isnan(F.col(c)), F.col(c) + F.lit(0.0)) for c in features])
+    mino = mino.filter(F.col("_copies") > 0).withColumn("_x", clean).join(near, "_x", "left") \
+               .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     u = uniform(F.lit(seed), F.col(key), F.col("_copy"))
-    synth = mino.withColumn("_u", u).select(
+    pick = F.floor(uniform(F.lit(seed), F.col(key), F.col("_copy"), F.lit("nb")) * F.size("_nbs")).cast("int") + 1
+    mino = mino.withColumn("_u", u).withColumn("_nb", F.when(F.size("_nbs") > 0, F.element_at("_nbs", pick)))
+    synth = mino.select(
         *[c for c in df.columns if c not in features],
-        *[(F.col(c) + F.col("_u") * (F.col(f"_nb_{c}") - F.col(c))).alias(c) for c in features])
+        *[(F.col(c) + F.col("_u") * (F.coalesce(F.col("_nb")[i], F.col(c)) - F.col(c))).alias(c)
+          for i, c in enumerate(features)])
     return base.unionByName(synth.withColumn("sintetico", F.lit(True)).select(*base.columns))
 
 
