@@ -15,8 +15,9 @@ from laborlens.operators.aggregates import count_if
 from laborlens.plans import registry_plans as RG
 from laborlens.plans.registry import register
 from laborlens.plans.views import micro, mov, vinculos, ledger, with_views, TEST_IT_CODES
-from laborlens.session import scratch_path
+from laborlens.session import materialise, scratch_path
 from laborlens.sources import files as FS
+from laborlens.sources import incremental as IN
 from laborlens.sources import sinks as K
 from laborlens.sources.tables import table
 
@@ -308,6 +309,37 @@ def consolidate(spark, d):
         F.round(F.coalesce(F.sum("peso_populacional"), F.lit(0.0)), 4).alias("peso"))
 
 
+@register("consolidate_incremental", "K2 K3 S14", _m("""
+SELECT r.rodada, ano, CAST(eh_ti AS STRING) AS eh_ti, COUNT(*) AS n, CAST(SUM(idade) AS BIGINT) AS soma_idade,
+       BOOL_OR(chegada = r.rodada) AS reescrita
+FROM lote, (VALUES (1), (2), (3)) r(rodada) WHERE chegada <= r.rodada GROUP BY 1, 2, 3""", extra="""
+lote AS (SELECT ano, eh_ti, idade,
+    CASE WHEN ano >= (SELECT MAX(ano) - 1 FROM micro) AND trimestre > 2 THEN 2 ELSE 1 END AS chegada FROM micro)"""))
+def consolidate_incremental(spark, d):
+    """Three runs: most files, then late quarters of the last two years, then nothing new.
+    `reescrita`: whether the run changed the partition's files."""
+    m = micro(spark, d).select("ano", "trimestre", "eh_ti", "idade", "sexo", "peso_populacional")
+    late = (F.col("ano") >= m.agg(F.max("ano")).first()[0] - 1) & (F.col("trimestre") > 2)
+    landing, target = scratch_path(spark, "chegada"), scratch_path(spark, "consolidado")
+    runs, before = None, None
+    for run, part in ((1, m.filter(~late)), (2, m.filter(late)), (3, None)):
+        if part is not None:
+            part.write.parquet(f"{landing}/lote{run}")
+        IN.consolidate(spark, landing, target, ["ano", "eh_ti"])
+        files = materialise(IN.data(spark, target).withColumn("_f", F.col("_metadata.file_path")).groupBy("ano", "eh_ti").agg(
+            F.count(F.lit(1)).alias("n"), F.sum("idade").alias("soma_idade"),
+            F.array_sort(F.collect_set("_f")).alias("arquivos")), "files")
+        if before is None:
+            now = files.withColumn("reescrita", F.lit(True))
+        else:
+            old = before.select("ano", "eh_ti", F.col("arquivos").alias("antes"))
+            now = files.join(old, ["ano", "eh_ti"], "left").withColumn(
+                "reescrita", ~F.col("arquivos").eqNullSafe(F.col("antes")))
+        now = now.select(F.lit(run).alias("rodada"), "ano", "eh_ti", "n", "soma_idade", "reescrita")
+        runs, before = now if runs is None else runs.unionByName(now), files
+    return runs
+
+
 # ---------------------------------------------------------------------------
 # ingestion ledger
 # ---------------------------------------------------------------------------
