@@ -17,6 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from laborlens.operators.aggregates import count_if
 from laborlens.operators.quantiles import running_sums
@@ -184,6 +185,35 @@ def stratified_folds(df: DataFrame, y: str, key: str, k: int, ties: tuple = ())
     return t.withColumn("fold", ((F.col("cum__one") - 1) % k).cast("int")).drop("_one", "cum__one", "total__one")
 
 
+MAX_GROUPS = 1_000_000
+
+
+def group_folds(df: DataFrame, groups: list[str], y: str, k: int) -> DataFrame:
+    """Column `fold`: whole groups (such as periods) go to one fold each.
+
+    The groups, largest first (ties by their key), go one by one to the fold whose fullest class would then
+    be the least full, as a share of that class over all rows (ties: the first fold).  One row
+    a group goes through the driver, at most `MAX_GROUPS`."""
+    cells = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"), F.count(F.when(F.col(y) == 1, 1)).alias("_n1"))
+    rows = cells.orderBy(F.col("_n").desc(), *[F.col(g).asc_nulls_first() for g in groups]).limit(MAX_GROUPS + 1).collect()
+    if len(rows) > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} groups")
+    n1 = sum(r["_n1"] for r in rows)
+    n0 = sum(r["_n"] for r in rows) - n1
+    held = [[0, 0] for _ in range(k)]
+    dealt = []
+    for r in rows:
+        own = (r["_n"] - r["_n1"], r["_n1"])
+        best = min(range(k), key=lambda f: (max((held[f][0] + own[0]) / max(n0, 1), (held[f][1] + own[1]) / max(n1, 1)), f))
+        held[best][0] += own[0]
+        held[best][1] += own[1]
+        dealt.append((*[r[g] for g in groups], best))
+    schema = StructType([*[cells.schema[g] for g in groups], StructField("fold", IntegerType())])
+    table = df.sparkSession.createDataFrame(dealt, schema)
+    same = [df[g].eqNullSafe(table[g]) for g in groups]
+    return df.join(table, same).select(*[df[c] for c in df.columns], table["fold"])
+
+
 def cross_validate(df: DataFrame, pipeline: Pipeline, grid_param_map, fold_col: str, seed: int = 42):
     """K-fold CV with a precomputed (hash) fold column and a small grid."""
     ev = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction")

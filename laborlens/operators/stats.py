@@ -84,6 +84,28 @@ def t_pvalue(t: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series(np.clip(p, 0.0, 1.0))
 
 
+@F.pandas_udf(DoubleType())
+def student_quantile(p: pd.Series, dof: pd.Series) -> pd.Series:
+    """The value that Student's t stays below with probability p (from 0.5 on); null without degrees of freedom."""
+    v = dof.astype(float).to_numpy()
+    tail = 2 * (1 - p.astype(float).to_numpy())
+    out = np.full(len(v), np.nan)
+    for i in np.flatnonzero(v > 0):                       # rows of a small table
+        low, high = 0.0, 1.0
+        a = np.asarray([v[i] / 2.0])
+
+        def beyond(t: float) -> float:
+            return float(_betainc(a, np.asarray([0.5]), np.asarray([v[i] / (v[i] + t * t)]))[0])
+
+        while beyond(high) > tail[i] and high < 1e6:
+            high *= 2
+        for _ in range(80):
+            mid = (low + high) / 2
+            low, high = (mid, high) if beyond(mid) > tail[i] else (low, mid)
+        out[i] = (low + high) / 2
+    return pd.Series(out).where(v > 0, None)
+
+
 def linear_trend(df: DataFrame, by: list[str], y: str, x: str) -> DataFrame:
     """R2: slope, intercept, R^2 per group, direction of the slope, and the two-sided
     p-value of the slope (null below three points)."""

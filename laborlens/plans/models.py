@@ -408,6 +408,32 @@ def cv_folds(spark, d):
     return t.groupBy("fold", "y_true").agg(F.count(F.lit(1)).alias("n"))
 
 
+FOLDS = 3
+
+_GROUP_FOLDS_SQL = f"""
+cel AS (SELECT ano, trimestre, COUNT(*) AS n, COUNT(CASE WHEN y_true = 1 THEN 1 END) AS n1 FROM occ GROUP BY 1, 2),
+ord AS (SELECT ano, trimestre, CAST(n - n1 AS DOUBLE) AS c0, CAST(n1 AS DOUBLE) AS c1,
+               ROW_NUMBER() OVER (ORDER BY n DESC, ano, trimestre) AS i, SUM(n - n1) OVER () AS s0, SUM(n1) OVER () AS s1 FROM cel),
+passo AS (
+  SELECT CAST(0 AS BIGINT) AS i, [0e0, 0e0, 0e0] AS h0, [0e0, 0e0, 0e0] AS h1, 0 AS fold
+  UNION ALL
+  SELECT i, list_transform(h0, lambda v, k: CASE WHEN k = f THEN v + c0 ELSE v END),
+         list_transform(h1, lambda v, k: CASE WHEN k = f THEN v + c1 ELSE v END), CAST(f - 1 AS INT)
+  FROM (SELECT o.i, p.h0, p.h1, o.c0, o.c1, list_position(q, list_min(q)) AS f FROM (
+    SELECT *, list_transform([1, 2, 3], lambda k: greatest((h0[k] + c0) / s0, (h1[k] + c1) / s1)) AS q
+    FROM passo p0 JOIN ord o0 ON o0.i = p0.i + 1) z JOIN ord o ON o.i = z.i_1 JOIN passo p ON p.i = z.i))"""
+
+
+@register("cv_group_folds", "R15", survey_sql("""
+SELECT ano, trimestre, p.fold, CAST(c0 + c1 AS BIGINT) AS n, CAST(c1 AS BIGINT) AS n1 FROM ord o JOIN passo p ON p.i = o.i""",
+    extra=_GROUP_FOLDS_SQL).replace("WITH ", "WITH RECURSIVE ", 1))
+def cv_group_folds(spark, d):
+    """Folds of whole quarters, balanced in size and class."""
+    t = ML.group_folds(SV.occ(spark, d), ["ano", "trimestre"], "y_true", FOLDS)
+    return t.groupBy("ano", "trimestre", "fold").agg(F.count(F.lit(1)).alias("n"),
+                                                     F.count(F.when(F.col("y_true") == 1, 1)).alias("n1"))
+
+
 @register("cv_grid", "R15", survey_sql("""
 SELECT x AS max_depth, TRUE AS auc_ok FROM (VALUES (3), (6)) v(x)"""))
 def cv_grid(spark, d):
@@ -492,3 +518,79 @@ def pca_kmeans(spark, d):
                .agg(F.count(F.lit(1)).alias("n"))
     return hist.agg(F.countDistinct("cluster").alias("clusters"), F.sum("n").alias("n"),
                     F.bool_and(F.col("bin").between(1, 20)).alias("faixas_ok"))
+
+
+# ---------------------------------------------------------------------------
+# the models' values (the queries above check their form against SQL)
+# ---------------------------------------------------------------------------
+
+@register("forest_metrics", "R6 R8 R9")
+def forest_metrics(spark, d):
+    """Test metrics of the forest, as one row."""
+    model, t = _fit_forest(spark, d)
+    pred = materialise(ML.positive_probability(model.transform(t.filter("split = 'teste'"))).select("label", "y_proba"),
+                       "previsoes")
+    return MT.classification_report(pred, "label", "y_proba").crossJoin(MT.auc_exact(pred, "label", "y_proba"))   # one row each
+
+
+@register("logistic_coefficients", "R7")
+def logistic_coefficients(spark, d):
+    """Standardised coefficients by feature, and the source column of each."""
+    t = _ml_table(spark, d)
+    return coefficients(ML.logistic(NUMERIC, CATEGORICAL, "peso_classe").fit(ML.require_two_classes(t.filter(TRAIN))), t)
+
+
+@register("importance_values", "R13")
+def importance_values(spark, d):
+    model, t = _fit_forest(spark, d, num_trees=10, max_depth=6)
+    return importance_table(model, t)
+
+
+@register("permutation_values", "R14")
+def permutation_values(spark, d):
+    """F1 drop by permuted column: mean, deviation and quantiles over bootstrap weights."""
+    model, t = _fit_forest(spark, d, num_trees=10, max_depth=6)
+    return ML.permutation_importance(model, t.filter("split = 'teste'"), NUMERIC + CATEGORICAL, "hk")
+
+
+@register("cv_values", "R15")
+def cv_values(spark, d):
+    """Mean AUC over folds of whole quarters, by depth of the trees."""
+    keys = SV.occ(spark, d).withColumn("hk", M.pk_hash(*SP.PK)).select("hk", "ano", "trimestre")
+    t = _ml_table(spark, d).join(keys, "hk")
+    t = materialise(ML.group_folds(t, ["ano", "trimestre"], "y_true", FOLDS), "folds")
+    pipe = ML.forest(NUMERIC, CATEGORICAL, 10, 4, 5)
+    grid = ML.ParamGridBuilder().addGrid(pipe.getStages()[-1].maxDepth, [3, 6]).build()
+    cv = ML.cross_validate(t, pipe, grid, "fold")
+    rows = [(int(list(pm.values())[0]), float(m), float(s)) for pm, m, s in zip(grid, cv.avgMetrics, cv.stdMetrics)]
+    return spark.createDataFrame(rows, "max_depth int, auc_media double, auc_desvio double")
+
+
+@register("learning_curve_values", "R15")
+def learning_curve_values(spark, d):
+    """F1 and AUC on training and test rows of forests fitted on growing shares of the training rows."""
+    t = _ml_table(spark, d)
+    out = None
+    for frac in CURVE:
+        sub = t.filter(TRAIN).filter(M.uniform(F.col("hk"), F.lit("curva")) < frac)
+        m = ML.forest(NUMERIC, CATEGORICAL, 10, 6, 5).fit(ML.require_two_classes(sub))
+        for part, rows in (("treino", sub), ("teste", t.filter("split = 'teste'"))):
+            pred = materialise(ML.positive_probability(m.transform(rows)).select("label", "y_proba"), "previsoes")
+            r = ML.f1_of(pred).crossJoin(MT.auc_exact(pred, "label", "y_proba")).select(                       # one row each
+                F.lit(frac).alias("fracao"), F.lit(part).alias("parte"), "f1", "auc")
+            out = r if out is None else out.unionByName(r)
+    return out
+
+
+@register("cluster_values", "R16 A33")
+def cluster_values(spark, d):
+    """Size, mean and range of age by cluster: on age alone, and on two principal components."""
+    rows = materialise(SV.survey(spark, d).select("eh_ti", *[F.col(c).cast("double").alias(c) for c in NUMERIC]), "rows")
+    it = rows.filter("eh_ti").select("idade")
+    parts = [("idade", ML.kmeans(it, ["idade"], k=4).transform(it)),
+             ("componentes", ML.kmeans(rows, NUMERIC, k=4, pca_k=2).transform(rows))]
+    out = None
+    for name, pred in parts:
+        r = ML.cluster_summary(pred, "idade").withColumn("modelo", F.lit(name))
+        out = r if out is None else out.unionByName(r)
+    return out

@@ -39,4 +39,4 @@ def all_queries() -> dict[str, Query]:
 def _load() -> None:
     # importing the plan modules fills the registry
     from laborlens.plans import (survey, ageism, registry_plans, feed, files,  # noqa: F401
-                                 quality, sampling_plans, models, streams, extras)
+                                 quality, sampling_plans, models, streams, extras, summaries)
