@@ -38,6 +38,7 @@ THRESHOLD = 0.5
 MOD, HELD, ASIDE = 5, 0, 1
 SLICE = 1 << 18
 ROWS = 256                    # documents whose features are handled at once
+TASKS = 8                     # that share the fit's bounded sample
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -164,15 +165,18 @@ def loss_and_gradient(rows: DataFrame, ratio: np.ndarray, n: int, l2: float):
                 d = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - y
                 slope += np.bincount(idx, d[row], SLOTS)
                 steep += float(d.sum())
-            yield pa.RecordBatch.from_pydict({"loss": [loss], "steep": [steep], "slope": [slope.tobytes()]})
-
-        parts = rows.select("y", "low", "many").mapInArrow(work, "loss double, steep double, slope binary").collect()
-        shared.unpersist()
-        slope = np.zeros(SLOTS)
-        for r in parts:                                           # one row a task, SLOTS numbers each
-            slope += np.frombuffer(r["slope"])
-        loss = sum(r["loss"] for r in parts) / n + l2 / 2 * float(x[:-1] @ x[:-1])
-        return loss, np.append(slope * ratio / n + l2 * x[:-1], sum(r["steep"] for r in parts) / n)
+            yield pa.RecordBatch.from_pydict({"loss": [loss], "steep": [steep], "slope": [slope.astype("<f4").tobytes()]})
+
+        parts = (rows.select("y", "low", "many").coalesce(TASKS)
+                 .mapInArrow(work, "loss double, steep double, slope binary").collect())
+        slope, loss, steep = np.zeros(SLOTS), 0.0, 0.0
+        for r in parts:                                           # at most TASKS rows of SLOTS numbers
+            slope += np.frombuffer(r["slope"], "<f4")
+            loss += r["loss"]
+            steep += r["steep"]
+        shared.destroy()
+        loss = loss / n + l2 / 2 * float(x[:-1] @ x[:-1])
+        return loss, np.append(slope * ratio / n + l2 * x[:-1], steep / n)
 
     return value
 
