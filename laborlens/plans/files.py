@@ -16,6 +16,7 @@ from laborlens.plans import registry_plans as RG
 from laborlens.plans.registry import register
 from laborlens.plans.views import micro, mov, vinculos, ledger, with_views, TEST_IT_CODES
 from laborlens.session import materialise, scratch_path
+from laborlens.sources import archives as AR
 from laborlens.sources import files as FS
 from laborlens.sources import incremental as IN
 from laborlens.sources import sinks as K
@@ -180,6 +181,47 @@ def zip_roundtrip(spark, d):
         F.count(F.lit(1)).alias("n"), F.sum(X.to_number("idade", to_int=True)).cast("long").alias("soma_idade"))
 
 
+def write_yearly_archive(lines: DataFrame, path: str) -> str:
+    """Fixture: one archive a partition, with a member for each year of its lines (value, ano)."""
+    from laborlens.sources.archives import opened
+    store, root, _ = opened(path)
+    store.create_dir(root, recursive=True)
+
+    def write(batches):
+        import zipfile
+        from pyspark import TaskContext
+        part = TaskContext.get().partitionId()
+        by_year: dict = {}
+        for pdf in batches:
+            for value, year in zip(pdf["value"], pdf["ano"]):
+                by_year.setdefault(year, []).append(value)
+        fs, base, _ = opened(path)
+        with fs.open_output_stream(f"{base}/lote-{part:05d}.zip") as raw, zipfile.ZipFile(raw, "w") as z:
+            for k, (year, own) in enumerate(sorted(by_year.items())):
+                kind = zipfile.ZIP_STORED if k % 2 else zipfile.ZIP_DEFLATED
+                z.writestr(f"dados/PNADC_{year}.txt", "".join(f"{v}\n" for v in own).encode("ISO-8859-1"), kind)
+        import pandas as pd
+        yield pd.DataFrame({"n": [len(by_year)]})
+
+    lines.mapInPandas(write, "n long").collect()                   # a number for each partition
+    return path
+
+
+@register("archive_members", "S1 S13", _m("""
+SELECT ano, 'dados/PNADC_' || CAST(ano AS STRING) || '.txt' AS membro, COUNT(*) AS n, CAST(SUM(idade) AS BIGINT) AS soma_idade
+FROM micro WHERE ano IN (1996, 1998) GROUP BY ano"""))
+def archive_members(spark, d):
+    """Fixed-width lines of two years' members, of archives with a member a year; the others are not opened."""
+    m = micro(spark, d)
+    lines = m.select(FS.fixed_width_line(RAW_LAYOUT, _fwf_values(m)).alias("value"), "ano")
+    path = write_yearly_archive(lines, scratch_path(spark, "archives"))
+    found = AR.read_archives(spark, path, range_bytes=1 << 20).filter(
+        F.col("membro").isin("dados/PNADC_1996.txt", "dados/PNADC_1998.txt"))
+    df = SC.rename_present(FS.cut_fixed_width(found, RAW_LAYOUT, keep=("membro",)), RENAME, normalize_keys=False)
+    return df.groupBy(X.to_number("ano", to_int=True).cast("int").alias("ano"), "membro").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(X.to_number("idade", to_int=True)).cast("long").alias("soma_idade"))
+
+
 # ---------------------------------------------------------------------------
 # delimited files: registry CSV (gzip), charset mix, separator sniffing, no header
 # ---------------------------------------------------------------------------

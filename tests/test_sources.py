@@ -72,3 +72,46 @@ def test_zip_round_trip(spark):
     rows = FS.read_zip_lines(spark, f"{d}/z").collect()
     assert sorted(r["value"] for r in rows) == sorted(f"linha {i}" for i in range(500))
     assert {r["membro"] for r in rows} == {"X_20240101.txt"}
+
+
+def _archive(path, members):
+    import zipfile
+    with zipfile.ZipFile(path, "w") as z:
+        for name, data, kind in members:
+            z.writestr(name, data, kind)
+
+
+def test_archive_members_are_partitions(spark):
+    import zipfile
+
+    from laborlens.sources import archives as AR
+    d = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    packed = [(f"m{i}.txt", "".join(f"{i} linha {k} é\r\n" for k in range(50 * i)).encode("latin-1"),
+               zipfile.ZIP_DEFLATED if i % 2 else zipfile.ZIP_STORED) for i in range(1, 7)]
+    _archive(f"{d}/a.zip", packed)
+    _archive(f"{d}/b2021.zip", [("x.txt", b"no end of line", zipfile.ZIP_DEFLATED), ("e.txt", b"", zipfile.ZIP_STORED)])
+    _write(d, "plain.txt", b"first\n\nthird")
+    df = AR.read_archives(spark, d, range_bytes=1000)
+    parts = AR.LineReader({"path": d, "bytes": "1000"}).partitions()
+    assert df.rdd.getNumPartitions() == len(parts) > 8
+    want = [(n, x.rstrip("\r")) for n, data, _ in packed for x in data.decode("latin-1").split("\n")[:-1]]
+    want += [("x.txt", "no end of line"), ("plain.txt", "first"), ("plain.txt", ""), ("plain.txt", "third")]
+    assert sorted((r.membro, r.value) for r in df.collect()) == sorted(want)
+    one = df.filter("membro = 'm3.txt'")
+    assert one.count() == 150 and one.rdd.getNumPartitions() == 1          # the others are not opened
+    assert df.filter("arquivo LIKE '%b2021.zip'").count() == 1
+    # the largest member of each archive, as the binary-file scan reads it
+    old = sorted(tuple(r) for r in FS.read_zip_lines(spark, d).select("membro", "value").collect())
+    new = AR.read_archives(spark, d, largest=True).filter("arquivo LIKE '%.zip'")
+    assert sorted((r.membro, r.value) for r in new.collect()) == old
+
+
+def test_byte_ranges_cut_no_line():
+    from laborlens.sources import archives as AR
+    d = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    data = b"".join(b"%d" % (10 ** (k % 7)) * (k % 5) + b"\n" for k in range(300)) + b"last"
+    _write(d, "f.txt", data)
+    for size in (1, 2, 3, 7, 50, 10_000):
+        reader = AR.LineReader({"path": f"{d}/f.txt", "bytes": str(size)})
+        got = [v for p in reader.partitions() for b in reader.read(p) for v in b.column("value").to_pylist()]
+        assert got == data.decode().split("\n")
