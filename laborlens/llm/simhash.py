@@ -18,14 +18,15 @@ The table is used twice:
   at least ``blocks - r`` groups; each choice of so many groups gives an
   equi-join key (with unit pivots the coordinates spell the group's bits), so
   candidate generation is a shuffle on keys and loses no pair.
-* *Spread pivots* inside a key: the fingerprints of a key are ordered by the
-  distance to the first spread pivot; windows of difference <= r give pairs,
-  the other pivots discard, the XOR verifies.
+* *Spread pivots* inside a key: the distances to them are computed once per
+  fingerprint and travel with it.  The fingerprints of a key are ordered by the
+  distance to the first; windows of difference <= r give pairs, the largest
+  coordinate difference discards, and only what it leaves is verified by the XOR.
 
 Equal fingerprints are collapsed first, so a group of copies costs one row.  A
 key with more than ``CHUNK`` distinct fingerprints is cut into ranges of its
-first coordinate and a hash; ranges meet two at a time in tasks of their own,
-so no task holds more than 2 * CHUNK rows on average.  A task returns links
+first coordinate and a hash; ranges meet two at a time in groups of their own, of
+about 2 * CHUNK rows each, and a task handles one group after another.  A task returns links
 to one member of each local class, never all pairs.
 
 Defined cases: a null or empty text has no shingle and fingerprint zero, linked
@@ -108,8 +109,32 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
+def pivot_table(fp: Column) -> list:
+    """Distances to all pivots, eight a long, as columns ``pv0``, ``pv1``, ..."""
+    def of(k: int) -> Column:
+        far = F.lit(0).cast("long")
+        for i, p in enumerate(PIVOTS[8 * k:8 * k + 8]):
+            far = far.bitwiseOR(F.shiftleft(F.bit_count(fp.bitwiseXOR(F.lit(_signed(int(p))))).cast("long"), 8 * i))
+        return far
+    return [of(k).alias(f"pv{k}") for k in range(len(PIVOTS) // 8)]
+
+
+TABLE = [f"pv{k}" for k in range(len(PIVOTS) // 8)]
+
+
+def distances(columns: list) -> np.ndarray:
+    """The table's rows from its columns' values: a distance for each fingerprint and pivot."""
+    packed = np.stack([np.asarray(c, "<i8") for c in columns], axis=1)
+    return packed.view(np.uint8).reshape(len(packed), -1).astype(np.int16)
+
+
+def may_be_close(x: np.ndarray, y: np.ndarray, max_bits: int) -> np.ndarray:
+    """Pairs of table rows whose largest coordinate difference does not exceed ``max_bits``."""
+    return np.abs(x - y).max(axis=1, initial=0) <= max_bits
+
+
 def blocked_keys(prints: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> DataFrame:
-    """One row per fingerprint and choice of groups: (fp, choice, key).
+    """One row per fingerprint and choice of groups: (fp, its row of the pivot table, choice, key).
 
     The key packs, for every group chosen, the coordinates to the group's unit
     pivots relative to the zero pivot: d(x, e_j) - d(x, 0) = 1 - 2 * bit j.
@@ -119,16 +144,11 @@ def blocked_keys(prints: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOC
     choices = F.array(*[F.struct(F.lit(i).cast("int").alias("choice"),
                                  F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key"))
                         for i, m in enumerate(picks)])
-    return prints.select("fp", F.inline(choices))
-
-
-def _distances(fps: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(fps[:, None] ^ pivots[None, :]).astype(np.int16)
+    return prints.select("fp", *pivot_table(F.col("fp"))).select("fp", *TABLE, F.inline(choices))
 
 
-def close_pairs(fps: np.ndarray, max_bits: int = MAX_BITS, pivots: np.ndarray = PIVOTS) -> Iterator[tuple]:
-    """Index pairs (i, j) within ``max_bits``, in batches, by the pivot table."""
-    table = _distances(fps, pivots)
+def close_pairs(fps: np.ndarray, table: np.ndarray, max_bits: int = MAX_BITS) -> Iterator[tuple]:
+    """Index pairs (i, j) within ``max_bits``, in batches, by the fingerprints' rows of the pivot table."""
     order = np.argsort(table[:, 0], kind="stable")
     first = table[order, 0]
     ends = np.searchsorted(first, first + max_bits, side="right")
@@ -168,11 +188,10 @@ def _local_roots(n: int, pairs: Iterator[tuple]) -> np.ndarray:
     return root
 
 
-def _links(fps: np.ndarray, max_bits: int) -> tuple:
-    fps = np.unique(fps)
-    u = fps.view(np.uint64)
-    root = _local_roots(len(u), close_pairs(u, max_bits))
-    own = root != np.arange(len(u))
+def _links(fps: np.ndarray, table: np.ndarray, max_bits: int) -> tuple:
+    fps, first = np.unique(fps, return_index=True)
+    root = _local_roots(len(fps), close_pairs(fps.view(np.uint64), table[first], max_bits))
+    own = root != np.arange(len(fps))
     return fps[root[own]], fps[own]
 
 
@@ -184,11 +203,10 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS) ->
     keyed = materialise(blocked_keys(prints, max_bits, blocks), "keys")
     counts = (keyed.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     shared = keyed.join(counts, ["choice", "key"])
-    pivot = _signed(int(PIVOTS[0]))
-    shared = shared.withColumn("d", F.bit_count(F.col("fp").bitwiseXOR(F.lit(pivot))).cast("int"))
+    shared = shared.withColumn("d", F.col("pv0").bitwiseAND(F.lit(255)).cast("int"))      # to the first pivot
 
     small = shared.where(F.col("n") <= CHUNK)
-    group = small.select("fp", F.xxhash64("choice", "key").alias("g"))
+    group = small.select("fp", *TABLE, F.xxhash64("choice", "key").alias("g"))
 
     # Large keys: cells are (first coordinate, hash part); a pair's coordinates
     # differ by max_bits at most, so a cell meets its own and the next few.
@@ -202,7 +220,7 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS) ->
                   .where(F.abs(F.col("d") - F.col("d2")) <= max_bits)      # <= 65 cells a key
                   .withColumn("part2", F.explode(F.sequence(F.lit(0), F.col("parts2") - 1))))
     met = (mine.drop("parts").join(cell_pairs.drop("parts", "parts2"), ["choice", "key", "d"])
-           .select("fp", F.xxhash64(
+           .select("fp", *TABLE, F.xxhash64(
                "choice", "key",
                F.least(F.struct("d", "part"), F.struct(F.col("d2").alias("d"), F.col("part2").alias("part"))),
                F.greatest(F.struct("d", "part"), F.struct(F.col("d2").alias("d"), F.col("part2").alias("part"))),
@@ -228,14 +246,14 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS) ->
         g, fp = pdf["g"].to_numpy(), pdf["fp"].to_numpy()
         cut = np.flatnonzero(np.r_[True, g[1:] != g[:-1], True])
         size = np.diff(cut)
+        table = distances([pdf[c] for c in TABLE])
         two = cut[:-1][size == 2]                       # most groups: one pair each
+        two = two[may_be_close(table[two], table[two + 1], max_bits)]
         x, y = fp[two], fp[two + 1]
         ok = np.bitwise_count((x ^ y).view(np.uint64)) <= max_bits
-        ok &= (np.abs(_distances(x.view(np.uint64), PIVOTS) - _distances(y.view(np.uint64), PIVOTS))
-               .max(axis=1, initial=0) <= max_bits)
         out_a, out_b = [np.minimum(x[ok], y[ok])], [np.maximum(x[ok], y[ok])]
         for s, n in zip(cut[:-1][size > 2].tolist(), size[size > 2].tolist()):
-            a, b = _links(fp[s:s + n], max_bits)
+            a, b = _links(fp[s:s + n], table[s:s + n], max_bits)
             out_a.append(a)
             out_b.append(b)
         return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})

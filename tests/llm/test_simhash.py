@@ -55,15 +55,43 @@ def test_links_of_close_groups(spark, monkeypatch, chunk):
     assert got == want.tolist()
 
 
+def table_of(fps):
+    far = np.bitwise_count(fps[:, None] ^ simhash.PIVOTS[None, :]).astype(np.uint8)
+    return simhash.distances(list(np.ascontiguousarray(far).view("<i8").T))
+
+
 def test_pivot_bound_never_discards_a_pair():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 1 << 63, 400, dtype=np.int64).view(np.uint64)
     flips = np.asarray([sum(1 << int(b) for b in rng.choice(64, 3, replace=False)) for _ in a], np.uint64)
     both = np.concatenate([a, a ^ flips])
-    found = {tuple(sorted(p)) for i, j in simhash.close_pairs(both) for p in zip(i.tolist(), j.tolist())}
+    found = {tuple(sorted(p)) for i, j in simhash.close_pairs(both, table_of(both)) for p in zip(i.tolist(), j.tolist())}
     assert {(i, i + 400) for i in range(400)} <= found
 
 
+def test_pivots_discard_candidates_before_any_bit_is_compared(spark):
+    """Of the pairs that share a key, most of those too far apart go by the table alone; none that is close."""
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 63, 300, dtype=np.int64)
+    near = base ^ np.asarray([1 << int(b) for b in rng.integers(0, 62, 300)], np.int64)
+    first26 = base ^ (rng.integers(0, 1 << 37, 300, dtype=np.int64) << 26)          # the low bits alike
+    fps = np.concatenate([base, near, first26])
+    frame = spark.createDataFrame([(int(f),) for f in fps], "fp long")
+    keys = simhash.blocked_keys(frame).toPandas()
+    table = simhash.distances([keys[c] for c in simhash.TABLE])
+    want = np.bitwise_count(keys["fp"].to_numpy().view(np.uint64)[:, None] ^ simhash.PIVOTS[None, :])
+    assert (table == want).all()
+    gone = kept = 0
+    for rows in keys.groupby(["choice", "key"]).indices.values():
+        for i, j in zip(rows, rows[1:]):
+            bits = bin((int(keys.fp[i]) ^ int(keys.fp[j])) & (1 << 64) - 1).count("1")
+            ok = bool(simhash.may_be_close(table[[i]], table[[j]], simhash.MAX_BITS)[0])
+            assert ok or bits > simhash.MAX_BITS
+            if bits > simhash.MAX_BITS:
+                gone, kept = gone + (not ok), kept + ok
+    assert gone > 9 * kept > -1 and gone > 250
+
+
 def test_odd_rows(spark):
     rows = simhash.near_duplicates(odd_documents(spark, [("fp", 1), ("component_id", 2)])).toPandas()
     assert len(rows) == 10
