@@ -8,7 +8,8 @@ replies to the message that its outermost linked quote comes from.  Conversation
 reply order, each message under the one it answers, with its own text alone: quotes,
 and the line that announces one, are left out.
 
-Links are found by an as-of join in two steps (turns in ranges of ``RANGE``), so that a passage
+The turns of a conversation are numbered without gaps first.  Links are found by an as-of join in two steps
+(numbers in ranges of ``RANGE``), so that a passage
 that a whole conversation repeats is split over tasks and never paired with itself.  The reply
 order is a position: the tour that enters a message, then its replies, and leaves it, is ranked by
 pointer doubling over rows of fixed size.  A conversation is rows in order, never one value, so
@@ -30,6 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from laborlens.llm.common import materialise
+from laborlens.operators.quantiles import running_sums
 
 RANGE = 256
 MARK = re.compile(r"[ \t]*((?:>[ \t]?)*)(.*)", re.S)
@@ -94,8 +96,14 @@ def parse(text: str | None) -> tuple:
 
 
 def parsed(messages: DataFrame) -> DataFrame:
+    """The messages' parts; ``uid`` numbers the rows, so it holds once the result is written."""
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+        uid = TaskContext.get().partitionId() << 33
         for pdf in batches:
+            pdf["uid"] = range(uid, uid + len(pdf))
+            uid += len(pdf)
             rows = [parse(t if isinstance(t, str) else None) for t in pdf["text"]]
             for k, name in enumerate(("body", "n_quotes", "own", "quotes")):
                 pdf[name] = pd.Series([r[k] for r in rows], index=pdf.index, dtype=object)
@@ -105,13 +113,23 @@ def parsed(messages: DataFrame) -> DataFrame:
     src = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
                           F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     # Nullable integers stay integers in pandas only as objects; ids travel as text.
-    src = src.withColumn("uid", F.xxhash64("conv_id", "turn", "role", "text"))
     kept = ["conv_id", "turn"]
     out = src.select(*[F.col(c).cast("string").alias(c) if c in kept else F.col(c) for c in src.columns]) \
         .mapInPandas(read, PARSED.replace("conv_id long, turn long", "conv_id string, turn string"))
     return out.withColumn("conv_id", F.col("conv_id").cast("long")).withColumn("turn", F.col("turn").cast("long"))
 
 
+def numbered(messages: DataFrame) -> DataFrame:
+    """(conv_id, turn, no): the turns of each conversation in order, without gaps, from 0.
+
+    Turns may be far apart (times, say); ranges of ``RANGE`` numbers hold as many turns."""
+    turns = messages.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull()).select("conv_id", "turn").distinct()
+    first = turns.groupBy("conv_id").agg(F.min("turn").alias("_first"))
+    rows = (turns.join(first, "conv_id").withColumn("_far", F.col("turn") - F.col("_first"))
+            .select("conv_id", "turn", "_far", F.lit(1).cast("long").alias("one")))
+    return running_sums(rows, ["conv_id"], "_far", ["one"]).select("conv_id", "turn", (F.col("cum_one") - 1).alias("no"))
+
+
 def linked(messages: DataFrame) -> DataFrame:
     """(uid, seq, level, source): the latest earlier turn that each quoted passage comes from.
 
@@ -197,56 +215,29 @@ def places(replies: DataFrame) -> DataFrame:
                                            (F.col("entered") - 1).alias("position"))
 
 
-def paths(replies: DataFrame) -> DataFrame:
-    """(conv_id, turn, path): turns from the thread's first message down, by pointer doubling.
-
-    ``replies``: (conv_id, turn, parent), one row per turn, parent earlier or null.
-    """
-    now = materialise(replies.select("conv_id", "turn", F.col("parent").alias("up"),
-                                     F.array("turn").alias("path")), "paths")
-    while not now.where(F.col("up").isNotNull()).isEmpty():
-        above = now.select("conv_id", F.col("turn").alias("up"), F.col("path").alias("head"),
-                           F.col("up").alias("next"))
-        open_ = now.where(F.col("up").isNotNull()).join(above, ["conv_id", "up"], "left")
-        now = materialise(
-            now.where(F.col("up").isNull()).select("conv_id", "turn", "up", "path").union(
-                open_.select("conv_id", "turn", F.col("next").alias("up"),
-                             F.concat(F.coalesce("head", F.array("up")), "path").alias("path"))), "paths")
-    return now.select("conv_id", "turn", "path")
-
-
-def replied(messages: DataFrame) -> tuple:
-    """The parsed rows with their links, and (conv_id, turn, parent) of each turn."""
-    rows = materialise(parsed(messages), "messages")
-    links = materialise(linked(rows), "links")
-    parent = links.groupBy("uid").agg(
-        F.min_by("source", F.struct("level", "seq")).alias("parent_turn"), F.count(F.lit(1)).alias("n_linked"))
-    replies = materialise(rows.join(parent, "uid", "left"), "replies")
-    nodes = (replies.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
-             .groupBy("conv_id", "turn").agg(F.min("parent_turn").alias("parent")))
-    return replies, materialise(nodes, "nodes")
-
-
-def formatted(replies: DataFrame, placed: DataFrame) -> DataFrame:
-    role = F.coalesce("role", F.lit("unknown"))
-    own = ["root_turn", F.coalesce("depth", F.lit(0)).cast("int").alias("depth"), "position"]
-    return (replies.join(placed, ["conv_id", "turn"], "left")
-            .select("conv_id", "turn", "role", "body", "n_quotes",
-                    F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "parent_turn", *own,
-                    *[c for c in placed.columns if c == "path"],
-                    F.concat(F.lit("<|"), role, F.lit("|>\n"), F.col("body"), F.lit("\n<|end|>")).alias("formatted"))
-            .orderBy("conv_id", "position", "turn"))
-
-
 def threads(messages: DataFrame) -> DataFrame:
     """Messages in reply order: (conv_id, turn, role, body, n_quotes, n_linked, parent_turn, root_turn, depth,
     position, formatted).  Sorting by (conv_id, position) gives the order; the result is sorted so."""
-    replies, nodes = replied(messages)
-    return formatted(replies, places(nodes))
+    rows = materialise(parsed(messages), "messages")
+    numbers = materialise(numbered(rows), "numbers")
+    dense = rows.join(numbers, ["conv_id", "turn"], "left")
+    placed_rows = dense.where(F.col("no").isNotNull()).drop("turn").withColumnRenamed("no", "turn")
+    links = materialise(linked(placed_rows), "links")
+    parent = links.groupBy("uid").agg(
+        F.min_by("source", F.struct("level", "seq")).alias("parent"), F.count(F.lit(1)).alias("n_linked"))
+    replies = materialise(dense.join(parent, "uid", "left"), "replies")
+    nodes = (replies.where(F.col("no").isNotNull()).groupBy("conv_id", F.col("no").alias("turn"))
+             .agg(F.min("parent").alias("parent")))
+    placed = places(materialise(nodes, "nodes")).withColumnsRenamed({"turn": "no", "root_turn": "root"})
 
+    def turn_of(number: str, turn: str) -> DataFrame:
+        return numbers.select("conv_id", F.col("no").alias(number), F.col("turn").alias(turn))
 
-def conversations(messages: DataFrame) -> DataFrame:
-    """``threads`` with each message's path of turns from its thread's first one (``paths``).  A chain of n
-    replies has n * n / 2 turns in its paths, so this is for short chains only."""
-    replies, nodes = replied(messages)
-    return formatted(replies, places(nodes).join(paths(nodes), ["conv_id", "turn"]))
+    whole = (replies.join(placed, ["conv_id", "no"], "left").join(turn_of("parent", "parent_turn"), ["conv_id", "parent"], "left")
+             .join(turn_of("root", "root_turn"), ["conv_id", "root"], "left"))
+    role = F.coalesce("role", F.lit("unknown"))
+    return whole.select(
+        "conv_id", "turn", "role", "body", "n_quotes", F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "parent_turn",
+        "root_turn", F.coalesce("depth", F.lit(0)).cast("int").alias("depth"), "position",
+        F.concat(F.lit("<|"), role, F.lit("|>\n"), F.col("body"), F.lit("\n<|end|>")).alias("formatted")) \
+        .orderBy("conv_id", "position", "turn")

@@ -40,17 +40,14 @@ def test_random_threads_equal_brute_force(spark):
                     text = "On Monday A wrote:\n" + text
             rows.append((conv, turn, "user", text))
             texts.append(text)
-    got = chat.conversations(spark.createDataFrame(rows, SCHEMA)).collect()
+    got = chat.threads(spark.createDataFrame(rows, SCHEMA)).collect()
     want = slow_parents(rows)
     assert {(r.conv_id, r.turn): r.parent_turn for r in got if r.parent_turn is not None} == want
     for r in got:
-        path, turn = [], r.turn
-        while turn is not None:
-            path.insert(0, turn)
-            turn = want.get((r.conv_id, turn))
-        assert r.path == path and r.depth == len(path) - 1
         assert ">" not in r.body and "wrote:" not in r.body
-    assert [(r.conv_id, r.path) for r in got] == sorted((r.conv_id, r.path) for r in got)
+    order = slow_order({(c, t): want.get((c, t)) for c, t, _, _ in rows})
+    assert {(r.conv_id, r.turn): (r.root_turn, r.depth, r.position) for r in got} == order
+    assert [(r.conv_id, r.position) for r in got] == sorted((r.conv_id, r.position) for r in got)
 
 
 def test_nested_levels():
@@ -61,13 +58,13 @@ def test_nested_levels():
 
 def test_long_reply_chain(spark):
     rows = [(1, 0, "a", "m0")] + [(1, t, "a", f"> m{t - 1}\nm{t}") for t in range(1, 70)]
-    got = chat.conversations(spark.createDataFrame(rows, SCHEMA)).collect()
+    got = chat.threads(spark.createDataFrame(rows, SCHEMA)).collect()
     assert [r.depth for r in got] == list(range(70))
 
 
 def test_repeated_passages_link_to_the_latest(spark):
     rows = [(1, t, "a", "same") for t in range(600)] + [(1, 600, "b", "> same\nanswer"), (1, 300, "c", "> SAME \nmid")]
-    got = {(r.turn, r.role): r for r in chat.conversations(spark.createDataFrame(rows, SCHEMA)).collect()}
+    got = {(r.turn, r.role): r for r in chat.threads(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got[600, "b"].parent_turn == 599 and got[300, "c"].parent_turn == 299
 
 
@@ -75,10 +72,10 @@ def test_odd_rows(spark):
     rows = [(1, 0, "user", None), (1, 1, None, ""), (1, 2, "user", "> \n>\nx"), (None, 3, "user", "> x"), (2, None, "user", "t"),
             (1, 2, "user", "> \n>\nx"), (3, 0, "user", "line\n" * 20000)]
     frame = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS path", "'b' AS body", "2 AS uid")
-    got = chat.conversations(frame).collect()
+    got = chat.threads(frame).collect()
     assert len(got) == 7 and all(r.n_linked == 0 and r.parent_turn is None and r.depth == 0 for r in got)
     assert [r.body for r in got if r.turn == 2] == ["x", "x"]
-    assert chat.conversations(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert chat.threads(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
 @pytest.mark.parametrize("text,level", [("> a", 1), (">> a", 2), (" > > a", 2), ("a > b", 0), (">a", 1)])
@@ -125,5 +122,22 @@ def test_threads_are_ordered_without_paths(spark):
     got = out.collect()
     assert [r.position for r in got] == [None, None, *range(300), 300, 300]
     assert [(r.turn, r.parent_turn, r.depth, r.root_turn) for r in got[-2:]] == [(400, 7, 8, 0)] * 2
-    assert [(r.conv_id, r.turn, r.depth) for r in got] == [
-        (r.conv_id, r.turn, r.depth) for r in chat.conversations(spark.createDataFrame(rows, SCHEMA)).collect()]
+
+
+def test_turns_far_apart(spark):
+    """Turn numbers 10^9 apart, 5000 turns in one conversation, one passage in all of them."""
+    rows = [(1, 10 ** 9 * t - 7, "a", f"same\n\nm{t}" if t % 5 else f"> m{t - 3}\nsame\n\nm{t}") for t in range(5000)]
+    numbers = {(r.conv_id, r.turn): r.no for r in chat.numbered(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert numbers == {(1, 10 ** 9 * t - 7): t for t in range(5000)}
+    got = {r.turn: r for r in chat.threads(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for t in (5, 10, 4995):
+        assert got[10 ** 9 * t - 7].parent_turn == 10 ** 9 * (t - 3) - 7
+    assert sum(r.parent_turn is not None for r in got.values()) == 999
+    assert sorted(r.position for r in got.values()) == list(range(5000))
+
+
+def test_rows_that_hash_alike_stay_apart(spark):
+    """A null role with a text, and that text as a role with a null text."""
+    rows = [(1, 0, "q", "x"), (1, 1, None, "> x"), (1, 1, "> x", None)]
+    got = chat.threads(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.role or "", r.n_linked) for r in got) == [("", 1), ("> x", 0), ("q", 0)]
