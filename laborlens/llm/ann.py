@@ -27,7 +27,8 @@ cost one point.
 Defined cases: vectors that are null, empty, zero, or hold a null, NaN or infinite
 component, take no part, as query or as candidate, nor do null ids; of several lengths
 only the most frequent one (the longer of equals) takes part; a repeated (id, vector)
-row counts once; a query returns all candidates if there are fewer than k; an empty
+row counts once, and an id with several vectors counts by whichever is nearest, as query
+and as candidate; a query returns all candidates if there are fewer than k; an empty
 table gives no rows; other columns are ignored.
 """
 
@@ -166,7 +167,7 @@ class Block:
             new = (leaves[:, None] * LEAF_ROWS + np.arange(LEAF_ROWS)).ravel()
             new = new[new < len(self.x)]
             got = self.x[new] @ q
-            keep = got >= bound - 1e-9
+            keep = got >= bound - 1e-12 * self.top * norm         # far above a product's rounding
             rows, scores = np.concatenate([rows, new[keep]]).astype(np.int64), np.concatenate([scores, got[keep]])
             best = np.argsort(-scores, kind="stable")
             full = np.searchsorted(np.cumsum(self.many[rows[best]]), k + 1)   # one may be the query
@@ -190,6 +191,11 @@ def valid(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return own.join(F.broadcast(size), F.size("v") == F.col("size")).select("vec_id", "v").distinct()  # one row
 
 
+def best_of_ids(hits: DataFrame) -> DataFrame:
+    """One row a query id and candidate id, whichever of their vectors are nearest."""
+    return hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id",
             vec_col: str = "embedding", confidence: float = CONFIDENCE) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest of every query row.
@@ -279,13 +285,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec
                 .cogroup(copies.groupBy("block", "part")).applyInPandas(search, HITS))
 
     here = materialise(asked.mapInPandas(at_home, kind), "home")
-    found = materialise(searched(here), "found")
+    found = materialise(best_of_ids(searched(here)), "found")
     # The k-th best so far is reached only if there are k.
     kth = (found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("worst"))
            .select("query_id", F.when(F.col("n") >= k, F.col("worst")).otherwise(F.lit(-1e300)).alias("bound")))
     again = (here.drop("bound").join(kth, "query_id", "left").fillna(-1e300, ["bound"])
              .select("query_id", "v", "block", "bound").mapInPandas(elsewhere, kind))
-    every = found.union(searched(again)).distinct()
+    every = best_of_ids(found.union(searched(again)))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return (every.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

@@ -57,6 +57,20 @@ def test_odd_rows(spark):
     assert ann.nearest(frame.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_several_vectors_of_one_id(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (21, [5.0, 0.0]), (21, [0.0, 4.0]), (22, [3.0, 3.0]), (23, [1.0, 1.0])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 20).collect()
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(21, 5.0), (22, 3.0), (23, 1.0)]
+
+
+def test_ties_of_long_vectors(spark):
+    """Equal products at norms of 10^9: the smaller ids count, whatever rounding does."""
+    x = np.random.default_rng(0).normal(size=64) * 1e9
+    rows = [(20, [float(c) for c in x])] + [(100 + i, [float(c) for c in x * 0.5]) for i in range(50)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 20).collect()
+    assert sorted(r.vec_id for r in got) == list(range(100, 120))
+
+
 def test_chi_square_quantile():
     assert ann.chi2_quantile(0.95, 8) == pytest.approx(15.507, abs=1e-3)
     assert ann.chi2_quantile(0.5, 2) == pytest.approx(1.38629, abs=1e-4)
