@@ -35,10 +35,12 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class: that of the smallest id, then fingerprint.
 
-    An id repeated with other texts counts once in each of their classes; rows without an id have no
-    class and stay.  Only for ids with several fingerprints are the rows' fingerprints compared again.
+    An id repeated with other texts counts once in each of their classes.  A row without an id stays only in
+    a class without ids, one row of the smallest fingerprint.  Only for ids with several fingerprints and for
+    rows without an id are the fingerprints computed again.
     """
-    rows = materialise(simhash.classes(docs).where(F.col("doc_id").isNotNull()), "members")
+    members = materialise(simhash.classes(docs), "members")
+    rows = members.where(F.col("doc_id").isNotNull())
     several = materialise(rows.groupBy("doc_id").agg((F.min("fp") != F.max("fp")).alias("_several"))
                           .where("_several").select("doc_id"), "several")
 
@@ -46,10 +48,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
              .groupBy("root", "doc_id").agg(F.min("fp").alias("_fp")).select("doc_id", "_fp"))
     plain = (docs.join(several, "doc_id", "left_anti").join(first.select("doc_id"), "doc_id", "left_semi")
              .dropDuplicates(["doc_id"]))
-    many = (docs.join(several, "doc_id", "left_semi").withColumn("_fp", simhash.fingerprint(F.col("text")))
-            .join(first, ["doc_id", "_fp"]).dropDuplicates(["doc_id", "_fp"]))
-    kept = plain.select(*docs.columns).union(many.select(*docs.columns))
-    return kept.union(docs.where(F.col("doc_id").isNull()))
+    printed = docs.withColumn("_fp", simhash.fingerprint(F.col("text")))
+    many = printed.join(several, "doc_id", "left_semi").join(first, ["doc_id", "_fp"]).dropDuplicates(["doc_id", "_fp"])
+    nameless = (members.where(F.col("doc_id").isNull()).groupBy("root").agg(F.min("fp").alias("_fp"))
+                .join(rows.select("root"), "root", "left_anti").select("_fp"))
+    others = printed.where(F.col("doc_id").isNull()).join(nameless, "_fp").dropDuplicates(["_fp"])
+    return (plain.select(*docs.columns).union(many.select(*docs.columns)).union(others.select(*docs.columns)))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,12 +67,12 @@ def test_unknown_language_goes(spark):
 
 def test_repeated_ids_with_other_texts_stay(spark):
     rng = random.Random(1)
-    a, b, c, d = (" ".join(f"{x}{rng.randrange(9999)}" for _ in range(80)) for x in "abcd")
-    rows = [(5, a), (5, b), (5, b), (3, a), (9, b), (5, c), (7, d), (7, d), (8, d), (None, a)]
+    a, b, c, d, e = (" ".join(f"{x}{rng.randrange(9999)}" for _ in range(80)) for x in "abcde")
+    rows = [(5, a), (5, b), (5, b), (3, a), (9, b), (5, c), (7, d), (7, d), (8, d), (None, a), (None, e), (None, e)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr(
         "doc_id", "text", "'en' AS lang", "'s' AS source", "1L AS n_chars")
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF_SMALL).collect()
-    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(0, a), (3, a), (5, b), (5, c), (7, d)])
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(0, e), (3, a), (5, b), (5, c), (7, d)])
 
 
 def test_one_row_of_an_id_with_near_duplicates(spark):
