@@ -146,7 +146,9 @@ def permutation_importance(model, test: DataFrame, features: list[str], key: str
     """F1 drop of every feature when its column is permuted, with the mean, standard
     deviation and 2.5 % / 97.5 % quantiles over Poisson bootstrap weights of the test rows.
 
-    Per feature one pass over the rows; the replicates are sums side by side."""
+    Per feature one pass over the rows; the replicates are sums side by side.  Columns are permuted in
+    buckets of about 4096 rows."""
+    buckets = max(1, test.count() // 4096)
     weights = [poisson1(uniform(F.col(key), F.lit(r))).cast("double") for r in range(replicates)]
 
     def scores(df: DataFrame, name: str) -> DataFrame:
@@ -160,7 +162,7 @@ def permutation_importance(model, test: DataFrame, features: list[str], key: str
         return row.select(F.lit(name).alias("feature"), f1.alias("f1"))
 
     base = scores(test, "").select(F.col("f1").alias("f1_base"))
-    parts = [scores(permute_column(test, c, key, seed + k), c) for k, c in enumerate(features)]
+    parts = [scores(permute_column(test, c, key, seed + k, buckets), c) for k, c in enumerate(features)]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)

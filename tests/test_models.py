@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from laborlens.operators import ml as ML
 from laborlens.plans import models as MD
+from laborlens.session import materialise
 
 
 @pytest.fixture(scope="module")
@@ -18,7 +19,7 @@ def table(spark):
         *[F.pmod(F.xxhash64("id", F.lit(4 + k)), F.lit(2)).cast("string").alias(c) for k, c in enumerate(MD.CATEGORICAL)],
         "id")
     label = F.when(F.col("id") % 10 == 0, F.col("idade") < 40).otherwise(F.col("idade") >= 40)
-    return df.withColumn("label", label.cast("double"))
+    return materialise(df.withColumn("label", label.cast("double")), "known")
 
 
 def test_importances_name_the_deciding_column(table):
