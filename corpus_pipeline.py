@@ -48,11 +48,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
              .groupBy("root", "doc_id").agg(F.min("fp").alias("_fp")).select("doc_id", "_fp"))
     plain = (docs.join(several, "doc_id", "left_anti").join(first.select("doc_id"), "doc_id", "left_semi")
              .dropDuplicates(["doc_id"]))
-    printed = docs.withColumn("_fp", simhash.fingerprint(F.col("text")))
-    many = printed.join(several, "doc_id", "left_semi").join(first, ["doc_id", "_fp"]).dropDuplicates(["doc_id", "_fp"])
+    fp = simhash.fingerprint(F.col("text"))
+    many = (docs.join(several, "doc_id", "left_semi").withColumn("_fp", fp)
+            .join(first, ["doc_id", "_fp"]).dropDuplicates(["doc_id", "_fp"]))
     nameless = (members.where(F.col("doc_id").isNull()).groupBy("root").agg(F.min("fp").alias("_fp"))
                 .join(rows.select("root"), "root", "left_anti").select("_fp"))
-    others = printed.where(F.col("doc_id").isNull()).join(nameless, "_fp").dropDuplicates(["_fp"])
+    others = (docs.where(F.col("doc_id").isNull()).withColumn("_fp", fp)
+              .join(nameless, "_fp").dropDuplicates(["_fp"]))
     return (plain.select(*docs.columns).union(many.select(*docs.columns)).union(others.select(*docs.columns)))
 
 
