@@ -46,13 +46,14 @@ def _fwf_values(m: DataFrame) -> dict:
 
 
 def fwf_dir(spark, d) -> str:
-    """Fixed-width fixture, one folder per PNADC_0QYYYY name."""
+    """Fixed-width fixture, one folder per PNADC_0QYYYY name; the lines are mostly blanks, so the files are compressed."""
     def build():
         m = micro(spark, d)
         lines = m.select(FS.fixed_width_line(RAW_LAYOUT, _fwf_values(m)).alias("value"),
                          F.concat(F.lit("PNADC_0"), F.col("trimestre").cast("string"),
                                   F.col("ano").cast("string")).alias("nome_arquivo"))
-        return K.write_text(lines, "value", scratch_path(spark, "fwf"), partition_by=("nome_arquivo",))
+        return K.write_text(lines, "value", scratch_path(spark, "fwf"), partition_by=("nome_arquivo",),
+                            compression="snappy")
     return _fixture(spark, d, "fwf", build)
 
 

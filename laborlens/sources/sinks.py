@@ -69,11 +69,22 @@ def consolidate(frames: list[DataFrame], forced: dict | None = None) -> DataFram
     return out.select(*contract)
 
 
-def write_text(df: DataFrame, col: str, path: str, partition_by=()) -> str:
-    w = df.select(col, *partition_by).write.mode("overwrite").option("compression", "none")
+OPEN_FILES = 128
+
+
+def write_text(df: DataFrame, col: str, path: str, partition_by=(), compression: str = "none") -> str:
+    """Lines of text, in a folder for each value of `partition_by`.  A task keeps up to `OPEN_FILES` files open, so
+    the lines are sorted by folder only where there are more."""
+    spark, files = df.sparkSession, "spark.sql.maxConcurrentOutputFileWriters"
+    w = df.select(col, *partition_by).write.mode("overwrite").option("compression", compression)
     if partition_by:
         w = w.partitionBy(*partition_by)
-    w.text(path)
+    before = spark.conf.get(files, None)
+    spark.conf.set(files, OPEN_FILES)
+    try:
+        w.text(path)
+    finally:
+        spark.conf.set(files, before) if before is not None else spark.conf.unset(files)
     return path
 
 
