@@ -183,7 +183,8 @@ def zip_roundtrip(spark, d):
 
 
 def write_yearly_archive(lines: DataFrame, path: str) -> str:
-    """Fixture: one archive a partition, with a member for each year of its lines (value, ano)."""
+    """Fixture: one archive a partition, with a member for each year of its lines (value, ano), written
+    line by line in the order of the years."""
     from laborlens.sources.archives import opened
     store, root, _ = opened(path)
     store.create_dir(root, recursive=True)
@@ -192,19 +193,25 @@ def write_yearly_archive(lines: DataFrame, path: str) -> str:
         import zipfile
         from pyspark import TaskContext
         part = TaskContext.get().partitionId()
-        by_year: dict = {}
-        for pdf in batches:
-            for value, year in zip(pdf["value"], pdf["ano"]):
-                by_year.setdefault(year, []).append(value)
         fs, base, _ = opened(path)
+        k, last, out = 0, None, None
         with fs.open_output_stream(f"{base}/lote-{part:05d}.zip") as raw, zipfile.ZipFile(raw, "w") as z:
-            for k, (year, own) in enumerate(sorted(by_year.items())):
-                kind = zipfile.ZIP_STORED if k % 2 else zipfile.ZIP_DEFLATED
-                z.writestr(f"dados/PNADC_{year}.txt", "".join(f"{v}\n" for v in own).encode("ISO-8859-1"), kind)
+            for pdf in batches:
+                for year, own in pdf.groupby("ano", sort=False, dropna=False)["value"]:
+                    year = int(year) if year == year else None         # a column with nulls comes as floats
+                    if out is None or year != last:
+                        if out is not None:
+                            out.close()
+                        member = zipfile.ZipInfo(f"dados/PNADC_{year}.txt")
+                        member.compress_type = zipfile.ZIP_STORED if k % 2 else zipfile.ZIP_DEFLATED
+                        k, last, out = k + 1, year, z.open(member, "w", force_zip64=True)
+                    out.write("".join(f"{v}\n" for v in own).encode("ISO-8859-1"))
+            if out is not None:
+                out.close()
         import pandas as pd
-        yield pd.DataFrame({"n": [len(by_year)]})
+        yield pd.DataFrame({"n": [k]})
 
-    lines.mapInPandas(write, "n long").collect()                   # a number for each partition
+    lines.sortWithinPartitions("ano").mapInPandas(write, "n long").collect()                   # a number for each partition
     return path
 
 
@@ -214,6 +221,7 @@ FROM micro WHERE ano IN (1996, 1998) GROUP BY ano"""))
 def archive_members(spark, d):
     """Fixed-width lines of two years' members, of archives with a member a year; the others are not opened."""
     m = micro(spark, d)
+    m = m.select("cbo_familia", *[c for c in RAW_NAMES if c != "cbo_ocupacao"]).sortWithinPartitions("ano")    # before lines are long
     lines = m.select(FS.fixed_width_line(RAW_LAYOUT, _fwf_values(m)).alias("value"), "ano")
     path = write_yearly_archive(lines, scratch_path(spark, "archives"))
     found = AR.read_archives(spark, path, range_bytes=1 << 20).filter(
