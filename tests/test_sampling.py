@@ -90,3 +90,22 @@ def test_trend_p_value(spark):
 
 def test_checkpoint_folder_is_the_sessions(spark):
     assert _ensure_checkpoint_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_permutation_shuffles_the_rows_once(spark):
+    """Every row gets the value whose place in its bucket is the row's own in another order, by one shuffle."""
+    d = keyed(spark).withColumn("v", F.when(F.col("id") % 7 > 0, F.col("id"))).withColumn("none", F.lit(None).cast("string"))
+    p = ML.permute_column(d, "v", "hk", seed=3, buckets=4)
+    plan = p._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+    def h(n):
+        return F.xxhash64(F.col("hk"), F.lit(3), F.lit(n))
+    rows = d.select("id", "v", "hk", F.pmod(h(0), F.lit(4)).alias("b"), h(1).alias("to"), h(2).alias("at")).collect()
+    want = {}
+    for b in range(4):
+        own = [r for r in rows if r.b == b]
+        want.update(zip([r.id for r in sorted(own, key=lambda r: (r["to"], r.hk))],
+                        [r.v for r in sorted(own, key=lambda r: (r["at"], r.hk))]))
+    assert {r.id: r.v for r in p.collect()} == want
+    assert p.schema["v"].dataType == d.schema["v"].dataType and set(p.columns) == set(d.columns)
