@@ -83,3 +83,17 @@ def test_synthetic_rows_lie_towards_near_rows(spark):
     assert len(synth) == 1350 - 300
     assert all(abs(r.a) <= 1 or abs(r.a - 1000) <= 1 for r in synth)
     assert {r.a > 500 for r in synth} == {True, False}
+
+
+def test_large_cells_are_cut_by_aggregation_and_rows_not_rewritten(spark, monkeypatch):
+    """Cells above ``whole`` points: the same recall, and only the points and the cuts are written."""
+    written = []
+    real = N.materialise
+    monkeypatch.setattr(N, "materialise", lambda df, name: written.append(name) or real(df, name))
+    x = np.random.default_rng(7).normal(size=(4000, 3))
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double")
+    found = N.nearest(df, ["a", "b", "c"], k=5, whole=300).collect()
+    assert len(found) == 4000 and all(len(r.near) == 5 for r in found)
+    assert recall(found, brute_distances(x, np.ones(len(x), int), 5)) >= 0.9
+    assert written.count("points") == 1 and written.count("cuts") >= 2
+    assert set(written) == {"points", "cuts"}
