@@ -82,3 +82,23 @@ def test_one_row_of_an_id_with_near_duplicates(spark):
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF_SMALL).collect()
     assert [r.doc_id for r in kept] == [1]
     assert simhash.near_duplicates(docs).select("fingerprint").distinct().count() == 2
+
+
+def test_workers_get_small_batches(spark):
+    """A stage's texts go to the workers in batches of at most BATCH_ROWS rows; a smaller size that is set stays."""
+    at = corpus_pipeline.ARROW_ROWS
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+
+    def sizes(batches):
+        import pyarrow as pa
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+    try:
+        for given, most in ((10_000, corpus_pipeline.BATCH_ROWS), (100, 100)):
+            spark.conf.set(at, str(given))
+            kept = dict(corpus_pipeline.STAGES)["decontamination"](spark, docs, SF_SMALL)
+            n = [r.n for r in docs.coalesce(1).mapInArrow(sizes, "n long").collect()]
+            assert kept.columns == docs.columns and sum(n) == 1000 and max(n) == most
+    finally:
+        spark.conf.unset(at)
