@@ -2,8 +2,8 @@
 
 A text is cut into chunks where the tokenizer's own split surely ends a token: before a space
 that a word follows, and around runs of other white space.  The ids of a text are the
-ids of its chunks in a row.  Most texts are cut by splitting at spaces; texts with long runs of
-white space are cut by a pattern.
+ids of its chunks in a row.  Most texts are cut by splitting at spaces, many at once, and their pieces
+numbered by Arrow; texts with long runs of white space are cut by a pattern.
 """
 
 from __future__ import annotations
@@ -12,12 +12,14 @@ import re
 from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 600_000
 LONG_TEXT = 1 << 20          # longer texts are cut in portions
 LONG_CHUNK = 200             # longer chunks are not kept
+SLICE_BYTES = 8 << 20        # text cut at once
 
 #: The characters that Unicode calls white space.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -122,7 +124,10 @@ class ByteIds:
 
     def part(self, part: str) -> bytes:
         """Ids of what the tokenizer's split leaves whole."""
-        text = part.encode("utf-8").decode("latin-1").translate(self.shown)
+        if part.isascii() and part.isprintable():
+            text = part.replace(" ", chr(self.shown[0x20]))
+        else:
+            text = part.encode("utf-8").decode("latin-1").translate(self.shown)
         return array("I", [t.id for t in self.merges(text)]).tobytes()
 
     def whole(self, text: str) -> bytes:
@@ -139,26 +144,53 @@ class ByteIds:
             ids += self.parts[word[2]]
         return self.parts["\n"] + ids if line else ids
 
-    def text(self, text: str, odd: bool) -> bytes:
-        """Ids of one text."""
+    def text(self, text: str) -> bytes:
+        """Ids of one text that isn't cut at every space."""
         if any(s in text for s in self.special):
             return self.whole(text)
-        if odd or len(text) > LONG_TEXT:
-            return b"".join(b"".join([self.chunk(m.group()) for m in part])
-                            for part in portions(CHUNK.finditer(text)))
-        pieces = cut(text)
-        first = self.chunk(pieces[0])
-        pieces[0] = ""
-        ids = b"".join(map(self.pieces.__getitem__, pieces))
-        return first + ids[len(self.pieces[""]):]
+        return b"".join(b"".join([self.chunk(m.group()) for m in part])
+                        for part in portions(CHUNK.finditer(text)))
+
+    def many(self, texts: pa.Array) -> list:
+        """Ids of texts cut at every space and line end: each different piece is looked up once."""
+        rows = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        starts = rows.offsets.to_numpy().astype(np.int64)
+        starts, pieces = starts - starts[0], rows.flatten()
+        first = pieces.take(pa.array(starts[:-1])).to_pylist()
+        named = pieces.dictionary_encode()
+        number = named.indices.to_numpy().astype(np.int64)
+        ids = list(map(self.pieces.__getitem__, named.dictionary.to_numpy(zero_copy_only=False)))
+        number[starts[:-1]] = len(ids) + np.arange(len(first))     # a text's first piece stands as it is
+        ids += map(self.chunk, first)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        pool = np.frombuffer(b"".join(ids), "<u4")
+        own = size[number]
+        ends = np.cumsum(own)
+        place = np.repeat((np.cumsum(size) - size)[number] - (ends - own), own)
+        place += np.arange(len(place))
+        out, edges = pool[place], np.concatenate([[0], ends])[starts]
+        return [out[a:e].tobytes() for a, e in zip(edges[:-1].tolist(), edges[1:].tolist())]
 
     def encode(self, texts: pa.Array) -> list:
         """The ids of each text, as bytes; a null text has none."""
         texts = pc.fill_null(texts.cast(pa.string()), "")
-        odd = odd_rows(texts, LONG_RUN)
-        out = []
-        for k, text in enumerate(texts.to_pylist()):
-            out.append(self.text(text, k in odd))
-            self.parts.turn()
-            self.pieces.turn()
+        size = pc.binary_length(texts).to_numpy().astype(np.int64)
+        alone = odd_rows(texts, LONG_RUN) | set(np.flatnonzero(size > LONG_TEXT).tolist())
+        for s in self.special:
+            alone |= set(pc.indices_nonzero(pc.match_substring(texts, s)).to_pylist())
+        out: list = [None] * len(texts)
+        for k in sorted(alone):
+            out[k] = self.text(texts[k].as_py())
+            self.turn()
+        rest = np.delete(np.arange(len(texts)), sorted(alone))
+        for some in np.split(rest, np.flatnonzero(np.diff(np.cumsum(size[rest]) // SLICE_BYTES)) + 1):
+            if not len(some):
+                continue
+            for k, ids in zip(some.tolist(), self.many(texts.take(pa.array(some)))):
+                out[k] = ids
+            self.turn()
         return out
+
+    def turn(self) -> None:
+        self.parts.turn()
+        self.pieces.turn()

@@ -87,3 +87,33 @@ def test_odd_rows(spark, tokenizer, monkeypatch):
 def test_very_long_text(spark, tokenizer):
     rows = [(1, "many words in a row, and signs.\n" * 80_000), (2, "   \n\n\n  " * 50_000 + "x")]
     check(token_store.round_trip(spark.createDataFrame(rows, "doc_id long, text string")), brute(tokenizer, rows))
+
+
+def test_each_different_piece_of_many_texts_is_looked_up_once(tokenizer, monkeypatch):
+    """Ids of texts encoded together equal the tokenizer's, in one slice or many, whatever cuts them."""
+    import pyarrow as pa
+    from laborlens.llm import byte_bpe
+    texts = ["a cat a cat a cat", "cat a\ncat, don't", "", None, " lead", "\nline\n\nend ", "x  two   three", "é naïve 日本 😀",
+             "a<|endoftext|> cat", "long " * 40]
+    want = [np.asarray(tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    ids = byte_bpe.ByteIds(byte_bpe.tokenizer_path(token_store.TOKENIZER))
+    asked = []
+
+    class Asked(dict):
+        def __missing__(self, piece):
+            return ids.chunk(byte_bpe.chunk_of(piece))
+
+        def __getitem__(self, piece):
+            asked.append(piece)
+            return super().__getitem__(piece) if piece in self else self.__missing__(piece)
+
+        def turn(self):
+            pass
+
+    ids.pieces = Asked()
+    assert ids.encode(pa.array(texts)) == want
+    assert len(asked) == len(set(asked))
+    ids = byte_bpe.ByteIds(byte_bpe.tokenizer_path(token_store.TOKENIZER))
+    monkeypatch.setattr(byte_bpe, "SLICE_BYTES", 8)
+    monkeypatch.setattr(byte_bpe, "LONG_TEXT", 30)
+    assert ids.encode(pa.array(["first", *texts]).slice(1)) == want
