@@ -298,7 +298,7 @@ def encode(docs: DataFrame, a: str = A_VOCABULARY, b: str = B_VOCABULARY,
         from pyspark import TaskContext
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         key = re.sub(r"\W", "_", f"aligner_{a}_{b}")
-        aligner = worker_cache(key, lambda: Aligner(tokenizer_path(a), tokenizer_path(b)))
+        aligner = worker_cache(key, lambda: Aligner(tokenizer_path(a), tokenizer_path(b)), large=True)
         block = TaskContext.get().partitionId() << 33
         for batch in batches:
             texts = pc.fill_null(batch.column(1).cast(pa.string()), "")

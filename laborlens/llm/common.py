@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import types
 from collections.abc import Callable
@@ -25,18 +26,31 @@ def held_out(col: Column, mod: int, rest: int) -> Column:
     return id_crc(col) % F.lit(mod) == F.lit(rest)
 
 
-def worker_cache(key: str, make: Callable):
+def worker_cache(key: str, make: Callable, large: bool = False):
     """A value that lives as long as the Python worker process.
 
     Functions of this package are shipped by value, so module globals start
-    anew in every task; a registered module does not.
+    anew in every task; a registered module does not.  A worker keeps one ``large`` value
+    only, as it goes on to serve the tasks of other operators.
     """
     store = sys.modules.setdefault("_laborlens_worker", types.ModuleType("_laborlens_worker"))
+    if large:
+        free_worker(key)
     if not hasattr(store, key):
         setattr(store, key, make())
     return getattr(store, key)
 
 
+def free_worker(but: str | None = None) -> None:
+    """Drops the large value that this worker keeps, unless its key is ``but``; then notes ``but`` as the large one."""
+    store = sys.modules.setdefault("_laborlens_worker", types.ModuleType("_laborlens_worker"))
+    held = getattr(store, "_large", None)
+    if held not in (None, but) and hasattr(store, held):
+        delattr(store, held)
+        gc.collect()
+    store._large = but
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, rest: int,
                     bound: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, y) of about ``bound`` labelled training rows at most.

@@ -152,7 +152,7 @@ def tokenise(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACI
         from pyspark import TaskContext
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         enc = worker_cache("ids_" + tokenizer.replace("/", "_").replace(".", "_"),
-                           lambda: WordIds(_tokenizer_path(tokenizer)))
+                           lambda: WordIds(_tokenizer_path(tokenizer)), large=True)
         tail = np.asarray([SEPARATOR], "<u4").tobytes()
         step = 4 * capacity
         serial = TaskContext.get().partitionId() << 33

@@ -32,7 +32,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from laborlens.llm.common import labelled_sample
+from laborlens.llm.common import free_worker, labelled_sample
 
 SLOTS = 1 << 15
 DIM = 32
@@ -91,6 +91,7 @@ def context_table(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Unit context vectors of all slots, over every whole text."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         total, slots = np.zeros(SLOTS * DIM), Slots()
         for b in batches:
             for at in range(0, b.num_rows, 128):
@@ -224,6 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
     def score(text: Column) -> Column:
         @F.pandas_udf("double")
         def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            free_worker()
             slots, model = Slots(), Network.of(net.value)
             for texts in batches:
                 x = np.asarray([pooled(t, vectors.value, slots) for t in texts]).reshape(-1, WIDTH)

@@ -240,7 +240,7 @@ def write_shards(rows: DataFrame, path: str, tokenizer: str, end: int, width: in
         import os
         from pyspark import TaskContext
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        enc = worker_cache("byte_" + re.sub(r"\W", "_", tokenizer), lambda: ByteIds(tokenizer_path(tokenizer)))
+        enc = worker_cache("byte_" + re.sub(r"\W", "_", tokenizer), lambda: ByteIds(tokenizer_path(tokenizer)), large=True)
         tail = end.to_bytes(width, "little")
         shard, file = TaskContext.get().partitionId(), f"shard-{uuid.uuid4().hex}.bin"
         out, crc, at, docs, last, nth = None, 0, 0, 0, (), 0

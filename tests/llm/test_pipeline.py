@@ -102,3 +102,44 @@ def test_workers_get_small_batches(spark):
             assert sum(n) == 1200 and max(n) == most
     finally:
         spark.conf.unset(at)
+
+
+def test_a_worker_keeps_one_large_value():
+    """A tokenizer with its cache goes when another operator's large value comes, or when a stage frees the worker."""
+    from laborlens.llm import common
+    made = []
+
+    def make(name):
+        return lambda: made.append(name) or name
+
+    assert common.worker_cache("small_t", make("small")) == "small"
+    assert [common.worker_cache("one_t", make("one"), large=True) for _ in range(2)] == ["one", "one"]
+    assert common.worker_cache("two_t", make("two"), large=True) == "two"
+    assert common.worker_cache("one_t", make("again"), large=True) == "again"
+    common.free_worker()
+    assert common.worker_cache("one_t", make("third"), large=True) == "third"
+    assert common.worker_cache("small_t", make("small")) == "small"
+    assert made == ["small", "one", "two", "again", "third"]
+
+
+def test_quality_frees_the_packing_tokenizer(spark):
+    """After packing, the worker that counts the quality stage's contexts no longer holds the tokenizer."""
+    import pyarrow as pa
+    from laborlens.llm import packing, quality
+
+    def held(batches):
+        import sys
+        yield from (b for b in batches if False)
+        store = vars(sys.modules.get("_laborlens_worker", object())) if "_laborlens_worker" in sys.modules else {}
+        yield pa.RecordBatch.from_pydict({"n": pa.array([sum(k.startswith("ids_") for k in store)], pa.int64())})
+
+    docs = spark.createDataFrame([(k, f"word{k} of text") for k in range(32)], "doc_id long, text string").repartition(16)
+
+    def workers():
+        return sum(r["n"] for r in docs.mapInArrow(held, "n long").collect())
+
+    packing.tokenise(docs).count()
+    assert workers() > 0
+    for _ in range(6):                                   # all workers get some of these tasks
+        quality.context_table(docs)
+    assert workers() == 0
