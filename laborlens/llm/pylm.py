@@ -3,10 +3,8 @@
 Tokens are the white-space separated words of a text (A-Z lower-cased) and one end token
 (the empty word).  The model is a tree of Pitman-Yor restaurants:
 
-* *Context restaurants.*  The context of a token is the class of the last short word (at most
-  ``SHORT`` bytes: function words) before it; ``CLASSES`` classes come from clustering the
-  hash buckets of short words by what follows and precedes them.  Every training token is a
-  customer of its context's restaurant.
+* *Context restaurants.*  The context of a token is the word before it (at the start of a text, the
+  end token).  Every training token is a customer of its context's restaurant.
 * *Word restaurant.*  The parent that all contexts share.  A new table in a context is one
   customer here.
 * *Spelling restaurants.*  A new table in the word restaurant is one spelled draw of the word:
@@ -23,15 +21,17 @@ probabilities of ``SAMPLES`` sweeps are averaged, each from the customers and ta
 they sum to one in every context; a text's score is the sum of their logarithms.
 
 Data flow.  A task cuts its texts into blocks of about ``BLOCK_WORDS`` distinct words and writes each
-document's cells (word, context) by number, and the block's cells with their counts.  The cells are dealt by a
-hash of the word into word blocks of about ``WORDS`` words, a row each, with the words' counts, the bytes of
-their spelling as places in the block's list of different spelling cells, and the blocks that hold them (in
-rows of their own, for a range of document blocks each).  A sweep reads the word blocks and the probabilities
-of their spelling cells, and writes tables; each word block sends its spelling cells, with their customers, to
-parts dealt by a hash of the last two bytes of the context, about ``ENTRIES`` cells each.  Spelling
-restaurants of two and more bytes are seated in a task by the part, and the cells' probabilities go back to
-the word blocks; those of one byte and none (at most 2^16 cells) are seated on the driver.  Nothing that grows
-with the corpus is collected or broadcast, and counts cover all training documents.
+document's cells (word, word before) by number, the block's words and its cells with their counts.  Words are
+dealt by hash into word blocks of about ``WORDS`` words, which number them, hold their spelling as places in the
+block's list of different spelling cells and send the numbers back.  Cells are dealt into a grid of cell blocks of about
+``CELLS`` cells, by the word block of the word (row) and of the context (column), so that neither a frequent word
+nor a frequent context meets in one task.  In a sweep a cell block gets, for its different words and
+contexts, their totals and the words' spelling probabilities from the word blocks, seats its cells, and sends
+them sums of tables by word and by context; the word blocks add these up, seat the words, and send their spelling
+cells, with their customers, to parts dealt by a hash of the last two bytes of the context, about ``ENTRIES``
+cells each.  Spelling restaurants of two and more bytes are seated in a task by the part, and the cells'
+probabilities go back to the word blocks; those of one byte and none (at most 2^16 cells) are seated on the
+driver.  Nothing that grows with the corpus is collected or broadcast, and counts cover all training documents.
 
 Defined cases: a null or empty text is the end token alone; repeated rows are trained on and
 returned each; without training tokens the base score is 0 and the model spells with the uniform
@@ -41,7 +41,6 @@ distribution; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 from itertools import chain
 
@@ -54,16 +53,16 @@ from laborlens.llm.common import held_out
 from laborlens.session import scratch_path
 
 MOD, HELD = 10, 0
-SHORT = 3
-BUCKETS = 1024
-BITS = 4                     # of a context's number
-CLASSES = (1 << BITS) - 1    # and one more context for "no short word yet"
+BITS = 4                     # 2 ** BITS contexts, where a table of words says no other number
 DEPTH = 4
 LOW = 2                      # spelling contexts from this length on are seated in tasks
 LEVELS = DEPTH - LOW + 1
 BLANK = 0x20
 BLOCK_WORDS = 300_000
+BLOCK_TOKENS = 4_000_000     # a block of documents ends here too
 WORDS = 32_768               # words of a word block, about
+RANK_BITS = 24               # of a word's number within its word block
+CELLS = 500_000              # cells of a cell block, about
 ENTRIES = 500_000            # spelling cells of all word blocks that a part has, about
 RANGE_BITS = 34              # a range of document blocks: those of 1024 tasks
 BURN_IN, SAMPLES = 1, 2
@@ -73,14 +72,15 @@ EXACT = 24
 ADD = 0.1                    # of the base score
 TEXTS = 256                  # texts handled at once
 
-#: A cell's number within its block is the word's number there times 2 ** BITS plus the context.
-BLOCKS = ("block long, doc boolean, cell int, word binary, n long, "
+#: Rows of words (kind 0), a block's cells (1) and documents (2).
+BLOCKS = ("block long, kind int, cell int, word binary, n long, "
           "doc_id long, held_out boolean, n_tokens long, cells binary")
-GATHERED = "wb long, range long, words array<binary>, key binary, n binary, word binary, block binary, cell binary"
-WORD_BLOCKS = ("wb long, range long, map binary, seed binary, size binary, z binary, n binary, "
-               "length binary, place binary, cells binary")
-SEATED = ("wb long, t binary, t0 binary, sums array<long>, part array<int>, cells array<binary>, "
-          "customers array<binary>")
+GATHERED = "wb long, range long, words array<binary>, n binary, word binary, block binary, cell binary"
+WORD_BLOCKS = "wb long, range long, map binary, seed binary, n binary, length binary, place binary, cells binary, entries long"
+CELL_BLOCKS = "cb long, words binary, contexts binary, cells binary, blocks array<long>, places array<binary>"
+SENT = "cb long, t binary, p binary, few array<long>, wb array<long>, sent array<binary>"
+SEATED = ("wb long, tables binary, sums array<long>, cb array<long>, lists array<binary>, part array<int>, "
+          "cells array<binary>, customers array<binary>")
 SPELLED = "part int, wb long, tables binary, codes array<long>, n array<long>, a binary, b binary"
 
 
@@ -106,74 +106,54 @@ def words_of(text: str | None) -> list:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-# --- contexts -------------------------------------------------------------------
+def squeeze(*arrays: np.ndarray) -> bytes:
+    """Arrays of whole numbers from 0 (floats: single precision) in few bytes."""
+    import zstandard
+    out = []
+    for x in arrays:
+        if x.dtype.kind == "f":
+            kind = "f4"
+        else:
+            most = int(x.max()) if len(x) else 0
+            kind = next(k for k, bits in (("u1", 8), ("u2", 16), ("u4", 32), ("i8", 63)) if most < 1 << bits)
+        out += [kind.encode(), len(x).to_bytes(8, "little"), x.astype("<" + kind).tobytes()]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
+
+
+def unsqueeze(raw: bytes) -> list:
+    import zstandard
+    raw, at, out = zstandard.ZstdDecompressor().decompress(raw), 0, []
+    while at < len(raw):
+        kind, n = "<" + raw[at:at + 2].decode(), int.from_bytes(raw[at + 2:at + 10], "little")
+        x = np.frombuffer(raw, kind, n, at + 10)
+        at += 10 + x.nbytes
+        out.append(x.astype(float if kind == "<f4" else np.int64))
+    return out
 
-def short_bucket(word: bytes) -> int:
-    """Bucket of a short word, -1 of any other."""
-    return zlib.crc32(word) % BUCKETS if 0 < len(word) <= SHORT else -1
 
+def steps(rising: np.ndarray) -> np.ndarray:
+    return np.diff(rising, prepend=0)
 
-def cluster(pairs: np.ndarray) -> np.ndarray:
-    """Class of each bucket from the counts of successive short words (weighted k-means)."""
-    both = pairs + pairs.T
-    weight = both.sum(axis=1)
-    x = np.sqrt(both / np.maximum(weight, 1)[:, None])
-    centres = x[[int(np.argmax(weight))]]
 
-    def distance() -> np.ndarray:
-        return np.maximum((x * x).sum(1)[:, None] + (centres * centres).sum(1) - 2 * x @ centres.T, 0)
+def rows_in(names: str, rows: list) -> pa.RecordBatch:
+    """Rows of a schema in Spark's words."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
+    fields = [f.split() for f in names.split(", ")]
+    types = [pa.list_(kinds[k[6:-1]]) if k.startswith("array") else kinds[k] for _, k in fields]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), types)], names=[f for f, _ in fields])
 
-    for _ in range(CLASSES - 1):                      # farthest first
-        far = distance().min(axis=1)
-        centres = np.vstack([centres, x[int(np.argmax(far * weight))]])
-    for _ in range(30):
-        own = distance().argmin(axis=1)
-        for k in range(CLASSES):
-            mine = (own == k) & (weight > 0)
-            if mine.any():
-                centres[k] = np.average(x[mine], axis=0, weights=weight[mine])
-    return own.astype(np.int64)
 
+def each_row(batch: pa.RecordBatch) -> Iterator[dict]:
+    for k in range(batch.num_rows):
+        yield {n: batch.column(n)[k].as_py() for n in batch.schema.names}
 
-def context_classes(texts: DataFrame) -> np.ndarray:
-    """Classes from all training texts (one column)."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict = {}
-        total = np.zeros(BUCKETS * BUCKETS, np.int64)
-        for b in batches:
-            for at in range(0, b.num_rows, TEXTS):
-                row: list = []
-                for text in b.column(0).slice(at, TEXTS).to_pylist():
-                    short = [w for w in words_of(text) if len(w) <= SHORT]
-                    if len(known) > 200_000:
-                        known = {}
-                    for w in set(short):
-                        if w not in known:
-                            known[w] = short_bucket(w)
-                    row += map(known.__getitem__, short)
-                    row.append(-1)
-                own = np.asarray(row, np.int64)
-                ok = (own[:-1] >= 0) & (own[1:] >= 0)
-                total += np.bincount(own[:-1][ok] * BUCKETS + own[1:][ok], minlength=len(total))
-        pair = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(total[pair])], names=["pair", "n"])
-
-    found = (texts.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-             .toPandas())                                     # BUCKETS ** 2 rows at most
-    pairs = np.zeros(BUCKETS * BUCKETS)
-    pairs[found["pair"].to_numpy(np.int64)] = found["n"]
-    return cluster(pairs.reshape(BUCKETS, BUCKETS))
-
-
-def contexts(short: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Context of each token from ``short`` (its own class or -1) and its text's first position."""
-    at = np.where(short >= 0, np.arange(len(short)), -1)
-    last = np.concatenate([[-1], np.maximum.accumulate(at)[:-1]])
-    return np.where(last >= starts, short[np.maximum(last, 0)], CLASSES)
+# --- blocks ---------------------------------------------------------------------
 
+def contexts(words: np.ndarray, end: int) -> np.ndarray:
+    """The word before each token; texts follow one another, each with its ``end`` token, the context of a text's start."""
+    return np.concatenate([[end], words[:-1]])
 
-# --- blocks ---------------------------------------------------------------------
 
 def summed(keys: list, counts: list) -> tuple:
     """Distinct keys and their summed counts."""
@@ -181,70 +161,55 @@ def summed(keys: list, counts: list) -> tuple:
     return both, np.bincount(where, np.concatenate(counts), len(both)).astype(np.int64)
 
 
-def blocks(docs: DataFrame, classes: np.ndarray, train: Column, id_col: str, text_col: str) -> DataFrame:
-    """Cell rows and document rows of every block (see ``BLOCKS``)."""
-    names = [f.split()[0] for f in BLOCKS.split(", ")]
-    kinds = [pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.int64(),
-             pa.int64(), pa.bool_(), pa.int64(), pa.binary()]
-
-    def batch(rows: int, **cols) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(cols[c], k) if c in cols else pa.nulls(rows, k) for c, k in zip(names, kinds)], names=names)
+def blocks(docs: DataFrame, train: Column, id_col: str, text_col: str) -> DataFrame:
+    """Rows of words, cells and documents of every block (see ``BLOCKS``)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        import zstandard
-        pack = zstandard.ZstdCompressor(level=1).compress
         block = TaskContext.get().partitionId() << 24
         number: dict = {}
-        short: list = []                              # class of each numbered word
-        keys, counts = [], []
-
-        def cells() -> Iterator[pa.RecordBatch]:
-            cell, n = summed(keys, counts)
+        keys, trained, sizes, rows = [], [], [], []
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            size = np.concatenate(sizes)
+            cell, at = np.unique(np.concatenate(keys), return_inverse=True)
+            n = np.bincount(at, np.repeat(trained, size), len(cell)).astype(np.int64)
+            word = cell >> 32
+            many = np.bincount(word, n, len(number)).astype(np.int64).tolist()
             words = list(number)
-            for at in range(0, len(cell), 50_000):
-                some = cell[at:at + 50_000]
-                yield batch(len(some), block=[block] * len(some), doc=[False] * len(some),
-                            cell=some.astype(np.int32), word=[words[i] for i in (some >> BITS).tolist()],
-                            n=n[at:at + len(some)])
+            for a in range(0, len(words), 50_000):
+                yield rows_in(BLOCKS, [(block, 0, i, words[i], many[i], *[None] * 4)
+                                       for i in range(a, min(a + 50_000, len(words)))])
+            yield rows_in(BLOCKS, [(block, 1, None, None, len(cell), None, None, None,
+                                    squeeze(steps(word), cell & 0xFFFFFFFF, n))])
+            # a document's cells in ascending order
+            at = np.sort(np.repeat(np.arange(len(size)), size) << 32 | at) & 0xFFFFFFFF
+            ends = np.cumsum(size)
+            for a in range(0, len(rows), TEXTS):
+                yield rows_in(BLOCKS, [(block, 2, None, None, None, *rows[k], int(size[k]),
+                                        squeeze(steps(at[ends[k] - size[k]:ends[k]])))
+                                       for k in range(a, min(a + TEXTS, len(rows)))])
 
         for b in batches:
             for at in range(0, b.num_rows, TEXTS):
-                part = b.slice(at, TEXTS)
-                ids, held, texts = (c.to_pylist() for c in part.columns)
-                rows = [words_of(t) + [b""] for t in texts]
-                for w in set().union(*rows):
+                ids, held, texts = (c.to_pylist() for c in b.slice(at, TEXTS).columns)
+                own = [words_of(t) + [b""] for t in texts]
+                for w in set().union(*own):
                     if w not in number:
                         number[w] = len(number)
-                        k = short_bucket(w)
-                        short.append(classes[k] if k >= 0 else -1)
-                size = np.asarray([len(r) for r in rows])
-                flat = np.fromiter(map(number.__getitem__, chain.from_iterable(rows)), np.int64, size.sum())
-                first = np.repeat(np.cumsum(size) - size, size)
-                key = flat << BITS | contexts(np.asarray(short)[flat], first)
-                which = np.repeat(np.arange(len(rows)), size)
-                own, many = np.unique(which << 40 | key, return_counts=True)
-                doc, key = own >> 40, own & (1 << 40) - 1
-                keys.append(key)
-                counts.append(np.where(np.asarray(held, bool)[doc], 0, many))
-                if sum(map(len, keys)) > 4_000_000:
-                    k, n = summed(keys, counts)
-                    keys[:], counts[:] = [k], [n]
-                ends = np.searchsorted(doc, np.arange(len(rows) + 1))
-                packed = []
-                for a, e in zip(ends[:-1], ends[1:]):
-                    packed.append(pack(np.diff(key[a:e], prepend=0).astype("<i4").tobytes()
-                                       + many[a:e].astype("<i4").tobytes()))
-                yield batch(len(rows), block=[block] * len(rows), doc=[True] * len(rows), doc_id=ids,
-                            held_out=held, n_tokens=size, cells=packed)
-                if len(number) > BLOCK_WORDS:
-                    yield from cells()
-                    for x in (number, short, keys, counts):
+                size = np.asarray([len(r) for r in own])
+                flat = np.fromiter(map(number.__getitem__, chain.from_iterable(own)), np.int64, size.sum())
+                keys.append(flat << 32 | contexts(flat, number[b""]))
+                sizes.append(size)
+                trained += [not h for h in held]
+                rows += zip(ids, held)
+                if len(number) > BLOCK_WORDS or sum(map(len, keys)) > BLOCK_TOKENS:
+                    yield from finish()
+                    for x in (number, keys, trained, sizes, rows):
                         x.clear()
                     block += 1
         if number:
-            yield from cells()
+            yield from finish()
 
     src = docs.select(F.col(id_col).cast("long"), (~train), F.col(text_col))
     return src.mapInArrow(cut, BLOCKS)
@@ -511,9 +476,8 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def gather(cells: DataFrame, blocks_of_words: int) -> DataFrame:
+def gather(words: DataFrame, blocks_of_words: int) -> DataFrame:
     """Words, their counts and their places, for each word block and range of document blocks."""
-    names = [f.split()[0] for f in GATHERED.split(", ")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches, 2):
@@ -524,22 +488,18 @@ def gather(cells: DataFrame, blocks_of_words: int) -> DataFrame:
             rank[order] = np.arange(len(order))
             number = rank[word.indices.to_numpy()]
             block, cell, n = (t.column(k).to_numpy() for k in ("block", "cell", "n"))
-            key, n = summed([number << BITS | cell & CLASSES], [n])
-            row = [t.column("wb")[0].as_py(), t.column("range")[0].as_py(), word.dictionary.take(pa.array(order)).to_pylist(),
-                   key.astype("<i8").tobytes(), n.astype("<i8").tobytes(), number.astype("<i4").tobytes(),
-                   block.astype("<i8").tobytes(), cell.astype("<i4").tobytes()]
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.binary()), *[pa.binary()] * 5]
-            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=names)
+            yield rows_in(GATHERED, [(t.column("wb")[0].as_py(), t.column("range")[0].as_py(),
+                                      word.dictionary.take(pa.array(order)).to_pylist(),
+                                      squeeze(np.bincount(number, n, len(order)).astype(np.int64)),
+                                      squeeze(number), squeeze(steps(block)), squeeze(cell.astype(np.int64)))])
 
-    dealt = cells.select(F.pmod(F.xxhash64("word"), F.lit(blocks_of_words)).alias("wb"),
-                         F.shiftright("block", RANGE_BITS).alias("range"), "word", "block", "cell", "n")
-    return dealt.repartition("wb", "range").sortWithinPartitions("wb", "range").mapInArrow(work, GATHERED)
+    dealt = words.select(F.pmod(F.xxhash64("word"), F.lit(blocks_of_words)).alias("wb"),
+                         F.shiftright("block", RANGE_BITS).alias("range"), "block", "cell", "word", "n")
+    return dealt.repartition("wb", "range").sortWithinPartitions("wb", "range", "block").mapInArrow(work, GATHERED)
 
 
 def word_blocks(gathered: DataFrame) -> DataFrame:
     """One row a word block (range -1), and one for each range with its words' places there."""
-    names = [f.split()[0] for f in WORD_BLOCKS.split(", ")]
-    kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 8]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -548,127 +508,287 @@ def word_blocks(gathered: DataFrame) -> DataFrame:
             lists = t.column("words").to_pylist()
             words = lists[0] if len(lists) == 1 else sorted(set().union(*lists))
             number = dict(zip(words, range(len(words))))
-            keys, counts, rows = [], [], []
-            for own, of, raw_key, raw_n in zip(lists, t.column("range").to_pylist(), t.column("key").to_pylist(),
-                                               t.column("n").to_pylist()):
+            n, rows = np.zeros(len(words), np.int64), []
+            for own, of, raw in zip(lists, t.column("range").to_pylist(), t.column("n").to_pylist()):
                 at = np.fromiter(map(number.__getitem__, own), np.int64, len(own))
-                key = np.frombuffer(raw_key, "<i8")
-                keys.append(at[key >> BITS] << BITS | key & CLASSES)
-                counts.append(np.frombuffer(raw_n, "<i8"))
-                rows.append([wb, of, at.astype("<i4").tobytes(), *[None] * 7])
-            key, n = summed(keys, counts)
+                n[at] += unsqueeze(raw)[0]
+                rows.append((wb, of, squeeze(steps(at)), *[None] * 6))
             starts, cell = spelled(words)
             cells, place = np.unique(cell, return_inverse=True)
             length = np.diff(np.append(starts, len(cell)))
-            seed = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
-            rows.append([wb, -1, None, seed.astype("<u8").tobytes(),
-                         np.bincount(key >> BITS, minlength=len(words)).astype("u1").tobytes(),
-                         (key & CLASSES).astype("u1").tobytes(), n.astype("<i8").tobytes(), length.astype("<i4").tobytes(),
-                         place.astype("<i4").tobytes(), cells.astype("<i8").tobytes()])
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
-
-    few = gathered.select("wb", "range", "words", "key", "n")
+            seed = np.fromiter((xxhash.xxh32_intdigest(w) for w in words), np.int64, len(words))
+            rows.append((wb, -1, None, squeeze(seed), squeeze(n), squeeze(length), squeeze(place), squeeze(steps(cells)),
+                         len(cells)))
+            yield rows_in(WORD_BLOCKS, rows)
+
+    few = gathered.select("wb", "range", "words", "n")
     return few.repartition("wb").sortWithinPartitions("wb", "range").mapInArrow(work, WORD_BLOCKS)
 
 
+def coded(gathered: DataFrame, held: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(block, pairs, codes): the cells of each block of documents; its words' codes (word block, number there) and counts."""
+    maps = held.where("range >= 0").select("wb", "range", "map")
+    counts = held.where("range < 0").select("wb", F.col("n").alias("c"))
+    places = gathered.select("wb", "range", "word", "block", "cell").join(maps, ["wb", "range"]).join(counts, "wb")
+
+    def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for wb, *raw in zip(*[b.column(k).to_pylist() for k in ("wb", "word", "block", "cell", "map", "c")]):
+                word, block, cell, of, c = (unsqueeze(x)[0] for x in raw)
+                word, block = np.cumsum(of)[word], np.cumsum(block)
+                edge = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True])
+                yield rows_in("block long, wb long, cells binary",
+                              [(int(block[a]), wb, squeeze(cell[a:e], word[a:e], c[word[a:e]])) for a, e in zip(edge, edge[1:])])
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _runs(batches, 1):
+            wbs, raw = t.column("wb").to_pylist(), t.column("cells").to_pylist()
+            own = [unsqueeze(x) for x in raw[1:]]                         # the block's cells come first
+            codes, counts = np.zeros((2, sum(len(x[0]) for x in own)), np.int64)
+            for wb, (cell, word, c) in zip(wbs[1:], own):
+                codes[cell], counts[cell] = wb << RANK_BITS | word, c
+            yield rows_in("block long, pairs binary, codes binary",
+                          [(t.column("block")[0].as_py(), raw[0], squeeze(codes, counts))])
+
+    rows = places.mapInArrow(back, "block long, wb long, cells binary").union(
+        pairs.select("block", F.lit(-1).cast("long"), "cells"))
+    return rows.repartition("block").sortWithinPartitions("block", "wb").mapInArrow(code, "block long, pairs binary, codes binary")
+
+
+# --- cell blocks ------------------------------------------------------------------
+
+def dealt(pairs: bytes, codes: bytes, side: int) -> tuple:
+    """(order, words, contexts, counts, cell blocks) of a block's cells, ordered by cell block, word and context."""
+    word, of, n = unsqueeze(pairs)
+    code = unsqueeze(codes)[0]
+    w, u = code[np.cumsum(word)], code[of]
+    cb = (w >> RANK_BITS) % side * side + (mixed(u >> RANK_BITS, 5) % np.uint64(side)).astype(np.int64)
+    order = np.lexsort((u, w, cb))
+    return order, w[order], u[order], n[order], cb[order]
+
+
+def cell_blocks(blocks_: DataFrame, side: int) -> DataFrame:
+    """A row a cell block (see ``CELL_BLOCKS``): its different words and contexts, its cells, and where those of each
+    block of documents are among them."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, pairs, codes in zip(*[c.to_pylist() for c in b.columns]):
+                _, w, u, n, cb = dealt(pairs, codes, side)
+                edge = np.flatnonzero(np.r_[True, cb[1:] != cb[:-1], True])
+                yield rows_in("cb long, block long, cells binary",
+                              [(int(cb[a]), block, squeeze(steps(w[a:e]), u[a:e], n[a:e])) for a, e in zip(edge, edge[1:])])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _runs(batches, 1):
+            w, u, n = zip(*map(unsqueeze, t.column("cells").to_pylist()))
+            words, row = np.unique(np.concatenate([np.cumsum(x) for x in w]), return_inverse=True)
+            of, z = np.unique(np.concatenate(u), return_inverse=True)
+            key, at = np.unique(row * len(of) + z, return_inverse=True)
+            n = np.bincount(at, np.concatenate(n), len(key)).astype(np.int64)
+            places = np.split(at, np.cumsum([len(x) for x in u])[:-1])
+            yield rows_in(CELL_BLOCKS, [(t.column("cb")[0].as_py(), squeeze(steps(words)), squeeze(steps(of)),
+                                         squeeze(steps(key // len(of)), key % len(of), n),
+                                         t.column("block").to_pylist(), [squeeze(steps(x)) for x in places])])
+
+    rows = blocks_.select("block", "pairs", "codes").mapInArrow(deal, "cb long, block long, cells binary")
+    return rows.repartition("cb").sortWithinPartitions("cb", "block").mapInArrow(work, CELL_BLOCKS)
+
+
 class Words:
-    """The words of one block with their cells laid out flat."""
+    """Words with their cells (word, context) laid out flat."""
 
     def __init__(self, seed: bytes, size: bytes, z: bytes, n: bytes, length: bytes, place: bytes):
-        self.seed = np.frombuffer(seed, "<u8")
-        self.size = np.frombuffer(size, "u1").astype(np.int64)
-        self.row = np.repeat(np.arange(len(self.size)), self.size)
-        self.z = np.frombuffer(z, "u1").astype(np.int64)
-        self.n = np.frombuffer(n, "<i8")
-        self.length = np.frombuffer(length, "<i4").astype(np.int64)
-        self.place = np.frombuffer(place, "<i4")
+        size = np.frombuffer(size, "u1")
+        z = np.frombuffer(z, "u1").astype(np.int64)
+        self.set(np.frombuffer(seed, "<u8"), np.repeat(np.arange(len(size)), size), z, np.frombuffer(n, "<i8"),
+                 np.arange(1 << BITS))
+
+    def set(self, seed: np.ndarray, row: np.ndarray, z: np.ndarray, n: np.ndarray, context_seed: np.ndarray) -> Words:
+        self.seed, self.row, self.z, self.n, self.context_seed = seed, row, z, n, context_seed
+        return self
+
+    @classmethod
+    def of(cls, *arrays: np.ndarray) -> Words:
+        """From seeds of words, each cell's word, context and count, and seeds of contexts."""
+        return cls.__new__(cls).set(*arrays)
 
     def per_word(self, cells: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, cells, len(self.size)).astype(np.int64)
+        return np.bincount(self.row, cells, len(self.seed)).astype(np.int64)
 
-    def spelling(self, cells: np.ndarray, parts: int, a: list, b: list, p: np.ndarray) -> np.ndarray:
-        """Probability of each word's spelling from its cells', which come by the part."""
-        order = np.argsort(part_of(cells, parts), kind="stable")
-        own = np.empty((2, len(cells)))
-        own[:, order] = [np.frombuffer(b"".join(x), "<f4") for x in (a, b)]
-        log = np.log(np.maximum(own[0] + own[1] * p[cells & 0xFFFF], 1e-300))
-        return np.exp(np.add.reduceat(log[self.place], np.cumsum(self.length) - self.length))
+    def per_context(self, cells: np.ndarray) -> np.ndarray:
+        return np.bincount(self.z, cells, len(self.context_seed)).astype(np.int64)
 
-    def seat(self, t: np.ndarray, t0: np.ndarray, model: dict, g: np.ndarray, sweep: int) -> tuple:
-        """Tables by cell and word, each dish seated anew given all others' tables."""
+    def seat_cells(self, t: np.ndarray, c0: np.ndarray, t0: np.ndarray, model: dict, g: np.ndarray, sweep: int) -> np.ndarray:
+        """Tables by cell, each dish seated anew given all others' tables.  ``c0``, ``t0``: each word's customers
+        (from all contexts, here or elsewhere) and tables in the word restaurant."""
         d, d0 = model["d"], model["d0"]
-        c0 = self.per_word(t)
         others = c0[self.row] - t                                 # the word's customers from other contexts
         t0_others = np.minimum(t0[self.row], others)
         p0 = (others - d0 * t0_others + (STRENGTH + d0 * (model["tables0"] - t0[self.row] + t0_others)) * g[self.row]) \
             / (STRENGTH + model["customers0"] - t)
         weight = STRENGTH + d * (model["tables"][self.z] - t)
-        t = sample_tables(self.n, weight * p0, d, mixed(self.seed[self.row], 1) + self.z.astype(np.uint64), sweep)
-        t0 = sample_tables(self.per_word(t), (STRENGTH + d0 * (model["tables0"] - t0)) * g, d0, mixed(self.seed, 2), sweep)
-        return t, t0
+        key = mixed(self.seed[self.row], 1) + self.context_seed[self.z].astype(np.uint64)
+        return sample_tables(self.n, weight * p0, d, key, sweep)
+
+    def seat(self, t: np.ndarray, t0: np.ndarray, model: dict, g: np.ndarray, sweep: int) -> tuple:
+        """Tables by cell and word, if all cells of the words are here."""
+        t = self.seat_cells(t, self.per_word(t), t0, model, g, sweep)
+        return t, seat_dishes(self.per_word(t), t0, model, g, self.seed, sweep)
 
-    def predictive(self, t: np.ndarray, t0: np.ndarray, model: dict, g: np.ndarray) -> np.ndarray:
+    def predictive(self, t: np.ndarray, t0: np.ndarray, model: dict, g: np.ndarray, c0: np.ndarray | None = None) -> np.ndarray:
         """Probability of each cell's word in its context, under one seating and its totals."""
         d, d0 = model["d"], model["d0"]
-        c0 = self.per_word(t)
+        c0 = self.per_word(t) if c0 is None else c0
         p0 = (c0 - d0 * t0 + (STRENGTH + d0 * model["tables0"]) * g) / (STRENGTH + model["customers0"])
         return (self.n - d * t + (STRENGTH + d * model["tables"][self.z]) * p0[self.row]) \
             / (STRENGTH + model["customers"][self.z])
 
     def sums(self, t: np.ndarray, t0: np.ndarray) -> list:
         """Customers and tables of each context, dishes with one and two customers, word restaurant's totals."""
-        c0 = self.per_word(t)
-        per_z = [np.bincount(self.z, x, 1 << BITS) for x in (self.n, t)]
-        return [int(x) for x in np.concatenate([*per_z, [(self.n == 1).sum(), (self.n == 2).sum(), (c0 == 1).sum(),
-                                                         (c0 == 2).sum(), c0.sum(), t0.sum()]])]
+        return [int(x) for x in np.concatenate([self.per_context(self.n), self.per_context(t), ones_and_twos(self.n),
+                                                dish_sums(self.per_word(t), t0)])]
 
 
-def totals(seated: DataFrame) -> dict:
-    """The model over the words that all blocks' sums give."""
-    rows = seated.select(F.posexplode("sums").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).collect()
-    x = np.zeros((2 << BITS) + 6)
-    for r in rows:                                                  # one row a sum
+def ones_and_twos(c: np.ndarray) -> list:
+    return [int((c == 1).sum()), int((c == 2).sum())]
+
+
+def dish_sums(c0: np.ndarray, t0: np.ndarray) -> list:
+    """Words with one and two customers in the word restaurant, its customers and tables."""
+    return [*ones_and_twos(c0), int(c0.sum()), int(t0.sum())]
+
+
+def seat_dishes(c0: np.ndarray, t0: np.ndarray, model: dict, g: np.ndarray, seed: np.ndarray, sweep: int) -> np.ndarray:
+    """Tables of each word in the word restaurant."""
+    return sample_tables(c0, (STRENGTH + model["d0"] * (model["tables0"] - t0)) * g, model["d0"], mixed(seed, 2), sweep)
+
+
+def spelling(length: np.ndarray, place: np.ndarray, cells: np.ndarray, parts: int, a: list, b: list, p: np.ndarray) -> np.ndarray:
+    """Probability of each word's spelling from its cells', which come by the part."""
+    order = np.argsort(part_of(cells, parts), kind="stable")
+    own = np.empty((2, len(cells)))
+    own[:, order] = [np.frombuffer(b"".join(x), "<f4") for x in (a, b)]
+    log = np.log(np.maximum(own[0] + own[1] * p[cells & 0xFFFF], 1e-300))
+    return np.exp(np.add.reduceat(log[place], np.cumsum(length) - length))
+
+
+def totals(rows: DataFrame, col: str, n: int) -> list:
+    """The ``n`` sums over all blocks' lists."""
+    found = rows.select(F.posexplode(col).alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).collect()
+    x = [0] * n
+    for r in found:                                                  # one row a sum
         x[r["k"]] = r["x"]
-    one = 1 << BITS
-    few = x[2 * one:]
-    return {"customers": x[:one], "tables": x[one:2 * one], "d": share(*few[:2]), "d0": share(*few[2:4]),
-            "customers0": few[4], "tables0": few[5]}
+    return x
 
 
-_WORDS = ["seed", "size", "z", "n", "length", "place"]
+def seat_cells(cells: DataFrame, last: DataFrame | None, told: DataFrame | None, model: dict | None, sweep: int,
+               rate: bool, more: bool) -> DataFrame:
+    """A sweep over all cells (see ``SENT``); at first, one table a dish.  ``last``: the one before; ``told``: what the word blocks
+    say (see ``replies``).  ``rate``: adds the probabilities under the last tables to those so far; ``more``: seats anew."""
+    new = last is None
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in each_row(batch):
+                words, of = (np.cumsum(unsqueeze(row[k])[0]) for k in ("words", "contexts"))
+                at, z, n = unsqueeze(row["cells"])
+                own, p = Words.of(words, np.cumsum(at), z, n, of), None
+                if new:
+                    t = np.minimum(n, 1)
+                else:
+                    t = unsqueeze(row["t"])[0]
+                    c0, t0, g, seed, tables, customers, context_seed = (
+                        np.concatenate(x) for x in zip(*[unsqueeze(r["told"]) for r in row["told"]]))
+                    own = Words.of(seed, own.row, z, n, context_seed)
+                    full = {**model, "tables": tables, "customers": customers}
+                    if rate:
+                        p = own.predictive(t, t0, full, g, c0)
+                        p = p if row["p"] is None else p + np.frombuffer(row["p"], "<f4")
+                    if more:
+                        t = own.seat_cells(t, c0, t0, full, g, sweep)
+                p = None if p is None else p.astype("<f4").tobytes()
+                few = [*ones_and_twos(n), int(n.sum())]
+                if not more:
+                    yield rows_in(SENT, [(row["cb"], None, p, few, [], [])])
+                    continue
+                sums, mask = (own.per_word(t), own.per_context(t), own.per_context(n)), (1 << RANK_BITS) - 1
+                wbs = np.unique(np.concatenate([words, of]) >> RANK_BITS)
+                ends = [[np.searchsorted(x >> RANK_BITS, wbs, side) for side in ("left", "right")] for x in (words, of)]
+                sent = [squeeze(steps(words[a:e] & mask), steps(of[b:f] & mask), sums[0][a:e], sums[1][b:f], sums[2][b:f])
+                        for a, e, b, f in zip(*ends[0], *ends[1])]
+                yield rows_in(SENT, [(row["cb"], squeeze(t), p, few, wbs.tolist(), sent)])
 
-def seat_words(rows: DataFrame, parts: int, model: dict | None, upper: dict | None, sweep: int) -> DataFrame:
-    """A sweep over all words (``model`` None: one table a dish).  ``rows``: word blocks, with the last
-    tables and the spelling cells' probabilities (see ``with_spelling``).  All spelling cells are sent to
-    their parts, with their customers."""
-    names = [f.split()[0] for f in SEATED.split(", ")]
-    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()),
-             *[pa.list_(pa.binary())] * 2]
-    p = None if upper is None else rows.sparkSession.sparkContext.broadcast(upper["p"])
+    rows = cells.select("cb", "words", "contexts", "cells")
+    if not new:
+        rows = rows.join(last.select("cb", "t", "p"), "cb").join(told, "cb")
+    return materialise(rows.mapInArrow(work, SENT), "cells")
+
+
+def seat_words(own: DataFrame, sent: DataFrame, last: DataFrame | None, parts: int, model: dict | None,
+               upper: dict | None, sweep: int) -> DataFrame:
+    """Totals of words and contexts, the words seated (``last`` None: one table a dish) and their spelling cells sent to their
+    parts, with their customers.  ``last``: tables and the spelling cells' probabilities (see ``with_spelling``)."""
+    p = None if upper is None else own.sparkSession.sparkContext.broadcast(upper["p"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                row = {n: batch.column(n)[k].as_py() for n in batch.schema.names}
-                words, cells = Words(*[row[n] for n in _WORDS]), np.frombuffer(row["cells"], "<i8")
+            for row in each_row(batch):
+                seed, length, place, cells = (unsqueeze(row[k])[0] for k in ("seed", "length", "place", "cells"))
+                cells = np.cumsum(cells)
+                c0, tables, customers = np.zeros((3, len(seed)), np.int64)
+                lists = []
+                for s in row["sent"]:
+                    words, of, tw, tu, nu = unsqueeze(s["sent"])
+                    lists.append(squeeze(words, of))
+                    words, of = np.cumsum(words), np.cumsum(of)
+                    c0[words] += tw
+                    tables[of] += tu
+                    customers[of] += nu
                 if model is None:
-                    t = np.minimum(words.n, 1)
-                    t0 = np.minimum(words.per_word(t), 1)
+                    t0 = np.minimum(c0, 1)
                 else:
-                    g = words.spelling(cells, parts, row["a"], row["b"], p.value)
-                    t, t0 = words.seat(*(np.frombuffer(row[n], "<i8") for n in ("t", "t0")), model, g, sweep)
-                spelt = np.bincount(words.place, np.repeat(t0, words.length), len(cells)).astype("<i8")
+                    g = spelling(length, place, cells, parts, row["a"], row["b"], p.value)
+                    t0 = seat_dishes(c0, unsqueeze(row["tables"])[1], model, g, seed, sweep)
+                spelt = np.bincount(place, np.repeat(t0, length), len(cells)).astype("<i8")
                 part = part_of(cells, parts)
                 order = np.argsort(part, kind="stable")
                 used, first = np.unique(part[order], return_index=True)
-                pieces = [[x.tobytes() for x in np.split(y[order], first[1:])] for y in (cells, spelt)]
-                out = [row["wb"], t.astype("<i8").tobytes(), t0.astype("<i8").tobytes(), words.sums(t, t0), used, *pieces]
-                yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(out, kinds)], names=names)
-
+                pieces = [[x.tobytes() for x in np.split(y[order], first[1:])] for y in (cells.astype("<i8"), spelt)]
+                yield rows_in(SEATED, [(row["wb"], squeeze(c0, t0, tables, customers),
+                                        [*dish_sums(c0, t0), int((unsqueeze(row["n"])[0] > 0).sum())],
+                                        [s["cb"] for s in row["sent"]], lists, used.tolist(), *pieces)])
+
+    said = (sent.select("cb", F.inline(F.arrays_zip("wb", "sent"))).groupBy("wb")
+            .agg(F.array_sort(F.collect_list(F.struct("cb", "sent"))).alias("sent")))                # a row a cell block
+    rows = own.join(said, "wb")
+    if last is not None:
+        rows = rows.join(last.select("wb", "tables", "a", "b"), "wb")
     return materialise(rows.mapInArrow(work, SEATED), "seated")
 
 
+def replies(own: DataFrame, last: DataFrame, parts: int, upper: dict) -> DataFrame:
+    """(cb, told): for the different words and contexts of each cell block, by word block, customers and tables of the words, their
+    spelling's probability and their seed; tables, customers and seed of the contexts."""
+    p = own.sparkSession.sparkContext.broadcast(upper["p"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in each_row(batch):
+                seed, length, place, cells = (unsqueeze(row[k])[0] for k in ("seed", "length", "place", "cells"))
+                g = spelling(length, place, np.cumsum(cells), parts, row["a"], row["b"], p.value)
+                c0, t0, tables, customers = unsqueeze(row["tables"])
+                out = []
+                for cb, raw in zip(row["cb"], row["lists"]):
+                    w, u = (np.cumsum(x) for x in unsqueeze(raw))
+                    out.append((cb, row["wb"], squeeze(c0[w], t0[w], g[w], seed[w], tables[u], customers[u], seed[u])))
+                yield rows_in("cb long, wb long, told binary", out)
+
+    rows = own.select("wb", "seed", "length", "place", "cells").join(last.select("wb", "tables", "cb", "lists", "a", "b"), "wb")
+    return (rows.mapInArrow(work, "cb long, wb long, told binary").groupBy("cb")
+            .agg(F.array_sort(F.collect_list(F.struct("wb", "told"))).alias("told")))               # a row a word block
+
+
 def with_spelling(spelled_rows: DataFrame) -> DataFrame:
     """(wb, a, b): the probabilities of each word block's spelling cells, by the part."""
     own = (spelled_rows.where("wb IS NOT NULL").groupBy("wb")
@@ -676,93 +796,19 @@ def with_spelling(spelled_rows: DataFrame) -> DataFrame:
     return own.select("wb", F.col("s.a").alias("a"), F.col("s.b").alias("b"))
 
 
-def rated(gathered: DataFrame, blocks_: DataFrame, parts: int, samples: list) -> DataFrame:
-    """(block, cells): counts and log probabilities of all cells, packed by document block.
-
-    ``samples``: (tables and spelling of the word blocks, totals, upper model) of each averaged sweep."""
-    context = gathered.sparkSession.sparkContext
-    shared = context.broadcast([(model, upper["p"]) for _, model, upper in samples])         # fixed sizes
-    rows = blocks_.where("range < 0").drop("range", "map")
-    for k, (sample, _, _) in enumerate(samples):
-        rows = rows.join(sample.select("wb", *[F.col(c).alias(f"{c}_{k}") for c in ("t", "t0", "a", "b")]), "wb")
-
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
-                words, cells = Words(*[row[n] for n in _WORDS]), np.frombuffer(row["cells"], "<i8")
-                ps = []
-                for k, (model, p) in enumerate(shared.value):
-                    g = words.spelling(cells, parts, row[f"a_{k}"], row[f"b_{k}"], p)
-                    t, t0 = (np.frombuffer(row[f"{n}_{k}"], "<i8") for n in ("t", "t0"))
-                    ps.append(words.predictive(t, t0, model, g))
-                out = [row["wb"], (words.row << BITS | words.z).astype("<i8").tobytes(),
-                       words.per_word(words.n).astype("<i8").tobytes(),
-                       np.log10(np.maximum(np.mean(ps, axis=0), 1e-300)).astype("<f4").tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(out, (pa.int64(), *[pa.binary()] * 3))],
-                                                 names=["wb", "key", "c", "p"])
-
-    known = rows.mapInArrow(predict, "wb long, key binary, c binary, p binary")
-    maps = blocks_.where("range >= 0").select("wb", "range", "map")
-    places = gathered.select("wb", "range", "word", "block", "cell").join(maps, ["wb", "range"]).join(known, "wb")
+def rated(cells: DataFrame, last: DataFrame) -> DataFrame:
+    """(block, cb, p): log probabilities of the cells of each block of documents, by cell block, in ``dealt``'s order."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-        pack = zstandard.ZstdCompressor(level=1).compress
-        queue: list = []
-
-        def emit() -> Iterator[pa.RecordBatch]:
-            block, cell, c, p = (np.concatenate([q[k] for q in queue]) for k in range(4))
-            order = np.lexsort((cell, block))
-            block, cell, c, p = block[order], cell[order], c[order], p[order]
-            edge = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True])
-            own = [(block[a], pack(cell[a:e].astype("<i4").tobytes() + c[a:e].astype("<i8").tobytes()
-                                   + p[a:e].astype("<f4").tobytes())) for a, e in zip(edge, edge[1:])]
-            queue.clear()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([b for b, _ in own], pa.int64()), pa.array([x for _, x in own], pa.binary())],
-                names=["block", "cells"])
-
         for batch in batches:
-            for word, block, cell, of, key, c, p in zip(*[batch.column(n).to_pylist() for n in (
-                    "word", "block", "cell", "map", "key", "c", "p")]):
-                cell = np.frombuffer(cell, "<i4")
-                number = np.frombuffer(of, "<i4").astype(np.int64)[np.frombuffer(word, "<i4")]
-                at = np.searchsorted(np.frombuffer(key, "<i8"), number << BITS | cell & CLASSES)
-                queue.append((np.frombuffer(block, "<i8"), cell, np.frombuffer(c, "<i8")[number],
-                              np.frombuffer(p, "<f4")[at]))
-                if sum(len(q[0]) for q in queue) > 2_000_000:
-                    yield from emit()
-        if queue:
-            yield from emit()
-
-    return places.mapInArrow(spread, "block long, cells binary")
-
-
-def _block_arrays(parts: list, rest: float) -> tuple:
-    """(place of each cell number, known, base score, model score) of a block from its packed parts."""
-    arrays = []
-    for raw in parts:
-        k = len(raw) // 16
-        arrays.append((np.frombuffer(raw, "<i4", k), np.frombuffer(raw, "<i8", k, 4 * k),
-                       np.frombuffer(raw, "<f4", k, 12 * k)))
-    cell, c, p = (np.concatenate([a[i] for a in arrays]) for i in range(3))
-    at = np.zeros(int(cell.max()) + 1, np.int32)      # 2 ** BITS numbers a distinct word of the block
-    at[cell] = np.arange(len(cell))
-    return at, c > 0, np.log10(c + ADD) - rest, p.astype(float)
-
-
-def distinct_trained(held: DataFrame) -> int:
-    """Different training tokens."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = 0
-        for batch in batches:
-            for size, n in zip(*[c.to_pylist() for c in batch.columns]):
-                size = np.frombuffer(size, "u1").astype(np.int64)
-                v += int((np.bincount(np.repeat(np.arange(len(size)), size), np.frombuffer(n, "<i8"), len(size)) > 0).sum())
-        yield pa.RecordBatch.from_arrays([pa.array([v])], names=["v"])
+            for row in each_row(batch):
+                p = np.log10(np.maximum(np.frombuffer(row["p"], "<f4").astype(float) / SAMPLES, 1e-300))
+                yield rows_in("block long, cb long, p binary",
+                              [(block, row["cb"], p[np.cumsum(unsqueeze(at)[0])].astype("<f4").tobytes())
+                               for block, at in zip(row["blocks"], row["places"])])
 
-    return held.where("range < 0").select("size", "n").mapInArrow(count, "v long").agg(F.sum("v")).first()[0] or 0
+    rows = cells.select("cb", "blocks", "places").join(last.select("cb", "p"), "cb")
+    return rows.mapInArrow(spread, "block long, cb long, p binary")
 
 
 def score(docs: DataFrame, train: Column | None = None, id_col: str = "doc_id",
@@ -770,67 +816,68 @@ def score(docs: DataFrame, train: Column | None = None, id_col: str = "doc_id",
     """Scores of every document; ``train``: which rows are learned from."""
     spark = docs.sparkSession
     train = ~held_out(F.col(id_col), MOD, HELD) if train is None else train
-    classes = context_classes(docs.where(train).select(F.col(text_col).alias("text")))
-    cut = materialise(blocks(docs, classes, train, id_col, text_col), "blocks")
-    cells = cut.where("not doc").select("word", "block", "cell", "n")
-    words = cells.agg(F.approx_count_distinct("word")).first()[0] or 0
-    gathered = materialise(gather(cells, max(1, -(-words // WORDS))), "gathered")
+    cut = materialise(blocks(docs, train, id_col, text_col), "blocks")
+    listed = cut.where("kind = 0").select("word", "block", "cell", "n")
+    words = listed.agg(F.approx_count_distinct("word")).first()[0] or 0
+    gathered = materialise(gather(listed, max(1, -(-words // WORDS))), "gathered")
     held = bucketed(word_blocks(gathered), "words", "wb")
     own = held.where("range < 0").drop("range", "map")
-    entries = own.agg(F.sum(F.octet_length("cells"))).first()[0] or 0
-    parts = max(1, -(-entries // (8 * ENTRIES)))
-
-    upper, state, samples = new_upper(), None, []
-    seated = seat_words(own, parts, None, None, 0)
-    first = totals(seated)
+    entries = own.agg(F.sum("entries")).first()[0] or 0
+    parts = max(1, -(-entries // ENTRIES))
+    pairs = cut.where("kind = 1")
+    with_codes = materialise(coded(gathered, held, pairs), "coded")
+    side = math.ceil(math.sqrt(max(1, (pairs.agg(F.sum("n")).first()[0] or 0) / CELLS)))
+    cells = bucketed(cell_blocks(with_codes, side), "cells", "cb")
+
+    upper, state = new_upper(), None
+    sent = seat_cells(cells, None, None, None, 0, False, True)
+    seated = seat_words(own, sent, None, parts, None, None, 0)
+    *few, n = totals(sent, "few", 3)
     for k in range(BURN_IN + SAMPLES + 1):
         state = seat_spelling(seated, state, upper, k)
         upper = seat_upper(state, upper, k)
-        model = totals(seated)
-        rows = with_spelling(state).join(seated.select("wb", "t", "t0"), "wb")
-        if k > BURN_IN:
-            samples.append((rows, model, upper))
-        if k < BURN_IN + SAMPLES:
-            seated = seat_words(own.join(rows, "wb"), parts, model, upper, seed + k)
-
-    n = int(first["customers"].sum())
-    v = distinct_trained(held)
+        one, two, customers0, tables0, v = totals(seated, "sums", 5)
+        model = {"d": share(*few), "d0": share(one, two), "customers0": customers0, "tables0": tables0}
+        last = with_spelling(state).join(seated.select("wb", "tables", "cb", "lists"), "wb")
+        more = k < BURN_IN + SAMPLES
+        sent = seat_cells(cells, sent, replies(own, last, parts, upper), model, seed + k, k > BURN_IN, more)
+        if more:
+            seated = seat_words(own, sent, last, parts, model, upper, seed + k)
+
     rest = math.log10(n + ADD * (v + 1))
-    known = rated(gathered, held, parts, samples).select(
-        "block", F.lit(False).alias("doc"), F.lit(None).cast("long").alias("doc_id"),
-        F.lit(None).cast("boolean").alias("held_out"), F.lit(None).cast("long").alias("n_tokens"), "cells")
-    rows = cut.where("doc").select("block", "doc", "doc_id", "held_out", "n_tokens", "cells")
+    none = {c: F.lit(None).cast(kind).alias(c) for c, kind in (
+        ("doc_id", "long"), ("held_out", "boolean"), ("n_tokens", "long"), ("more", "binary"))}
+    first = with_codes.select("block", F.lit(-1).cast("long").alias("k"), *[none[c] for c in ("doc_id", "held_out", "n_tokens")],
+                              F.col("pairs").alias("cells"), F.col("codes").alias("more"))
+    known = rated(cells, sent).select("block", F.col("cb").alias("k"), *[none[c] for c in ("doc_id", "held_out", "n_tokens")],
+                                      "p", none["more"])
+    rows = cut.where("kind = 2").select("block", F.lit(1 << 62).alias("k"), "doc_id", "held_out", "n_tokens", "cells", none["more"])
+    scored = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-        unpack = zstandard.ZstdDecompressor().decompress
-        block, parts, ready = None, [], None
+        parts_, ready = [], None
         for b in batches:
-            out = ([], [], [], [], [], [])
-            for number, doc, i, held, many, raw in zip(*(c.to_pylist() for c in b.columns)):
-                if number != block:                   # the cells of a block come first
-                    block, parts, ready = number, [], None
-                raw = unpack(raw)
-                if not doc:
-                    parts.append(raw)
-                    continue
-                if ready is None:
-                    ready = _block_arrays(parts, rest)
-                at, known, base, model = ready
-                got = np.frombuffer(raw, "<i4").reshape(2, -1)
-                cell, m = at[np.cumsum(got[0])], got[1]
-                for o, x in zip(out, (i, held, many, int(m[known[cell]].sum()),
-                                      float(base[cell] @ m), float(model[cell] @ m))):
-                    o.append(x)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(o, k) for o, k in zip(out, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(),
-                                                          pa.float64(), pa.float64()))],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
-
-    return (known.union(rows).repartition("block").sortWithinPartitions("block", "doc")
-            .mapInArrow(add_up, "doc_id long, held_out boolean, n_tokens long, n_known long, "
-                                "base_score double, score double")
+            out = []
+            for _, k, i, held_, many, raw, codes in zip(*(c.to_pylist() for c in b.columns)):
+                if k < 0:                             # a block's cells, their probabilities, its documents
+                    order, parts_, ready = dealt(raw, codes, side)[0], [], None
+                    c = unsqueeze(codes)[1][np.cumsum(unsqueeze(raw)[0])]
+                elif k < 1 << 62:
+                    parts_.append(raw)
+                else:
+                    if ready is None:
+                        p = np.empty(len(order))
+                        p[order] = np.frombuffer(b"".join(parts_), "<f4")
+                        ready = c > 0, np.log10(c + ADD) - rest, p
+                        parts_ = []
+                    cell = np.cumsum(unsqueeze(raw)[0])
+                    out.append((i, held_, many, int(ready[0][cell].sum()), float(ready[1][cell].sum()),
+                                float(ready[2][cell].sum())))
+            if out:
+                yield rows_in(scored, out)
+
+    return (first.union(known).union(rows).repartition("block").sortWithinPartitions("block", "k")
+            .mapInArrow(add_up, scored)
             .withColumn("train_tokens", F.lit(n).cast("long"))
             .withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
             .select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score",

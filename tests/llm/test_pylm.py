@@ -179,10 +179,17 @@ def test_poisson_draws():
         assert x.mean() == pytest.approx(mean, rel=0.03) and x.var() == pytest.approx(mean, rel=0.06)
 
 
-def test_contexts_stay_within_a_text():
-    short = np.asarray([3, -1, -1, -1, 5, -1])
-    starts = np.asarray([0, 0, 0, 3, 3, 3])
-    assert pylm.contexts(short, starts).tolist() == [15, 3, 3, 15, 15, 5]
+def test_a_context_is_the_word_before():
+    assert pylm.contexts(np.asarray([3, 4, 0, 3, 0, 0]), 0).tolist() == [0, 3, 4, 0, 3, 0]
+
+
+def test_preceding_words_count(spark):
+    """A word is likelier after the long word that it always follows than after others (no class of short words tells them apart)."""
+    rows = [(k, f"{a} {b}") for k in range(1, 301) for a, b in [(("northern", "lights"), ("southern", "comfort"))[k % 2]]]
+    rows += [(1001, "northern lights"), (1002, "southern lights"), (1003, "southern comfort"), (1004, "northern comfort")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    p = pylm.score(docs, train=docs.doc_id < 1000).toPandas().set_index("doc_id").score
+    assert p[1001] > p[1002] + 1 and p[1003] > p[1004] + 1
 
 
 def test_odd_rows(spark, monkeypatch):
