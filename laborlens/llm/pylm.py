@@ -59,6 +59,7 @@ LOW = 2                      # spelling contexts from this length on are seated
 LEVELS = DEPTH - LOW + 1
 BLANK = 0x20
 BLOCK_WORDS = 300_000
+SMALLEST = 1024              # hashes of a block's words, to tell how many there are in all
 BLOCK_TOKENS = 4_000_000     # a block of documents ends here too
 WORDS = 32_768               # words of a word block, about
 RANK_BITS = 24               # of a word's number within its word block
@@ -72,16 +73,16 @@ EXACT = 24
 ADD = 0.1                    # of the base score
 TEXTS = 256                  # texts handled at once
 
-#: Rows of words (kind 0), a block's cells (1) and documents (2).
-BLOCKS = ("block long, kind int, cell int, word binary, n long, "
-          "doc_id long, held_out boolean, n_tokens long, cells binary")
+#: Rows of a block's words (kind 0), its cells (1) and documents (2).
+BLOCKS = "block long, kind int, n long, smallest array<long>, doc_id long, held_out boolean, n_tokens long, words binary, cells binary"
+DEALT = "wb long, range long, block long, words binary, cell binary, n binary"
 GATHERED = "wb long, range long, words array<binary>, n binary, word binary, block binary, cell binary"
 WORD_BLOCKS = "wb long, range long, map binary, seed binary, n binary, length binary, place binary, cells binary, entries long"
 CELL_BLOCKS = "cb long, words binary, contexts binary, cells binary, blocks array<long>, places array<binary>"
-SENT = "cb long, t binary, p binary, few array<long>, wb array<long>, sent array<binary>"
+SENT = "cb long, t binary, few array<long>, wb array<long>, sent array<binary>"
 SEATED = ("wb long, tables binary, sums array<long>, cb array<long>, lists array<binary>, part array<int>, "
-          "cells array<binary>, customers array<binary>")
-SPELLED = "part int, wb long, tables binary, codes array<long>, n array<long>, a binary, b binary"
+          "cells array<binary>")
+SPELLED = "part int, wb long, tables binary, codes array<long>, n array<long>, ab binary"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -107,7 +108,7 @@ def words_of(text: str | None) -> list:
 
 
 def squeeze(*arrays: np.ndarray) -> bytes:
-    """Arrays of whole numbers from 0 (floats: single precision) in few bytes."""
+    """Arrays of whole numbers from 0 (floats: single precision) in few bytes: first bytes of all, then second ones."""
     import zstandard
     out = []
     for x in arrays:
@@ -116,7 +117,7 @@ def squeeze(*arrays: np.ndarray) -> bytes:
         else:
             most = int(x.max()) if len(x) else 0
             kind = next(k for k, bits in (("u1", 8), ("u2", 16), ("u4", 32), ("i8", 63)) if most < 1 << bits)
-        out += [kind.encode(), len(x).to_bytes(8, "little"), x.astype("<" + kind).tobytes()]
+        out += [kind.encode(), len(x).to_bytes(8, "little"), x.astype("<" + kind).view("u1").reshape(len(x), np.dtype(kind).itemsize).T.tobytes()]
     return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
 
 
@@ -124,10 +125,10 @@ def unsqueeze(raw: bytes) -> list:
     import zstandard
     raw, at, out = zstandard.ZstdDecompressor().decompress(raw), 0, []
     while at < len(raw):
-        kind, n = "<" + raw[at:at + 2].decode(), int.from_bytes(raw[at + 2:at + 10], "little")
-        x = np.frombuffer(raw, kind, n, at + 10)
+        kind, n = np.dtype("<" + raw[at:at + 2].decode()), int.from_bytes(raw[at + 2:at + 10], "little")
+        x = np.frombuffer(raw, "u1", n * kind.itemsize, at + 10).reshape(kind.itemsize, n)
         at += 10 + x.nbytes
-        out.append(x.astype(float if kind == "<f4" else np.int64))
+        out.append(np.ascontiguousarray(x.T).view(kind).ravel().astype(float if kind.kind == "f" else np.int64))
     return out
 
 
@@ -161,6 +162,27 @@ def summed(keys: list, counts: list) -> tuple:
     return both, np.bincount(where, np.concatenate(counts), len(both)).astype(np.int64)
 
 
+def word_hashes(words: list) -> np.ndarray:
+    import xxhash
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)) >> np.uint64(1)
+
+
+def pack_words(words: list) -> bytes:
+    import zstandard
+    return zstandard.ZstdCompressor(level=1).compress(b" ".join(words))
+
+
+def unpack_words(raw: bytes) -> list:
+    import zstandard
+    return zstandard.ZstdDecompressor().decompress(raw).split(b" ")
+
+
+def distinct_words(listed: DataFrame) -> int:
+    """About how many different words there are, from the smallest hashes."""
+    rows = listed.select(F.explode("smallest").alias("h")).distinct().orderBy("h").limit(SMALLEST).collect()
+    return len(rows) if len(rows) < SMALLEST else int((SMALLEST - 1) / (rows[-1]["h"] / (1 << 63)))
+
+
 def blocks(docs: DataFrame, train: Column, id_col: str, text_col: str) -> DataFrame:
     """Rows of words, cells and documents of every block (see ``BLOCKS``)."""
 
@@ -175,18 +197,15 @@ def blocks(docs: DataFrame, train: Column, id_col: str, text_col: str) -> DataFr
             cell, at = np.unique(np.concatenate(keys), return_inverse=True)
             n = np.bincount(at, np.repeat(trained, size), len(cell)).astype(np.int64)
             word = cell >> 32
-            many = np.bincount(word, n, len(number)).astype(np.int64).tolist()
-            words = list(number)
-            for a in range(0, len(words), 50_000):
-                yield rows_in(BLOCKS, [(block, 0, i, words[i], many[i], *[None] * 4)
-                                       for i in range(a, min(a + 50_000, len(words)))])
-            yield rows_in(BLOCKS, [(block, 1, None, None, len(cell), None, None, None,
-                                    squeeze(steps(word), cell & 0xFFFFFFFF, n))])
+            many = np.bincount(word, n, len(number)).astype(np.int64)
+            smallest = np.sort(word_hashes(list(number)))[:SMALLEST]
+            yield rows_in(BLOCKS, [(block, 0, None, smallest, None, None, None, pack_words(list(number)), squeeze(many)),
+                                   (block, 1, len(cell), *[None] * 5, squeeze(steps(word), cell & 0xFFFFFFFF, n))])
             # a document's cells in ascending order
             at = np.sort(np.repeat(np.arange(len(size)), size) << 32 | at) & 0xFFFFFFFF
             ends = np.cumsum(size)
             for a in range(0, len(rows), TEXTS):
-                yield rows_in(BLOCKS, [(block, 2, None, None, None, *rows[k], int(size[k]),
+                yield rows_in(BLOCKS, [(block, 2, None, None, *rows[k], int(size[k]), None,
                                         squeeze(steps(at[ends[k] - size[k]:ends[k]])))
                                        for k in range(a, min(a + TEXTS, len(rows)))])
 
@@ -387,43 +406,35 @@ def seat_spelling(seated: DataFrame, state: DataFrame | None, upper: dict, sweep
 
     ``state``: the sweep before; ``upper``: the model of the shorter contexts."""
     shared = seated.sparkSession.sparkContext.broadcast((upper["p"], upper["d"]))       # 2^16 numbers
-    kinds = [pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
-
-    def rows_of(rows: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
-                                          names=[f.split()[0] for f in SPELLED.split(", ")])
-
     def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, d = shared.value
         for t in _runs(batches, 1):
-            part, wbs, tables = (t.column(c).to_pylist() for c in ("part", "wb", "tables"))
-            sent = [np.frombuffer(x, "<i8") for x in t.column("cells").to_pylist() if x is not None]
+            part, wbs, tables, own = (t.column(c).to_pylist() for c in ("part", "wb", "tables", "cells"))
+            sent = [unsqueeze(x) for x in own if x is not None]
             if not sent:
                 continue
-            cells, at = np.unique(np.concatenate(sent), return_inverse=True)
-            n = np.bincount(at, np.concatenate([np.frombuffer(x, "<i8") for x in t.column("customers").to_pylist()
-                                                if x is not None]))
+            cells, at = np.unique(np.concatenate([np.cumsum(x) for x, _ in sent]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([n for _, n in sent]))
             rooms = Rooms(cells, n.astype(np.int64), LOW, DEPTH, d)
-            held = next((np.frombuffer(x, "<i8").reshape(LEVELS, -1) for x in tables if x is not None), None)
+            held = next((np.asarray(unsqueeze(x)) for x in tables if x is not None), None)
             rooms.fill(held)
             base = p[rooms.cells[LOW] & 0xFFFF]
             for k in range(INNER):
                 rooms.seat(base, sweep * INNER + k)
-            a, b = (x.astype("<f4") for x in rooms.predictive()[DEPTH])
+            a, b = rooms.predictive()[DEPTH]
             codes, low = np.unique(rooms.cells[LOW] & 0xFFFF, return_inverse=True)
             few = rooms.ones_and_twos()
-            out = [(part[0], None, rooms.tables().astype("<i8").tobytes(), [*codes, *range(-len(few), 0)],
-                    [*np.bincount(low, rooms.t[LOW]).astype(np.int64), *few], None, None)]
-            ends = np.cumsum([len(x) for x in sent])
+            out = [(part[0], None, squeeze(*rooms.tables()), [*codes, *range(-len(few), 0)],
+                    [*np.bincount(low, rooms.t[LOW]).astype(np.int64), *few], None)]
+            ends = np.cumsum([len(x) for x, _ in sent])
             for wb, own in zip([w for w in wbs if w is not None], np.split(at, ends[:-1])):
-                out.append((part[0], wb, None, None, None, a[own].tobytes(), b[own].tobytes()))
-            yield rows_of(out)
+                out.append((part[0], wb, None, None, None, squeeze(a[own], b[own])))
+            yield rows_in(SPELLED, out)
 
-    rows = seated.select("wb", F.inline(F.arrays_zip("part", "cells", "customers"))).select(
-        "part", "wb", F.lit(None).cast("binary").alias("tables"), "cells", "customers")
+    rows = seated.select("wb", F.inline(F.arrays_zip("part", "cells"))).select(
+        "part", "wb", F.lit(None).cast("binary").alias("tables"), "cells")
     if state is not None:
-        none = F.lit(None).cast("binary")
-        rows = rows.union(state.where("wb IS NULL").select("part", "wb", "tables", none.alias("cells"), none.alias("customers")))
+        rows = rows.union(state.where("wb IS NULL").select("part", "wb", "tables", F.lit(None).cast("binary").alias("cells")))
     return materialise(rows.repartition("part").sortWithinPartitions("part", "wb").mapInArrow(seat, SPELLED), "spelled")
 
 
@@ -476,26 +487,39 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def gather(words: DataFrame, blocks_of_words: int) -> DataFrame:
+def gather(listed: DataFrame, blocks_of_words: int) -> DataFrame:
     """Words, their counts and their places, for each word block and range of document blocks."""
 
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, raw, n in zip(*[c.to_pylist() for c in b.columns]):
+                words, n = unpack_words(raw), unsqueeze(n)[0]
+                wb = (word_hashes(words) % np.uint64(blocks_of_words)).astype(np.int64)
+                order = pc.sort_indices(pa.array(words, pa.binary())).to_numpy().astype(np.int64)
+                order = order[np.argsort(wb[order], kind="stable")]
+                edge = np.flatnonzero(np.r_[True, np.diff(wb[order]) > 0, True])
+                for a, e in zip(edge, edge[1:]):
+                    cell = order[a:e]
+                    yield rows_in(DEALT, [(int(wb[cell[0]]), block >> RANGE_BITS, block, pack_words([words[i] for i in cell.tolist()]),
+                                           squeeze(cell), squeeze(n[cell]))])
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches, 2):
-            word = t.column("word").combine_chunks()
-            word = (word if isinstance(word, pa.Array) else pa.concat_arrays(word.chunks)).dictionary_encode()
+            lists = [unpack_words(x) for x in t.column("words").to_pylist()]
+            cell, n = (np.concatenate([unsqueeze(x)[0] for x in t.column(c).to_pylist()]) for c in ("cell", "n"))
+            block = np.repeat(t.column("block").to_numpy(), [len(x) for x in lists])
+            word = pa.array(list(chain.from_iterable(lists)), pa.binary()).dictionary_encode()
             order = pc.sort_indices(word.dictionary).to_numpy()
             rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(len(order))
             number = rank[word.indices.to_numpy()]
-            block, cell, n = (t.column(k).to_numpy() for k in ("block", "cell", "n"))
             yield rows_in(GATHERED, [(t.column("wb")[0].as_py(), t.column("range")[0].as_py(),
                                       word.dictionary.take(pa.array(order)).to_pylist(),
                                       squeeze(np.bincount(number, n, len(order)).astype(np.int64)),
-                                      squeeze(number), squeeze(steps(block)), squeeze(cell.astype(np.int64)))])
+                                      squeeze(number), squeeze(steps(block)), squeeze(cell))])
 
-    dealt = words.select(F.pmod(F.xxhash64("word"), F.lit(blocks_of_words)).alias("wb"),
-                         F.shiftright("block", RANGE_BITS).alias("range"), "block", "cell", "word", "n")
-    return dealt.repartition("wb", "range").sortWithinPartitions("wb", "range", "block").mapInArrow(work, GATHERED)
+    rows = listed.select("block", "words", "cells").mapInArrow(deal, DEALT)
+    return rows.repartition("wb", "range").sortWithinPartitions("wb", "range", "block").mapInArrow(work, GATHERED)
 
 
 def word_blocks(gathered: DataFrame) -> DataFrame:
@@ -664,11 +688,11 @@ def seat_dishes(c0: np.ndarray, t0: np.ndarray, model: dict, g: np.ndarray, seed
     return sample_tables(c0, (STRENGTH + model["d0"] * (model["tables0"] - t0)) * g, model["d0"], mixed(seed, 2), sweep)
 
 
-def spelling(length: np.ndarray, place: np.ndarray, cells: np.ndarray, parts: int, a: list, b: list, p: np.ndarray) -> np.ndarray:
+def spelling(length: np.ndarray, place: np.ndarray, cells: np.ndarray, parts: int, ab: list, p: np.ndarray) -> np.ndarray:
     """Probability of each word's spelling from its cells', which come by the part."""
     order = np.argsort(part_of(cells, parts), kind="stable")
     own = np.empty((2, len(cells)))
-    own[:, order] = [np.frombuffer(b"".join(x), "<f4") for x in (a, b)]
+    own[:, order] = np.concatenate([unsqueeze(x) for x in ab], axis=1)
     log = np.log(np.maximum(own[0] + own[1] * p[cells & 0xFFFF], 1e-300))
     return np.exp(np.add.reduceat(log[place], np.cumsum(length) - length))
 
@@ -682,46 +706,49 @@ def totals(rows: DataFrame, col: str, n: int) -> list:
     return x
 
 
-def seat_cells(cells: DataFrame, last: DataFrame | None, told: DataFrame | None, model: dict | None, sweep: int,
-               rate: bool, more: bool) -> DataFrame:
+class CellBlock:
+    """A row of ``CELL_BLOCKS``."""
+
+    def __init__(self, row: dict):
+        self.words, self.contexts = (np.cumsum(unsqueeze(row[k])[0]) for k in ("words", "contexts"))
+        at, self.z, self.n = unsqueeze(row["cells"])
+        self.row = np.cumsum(at)
+
+    def told(self, told: list, model: dict) -> tuple:
+        """The words' cells, their customers, tables and spelling in the word restaurant, and the model (see ``replies``)."""
+        c0, t0, g, seed, tables, customers, context_seed = (np.concatenate(x) for x in zip(*[unsqueeze(r["told"]) for r in told]))
+        own = Words.of(seed, self.row, self.z, self.n, context_seed)
+        return own, c0, t0, g, {**model, "tables": tables, "customers": customers}
+
+
+def seat_cells(cells: DataFrame, last: DataFrame | None, told: DataFrame | None, model: dict | None, sweep: int) -> DataFrame:
     """A sweep over all cells (see ``SENT``); at first, one table a dish.  ``last``: the one before; ``told``: what the word blocks
-    say (see ``replies``).  ``rate``: adds the probabilities under the last tables to those so far; ``more``: seats anew."""
+    say (see ``replies``)."""
     new = last is None
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = (1 << RANK_BITS) - 1
         for batch in batches:
             for row in each_row(batch):
-                words, of = (np.cumsum(unsqueeze(row[k])[0]) for k in ("words", "contexts"))
-                at, z, n = unsqueeze(row["cells"])
-                own, p = Words.of(words, np.cumsum(at), z, n, of), None
+                cells, t = CellBlock(row), None
+                words, of, n = cells.words, cells.contexts, cells.n
                 if new:
                     t = np.minimum(n, 1)
                 else:
-                    t = unsqueeze(row["t"])[0]
-                    c0, t0, g, seed, tables, customers, context_seed = (
-                        np.concatenate(x) for x in zip(*[unsqueeze(r["told"]) for r in row["told"]]))
-                    own = Words.of(seed, own.row, z, n, context_seed)
-                    full = {**model, "tables": tables, "customers": customers}
-                    if rate:
-                        p = own.predictive(t, t0, full, g, c0)
-                        p = p if row["p"] is None else p + np.frombuffer(row["p"], "<f4")
-                    if more:
-                        t = own.seat_cells(t, c0, t0, full, g, sweep)
-                p = None if p is None else p.astype("<f4").tobytes()
-                few = [*ones_and_twos(n), int(n.sum())]
-                if not more:
-                    yield rows_in(SENT, [(row["cb"], None, p, few, [], [])])
-                    continue
-                sums, mask = (own.per_word(t), own.per_context(t), own.per_context(n)), (1 << RANK_BITS) - 1
+                    own, c0, t0, g, full = cells.told(row["told"], model)
+                    t = own.seat_cells(unsqueeze(row["t"])[0], c0, t0, full, g, sweep)
+                own = Words.of(words, cells.row, cells.z, n, of)
+                left, right = [own.per_word(t), (own.per_word(n > 1) > 0).astype(np.int64)], [
+                    own.per_context(t), own.per_context(n), (own.per_context(n > 1) > 0).astype(np.int64)]
                 wbs = np.unique(np.concatenate([words, of]) >> RANK_BITS)
                 ends = [[np.searchsorted(x >> RANK_BITS, wbs, side) for side in ("left", "right")] for x in (words, of)]
-                sent = [squeeze(steps(words[a:e] & mask), steps(of[b:f] & mask), sums[0][a:e], sums[1][b:f], sums[2][b:f])
+                sent = [squeeze(steps(words[a:e] & mask), steps(of[b:f] & mask), *[x[a:e] for x in left], *[x[b:f] for x in right])
                         for a, e, b, f in zip(*ends[0], *ends[1])]
-                yield rows_in(SENT, [(row["cb"], squeeze(t), p, few, wbs.tolist(), sent)])
+                yield rows_in(SENT, [(row["cb"], squeeze(t), [*ones_and_twos(n), int(n.sum())], wbs.tolist(), sent)])
 
     rows = cells.select("cb", "words", "contexts", "cells")
     if not new:
-        rows = rows.join(last.select("cb", "t", "p"), "cb").join(told, "cb")
+        rows = rows.join(last.select("cb", "t"), "cb").join(told, "cb")
     return materialise(rows.mapInArrow(work, SENT), "cells")
 
 
@@ -739,8 +766,8 @@ def seat_words(own: DataFrame, sent: DataFrame, last: DataFrame | None, parts: i
                 c0, tables, customers = np.zeros((3, len(seed)), np.int64)
                 lists = []
                 for s in row["sent"]:
-                    words, of, tw, tu, nu = unsqueeze(s["sent"])
-                    lists.append(squeeze(words, of))
+                    words, of, tw, ask_w, tu, nu, ask_u = unsqueeze(s["sent"])
+                    lists.append(squeeze(words, of, ask_w, ask_u))
                     words, of = np.cumsum(words), np.cumsum(of)
                     c0[words] += tw
                     tables[of] += tu
@@ -748,66 +775,79 @@ def seat_words(own: DataFrame, sent: DataFrame, last: DataFrame | None, parts: i
                 if model is None:
                     t0 = np.minimum(c0, 1)
                 else:
-                    g = spelling(length, place, cells, parts, row["a"], row["b"], p.value)
+                    g = spelling(length, place, cells, parts, row["ab"], p.value)
                     t0 = seat_dishes(c0, unsqueeze(row["tables"])[1], model, g, seed, sweep)
-                spelt = np.bincount(place, np.repeat(t0, length), len(cells)).astype("<i8")
+                spelt = np.bincount(place, np.repeat(t0, length), len(cells)).astype(np.int64)
                 part = part_of(cells, parts)
                 order = np.argsort(part, kind="stable")
                 used, first = np.unique(part[order], return_index=True)
-                pieces = [[x.tobytes() for x in np.split(y[order], first[1:])] for y in (cells.astype("<i8"), spelt)]
+                pieces = [squeeze(steps(x), n) for x, n in zip(*[np.split(y[order], first[1:]) for y in (cells, spelt)])]
                 yield rows_in(SEATED, [(row["wb"], squeeze(c0, t0, tables, customers),
                                         [*dish_sums(c0, t0), int((unsqueeze(row["n"])[0] > 0).sum())],
-                                        [s["cb"] for s in row["sent"]], lists, used.tolist(), *pieces)])
+                                        [s["cb"] for s in row["sent"]], lists, used.tolist(), pieces)])
 
     said = (sent.select("cb", F.inline(F.arrays_zip("wb", "sent"))).groupBy("wb")
             .agg(F.array_sort(F.collect_list(F.struct("cb", "sent"))).alias("sent")))                # a row a cell block
     rows = own.join(said, "wb")
     if last is not None:
-        rows = rows.join(last.select("wb", "tables", "a", "b"), "wb")
+        rows = rows.join(last.select("wb", "tables", "ab"), "wb")
     return materialise(rows.mapInArrow(work, SEATED), "seated")
 
 
-def replies(own: DataFrame, last: DataFrame, parts: int, upper: dict) -> DataFrame:
+def replies(own: DataFrame, last: DataFrame, parts: int, upper: dict, all_cells: bool) -> DataFrame:
     """(cb, told): for the different words and contexts of each cell block, by word block, customers and tables of the words, their
-    spelling's probability and their seed; tables, customers and seed of the contexts."""
+    spelling's probability and their seed; tables, customers and seed of the contexts.  Unless ``all_cells``, only of those that have a
+    cell there of several customers (others keep their one table); zeros of the others."""
     p = own.sparkSession.sparkContext.broadcast(upper["p"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in each_row(batch):
                 seed, length, place, cells = (unsqueeze(row[k])[0] for k in ("seed", "length", "place", "cells"))
-                g = spelling(length, place, np.cumsum(cells), parts, row["a"], row["b"], p.value)
+                g = spelling(length, place, np.cumsum(cells), parts, row["ab"], p.value)
                 c0, t0, tables, customers = unsqueeze(row["tables"])
                 out = []
                 for cb, raw in zip(row["cb"], row["lists"]):
-                    w, u = (np.cumsum(x) for x in unsqueeze(raw))
-                    out.append((cb, row["wb"], squeeze(c0[w], t0[w], g[w], seed[w], tables[u], customers[u], seed[u])))
+                    w, u, ask_w, ask_u = unsqueeze(raw)
+                    w, u = np.cumsum(w), np.cumsum(u)
+                    few_w, few_u = (1, 1) if all_cells else (ask_w, ask_u)
+                    out.append((cb, row["wb"], squeeze(c0[w] * few_w, t0[w] * few_w, g[w] * few_w, seed[w] * ask_w,
+                                                       tables[u] * few_u, customers[u] * few_u, seed[u] * ask_u)))
                 yield rows_in("cb long, wb long, told binary", out)
 
-    rows = own.select("wb", "seed", "length", "place", "cells").join(last.select("wb", "tables", "cb", "lists", "a", "b"), "wb")
+    rows = own.select("wb", "seed", "length", "place", "cells").join(last.select("wb", "tables", "cb", "lists", "ab"), "wb")
     return (rows.mapInArrow(work, "cb long, wb long, told binary").groupBy("cb")
             .agg(F.array_sort(F.collect_list(F.struct("wb", "told"))).alias("told")))               # a row a word block
 
 
 def with_spelling(spelled_rows: DataFrame) -> DataFrame:
-    """(wb, a, b): the probabilities of each word block's spelling cells, by the part."""
+    """(wb, ab): the probabilities of each word block's spelling cells, by the part."""
     own = (spelled_rows.where("wb IS NOT NULL").groupBy("wb")
-           .agg(F.array_sort(F.collect_list(F.struct("part", "a", "b"))).alias("s")))         # a row a part
-    return own.select("wb", F.col("s.a").alias("a"), F.col("s.b").alias("b"))
+           .agg(F.array_sort(F.collect_list(F.struct("part", "ab"))).alias("s")))         # a row a part
+    return own.select("wb", F.col("s.ab").alias("ab"))
+
 
+def rated(cells: DataFrame, samples: list) -> DataFrame:
+    """(block, cb, p): log probabilities of the cells of each block of documents, by cell block, in ``dealt``'s order.
 
-def rated(cells: DataFrame, last: DataFrame) -> DataFrame:
-    """(block, cb, p): log probabilities of the cells of each block of documents, by cell block, in ``dealt``'s order."""
+    ``samples``: (tables of the cells, what the word blocks say, totals) of each averaged sweep."""
+    models = [model for _, _, model in samples]
+    rows = cells
+    for k, (sent, told, _) in enumerate(samples):
+        rows = rows.join(sent.select("cb", F.col("t").alias(f"t_{k}")), "cb").join(
+            told.withColumnRenamed("told", f"told_{k}"), "cb")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in each_row(batch):
-                p = np.log10(np.maximum(np.frombuffer(row["p"], "<f4").astype(float) / SAMPLES, 1e-300))
-                yield rows_in("block long, cb long, p binary",
-                              [(block, row["cb"], p[np.cumsum(unsqueeze(at)[0])].astype("<f4").tobytes())
-                               for block, at in zip(row["blocks"], row["places"])])
+                block, p = CellBlock(row), 0
+                for k, model in enumerate(models):
+                    own, c0, t0, g, full = block.told(row[f"told_{k}"], model)
+                    p = p + own.predictive(unsqueeze(row[f"t_{k}"])[0], t0, full, g, c0)
+                p = np.log10(np.maximum(p / len(models), 1e-300))
+                yield rows_in("block long, cb long, p binary", [(b, row["cb"], squeeze(p[np.cumsum(unsqueeze(at)[0])]))
+                                                               for b, at in zip(row["blocks"], row["places"])])
 
-    rows = cells.select("cb", "blocks", "places").join(last.select("cb", "p"), "cb")
     return rows.mapInArrow(spread, "block long, cb long, p binary")
 
 
@@ -817,9 +857,8 @@ def score(docs: DataFrame, train: Column | None = None, id_col: str = "doc_id",
     spark = docs.sparkSession
     train = ~held_out(F.col(id_col), MOD, HELD) if train is None else train
     cut = materialise(blocks(docs, train, id_col, text_col), "blocks")
-    listed = cut.where("kind = 0").select("word", "block", "cell", "n")
-    words = listed.agg(F.approx_count_distinct("word")).first()[0] or 0
-    gathered = materialise(gather(listed, max(1, -(-words // WORDS))), "gathered")
+    listed = cut.where("kind = 0")
+    gathered = materialise(gather(listed, max(1, -(-distinct_words(listed) // WORDS))), "gathered")
     held = bucketed(word_blocks(gathered), "words", "wb")
     own = held.where("range < 0").drop("range", "map")
     entries = own.agg(F.sum("entries")).first()[0] or 0
@@ -829,8 +868,8 @@ def score(docs: DataFrame, train: Column | None = None, id_col: str = "doc_id",
     side = math.ceil(math.sqrt(max(1, (pairs.agg(F.sum("n")).first()[0] or 0) / CELLS)))
     cells = bucketed(cell_blocks(with_codes, side), "cells", "cb")
 
-    upper, state = new_upper(), None
-    sent = seat_cells(cells, None, None, None, 0, False, True)
+    upper, state, samples = new_upper(), None, []
+    sent = seat_cells(cells, None, None, None, 0)
     seated = seat_words(own, sent, None, parts, None, None, 0)
     *few, n = totals(sent, "few", 3)
     for k in range(BURN_IN + SAMPLES + 1):
@@ -839,9 +878,10 @@ def score(docs: DataFrame, train: Column | None = None, id_col: str = "doc_id",
         one, two, customers0, tables0, v = totals(seated, "sums", 5)
         model = {"d": share(*few), "d0": share(one, two), "customers0": customers0, "tables0": tables0}
         last = with_spelling(state).join(seated.select("wb", "tables", "cb", "lists"), "wb")
-        more = k < BURN_IN + SAMPLES
-        sent = seat_cells(cells, sent, replies(own, last, parts, upper), model, seed + k, k > BURN_IN, more)
-        if more:
+        if k > BURN_IN:
+            samples.append((sent, replies(own, last, parts, upper, True), model))
+        if k < BURN_IN + SAMPLES:
+            sent = seat_cells(cells, sent, replies(own, last, parts, upper, False), model, seed + k)
             seated = seat_words(own, sent, last, parts, model, upper, seed + k)
 
     rest = math.log10(n + ADD * (v + 1))
@@ -849,7 +889,7 @@ def score(docs: DataFrame, train: Column | None = None, id_col: str = "doc_id",
         ("doc_id", "long"), ("held_out", "boolean"), ("n_tokens", "long"), ("more", "binary"))}
     first = with_codes.select("block", F.lit(-1).cast("long").alias("k"), *[none[c] for c in ("doc_id", "held_out", "n_tokens")],
                               F.col("pairs").alias("cells"), F.col("codes").alias("more"))
-    known = rated(cells, sent).select("block", F.col("cb").alias("k"), *[none[c] for c in ("doc_id", "held_out", "n_tokens")],
+    known = rated(cells, samples).select("block", F.col("cb").alias("k"), *[none[c] for c in ("doc_id", "held_out", "n_tokens")],
                                       "p", none["more"])
     rows = cut.where("kind = 2").select("block", F.lit(1 << 62).alias("k"), "doc_id", "held_out", "n_tokens", "cells", none["more"])
     scored = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -867,7 +907,7 @@ def score(docs: DataFrame, train: Column | None = None, id_col: str = "doc_id",
                 else:
                     if ready is None:
                         p = np.empty(len(order))
-                        p[order] = np.frombuffer(b"".join(parts_), "<f4")
+                        p[order] = np.concatenate([unsqueeze(x)[0] for x in parts_])
                         ready = c > 0, np.log10(c + ADD) - rest, p
                         parts_ = []
                     cell = np.cumsum(unsqueeze(raw)[0])
