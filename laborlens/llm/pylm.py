@@ -63,7 +63,7 @@ SMALLEST = 1024              # hashes of a block's words, to tell how many there
 BLOCK_TOKENS = 4_000_000     # a block of documents ends here too
 WORDS = 32_768               # words of a word block, about
 RANK_BITS = 24               # of a word's number within its word block
-CELLS = 500_000              # cells of a cell block, about
+CELLS = 1_000_000            # cells of a cell block, about
 ENTRIES = 500_000            # spelling cells of all word blocks that a part has, about
 RANGE_BITS = 34              # a range of document blocks: those of 1024 tasks
 BURN_IN, SAMPLES = 1, 2
@@ -92,13 +92,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
-    """The same, in files by the key's hash, so that joins by the key don't shuffle it again."""
+    """The same, in files by the key's hash, so that joins by the key don't shuffle it again.  ``df`` should come from
+    ``partitions`` partitions by the key: a file each."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = path.rsplit("/", 1)[1].replace("-", "_")
-    (df.repartition(n, key).write.bucketBy(n, key).option("compression", "zstd").option("path", path)
+    (df.write.bucketBy(partitions(df), key).option("compression", "zstd").option("path", path)
      .format("parquet").saveAsTable(table))
     return spark.table(table)
 
@@ -546,11 +550,11 @@ def word_blocks(gathered: DataFrame) -> DataFrame:
             yield rows_in(WORD_BLOCKS, rows)
 
     few = gathered.select("wb", "range", "words", "n")
-    return few.repartition("wb").sortWithinPartitions("wb", "range").mapInArrow(work, WORD_BLOCKS)
+    return few.repartition(partitions(few), "wb").sortWithinPartitions("wb", "range").mapInArrow(work, WORD_BLOCKS)
 
 
-def coded(gathered: DataFrame, held: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(block, pairs, codes): the cells of each block of documents; its words' codes (word block, number there) and counts."""
+def coded(gathered: DataFrame, held: DataFrame) -> DataFrame:
+    """(block, codes): the codes (word block, number there) and counts of the words of each block of documents."""
     maps = held.where("range >= 0").select("wb", "range", "map")
     counts = held.where("range < 0").select("wb", F.col("n").alias("c"))
     places = gathered.select("wb", "range", "word", "block", "cell").join(maps, ["wb", "range"]).join(counts, "wb")
@@ -566,17 +570,14 @@ def coded(gathered: DataFrame, held: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches, 1):
-            wbs, raw = t.column("wb").to_pylist(), t.column("cells").to_pylist()
-            own = [unsqueeze(x) for x in raw[1:]]                         # the block's cells come first
+            own = [unsqueeze(x) for x in t.column("cells").to_pylist()]
             codes, counts = np.zeros((2, sum(len(x[0]) for x in own)), np.int64)
-            for wb, (cell, word, c) in zip(wbs[1:], own):
+            for wb, (cell, word, c) in zip(t.column("wb").to_pylist(), own):
                 codes[cell], counts[cell] = wb << RANK_BITS | word, c
-            yield rows_in("block long, pairs binary, codes binary",
-                          [(t.column("block")[0].as_py(), raw[0], squeeze(codes, counts))])
+            yield rows_in("block long, codes binary", [(t.column("block")[0].as_py(), squeeze(codes, counts))])
 
-    rows = places.mapInArrow(back, "block long, wb long, cells binary").union(
-        pairs.select("block", F.lit(-1).cast("long"), "cells"))
-    return rows.repartition("block").sortWithinPartitions("block", "wb").mapInArrow(code, "block long, pairs binary, codes binary")
+    rows = places.mapInArrow(back, "block long, wb long, cells binary")
+    return rows.repartition("block").sortWithinPartitions("block", "wb").mapInArrow(code, "block long, codes binary")
 
 
 # --- cell blocks ------------------------------------------------------------------
@@ -591,7 +592,7 @@ def dealt(pairs: bytes, codes: bytes, side: int) -> tuple:
     return order, w[order], u[order], n[order], cb[order]
 
 
-def cell_blocks(blocks_: DataFrame, side: int) -> DataFrame:
+def cell_blocks(pairs: DataFrame, codes: DataFrame, side: int) -> DataFrame:
     """A row a cell block (see ``CELL_BLOCKS``): its different words and contexts, its cells, and where those of each
     block of documents are among them."""
 
@@ -615,8 +616,8 @@ def cell_blocks(blocks_: DataFrame, side: int) -> DataFrame:
                                          squeeze(steps(key // len(of)), key % len(of), n),
                                          t.column("block").to_pylist(), [squeeze(steps(x)) for x in places])])
 
-    rows = blocks_.select("block", "pairs", "codes").mapInArrow(deal, "cb long, block long, cells binary")
-    return rows.repartition("cb").sortWithinPartitions("cb", "block").mapInArrow(work, CELL_BLOCKS)
+    rows = pairs.join(codes, "block").select("block", "cells", "codes").mapInArrow(deal, "cb long, block long, cells binary")
+    return rows.repartition(partitions(rows), "cb").sortWithinPartitions("cb", "block").mapInArrow(work, CELL_BLOCKS)
 
 
 class Words:
@@ -864,9 +865,9 @@ def score(docs: DataFrame, train: Column | None = None, id_col: str = "doc_id",
     entries = own.agg(F.sum("entries")).first()[0] or 0
     parts = max(1, -(-entries // ENTRIES))
     pairs = cut.where("kind = 1")
-    with_codes = materialise(coded(gathered, held, pairs), "coded")
+    codes = materialise(coded(gathered, held), "coded")
     side = math.ceil(math.sqrt(max(1, (pairs.agg(F.sum("n")).first()[0] or 0) / CELLS)))
-    cells = bucketed(cell_blocks(with_codes, side), "cells", "cb")
+    cells = bucketed(cell_blocks(pairs, codes, side), "cells", "cb")
 
     upper, state, samples = new_upper(), None, []
     sent = seat_cells(cells, None, None, None, 0)
@@ -886,22 +887,23 @@ def score(docs: DataFrame, train: Column | None = None, id_col: str = "doc_id",
 
     rest = math.log10(n + ADD * (v + 1))
     none = {c: F.lit(None).cast(kind).alias(c) for c, kind in (
-        ("doc_id", "long"), ("held_out", "boolean"), ("n_tokens", "long"), ("more", "binary"))}
-    first = with_codes.select("block", F.lit(-1).cast("long").alias("k"), *[none[c] for c in ("doc_id", "held_out", "n_tokens")],
-                              F.col("pairs").alias("cells"), F.col("codes").alias("more"))
-    known = rated(cells, samples).select("block", F.col("cb").alias("k"), *[none[c] for c in ("doc_id", "held_out", "n_tokens")],
-                                      "p", none["more"])
-    rows = cut.where("kind = 2").select("block", F.lit(1 << 62).alias("k"), "doc_id", "held_out", "n_tokens", "cells", none["more"])
+        ("doc_id", "long"), ("held_out", "boolean"), ("n_tokens", "long"))}
+    first = [df.select("block", F.lit(k).cast("long").alias("k"), *[none[c] for c in ("doc_id", "held_out", "n_tokens")], col)
+             for df, k, col in ((pairs, -2, "cells"), (codes, -1, "codes"))]
+    known = rated(cells, samples).select("block", F.col("cb").alias("k"), *[none[c] for c in ("doc_id", "held_out", "n_tokens")], "p")
+    rows = cut.where("kind = 2").select("block", F.lit(1 << 62).alias("k"), "doc_id", "held_out", "n_tokens", "cells")
     scored = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts_, ready = [], None
         for b in batches:
             out = []
-            for _, k, i, held_, many, raw, codes in zip(*(c.to_pylist() for c in b.columns)):
-                if k < 0:                             # a block's cells, their probabilities, its documents
-                    order, parts_, ready = dealt(raw, codes, side)[0], [], None
-                    c = unsqueeze(codes)[1][np.cumsum(unsqueeze(raw)[0])]
+            for _, k, i, held_, many, raw in zip(*(c.to_pylist() for c in b.columns)):
+                if k == -2:                           # a block's cells, its words, the cells' probabilities, its documents
+                    own_cells = raw
+                elif k == -1:
+                    order, parts_, ready = dealt(own_cells, raw, side)[0], [], None
+                    c = unsqueeze(raw)[1][np.cumsum(unsqueeze(own_cells)[0])]
                 elif k < 1 << 62:
                     parts_.append(raw)
                 else:
@@ -916,7 +918,7 @@ def score(docs: DataFrame, train: Column | None = None, id_col: str = "doc_id",
             if out:
                 yield rows_in(scored, out)
 
-    return (first.union(known).union(rows).repartition("block").sortWithinPartitions("block", "k")
+    return (first[0].union(first[1]).union(known).union(rows).repartition("block").sortWithinPartitions("block", "k")
             .mapInArrow(add_up, scored)
             .withColumn("train_tokens", F.lit(n).cast("long"))
             .withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
