@@ -299,7 +299,7 @@ def _ml_table(spark, d) -> DataFrame:
 def _fit_forest(spark, d, num_trees=20, max_depth=8, weight_col="peso_classe"):
     t = _ml_table(spark, d)
     train = ML.require_two_classes(t.filter(TRAIN))
-    return ML.forest(NUMERIC, CATEGORICAL, num_trees, max_depth, 5, weight_col).fit(train), t
+    return ML.fit_alike([ML.forest(NUMERIC, CATEGORICAL, num_trees, max_depth, 5, weight_col)], train)[0], t
 
 
 _ML_CTE = SP._HK_CTE.replace("FROM survey", "FROM occ") + f""",

@@ -99,3 +99,44 @@ def test_predictions_have_a_row_for_each_row_whose_key_repeats(spark):
         assert [tuple(r) for r in MD.batch_score(spark, "/none").collect()] == [(600, 0)]
     finally:
         del MD._TABLES[at]
+
+
+def known(spark, n=900):
+    """Rows with columns that the forests read; y follows idade."""
+    df = spark.range(n).select(
+        "id", F.abs(F.xxhash64("id", F.lit(7))).alias("hk"),
+        *[F.when(F.col("id") % 31 != k, F.pmod(F.xxhash64("id", F.lit(k)), F.lit(40)).cast("double")).alias(c)
+          for k, c in enumerate(MD.NUMERIC)],
+        *[F.pmod(F.xxhash64("id", F.lit(9 + k)), F.lit(3)).cast("string").alias(c) for k, c in enumerate(MD.CATEGORICAL)])
+    return materialise(df.withColumns({"label": (F.col("idade") + F.col("id") % 13 > 25).cast("double"),
+                                       "fold": (F.col("id") % 3).cast("int")}).na.fill(0.0, ["label"]), "known")
+
+
+@pytest.mark.parametrize("replicates", [1, 16, 20])
+def test_packed_weights_are_the_draws_of_each_replicate(spark, replicates):
+    df = known(spark, 300).select("hk")
+    got = ML.packed_weights(df, "hk", replicates).select("hk", *[ML.weight_of(r).alias(f"w{r}") for r in range(replicates)])
+    want = df.select("hk", *[M.poisson1(M.uniform(F.col("hk"), F.lit(r))).cast("double") for r in range(replicates)])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_permuted_passes_draw_no_weights_anew_and_share_a_shuffle(spark):
+    df = known(spark)
+    model = ML.forest(MD.NUMERIC, MD.CATEGORICAL, 3, 3, 5).fit(df)
+    out = ML.permutation_importance(model, df, ["idade", "sexo", "uf"], "hk")
+    assert "md5" not in plan(out)
+    assert {r.feature for r in out.collect()} == {"idade", "sexo", "uf"}
+    assert plan(out).partition("== Initial Plan ==")[0].count("ReusedExchange") >= 2
+
+
+def test_permuted_columns_hold_their_values_in_other_orders(spark):
+    df = known(spark).select("id", "hk", "idade", "uf")
+    rows = {r.id: r for r in df.collect()}
+    moved = {}
+    for k, c in enumerate(("idade", "uf")):
+        got = ML.permute_column(df, c, "hk", 100 + k, 4, 100).collect()
+        assert sorted(r.id for r in got) == sorted(rows)
+        assert sorted(map(str, (r[c] for r in got))) == sorted(str(r[c]) for r in rows.values())
+        assert all(r[x] == rows[r.id][x] for r in got for x in ("hk", "idade", "uf") if x != c)
+        moved[c] = sum(r[c] != rows[r.id][c] for r in got)
+    assert moved["idade"] > 700 and moved["uf"] > 400
