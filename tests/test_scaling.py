@@ -4,6 +4,8 @@ import glob
 import math
 
 import pytest
+from pyspark.ml.feature import Imputer, StringIndexer
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import functions as F
 
 from laborlens.operators import ml as ML
@@ -112,6 +114,18 @@ def known(spark, n=900):
                                        "fold": (F.col("id") % 3).cast("int")}).na.fill(0.0, ["label"]), "known")
 
 
+@pytest.fixture
+def fits(monkeypatch):
+    """How often stages that prepare the rows are fitted."""
+    seen = {}
+    for kind in (Imputer, StringIndexer):
+        def fit(self, df, fit=kind._fit, name=kind.__name__):
+            seen[name] = seen.get(name, 0) + 1
+            return fit(self, df)
+        monkeypatch.setattr(kind, "_fit", fit)
+    return seen
+
+
 @pytest.mark.parametrize("replicates", [1, 16, 20])
 def test_packed_weights_are_the_draws_of_each_replicate(spark, replicates):
     df = known(spark, 300).select("hk")
@@ -140,3 +154,20 @@ def test_permuted_columns_hold_their_values_in_other_orders(spark):
         assert all(r[x] == rows[r.id][x] for r in got for x in ("hk", "idade", "uf") if x != c)
         moved[c] = sum(r[c] != rows[r.id][c] for r in got)
     assert moved["idade"] > 700 and moved["uf"] > 400
+
+
+@pytest.mark.parametrize("strategies", [["median"], ["median", "mean"]])
+def test_cross_validation_prepares_a_fold_once(spark, fits, strategies):
+    df = known(spark)
+    pipe = ML.forest(MD.NUMERIC, MD.CATEGORICAL, 4, 2, 5)
+    imputer, forest = pipe.getStages()[0], pipe.getStages()[-1]
+    grid = ML.ParamGridBuilder().addGrid(forest.maxDepth, [1, 3]).addGrid(imputer.strategy, strategies).build()
+    kept = spark.sparkContext._jsc.getPersistentRDDs().size()
+    cv = ML.cross_validate(df, pipe, grid, "fold")
+    assert fits == {"Imputer": 3 * len(strategies) + 1, "StringIndexer": 3 * len(strategies) + 1}
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == kept
+    ev = ML.BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction")
+    plain = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=ev, foldCol="fold").fit(df)
+    assert cv.avgMetrics == plain.avgMetrics and cv.stdMetrics == plain.stdMetrics and len(set(cv.avgMetrics)) > 1
+    p, q = (m.bestModel.transform(df).select("id", "probability").orderBy("id").collect() for m in (cv, plain))
+    assert p == q
