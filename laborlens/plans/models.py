@@ -318,18 +318,21 @@ SELECT v AS pesos, COUNT(*) AS n, CAST(SUM(y_true) AS BIGINT) AS n_pos, TRUE AS
 FROM ml, (VALUES ('classe'), ('populacao')) x(v) WHERE split = 'teste' GROUP BY v""", extra=_ML_CTE))
 def forest(spark, d):
     """Forests with class and with survey weights, scored on the test rows."""
+    t = _ml_table(spark, d).withColumn("peso_amostra", F.greatest(F.coalesce(F.col(WGT), F.lit(0.0)), F.lit(0.0)))
+    weights = {"classe": "peso_classe", "populacao": "peso_amostra"}
+    models = ML.fit_alike([ML.forest(NUMERIC, CATEGORICAL, 20, 8, 5, w) for w in weights.values()],
+                          ML.require_two_classes(t.filter(TRAIN)))
+    pred = ML.PipelineModel(models[0].stages[:-1]).transform(t.filter("split = 'teste'")).select("label", "peso_classe", "features")
+    for name, model in zip(weights, models):
+        pred = ML.positive_probability(model.stages[-1].transform(pred), name).drop("rawPrediction", "probability", "prediction")
+    pred = materialise(pred.drop("features"), "previsoes")
     out = None
-    for name, w in (("classe", "peso_classe"), ("populacao", "peso_amostra")):
-        t = _ml_table(spark, d)
-        if w == "peso_amostra":
-            t = t.withColumn(w, F.greatest(F.coalesce(F.col(WGT), F.lit(0.0)), F.lit(0.0)))
-        model = ML.forest(NUMERIC, CATEGORICAL, 20, 8, 5, w).fit(ML.require_two_classes(t.filter(TRAIN)))
-        pred = materialise(ML.positive_probability(model.transform(t.filter("split = 'teste'")))
-                           .select("label", "y_proba", "peso_classe"), "previsoes")
-        rep = MT.classification_report(pred, "label", "y_proba")
-        auc = MT.auc_exact(pred, "label", "y_proba")
-        more = pred.agg(F.sum("label").cast("long").alias("n_pos"),
-                        F.round(F.max(F.when(F.col("label") == 1, F.col("peso_classe"))), 6).alias("peso_pos"))
+    for name in weights:
+        one = pred.withColumnRenamed(name, "y_proba")
+        rep = MT.classification_report(one, "label", "y_proba")
+        auc = MT.auc_exact(one, "label", "y_proba")
+        more = one.agg(F.sum("label").cast("long").alias("n_pos"),
+                       F.round(F.max(F.when(F.col("label") == 1, F.col("peso_classe"))), 6).alias("peso_pos"))
         r = rep.crossJoin(auc).crossJoin(more).select(                                   # one row each
             F.lit(name).alias("pesos"), "n", "n_pos",
             (F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn") == F.col("n")).alias("soma_ok"),

@@ -171,3 +171,28 @@ def test_cross_validation_prepares_a_fold_once(spark, fits, strategies):
     assert cv.avgMetrics == plain.avgMetrics and cv.stdMetrics == plain.stdMetrics and len(set(cv.avgMetrics)) > 1
     p, q = (m.bestModel.transform(df).select("id", "probability").orderBy("id").collect() for m in (cv, plain))
     assert p == q
+
+
+def test_forests_with_two_weights_share_their_preparation(spark, fits):
+    df = known(spark).withColumn("w", (1 + F.col("id") % 3).cast("double"))
+    pipes = [ML.forest(MD.NUMERIC, MD.CATEGORICAL, 4, 3, 5, w) for w in (None, "w")]
+    models = ML.fit_alike(pipes, df)
+    assert fits == {"Imputer": 1, "StringIndexer": 1}
+    for p, m in zip(pipes, models):
+        a, b = (x.transform(df).select("id", "probability").orderBy("id").collect() for x in (m, p.fit(df)))
+        assert a == b
+
+
+def test_forest_prepares_its_rows_once(spark, fits):
+    df = known(spark).select("*", (F.col("id") % 4 == 0).alias("_t"), F.lit(1.5).alias("peso_classe"), F.lit(2.0).alias(MD.WGT))
+    df = df.withColumn("split", F.when(F.col("_t"), "teste").otherwise("treino")).withColumn("y_true", F.col("label").cast("int"))
+    at = (spark.sparkContext.applicationId, "/none")
+    MD._TABLES[at] = materialise(df, "ml")
+    try:
+        rows = {r.pesos: r for r in MD.forest(spark, "/none").collect()}
+    finally:
+        del MD._TABLES[at]
+    assert fits == {"Imputer": 1, "StringIndexer": 1}
+    n_pos = df.filter("_t and label = 1").count()
+    assert set(rows) == {"classe", "populacao"}
+    assert all((r.n, r.n_pos, r.soma_ok, r.auc_ok, r.metricas_ok, r.peso_pos) == (225, n_pos, True, True, True, 1.5) for r in rows.values())
